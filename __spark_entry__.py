@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from oracle.sql import oracle_sql as _oracle_sql
 from strikeforge.functions.numbers import clean_double
 from strikeforge.operators import ingest, quality, screens, universe
-from strikeforge.operators.max_pain import hot_expirations, max_pain_curve
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import CONTRACT_KEY, DATASETS
 from strikeforge.sources import bridge
@@ -80,12 +79,9 @@ class Tables:
 
 
 def symbol_universe(t: Tables) -> DataFrame:
-    key = F.col("s_suppkey")
-    untidy = F.concat(
-        F.lit(" "), F.lower(bridge.symbol_of(key)), F.lit(" , ,"), bridge.symbol_of(key + 1),
-        F.lit(","),
-    )
-    lists = t.table("supplier").filter("s_nationkey % 2 = 0").select(untidy.alias("symbols"))
+    own, following = bridge.symbol_of("s_suppkey"), bridge.symbol_of("(s_suppkey + 1)")
+    untidy = f"concat(' ', lower({own}), ' , ,', {following}, ',') AS symbols"
+    lists = t.table("supplier").filter("s_nationkey % 2 = 0").selectExpr(untidy)
     return universe.symbol_universe(lists, "symbols")
 
 
@@ -108,16 +104,12 @@ def listed_contracts(t: Tables) -> DataFrame:
 
 
 def clean_numbers(t: Tables) -> DataFrame:
-    text = (
-        F.when(F.col("l_linenumber") == 1, "n/a")
-        .when(F.col("l_quantity") > 40, "NaN")
-        .when(F.col("l_returnflag") == "R", "-1")
-        .when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("string"))
-    )
-    return t.table("lineitem").select(
+    text = """CASE WHEN l_linenumber = 1 THEN 'n/a' WHEN l_quantity > 40 THEN 'NaN'
+        WHEN l_returnflag = 'R' THEN '-1' WHEN l_linestatus = 'O' THEN string(l_quantity) END"""
+    return t.table("lineitem").selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        clean_double(text).alias("number"),
-        clean_double(text, sentinel_to_null=True).alias("number_or_null"),
+        f"{clean_double(text)} AS number",
+        f"{clean_double(text, sentinel_to_null=True)} AS number_or_null",
     )
 
 
@@ -126,10 +118,10 @@ def quote_fields(t: Tables, *names: str) -> DataFrame:
 
 
 def expiry_dte(t: Tables) -> DataFrame:
-    fields = ingest.expiry_and_dte(bridge.AS_OF)
-    return t.latest().select(
-        "symbol", "strike", "right", F.col(ingest.EXPIRY_FIELD).alias("expiry_text"),
-        *(c.alias(name) for name, c in fields.items()),
+    fields = ingest.expiry_columns(bridge.AS_OF)
+    return t.latest().selectExpr(
+        "symbol", "strike", "right", f"{ingest.EXPIRY_FIELD} AS expiry_text",
+        *(f"{c} AS {name}" for name, c in fields.items()),
     )
 
 
@@ -163,11 +155,6 @@ def live_chain(t: Tables) -> DataFrame:
     return ingest.to_quotes(live.current(), bridge.AS_OF)
 
 
-def pain_curve(t: Tables, **options) -> DataFrame:
-    chain = t.strategies().chain
-    return max_pain_curve(chain, hot=hot_expirations(chain), **options)
-
-
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain_snapshot": lambda t: ingest.to_quotes(t.latest(), bridge.AS_OF),
     "symbol_universe": symbol_universe,
@@ -179,9 +166,9 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "underlying_price": lambda t: t.underlying(),
     "clean_numbers": clean_numbers,
     "best_price": lambda t: quote_fields(t, "mid").filter("mid IS NOT NULL"),
-    "flatten_greeks": lambda t: quote_fields(t, *ingest.greeks()),
+    "flatten_greeks": lambda t: quote_fields(t, *ingest.GREEK_COLUMNS),
     "expiry_dte": expiry_dte,
-    "oi_volume_by_right": lambda t: quote_fields(t, *ingest.interest_and_volume()),
+    "oi_volume_by_right": lambda t: quote_fields(t, *ingest.SIZE_COLUMNS),
     "chain": lambda t: t.chain(),
     "scan_chain": lambda t: t.chain(universe=t.candidates()),
     "vertical_spreads": lambda t: t.strategies().spreads(),
@@ -191,8 +178,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "calendars": lambda t: t.strategies().calendars(),
     "expected_move": lambda t: t.strategies().expected_move(),
     "max_pain": lambda t: t.strategies().max_pain(),
-    "max_pain_curve": pain_curve,
-    "max_pain_curve_all": lambda t: pain_curve(t, include_all_candidates=True),
+    "max_pain_curve": lambda t: t.strategies().max_pain_curve(),
+    "max_pain_curve_all": lambda t: t.strategies().max_pain_curve(True),
     "dataset_roundtrip": lambda t: t.dataset("spreads"),
     "filter_choices": filter_choices,
     "screen_credit": lambda t: screens.credit_spreads(

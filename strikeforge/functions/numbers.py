@@ -1,33 +1,27 @@
-"""Cleaning of raw feed numbers."""
+"""Cleaning of raw feed numbers. Functions here and next door give Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def clean_double(value: Column | str, sentinel_to_null: bool = False) -> Column:
+def clean_double(value: str, sentinel_to_null: bool = False) -> str:
     """Read a raw value as double; missing, unparsable and NaN become NULL.
 
     The feed's -1 sentinel and infinities pass, unless ``sentinel_to_null`` asks for
-    -1 to become NULL too.
+    -1 to become NULL too. ``nanvl`` passes on its second argument for NaN.
     """
-    number = F.col(value) if isinstance(value, str) else value
-    number = number.try_cast("double")
-    usable = ~F.isnan(number)
-    if sentinel_to_null:
-        usable = usable & (number != -1.0)
-    return F.when(usable, number)
+    number = f"nanvl(try_cast({value} AS double), NULL)"
+    return f"nullif({number}, -1D)" if sentinel_to_null else number
 
 
-def when_positive(value: Column) -> Column:
-    return F.when(value > 0, value)
+def if_positive(value: str) -> str:
+    return f"CASE WHEN {value} > 0 THEN {value} END"
 
 
-def is_finite(value: Column) -> Column:
-    return ~F.isnan(value) & (F.abs(value) < float("inf"))
+def if_finite(value: str) -> str:
+    """NaN sorts above infinity, so one comparison excludes both."""
+    return f"CASE WHEN abs({value}) < double('infinity') THEN {value} END"
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> str:
     """``part / whole * 100``; NULL where the divisor is zero."""
-    return F.try_divide(part, whole) * 100
+    return f"try_divide({part}, {whole}) * 100"

@@ -1,14 +1,11 @@
-"""Column builders shared by the multi-leg strategies.
+"""Expressions shared by the multi-leg strategies.
 
 Prices and strikes are per share; contract values are per 100 shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Mapping, Sequence
 
 from strikeforge.functions.numbers import percent
 
@@ -16,30 +13,25 @@ SHARES = 100
 GREEKS = ("delta", "gamma", "theta", "vega")
 
 
-def per_contract(per_share: Column) -> Column:
-    return per_share * SHARES
+def per_contract(per_share: str) -> str:
+    return f"({per_share}) * {SHARES}"
 
 
-def distance_pct(level: Column | str, underlying: Column | str = "underlying_price") -> Column:
+def distance_pct(level: str, underlying: str = "underlying_price") -> str:
     """How far a price level is from the underlying, in percent of the underlying."""
-    level = F.col(level) if isinstance(level, str) else level
-    underlying = F.col(underlying) if isinstance(underlying, str) else underlying
-    return percent(F.abs(underlying - level), underlying)
+    return percent(f"abs({underlying} - {level})", underlying)
 
 
-def yield_pct(profit: Column, loss: Column) -> Column:
+def yield_pct(profit: str, loss: str) -> str:
     """Profit in percent of the amount at risk; NULL when nothing is at risk."""
-    return F.when(loss > 0, profit / loss * 100)
+    return f"CASE WHEN {loss} > 0 THEN {profit} / {loss} * 100 END"
 
 
-def net_greeks(first: str, second: str, sign: int) -> list[Column]:
-    """``first + sign * second`` for each Greek; NULL if either leg has none."""
-    combine = (lambda a, b: a + b) if sign > 0 else (lambda a, b: a - b)
-    return [
-        combine(F.col(f"{first}_{g}"), F.col(f"{second}_{g}")).alias(f"net_{g}") for g in GREEKS
-    ]
+def net_greeks(first: str, operator: str, second: str) -> dict[str, str]:
+    """Both legs' Greeks added or subtracted; NULL if either leg has none."""
+    return {f"net_{g}": f"{first}_{g} {operator} {second}_{g}" for g in GREEKS}
 
 
-def named(columns: dict[str, Column], order: Sequence[str]) -> list[Column]:
+def named(columns: Mapping[str, str], order: Sequence[str]) -> list[str]:
     """Select list in contract order: computed columns by name, the rest passed through."""
-    return [columns[c].alias(c) if c in columns else F.col(c) for c in order]
+    return [f"{columns.get(c, c)} AS {c}" for c in order]

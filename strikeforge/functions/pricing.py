@@ -1,20 +1,11 @@
-"""Price and quote columns derived from one feed record."""
+"""Price and quote expressions over one feed record."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from strikeforge.functions.numbers import clean_double, if_finite, if_positive
 
-from strikeforge.functions.numbers import clean_double, is_finite, when_positive
 
-
-def best_price(
-    bid: Column | str,
-    ask: Column | str,
-    last: Column | str,
-    close: Column | str,
-    market: Column | str | None = None,
-) -> Column:
+def best_price(bid: str, ask: str, last: str, close: str, market: str | None = None) -> str:
     """Middle of a two-sided quote, else last, else close, else a finite market price.
 
     Every input is cleaned first: Spark orders NaN above all numbers, so an uncleaned NaN
@@ -22,21 +13,20 @@ def best_price(
     """
     bid, ask, last, close = (clean_double(c) for c in (bid, ask, last, close))
     choices = [
-        F.when((bid > 0) & (ask > 0), (bid + ask) / 2),
-        when_positive(last),
-        when_positive(close),
+        f"CASE WHEN {bid} > 0 AND {ask} > 0 THEN ({bid} + {ask}) / 2 END",
+        if_positive(last),
+        if_positive(close),
     ]
     if market is not None:
-        market = clean_double(market)
-        choices.append(F.when(is_finite(market), when_positive(market)))
-    return F.coalesce(*choices)
+        choices.append(if_positive(if_finite(clean_double(market))))
+    return f"coalesce({', '.join(choices)})"
 
 
-def by_right(call: Column | str, put: Column | str) -> Column:
+def by_right(call: str, put: str) -> str:
     """The call's field for calls, the put's for everything else, cleaned."""
-    return F.when(F.col("right") == "C", clean_double(call)).otherwise(clean_double(put))
+    return f"CASE WHEN right = 'C' THEN {clean_double(call)} ELSE {clean_double(put)} END"
 
 
-def expiry_date(text: Column | str) -> Column:
+def expiry_date(text: str) -> str:
     """``yyyyMMdd`` text to a date."""
-    return F.to_date(text, "yyyyMMdd")
+    return f"to_date({text}, 'yyyyMMdd')"

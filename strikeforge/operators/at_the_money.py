@@ -8,7 +8,7 @@ no sort, no window, no join of a call half with a put half.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
@@ -23,38 +23,39 @@ QUOTE = ["mid", "delta", "implied_vol"]
 
 def strikes_around_money(chain: DataFrame) -> DataFrame:
     """Per expiration and right, the priced strikes next to the underlying and their quotes."""
-    strike, underlying = F.col("strike"), F.col("underlying_price")
-    aggregates = [
-        F.max("underlying_price").alias("underlying_price"),
-        F.max("dte").alias("dte"),
-    ]
+    aggregates = ["max(underlying_price) AS underlying_price", "max(dte) AS dte"]
     for role, right in RIGHTS.items():
-        below = F.when((F.col("right") == right) & (strike <= underlying), strike)
-        above = F.when((F.col("right") == right) & (strike >= underlying), strike)
-        aggregates.append(F.max(below).alias(f"{role}_below_strike"))
-        aggregates.append(F.min(above).alias(f"{role}_above_strike"))
-        for c in QUOTE:
-            aggregates.append(F.max_by(c, below).alias(f"{role}_below_{c}"))
-            aggregates.append(F.min_by(c, above).alias(f"{role}_above_{c}"))
-    return priced(chain).groupBy(*EXPIRATION_KEYS).agg(*aggregates)
+        for side, pick, relation in (("below", "max", "<="), ("above", "min", ">=")):
+            level = f"if(right = '{right}' AND strike {relation} underlying_price, strike, NULL)"
+            aggregates.append(f"{pick}({level}) AS {role}_{side}_strike")
+            aggregates += [f"{pick}_by({c}, {level}) AS {role}_{side}_{c}" for c in QUOTE]
+    return priced(chain).groupBy(*EXPIRATION_KEYS).agg(*(F.expr(a) for a in aggregates))
 
 
-def _nearer_is_below(below: Column, above: Column) -> Column:
+def _below_is_nearer(below: str, above: str) -> str:
     """Equally distant strikes: the lower one."""
-    underlying = F.col("underlying_price")
-    return above.isNull() | (F.coalesce(underlying - below <= above - underlying, F.lit(False)))
+    nearer = f"underlying_price - {below} <= {above} - underlying_price"
+    return f"({above} IS NULL OR coalesce({nearer}, false))"
 
 
-def _pick(role: str) -> list[Column]:
+def _nearest(role: str) -> list[str]:
     """Nearest strike of one right and its quote."""
-    below = _nearer_is_below(F.col(f"{role}_below_strike"), F.col(f"{role}_above_strike"))
+    below = _below_is_nearer(f"{role}_below_strike", f"{role}_above_strike")
     return [
-        F.when(below, F.col(f"{role}_below_{c}")).otherwise(F.col(f"{role}_above_{c}"))
-        .alias(f"atm_{role}_{c}")
+        f"if({below}, {role}_below_{c}, {role}_above_{c}) AS atm_{role}_{c}"
         for c in ("strike", *QUOTE)
     ]
 
 
+MOVE_COLUMNS = {
+    "expected_move_contract": per_contract("expected_move"),
+    "move_pct": percent("expected_move", "underlying_price"),
+    "upper_bound": "underlying_price + expected_move",
+    "lower_bound": "underlying_price - expected_move",
+    "avg_atm_iv": "(atm_call_implied_vol + atm_put_implied_vol) / 2",
+}
+
+
 def expected_move(chain: DataFrame, *, ranked: bool = True) -> DataFrame:
     """Price of the nearest call plus the nearest put, per expiration.
 
@@ -62,47 +63,50 @@ def expected_move(chain: DataFrame, *, ranked: bool = True) -> DataFrame:
     """
     straddles = (
         strikes_around_money(chain)
-        .select(*EXPIRATION_KEYS, "dte", "underlying_price", *_pick("call"), *_pick("put"))
+        .selectExpr(
+            *EXPIRATION_KEYS, "dte", "underlying_price", *_nearest("call"), *_nearest("put"),
+            "atm_call_mid + atm_put_mid AS expected_move",
+        )
         .filter("atm_call_strike IS NOT NULL AND atm_put_strike IS NOT NULL")
-        .withColumn("expected_move", F.col("atm_call_mid") + F.col("atm_put_mid"))
     )
-    move, underlying = F.col("expected_move"), F.col("underlying_price")
-    columns = {
-        "expected_move_contract": per_contract(move),
-        "move_pct": percent(move, underlying),
-        "upper_bound": underlying + move,
-        "lower_bound": underlying - move,
-        "avg_atm_iv": (F.col("atm_call_implied_vol") + F.col("atm_put_implied_vol")) / 2,
-    }
-    result = straddles.select(*named(columns, RESULT_COLUMNS["expected_move"]))
+    result = straddles.selectExpr(*named(MOVE_COLUMNS, RESULT_COLUMNS["expected_move"]))
     return result.orderBy(*EXPIRATION_KEYS) if ranked else result
 
 
 def short_straddles(chain: DataFrame) -> DataFrame:
     """The at-the-money strike over both rights, where a put and a call are quoted on it."""
-    sides = strikes_around_money(chain)
-    below = F.greatest("call_below_strike", "put_below_strike")
-    above = F.least("call_above_strike", "put_above_strike")
-    atm = F.when(_nearer_is_below(below, above), below).otherwise(above)
-    sides = sides.withColumn("atm_strike", atm)
-
-    def at_money(role: str, c: str) -> Column:
-        return (
-            F.when(F.col(f"{role}_below_strike") == F.col("atm_strike"), F.col(f"{role}_below_{c}"))
-            .when(F.col(f"{role}_above_strike") == F.col("atm_strike"), F.col(f"{role}_above_{c}"))
+    below = "greatest(call_below_strike, put_below_strike)"
+    above = "least(call_above_strike, put_above_strike)"
+
+    def at_money(role: str, c: str) -> str:
+        return f"""CASE atm_strike WHEN {role}_below_strike THEN {role}_below_{c}
+            WHEN {role}_above_strike THEN {role}_above_{c} END AS short_{role}_{c}"""
+
+    return (
+        strikes_around_money(chain)
+        .selectExpr(
+            *EXPIRATION_KEYS, "dte", "underlying_price",
+            f"if({_below_is_nearer(below, above)}, {below}, {above}) AS atm_strike",
+            *(at_money(role, c) for role in RIGHTS for c in QUOTE),
         )
+        .filter("short_call_mid IS NOT NULL AND short_put_mid IS NOT NULL")
+    )
+
 
-    return sides.select(
-        *EXPIRATION_KEYS,
-        "dte",
-        "underlying_price",
-        "atm_strike",
-        *(
-            at_money(role, c).alias(f"short_{role}_{c}")
-            for role in RIGHTS
-            for c in QUOTE
-        ),
-    ).filter("short_call_mid IS NOT NULL AND short_put_mid IS NOT NULL")
+FLY_COLUMNS = {
+    "put_wing_strike": "long_put_strike",
+    "call_wing_strike": "long_call_strike",
+    "total_credit": per_contract("credit"),
+    "max_profit": per_contract("credit"),
+    "spread_ratio": "credit / wing_width * 100",
+    "credit_yield": yield_pct(per_contract("credit"), "max_loss"),
+    "ROC": percent("credit", "atm_strike"),
+    "pct_to_atm_strike": distance_pct("atm_strike"),
+    "pct_to_lower_breakeven": distance_pct("lower_breakeven"),
+    "pct_to_upper_breakeven": distance_pct("upper_breakeven"),
+    "atm_put_iv": "short_put_implied_vol",
+    "atm_call_iv": "short_call_implied_vol",
+}
 
 
 def iron_butterflies(
@@ -112,59 +116,39 @@ def iron_butterflies(
 
     Every contract knows its own distance from the at-the-money strike, so matching wings
     share a (symbol, expiration, distance) group of at most two rows. Grouping by it replaces
-    the put-wing x call-wing join.
+    the put-wing x call-wing join. Both breakevens count the total credit.
     """
     straddles = short_straddles(chain)
-    straddle_columns = [c for c in straddles.columns if c not in EXPIRATION_KEYS]
     wings = as_leg(priced(chain), "wing", EXPIRATION_KEYS, ["right", "strike", "mid", "delta"])
-    offset = F.col("wing_strike") - F.col("atm_strike")
     wings = (
         pair_legs(straddles, wings, EXPIRATION_KEYS, hot, right_by=["wing_strike"])
-        .withColumn("wing_width", F.abs(offset))
-        .withColumn(
-            "role",
-            F.when((F.col("wing_right") == "P") & (offset < 0), "put")
-            .when((F.col("wing_right") == "C") & (offset > 0), "call"),
+        .selectExpr("*", "abs(wing_strike - atm_strike) AS wing_width")
+        .filter(
+            """(wing_right = 'P' AND wing_strike < atm_strike)
+            OR (wing_right = 'C' AND wing_strike > atm_strike)"""
         )
-        .filter("role IS NOT NULL")
     )
-    both = [
-        F.max(F.when(F.col("role") == role, F.col(f"wing_{c}"))).alias(f"long_{role}_{c}")
-        for role in RIGHTS
+    # All rows of a group carry the same straddle.
+    shared = [f"max({c}) AS {c}" for c in straddles.columns if c not in EXPIRATION_KEYS]
+    long_legs = [
+        f"max(if(wing_right = '{right}', wing_{c}, NULL)) AS long_{role}_{c}"
+        for role, right in RIGHTS.items()
         for c in ("strike", "mid", "delta")
     ]
-    # All rows of a group carry the same straddle.
-    shared = [F.max(c).alias(c) for c in straddle_columns]
     flies = (
         wings.groupBy(*EXPIRATION_KEYS, "wing_width")
-        .agg(*shared, *both)
+        .agg(*(F.expr(a) for a in (*shared, *long_legs)))
         .filter("long_put_mid IS NOT NULL AND long_call_mid IS NOT NULL")
-        .withColumn(
-            "credit",
-            (F.col("short_put_mid") - F.col("long_put_mid"))
-            + (F.col("short_call_mid") - F.col("long_call_mid")),
+        .selectExpr(
+            "*",
+            "(short_put_mid - long_put_mid) + (short_call_mid - long_call_mid) AS credit",
+            f"{per_contract('wing_width - credit')} AS max_loss",
+            "atm_strike - credit AS lower_breakeven",
+            "atm_strike + credit AS upper_breakeven",
         )
-        .withColumn("max_loss", per_contract(F.col("wing_width") - F.col("credit")))
         .filter("credit > 0 AND max_loss > 0")
-        .withColumn("lower_breakeven", F.col("atm_strike") - F.col("credit"))
-        .withColumn("upper_breakeven", F.col("atm_strike") + F.col("credit"))
     )
-    credit, total = F.col("credit"), per_contract(F.col("credit"))
-    columns = {
-        "put_wing_strike": F.col("long_put_strike"),
-        "call_wing_strike": F.col("long_call_strike"),
-        "total_credit": total,
-        "max_profit": total,
-        "spread_ratio": credit / F.col("wing_width") * 100,
-        "credit_yield": yield_pct(total, F.col("max_loss")),
-        "ROC": percent(credit, F.col("atm_strike")),
-        "pct_to_atm_strike": distance_pct("atm_strike"),
-        "pct_to_lower_breakeven": distance_pct("lower_breakeven"),
-        "pct_to_upper_breakeven": distance_pct("upper_breakeven"),
-        "atm_put_iv": F.col("short_put_implied_vol"),
-        "atm_call_iv": F.col("short_call_implied_vol"),
-    }
-    result = flies.select(*named(columns, RESULT_COLUMNS["iron_butterflies"]))
+    result = flies.selectExpr(*named(FLY_COLUMNS, RESULT_COLUMNS["iron_butterflies"]))
     if ranked:
         result = result.orderBy(F.desc("spread_ratio"), *EXPIRATION_KEYS, "wing_width")
     return result

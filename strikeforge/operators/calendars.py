@@ -13,6 +13,19 @@ from strikeforge.schema import RESULT_COLUMNS
 CALENDAR_KEYS = ["symbol", "right", "strike"]
 MIN_GAP_DAYS = 7
 
+COLUMNS = {
+    "dte_gap": "far_dte - near_dte",
+    "net_debit": per_contract("debit"),
+    "approx_max_profit": per_contract("near_mid"),
+    "approx_ROC": percent(per_contract("near_mid"), per_contract("debit")),
+    "theta_differential": "near_theta - far_theta",
+    "iv_differential": "near_implied_vol - far_implied_vol",
+    "underlying_price": "near_underlying_price",
+    "pct_to_strike": distance_pct("strike", "near_underlying_price"),
+    "near_iv": "near_implied_vol",
+    "far_iv": "far_implied_vol",
+}
+
 
 def calendars(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool = True) -> DataFrame:
     """Expirations at least a week apart where the later one costs more.
@@ -23,29 +36,16 @@ def calendars(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool =
     leg_columns = ["expiration", "dte", "mid", "theta", "implied_vol", "delta"]
     near = as_leg(quoted, "near", CALENDAR_KEYS, [*leg_columns, "underlying_price"])
     far = as_leg(quoted, "far", CALENDAR_KEYS, leg_columns)
-    debit = F.col("far_mid") - F.col("near_mid")
     pairs = (
         pair_legs(
             near, far, CALENDAR_KEYS, hot, left_by=["near_expiration"], right_by=["far_expiration"]
         )
         .filter("near_expiration < far_expiration")
-        .filter(F.col("far_dte") >= F.col("near_dte") + MIN_GAP_DAYS)
-        .filter(debit > 0)
+        .filter(f"far_dte >= near_dte + {MIN_GAP_DAYS}")
+        .selectExpr("*", "far_mid - near_mid AS debit")
+        .filter("debit > 0")
     )
-    cost, kept = per_contract(debit), per_contract(F.col("near_mid"))
-    columns = {
-        "dte_gap": F.col("far_dte") - F.col("near_dte"),
-        "net_debit": cost,
-        "approx_max_profit": kept,
-        "approx_ROC": percent(kept, cost),
-        "theta_differential": F.col("near_theta") - F.col("far_theta"),
-        "iv_differential": F.col("near_implied_vol") - F.col("far_implied_vol"),
-        "underlying_price": F.col("near_underlying_price"),
-        "pct_to_strike": distance_pct("strike", "near_underlying_price"),
-        "near_iv": F.col("near_implied_vol"),
-        "far_iv": F.col("far_implied_vol"),
-    }
-    result = pairs.select(*named(columns, RESULT_COLUMNS["calendars"]))
+    result = pairs.selectExpr(*named(COLUMNS, RESULT_COLUMNS["calendars"]))
     if ranked:
         result = result.orderBy(
             F.desc("theta_differential"), *CALENDAR_KEYS, "near_expiration", "far_expiration"

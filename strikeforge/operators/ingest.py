@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from strikeforge.functions.numbers import clean_double
 from strikeforge.functions.pricing import best_price, by_right, expiry_date
@@ -15,50 +14,52 @@ from strikeforge.schema import CHAIN_SCHEMA, CONTRACT_KEY, RAW_CONTRACT_KEY
 
 EXPIRY_FIELD = "lastTradeDateOrContractMonth"
 
+# Flat Greeks out of the nested record; all NULL when the record is missing.
+GREEK_COLUMNS = {
+    name: clean_double(f"modelGreeks.{field}")
+    for name, field in {
+        "delta": "delta",
+        "gamma": "gamma",
+        "theta": "theta",
+        "vega": "vega",
+        "implied_vol": "impliedVol",
+    }.items()
+}
+
+# Open interest and volume by right; only volume falls back to the generic field.
+SIZE_COLUMNS = {
+    "open_interest": by_right("callOpenInterest", "putOpenInterest"),
+    "volume": f"coalesce({by_right('callVolume', 'putVolume')}, {clean_double('volume')})",
+}
+
 
 def latest_quotes(ticks: DataFrame, newest_by: Sequence[str] = ("ts",)) -> DataFrame:
     """Last tick of every contract."""
     return latest_per_key(ticks, RAW_CONTRACT_KEY, newest_by)
 
 
-def greeks() -> dict[str, Column]:
-    """Flat Greeks out of the nested record; all NULL when the record is missing."""
-    fields = {g: g for g in ("delta", "gamma", "theta", "vega")} | {"implied_vol": "impliedVol"}
-    return {name: clean_double(f"modelGreeks.{field}") for name, field in fields.items()}
-
-
-def interest_and_volume() -> dict[str, Column]:
-    """Open interest and volume by right; only volume falls back to the generic field."""
-    return {
-        "open_interest": by_right("callOpenInterest", "putOpenInterest"),
-        "volume": F.coalesce(by_right("callVolume", "putVolume"), clean_double("volume")),
-    }
-
-
-def expiry_and_dte(as_of: date) -> dict[str, Column]:
+def expiry_columns(as_of: date) -> dict[str, str]:
     expiration = expiry_date(EXPIRY_FIELD)
-    return {"expiration": expiration, "dte": F.datediff(expiration, F.lit(as_of))}
+    return {"expiration": expiration, "dte": f"datediff({expiration}, DATE '{as_of}')"}
 
 
-def quote_columns(as_of: date, sentinel_to_null: bool = False) -> dict[str, Column]:
+def quote_columns(as_of: date, sentinel_to_null: bool = False) -> dict[str, str]:
     """All chain columns one raw record gives; only the underlying price is missing."""
-    prices = {c: clean_double(c, sentinel_to_null) for c in ("bid", "ask", "last", "close")}
-    mid = best_price("bid", "ask", "last", "close", "marketPrice")
     return {
-        "symbol": F.col("symbol"),
-        "strike": F.col("strike").cast("double"),
-        "right": F.col("right"),
-        **expiry_and_dte(as_of),
-        **prices,
-        "mid": mid,
-        **greeks(),
-        **interest_and_volume(),
+        "symbol": "symbol",
+        "strike": "double(strike)",
+        "right": "right",
+        **expiry_columns(as_of),
+        **{c: clean_double(c, sentinel_to_null) for c in ("bid", "ask", "last", "close")},
+        "mid": best_price("bid", "ask", "last", "close", "marketPrice"),
+        **GREEK_COLUMNS,
+        **SIZE_COLUMNS,
     }
 
 
 def to_quotes(latest: DataFrame, as_of: date, sentinel_to_null: bool = False) -> DataFrame:
     columns = quote_columns(as_of, sentinel_to_null)
-    return latest.select(*(c.alias(name) for name, c in columns.items()))
+    return latest.selectExpr(*(f"{c} AS {name}" for name, c in columns.items()))
 
 
 def build_chain(
@@ -89,7 +90,9 @@ def build_chain(
 
 def conform(chain: DataFrame) -> DataFrame:
     """Project and cast to the chain schema, in its column order."""
-    return chain.select(*(F.col(f.name).cast(f.dataType) for f in CHAIN_SCHEMA))
+    return chain.selectExpr(
+        *(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in CHAIN_SCHEMA)
+    )
 
 
 def union_sources(*chains: DataFrame) -> DataFrame:
@@ -102,11 +105,8 @@ def union_sources(*chains: DataFrame) -> DataFrame:
 
 def duplicate_contracts(chain: DataFrame) -> DataFrame:
     """Contracts that occur more than once; a proper chain has none."""
-    return (
-        chain.groupBy(*CONTRACT_KEY)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1")
-    )
+    copies = chain.groupBy(*CONTRACT_KEY).count()
+    return copies.withColumnRenamed("count", "copies").filter("copies > 1")
 
 
 def require_unique_contracts(chain: DataFrame) -> DataFrame:

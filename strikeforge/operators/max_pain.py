@@ -7,7 +7,7 @@ one ordered pass; nothing pairs candidates with contracts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
@@ -28,59 +28,57 @@ def hot_expirations(chain: DataFrame, tile: int = TILE_LEGS) -> DataFrame | None
 
     None when there are none. Runs one small job, combined before the shuffle.
     """
-    span = F.col("high") - F.col("low")
     hot = (
         with_interest(chain)
         .groupBy(*EXPIRATION_KEYS)
         .agg(
-            F.count(F.lit(1)).alias("contracts"),
-            F.min("strike").alias("low"),
-            F.max("strike").alias("high"),
-        )
-        .filter((F.col("contracts") > tile) & (span > 0))
-        .select(
-            *EXPIRATION_KEYS, "low", (span / F.ceil(F.col("contracts") / tile)).alias("step")
+            F.expr("count(*) AS contracts"),
+            F.expr("min(strike) AS low"),
+            F.expr("max(strike) AS high"),
         )
+        .filter(f"contracts > {tile} AND high > low")
+        .selectExpr(*EXPIRATION_KEYS, "low", f"(high - low) / ceil(contracts / {tile}) AS step")
     )
     return None if hot.isEmpty() else hot
 
 
 def _interest_per_strike(chain: DataFrame) -> DataFrame:
-    interest = F.col("open_interest")
-    value = interest * F.col("strike")
-    call, put = F.col("right") == "C", F.col("right") == "P"
-    none = F.lit(0.0)
+    sums = [
+        f"sum(if(right = '{right}', {amount}, 0D)) AS {role}_{name}"
+        for role, right in (("call", "C"), ("put", "P"))
+        for name, amount in (("oi", "open_interest"), ("value", "open_interest * strike"))
+    ]
     return (
         with_interest(chain)
         .groupBy(*EXPIRATION_KEYS, "strike")
         .agg(
             F.max("underlying_price").alias("underlying_price"),
             F.max("dte").alias("dte"),
-            F.sum(F.when(call, interest).otherwise(none)).alias("call_oi"),
-            F.sum(F.when(call, value).otherwise(none)).alias("call_value"),
-            F.sum(F.when(put, interest).otherwise(none)).alias("put_oi"),
-            F.sum(F.when(put, value).otherwise(none)).alias("put_value"),
+            *(F.expr(total) for total in sums),
         )
     )
 
 
-def _running_totals(strikes: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals of the strikes below, and for puts of all strikes above.
+def _below(total: str, keys: str, order: str) -> str:
+    return f"""coalesce(sum({total}) OVER (PARTITION BY {keys} ORDER BY {order}
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)"""
 
-    Above is taken as all minus up-to-here: a frame that reaches to the end of its group
-    would be summed anew for every row.
-    """
-    up = Window.partitionBy(*keys).orderBy("strike")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    through = up.rowsBetween(Window.unboundedPreceding, 0)
-    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return strikes.withColumns(
-        {
-            "call_oi_below": F.coalesce(F.sum("call_oi").over(before), F.lit(0.0)),
-            "call_value_below": F.coalesce(F.sum("call_value").over(before), F.lit(0.0)),
-            "put_oi_above": F.sum("put_oi").over(whole) - F.sum("put_oi").over(through),
-            "put_value_above": F.sum("put_value").over(whole) - F.sum("put_value").over(through),
-        }
+
+def _above(total: str, keys: str, order: str) -> str:
+    """All minus up-to-here: a frame that reaches to the end of its group would be summed
+    anew for every row."""
+    frame = f"PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""sum({total}) OVER ({frame} UNBOUNDED FOLLOWING)
+        - sum({total}) OVER ({frame} CURRENT ROW)"""
+
+
+def _running_totals(df: DataFrame, keys: list[str], order: str, suffix: str = "") -> DataFrame:
+    """Call totals before and put totals after each row, in one ordered pass."""
+    by = ", ".join(keys)
+    return df.selectExpr(
+        "*",
+        *(f"{_below(c, by, order)} AS {c}_below{suffix}" for c in ("call_oi", "call_value")),
+        *(f"{_above(c, by, order)} AS {c}_above{suffix}" for c in ("put_oi", "put_value")),
     )
 
 
@@ -90,39 +88,18 @@ def _banded_totals(strikes: DataFrame, hot: DataFrame) -> DataFrame:
     Running totals inside a band, plus the totals of the bands before and after it. A band
     covers ``step`` of the strike axis, so it holds at most step / price-grid strikes.
     """
-    band = F.floor((F.col("strike") - F.col("low")) / F.col("step"))
-    strikes = (
-        strikes.join(hot, EXPIRATION_KEYS, "left")
-        .withColumn("band", F.coalesce(band, F.lit(0)))
-        .drop("low", "step")
+    band_keys = [*EXPIRATION_KEYS, "band"]
+    strikes = strikes.join(hot, EXPIRATION_KEYS, "left").selectExpr(
+        *strikes.columns, "coalesce(floor((strike - low) / step), 0) AS band"
     )
-    by_band = Window.partitionBy(*EXPIRATION_KEYS).orderBy("band")
-    before = by_band.rowsBetween(Window.unboundedPreceding, -1)
-    through = by_band.rowsBetween(Window.unboundedPreceding, 0)
-    whole = by_band.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bands = (
-        strikes.groupBy(*EXPIRATION_KEYS, "band")
-        .agg(*(F.sum(c).alias(c) for c in SUMS))
-        .select(
-            *EXPIRATION_KEYS,
-            "band",
-            *(
-                F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_bands_below")
-                for c in ("call_oi", "call_value")
-            ),
-            *(
-                (F.sum(c).over(whole) - F.sum(c).over(through)).alias(f"{c}_bands_above")
-                for c in ("put_oi", "put_value")
-            ),
-        )
+    bands = strikes.groupBy(*band_keys).agg(*(F.sum(c).alias(c) for c in SUMS))
+    bands = _running_totals(bands, EXPIRATION_KEYS, "band", "_bands").drop(*SUMS)
+    inside = _running_totals(strikes, band_keys, "strike", "_inside")
+    kept = [*EXPIRATION_KEYS, "strike", "underlying_price", "dte"]
+    totals = ("call_oi_below", "call_value_below", "put_oi_above", "put_value_above")
+    return inside.join(bands, band_keys).selectExpr(
+        *kept, *(f"{c}_inside + {c}_bands AS {c}" for c in totals)
     )
-    inside = _running_totals(strikes, [*EXPIRATION_KEYS, "band"])
-    joined = inside.join(bands, [*EXPIRATION_KEYS, "band"])
-    for c in ("call_oi", "call_value"):
-        joined = joined.withColumn(f"{c}_below", F.col(f"{c}_below") + F.col(f"{c}_bands_below"))
-    for c in ("put_oi", "put_value"):
-        joined = joined.withColumn(f"{c}_above", F.col(f"{c}_above") + F.col(f"{c}_bands_above"))
-    return joined
 
 
 def max_pain_curve(
@@ -134,20 +111,21 @@ def max_pain_curve(
     expirations without calls have no row; ``include_all_candidates`` adds them.
     """
     strikes = _interest_per_strike(chain)
-    totals = (
-        _running_totals(strikes, EXPIRATION_KEYS) if hot is None else _banded_totals(strikes, hot)
-    )
+    if hot is None:
+        totals = _running_totals(strikes, EXPIRATION_KEYS, "strike")
+    else:
+        totals = _banded_totals(strikes, hot)
     if not include_all_candidates:
         totals = totals.filter("call_oi_below > 0")
-    level = F.col("strike")
-    return totals.select(
+    return totals.selectExpr(
         *EXPIRATION_KEYS,
         "dte",
         "underlying_price",
-        level.alias("candidate_strike"),
-        (level * F.col("call_oi_below") - F.col("call_value_below")).alias("call_pain"),
-        (F.col("put_value_above") - level * F.col("put_oi_above")).alias("put_pain"),
-    ).withColumn("total_pain", F.col("call_pain") + F.col("put_pain"))
+        "strike AS candidate_strike",
+        "strike * call_oi_below - call_value_below AS call_pain",
+        "put_value_above - strike * put_oi_above AS put_pain",
+        "call_pain + put_pain AS total_pain",
+    )
 
 
 def max_pain(
@@ -159,18 +137,14 @@ def max_pain(
 ) -> DataFrame:
     """The candidate with the least total pain per expiration; equal pain: the lower strike."""
     curve = max_pain_curve(chain, include_all_candidates=include_all_candidates, hot=hot)
-    best = F.struct(
-        "total_pain",
-        F.col("candidate_strike").alias("max_pain_strike"),
-        "call_pain", "put_pain", "underlying_price", "dte",
-    )
-    found = curve.groupBy(*EXPIRATION_KEYS).agg(F.min(best).alias("best"))
+    best = """min(struct(total_pain, candidate_strike AS max_pain_strike, call_pain, put_pain,
+        underlying_price, dte)) AS best"""
+    change = percent("(max_pain_strike - underlying_price)", "underlying_price")
     result = (
-        found.select(*EXPIRATION_KEYS, "best.*")
-        .withColumn(
-            "pct_from_underlying",
-            percent(F.col("max_pain_strike") - F.col("underlying_price"), F.col("underlying_price")),
-        )
+        curve.groupBy(*EXPIRATION_KEYS)
+        .agg(F.expr(best))
+        .select(*EXPIRATION_KEYS, "best.*")
+        .selectExpr("*", f"{change} AS pct_from_underlying")
         .select(*RESULT_COLUMNS["max_pain"])
     )
     return result.orderBy(*EXPIRATION_KEYS) if ranked else result

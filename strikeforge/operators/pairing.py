@@ -90,7 +90,7 @@ def as_leg(
     contracts: DataFrame, role: str, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Keep the group keys and the leg's own columns, named after its role."""
-    return contracts.select(*keys, *(F.col(c).alias(f"{role}_{c}") for c in columns))
+    return contracts.selectExpr(*keys, *(f"{c} AS {role}_{c}" for c in columns))
 
 
 LEG_COLUMNS = ["strike", "mid", *GREEKS]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str])
     """Keep the newest row of every key.
 
     ``newest_by`` lists the ordering columns, most important first. The remaining columns
-    break what ties are left, so the result does not depend on row order. The maximum is
-    combined before the shuffle: a key with a third of all rows sends one row per map task.
+    break what ties are left, so the result does not depend on row order. Spark limits each
+    key to one row before the shuffle as well as after it, so a key with a third of all rows
+    sends one row per map task.
     """
     rest = [c for c in df.columns if c not in keys and c not in newest_by]
-    state = F.max(F.struct(*newest_by, *rest)).alias("state")
-    return df.groupBy(*keys).agg(state).select(*keys, "state.*").select(*df.columns)
+    newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in (*newest_by, *rest)))
+    return df.withColumn("_place", F.row_number().over(newest)).filter("_place = 1").drop("_place")

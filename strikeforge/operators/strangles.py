@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
-from strikeforge.functions.payoff import GREEKS, distance_pct, named, net_greeks, per_contract
+from strikeforge.functions.payoff import distance_pct, named, net_greeks, per_contract
 from strikeforge.operators.pairing import LEG_COLUMNS, as_leg, pair_legs, priced
 from strikeforge.schema import RESULT_COLUMNS
 
 STRANGLE_KEYS = ["symbol", "expiration"]
 
+COLUMNS = {
+    "underlying_price": "put_underlying_price",
+    "total_premium": per_contract("premium"),
+    "breakeven_width": "upper_breakeven - lower_breakeven",
+    "pct_to_put_strike": distance_pct("put_strike", "put_underlying_price"),
+    "pct_to_call_strike": distance_pct("call_strike", "call_underlying_price"),
+    "pct_to_lower_breakeven": distance_pct("lower_breakeven", "put_underlying_price"),
+    "pct_to_upper_breakeven": distance_pct("upper_breakeven", "call_underlying_price"),
+    "ROC": percent("premium", "((put_strike + call_strike) / 2)"),
+    "dte": "put_dte",
+    **net_greeks("put", "+", "call"),
+}
+
 
 def strangles(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool = True) -> DataFrame:
     """A strike at the underlying belongs to neither side."""
@@ -25,27 +38,17 @@ def strangles(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool =
         quoted.filter("right = 'C' AND strike > underlying_price"),
         "call", STRANGLE_KEYS, leg_columns,
     )
-    premium = F.col("premium")
     pairs = (
         pair_legs(put, call, STRANGLE_KEYS, hot, left_by=["put_strike"], right_by=["call_strike"])
-        .withColumn("premium", F.col("put_mid") + F.col("call_mid"))
+        .selectExpr(
+            "*",
+            "put_mid + call_mid AS premium",
+            "put_strike - premium AS lower_breakeven",
+            "call_strike + premium AS upper_breakeven",
+        )
         .filter("premium > 0")
-        .withColumn("lower_breakeven", F.col("put_strike") - premium)
-        .withColumn("upper_breakeven", F.col("call_strike") + premium)
     )
-    put_u, call_u = "put_underlying_price", "call_underlying_price"
-    columns = {
-        "underlying_price": F.col(put_u),
-        "total_premium": per_contract(premium),
-        "breakeven_width": F.col("upper_breakeven") - F.col("lower_breakeven"),
-        "pct_to_put_strike": distance_pct("put_strike", put_u),
-        "pct_to_call_strike": distance_pct("call_strike", call_u),
-        "pct_to_lower_breakeven": distance_pct("lower_breakeven", put_u),
-        "pct_to_upper_breakeven": distance_pct("upper_breakeven", call_u),
-        "ROC": percent(premium, (F.col("put_strike") + F.col("call_strike")) / 2),
-        "dte": F.col("put_dte"),
-    } | dict(zip([f"net_{g}" for g in GREEKS], net_greeks("put", "call", 1)))
-    result = pairs.select(*named(columns, RESULT_COLUMNS["strangles"]))
+    result = pairs.selectExpr(*named(COLUMNS, RESULT_COLUMNS["strangles"]))
     if ranked:
         result = result.orderBy(
             F.desc("total_premium"), *STRANGLE_KEYS, "put_strike", "call_strike"

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.pricing import best_price, expiry_date
@@ -19,41 +19,39 @@ def parse_symbols(text: str, default: Sequence[str] = ()) -> list[str]:
     return [s.strip().upper() for s in text.split(",") if s.strip()]
 
 
-def symbol_list(text: Column | str) -> Column:
-    """The same parsing for a text column: an array of trimmed, upper-cased symbols."""
-    parts = F.transform(F.split(text, ","), lambda s: F.upper(F.trim(s)))
-    return F.filter(parts, lambda s: s != "")
-
-
 def symbol_universe(df: DataFrame, text: str) -> DataFrame:
-    """Distinct symbols named by comma lists held in a column."""
-    return df.select(F.explode(symbol_list(text)).alias("symbol")).distinct()
+    """Distinct symbols named by comma lists held in a column, parsed the same way."""
+    parts = f"transform(split({text}, ','), s -> upper(trim(s)))"
+    return df.selectExpr(f"explode({parts}) AS symbol").filter("symbol <> ''").distinct()
 
 
 def preferred_listing(listings: DataFrame, exchange: str) -> DataFrame:
     """One listing per symbol: the preferred venue's if it has one, else the first by name."""
-    rank = F.struct(F.col("exchange") != exchange, F.col("exchange"))
     fields = [c for c in listings.columns if c != "symbol"]
-    best = F.min(F.struct(rank.alias("rank"), *fields)).alias("best")
-    return listings.groupBy("symbol").agg(best).select(
-        "symbol", *(F.col(f"best.{c}").alias(c) for c in fields)
-    )
+    rank = F.struct(F.col("exchange") != exchange, F.col("exchange"))
+    best = F.min_by(F.struct(*fields), rank).alias("best")
+    return listings.groupBy("symbol").agg(best).select("symbol", "best.*")
+
+
+def _window(as_of: date, target_dte: int, dte_range: int) -> str:
+    first = as_of + timedelta(days=target_dte - dte_range)
+    last = as_of + timedelta(days=target_dte + dte_range)
+    return f"BETWEEN DATE '{first}' AND DATE '{last}'"
+
+
+def _band(pct: float) -> str:
+    low, high = f"{1 - pct!r}D", f"{1 + pct!r}D"
+    return f"BETWEEN underlying_price * {low} AND underlying_price * {high}"
 
 
 def dte_window(
     listings: DataFrame, as_of: date, target_dte: int = 45, dte_range: int = 7
 ) -> DataFrame:
     """Listed expirations from target-range to target+range days out, both ends included."""
-    today = F.lit(as_of)
     return (
-        listings.select("symbol", F.explode("expirations").alias("expiry"))
-        .select("symbol", expiry_date("expiry").alias("expiration"))
-        .filter(
-            F.col("expiration").between(
-                F.date_add(today, target_dte - dte_range),
-                F.date_add(today, target_dte + dte_range),
-            )
-        )
+        listings.selectExpr("symbol", "explode(expirations) AS expiry")
+        .selectExpr("symbol", f"{expiry_date('expiry')} AS expiration")
+        .filter(f"expiration {_window(as_of, target_dte, dte_range)}")
     )
 
 
@@ -62,12 +60,10 @@ def strike_band(listings: DataFrame, underlying: DataFrame, pct: float = 0.20) -
 
     A symbol without an underlying price drops out.
     """
-    price = F.col("underlying_price")
     return (
-        listings.select("symbol", F.explode("strikes").alias("strike"))
+        listings.selectExpr("symbol", "explode(strikes) AS strike")
         .join(underlying.select("symbol", "underlying_price"), "symbol")
-        .filter(F.col("strike").between(price * (1 - pct), price * (1 + pct)))
-        .select("symbol", "strike", "underlying_price")
+        .filter(f"strike {_band(pct)}")
     )
 
 
@@ -84,17 +80,14 @@ def contract_universe(
     Works inside each listing row, so the three explodes need no shuffle beyond the
     price join.
     """
-    today, price = F.lit(as_of), F.col("underlying_price")
-    first, last = F.date_add(today, target_dte - dte_range), F.date_add(today, target_dte + dte_range)
-    expirations = F.filter(
-        F.transform("expirations", expiry_date), lambda d: d.between(first, last)
-    )
-    strikes = F.filter("strikes", lambda k: k.between(price * (1 - pct), price * (1 + pct)))
+    dates = f"transform(expirations, e -> {expiry_date('e')})"
+    near = f"filter({dates}, d -> d {_window(as_of, target_dte, dte_range)})"
+    around = f"filter(strikes, k -> k {_band(pct)})"
     return (
         listings.join(underlying.select("symbol", "underlying_price"), "symbol")
-        .select("symbol", F.explode(expirations).alias("expiration"), strikes.alias("strikes"))
-        .select("symbol", "expiration", F.explode("strikes").alias("strike"))
-        .select("*", F.explode(F.array(F.lit("C"), F.lit("P"))).alias("right"))
+        .selectExpr("symbol", f"explode({near}) AS expiration", f"{around} AS strikes")
+        .selectExpr("symbol", "expiration", "explode(strikes) AS strike")
+        .selectExpr("*", "explode(array('C', 'P')) AS right")
         .select(*CONTRACT_KEY)
     )
 
@@ -108,7 +101,7 @@ def underlying_price(polls: DataFrame) -> DataFrame:
     """First usable price of every symbol over its polls; unpriced symbols drop out."""
     price = best_price("bid", "ask", "last", "close", "marketPrice")
     return (
-        polls.select("symbol", "poll", price.alias("price"))
+        polls.selectExpr("symbol", "poll", f"{price} AS price")
         .filter("price IS NOT NULL")
         .groupBy("symbol")
         .agg(F.min_by("price", "poll").alias("underlying_price"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
@@ -20,23 +20,37 @@ from strikeforge.schema import RESULT_COLUMNS
 
 VERTICAL_KEYS = ["symbol", "expiration", "right"]
 
-
-def _may_be_sold() -> Column:
-    """At or out of the money, the strike at the underlying included."""
-    strike, underlying = F.col("strike"), F.col("underlying_price")
-    return F.when(F.col("right") == "P", strike <= underlying).otherwise(strike >= underlying)
-
-
-def _strategy_label() -> Column:
-    """Named by right and strike order alone, whatever the sign of the premium."""
-    short, long = F.col("short_strike"), F.col("long_strike")
-    put_kind = F.when(short > long, "Credit").when(short < long, "Debit")
-    call_kind = F.when(short < long, "Credit").when(short > long, "Debit")
-    label = (
-        F.when(F.col("right") == "P", F.concat(F.lit("Put "), put_kind, F.lit(" Spread")))
-        .when(F.col("right") == "C", F.concat(F.lit("Call "), call_kind, F.lit(" Spread")))
-    )
-    return F.coalesce(label, F.lit("Unknown"))
+# At or out of the money, a strike at the underlying included.
+SELLABLE = """CASE WHEN right = 'P' THEN strike <= underlying_price
+    ELSE strike >= underlying_price END"""
+
+# Named by right and strike order alone, whatever the sign of the premium.
+LABEL = """coalesce(
+    concat(
+        CASE right WHEN 'P' THEN 'Put ' WHEN 'C' THEN 'Call ' END,
+        CASE WHEN (right = 'P') = (short_strike > long_strike) THEN 'Credit' ELSE 'Debit' END,
+        ' Spread'),
+    'Unknown')"""
+
+# A credit is earned around the strike sold, a debit around the strike bought.
+BREAKEVEN = """CASE WHEN premium >= 0 THEN short_strike ELSE long_strike END
+    + CASE WHEN right = 'P' THEN -paid ELSE paid END"""
+
+COLUMNS = {
+    "strategy": LABEL,
+    "underlying_price": "short_underlying_price",
+    "spread_ratio": "paid / width * 100",
+    "pct_to_short_strike": distance_pct("short_strike", "short_underlying_price"),
+    "pct_to_long_strike": distance_pct("long_strike", "short_underlying_price"),
+    "credit": per_contract("premium"),
+    "max_profit": per_contract("profit"),
+    "max_loss": per_contract("loss"),
+    "credit_yield": yield_pct("profit", "loss"),
+    "ROC": percent("paid", "short_strike"),
+    "pct_to_breakeven": distance_pct("breakeven", "short_underlying_price"),
+    "dte": "short_dte",
+    **net_greeks("short", "-", "long"),
+}
 
 
 def vertical_spreads(
@@ -55,37 +69,39 @@ def vertical_spreads(
     ``unique_contracts=False`` ranks the rows of a strike pair instead. ``ranked`` adds the
     final order by spread ratio.
     """
-    quoted = priced(chain).withColumn("sellable", _may_be_sold())
+    quoted = priced(chain).selectExpr("*", f"{SELLABLE} AS sellable")
     short = as_leg(
         quoted.filter("sellable"), "short", VERTICAL_KEYS, [*LEG_COLUMNS, "underlying_price", "dte"]
     )
     long = as_leg(quoted, "long", VERTICAL_KEYS, [*LEG_COLUMNS, "sellable"])
-    pairs = pair_legs(
-        short, long, VERTICAL_KEYS, hot, left_by=["short_strike"], right_by=["long_strike"]
-    ).filter("short_strike <> long_strike")
-
-    premium = F.col("short_mid") - F.col("long_mid")
-    width = F.abs(F.col("short_strike") - F.col("long_strike"))
-    pairs = pairs.withColumns(
-        {
-            "premium": premium,
-            "paid": F.abs(premium),
-            "width": width,
-            "profit": F.when(premium >= 0, premium).otherwise(width + premium),
-            "loss": F.when(premium >= 0, width - premium).otherwise(F.abs(premium)),
-        }
-    ).filter("profit > 0 AND loss > 0")
+    pairs = (
+        pair_legs(
+            short, long, VERTICAL_KEYS, hot, left_by=["short_strike"], right_by=["long_strike"]
+        )
+        .filter("short_strike <> long_strike")
+        .selectExpr(
+            "*",
+            "short_mid - long_mid AS premium",
+            "abs(premium) AS paid",
+            "abs(short_strike - long_strike) AS width",
+            "CASE WHEN premium >= 0 THEN premium ELSE width + premium END AS profit",
+            "CASE WHEN premium >= 0 THEN width - premium ELSE paid END AS loss",
+            f"{BREAKEVEN} AS breakeven",
+        )
+        .filter("profit > 0 AND loss > 0")
+    )
     if unique_contracts:
         pairs = pairs.filter("premium > 0 OR NOT long_sellable")
     else:
-        same_pair = Window.partitionBy(
-            *VERTICAL_KEYS,
-            F.least("short_strike", "long_strike"),
-            F.greatest("short_strike", "long_strike"),
-        ).orderBy(F.desc("premium"), "short_strike", "short_mid")
-        pairs = pairs.withColumn("place", F.row_number().over(same_pair)).filter("place = 1")
-
-    result = pairs.select(*named(_vertical_columns(), RESULT_COLUMNS["spreads"]))
+        pairs = pairs.selectExpr(
+            "*",
+            f"""row_number() OVER (
+                PARTITION BY {", ".join(VERTICAL_KEYS)}, least(short_strike, long_strike),
+                    greatest(short_strike, long_strike)
+                ORDER BY premium DESC, short_strike, short_mid) AS place""",
+        ).filter("place = 1")
+
+    result = pairs.selectExpr(*named(COLUMNS, RESULT_COLUMNS["spreads"]))
     if ranked:
         result = result.orderBy(
             F.desc("spread_ratio"), *VERTICAL_KEYS, "short_strike", "long_strike"
@@ -93,86 +109,54 @@ def vertical_spreads(
     return result
 
 
-def _vertical_columns() -> dict[str, Column]:
-    short, long, premium = F.col("short_strike"), F.col("long_strike"), F.col("premium")
-    underlying = F.col("short_underlying_price")
-    # A credit is earned around the strike sold, a debit around the strike bought.
-    anchor = F.when(premium >= 0, short).otherwise(long)
-    below = F.col("right") == "P"
-    toward = F.when(premium >= 0, premium).otherwise(-premium)
-    breakeven = F.when(below, anchor - toward).otherwise(anchor + toward)
-    columns = {
-        "strategy": _strategy_label(),
-        "underlying_price": underlying,
-        "spread_ratio": F.col("paid") / F.col("width") * 100,
-        "pct_to_short_strike": distance_pct(short, underlying),
-        "pct_to_long_strike": distance_pct(long, underlying),
-        "credit": per_contract(premium),
-        "max_profit": per_contract(F.col("profit")),
-        "max_loss": per_contract(F.col("loss")),
-        "credit_yield": yield_pct(F.col("profit"), F.col("loss")),
-        "ROC": percent(F.col("paid"), short),
-        "breakeven": breakeven,
-        "pct_to_breakeven": distance_pct(breakeven, underlying),
-        "dte": F.col("short_dte"),
-    }
-    return columns | dict(zip([f"net_{g}" for g in GREEKS], net_greeks("short", "long", -1)))
+# The order of candidates for one side: highest spread ratio, then narrower, then lower short
+# strike, then lower long strike. Behind it, what a condor needs of the winner.
+SIDE = [
+    "spread_ratio", "-width AS narrow", "-short_strike AS low_short", "-long_strike AS low_long",
+]
+SIDE_FIELDS = [
+    "width", "short_strike", "long_strike", "credit", "underlying_price", "dte",
+    *(f"net_{g}" for g in GREEKS),
+]
+
+CONDOR_COLUMNS = {
+    "max_profit": "total_credit",
+    "spread_ratio": "total_credit / at_stake * 100",
+    "credit_yield": yield_pct("total_credit", "max_loss"),
+    "ROC": percent(f"total_credit / {SHARES}", "((put_short_strike + call_short_strike) / 2)"),
+    "underlying_price": "put_underlying_price",
+    "pct_to_lower_breakeven": distance_pct("lower_breakeven", "put_underlying_price"),
+    "pct_to_upper_breakeven": distance_pct("upper_breakeven", "put_underlying_price"),
+    "dte": "put_dte",
+    **{f"net_{g}": f"put_net_{g} + call_net_{g}" for g in GREEKS},
+}
 
 
 def iron_condors(spreads: DataFrame) -> DataFrame:
     """The best put credit spread with the best call credit spread of each expiration.
 
     Both sides come out of one grouped maximum that is combined before the shuffle, so
-    there is no join of two halves. Best: highest spread ratio, then narrower, then lower
-    short strike, then lower long strike.
+    there is no join of two halves. Each breakeven counts only its own side's credit.
     """
-    fields = [
-        "credit", "underlying_price", "dte", *(f"net_{g}" for g in GREEKS),
-    ]
-    entry = F.struct(
-        "spread_ratio",
-        (-F.col("width")).alias("narrow"),
-        (-F.col("short_strike")).alias("low_short"),
-        (-F.col("long_strike")).alias("low_long"),
-        "width", "short_strike", "long_strike", *fields,
-    )
+    entry = F.expr(f"struct({', '.join([*SIDE, *SIDE_FIELDS])})")
     sides = (
-        spreads.filter(F.col("strategy").contains("Credit"))
+        spreads.filter("contains(strategy, 'Credit')")
+        .select("symbol", "expiration", "right", entry.alias("entry"))
         .groupBy("symbol", "expiration")
         .agg(
-            F.max(F.when(F.col("right") == "P", entry)).alias("put"),
-            F.max(F.when(F.col("right") == "C", entry)).alias("call"),
+            F.expr("max(entry) FILTER (WHERE right = 'P') AS put"),
+            F.expr("max(entry) FILTER (WHERE right = 'C') AS call"),
         )
         .filter("put IS NOT NULL AND call IS NOT NULL")
-        .select(
+        .selectExpr(
             "symbol",
             "expiration",
-            *(
-                F.col(f"{side}.{c}").alias(f"{side}_{c}")
-                for side in ("put", "call")
-                for c in ("width", "short_strike", "long_strike", *fields)
-            ),
-        )
-        .withColumn("total_credit", F.col("put_credit") + F.col("call_credit"))
-        .withColumn("at_stake", F.greatest("put_width", "call_width") * SHARES)
-        .withColumn("underlying_price", F.col("put_underlying_price"))
-        .withColumn("max_loss", F.col("at_stake") - F.col("total_credit"))
-        .withColumn(
-            "lower_breakeven", F.col("put_short_strike") - F.col("put_credit") / SHARES
-        )
-        .withColumn(
-            "upper_breakeven", F.col("call_short_strike") + F.col("call_credit") / SHARES
+            *(f"{side}.{c} AS {side}_{c}" for side in ("put", "call") for c in SIDE_FIELDS),
+            "put_credit + call_credit AS total_credit",
+            f"greatest(put_width, call_width) * {SHARES} AS at_stake",
+            "at_stake - total_credit AS max_loss",
+            f"put_short_strike - put_credit / {SHARES} AS lower_breakeven",
+            f"call_short_strike + call_credit / {SHARES} AS upper_breakeven",
         )
     )
-    total = F.col("total_credit")
-    middle = (F.col("put_short_strike") + F.col("call_short_strike")) / 2
-    columns = {
-        "max_profit": total,
-        "spread_ratio": total / F.col("at_stake") * 100,
-        "credit_yield": yield_pct(total, F.col("max_loss")),
-        "ROC": percent(total / SHARES, middle),
-        "pct_to_lower_breakeven": distance_pct("lower_breakeven"),
-        "pct_to_upper_breakeven": distance_pct("upper_breakeven"),
-        "dte": F.col("put_dte"),
-    } | {f"net_{g}": F.col(f"put_net_{g}") + F.col(f"call_net_{g}") for g in GREEKS}
-    return sides.select(*named(columns, RESULT_COLUMNS["iron_condors"]))
+    return sides.selectExpr(*named(CONDOR_COLUMNS, RESULT_COLUMNS["iron_condors"]))

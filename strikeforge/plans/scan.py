@@ -2,56 +2,84 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from strikeforge.operators.at_the_money import expected_move, iron_butterflies
+from strikeforge.operators.at_the_money import (
+    EXPIRATION_KEYS,
+    expected_move,
+    iron_butterflies,
+)
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
-from strikeforge.operators.max_pain import hot_expirations, max_pain
+from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
 from strikeforge.operators.pairing import hot_groups, priced
-from strikeforge.operators.strangles import STRANGLE_KEYS, strangles
+from strikeforge.operators.strangles import strangles
 from strikeforge.operators.verticals import VERTICAL_KEYS, iron_condors, vertical_spreads
+from strikeforge.schema import DATASETS
 from strikeforge.sources.tables import Stage, write_table
 
 FILE_ORDER = ["symbol", "expiration"]
+WRITERS = 3
 
 
 class Strategies:
     """The seven computations over one stored chain.
 
-    Looks for groups too large for one task once per grouping, with a small counting job,
-    and hands them to the operators that pair or accumulate inside groups.
+    Looks for groups too large for one task with a counting job per grouping, and hands
+    them to the operators that pair or accumulate inside groups. Verticals, strangles,
+    butterflies and max pain group within an expiration: where no expiration is large,
+    one count answers for all of them.
     """
 
     def __init__(self, chain: DataFrame):
         self.chain = chain
-        self._hot: dict[tuple[str, ...], DataFrame | None] = {}
 
-    def hot(self, keys: list[str]) -> DataFrame | None:
-        key = tuple(keys)
-        if key not in self._hot:
-            self._hot[key] = hot_groups(priced(self.chain), keys)
-        return self._hot[key]
+    @cached_property
+    def _large_expirations(self) -> DataFrame | None:
+        return hot_groups(self.chain, EXPIRATION_KEYS)
+
+    @cached_property
+    def _hot_verticals(self) -> DataFrame | None:
+        if self._large_expirations is None:
+            return None
+        return hot_groups(priced(self.chain), VERTICAL_KEYS)
+
+    @cached_property
+    def _hot_pain(self) -> DataFrame | None:
+        return None if self._large_expirations is None else hot_expirations(self.chain)
+
+    @cached_property
+    def _hot_calendars(self) -> DataFrame | None:
+        return hot_groups(priced(self.chain), CALENDAR_KEYS)
 
     def spreads(self, ranked: bool = True) -> DataFrame:
-        return vertical_spreads(self.chain, hot=self.hot(VERTICAL_KEYS), ranked=ranked)
+        return vertical_spreads(self.chain, hot=self._hot_verticals, ranked=ranked)
 
     def iron_condors(self, spreads: DataFrame | None = None) -> DataFrame:
         return iron_condors(self.spreads(ranked=False) if spreads is None else spreads)
 
     def strangles(self, ranked: bool = True) -> DataFrame:
-        return strangles(self.chain, hot=self.hot(STRANGLE_KEYS), ranked=ranked)
+        return strangles(self.chain, hot=self._large_expirations, ranked=ranked)
 
     def iron_butterflies(self, ranked: bool = True) -> DataFrame:
-        return iron_butterflies(self.chain, hot=self.hot(STRANGLE_KEYS), ranked=ranked)
+        return iron_butterflies(self.chain, hot=self._large_expirations, ranked=ranked)
 
     def calendars(self, ranked: bool = True) -> DataFrame:
-        return calendars(self.chain, hot=self.hot(CALENDAR_KEYS), ranked=ranked)
+        return calendars(self.chain, hot=self._hot_calendars, ranked=ranked)
 
     def expected_move(self) -> DataFrame:
         return expected_move(self.chain)
 
     def max_pain(self) -> DataFrame:
-        return max_pain(self.chain, hot=hot_expirations(self.chain))
+        return max_pain(self.chain, hot=self._hot_pain)
+
+    def max_pain_curve(self, include_all_candidates: bool = False) -> DataFrame:
+        return max_pain_curve(
+            self.chain, include_all_candidates=include_all_candidates, hot=self._hot_pain
+        )
 
 
 def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
@@ -59,7 +87,9 @@ def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
 
     The chain is evaluated once, into the shared folder. An empty chain stops the scan
     before anything is written to ``out``. Spreads are stored before the condors read them
-    back. Pair tables are not sorted globally: readers rank what they filter.
+    back. Pair tables are not sorted globally: readers rank what they filter. Datasets that
+    do not depend on each other are written side by side, so a small one does not leave the
+    cluster waiting on its last tasks.
     """
     stage = Stage(spark)
     if not stage.write("chain", chain):
@@ -69,17 +99,23 @@ def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
     def store(name: str, df: DataFrame, order: list[str] | None = None) -> int:
         return write_table(df, f"{out}/{name}", order)
 
-    rows = {
-        "option_chain": store("option_chain", run.chain, FILE_ORDER),
-        "spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"]),
+    writes = {
+        "option_chain": lambda: store("option_chain", run.chain, FILE_ORDER),
+        "strangles": lambda: store("strangles", run.strangles(ranked=False), FILE_ORDER),
+        "iron_butterflies": lambda: store(
+            "iron_butterflies", run.iron_butterflies(ranked=False), FILE_ORDER
+        ),
+        "calendars": lambda: store("calendars", run.calendars(ranked=False), CALENDAR_KEYS),
+        "expected_move": lambda: store("expected_move", run.expected_move()),
+        "max_pain": lambda: store("max_pain", run.max_pain()),
     }
-    stored_spreads = spark.read.parquet(f"{out}/spreads")
-    rows["iron_condors"] = store("iron_condors", run.iron_condors(stored_spreads), FILE_ORDER)
-    rows["strangles"] = store("strangles", run.strangles(ranked=False), FILE_ORDER)
-    rows["iron_butterflies"] = store(
-        "iron_butterflies", run.iron_butterflies(ranked=False), FILE_ORDER
-    )
-    rows["calendars"] = store("calendars", run.calendars(ranked=False), CALENDAR_KEYS)
-    rows["expected_move"] = store("expected_move", run.expected_move())
-    rows["max_pain"] = store("max_pain", run.max_pain())
-    return rows
+    with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+        pending = {
+            name: pool.submit(inheritable_thread_target(spark)(write))
+            for name, write in writes.items()
+        }
+        rows = {"spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"])}
+        stored_spreads = spark.read.parquet(f"{out}/spreads")
+        rows["iron_condors"] = store("iron_condors", run.iron_condors(stored_spreads), FILE_ORDER)
+        rows |= {name: result.result() for name, result in pending.items()}
+    return {name: rows[name] for name in DATASETS}

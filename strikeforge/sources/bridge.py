@@ -10,10 +10,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strikeforge.schema import TICK_SCHEMA
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the derivation.
 AS_OF = date(2026, 4, 1)
@@ -37,108 +34,89 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def symbol_of(key: Column) -> Column:
+def symbol_of(key: str) -> str:
     """``SYM`` and at least four digits; longer keys keep all theirs."""
-    digits = key.cast("string")
-    return F.concat(F.lit("SYM"), F.when(key < 10000, F.lpad(digits, 4, "0")).otherwise(digits))
+    return f"concat('SYM', if({key} < 10000, lpad({key}, 4, '0'), string({key})))"
+
+
+def price_of(key: str) -> str:
+    return f"50D + pmod({key} * 37, 400) * 0.5D"
 
 
-def price_of(key: Column) -> Column:
-    return F.lit(50.0) + F.pmod(key * 37, F.lit(400)) * F.lit(0.5)
+MIDDLE_STRIKE = "floor(u / 2.5D) * 2.5D"
 
 
-def _middle_strike(underlying: Column) -> Column:
-    return F.floor(underlying / STRIKE_STEP) * F.lit(STRIKE_STEP)
+def _expiry_text(number: str) -> str:
+    """The n-th expiration as ``yyyyMMdd``."""
+    day = f"date_add(DATE '{FIRST_EXPIRATION}', {EXPIRATION_STEP} * ({number}))"
+    return f"replace(string({day}), '-', '')"
 
 
-def _cents(amount: Column, factor: int) -> Column:
-    return F.floor(amount * F.lit(float(factor)) + 0.5) / F.lit(100.0)
+def _cents(amount: str, factor: int) -> str:
+    return f"floor({amount} * {factor}D + 0.5D) / 100D"
 
 
 def ticks(lineitem: DataFrame) -> DataFrame:
     """The tick log in the raw feed's form, with NaN, -1 and missing Greeks as a feed has them."""
-    key, n = F.col("l_suppkey"), F.col("l_linenumber")
-    u, strike, dte = F.col("u"), F.col("strike"), F.col("dte")
-    is_call = F.col("right") == "C"
-    nan, unknown = F.lit(float("nan")), F.lit(None).cast("double")
-    distance = F.abs(strike - u)
-    quoted = ~((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09))
-    money = (u - strike) / u
-    delta = F.lit(0.5) + F.lit(0.5) * money
-    tax, quantity = F.col("l_tax"), F.col("l_quantity")
-    own_volume = F.when(n % 2 == 0, quantity).otherwise(nan)
-    return (
-        lineitem.withColumn("u", price_of(key))
-        .withColumn("dte", F.lit(FIRST_DTE) + F.lit(EXPIRATION_STEP) * (n - 1))
-        .withColumn(
-            "strike",
-            _middle_strike(u)
-            + F.lit(STRIKE_STEP) * (F.col("l_partkey") % 13 - STRIKES_EACH_SIDE),
-        )
-        .withColumn("right", F.when(F.col("l_orderkey") % 2 == 0, "C").otherwise("P"))
-        .withColumn("intrinsic", F.greatest(F.when(is_call, u - strike).otherwise(strike - u), F.lit(0.0)))
-        .withColumn("tv", u * dte * 0.0008 / (F.lit(1.0) + F.lit(10.0) * distance / u) * (F.lit(1.0) + tax))
-        .withColumn("value", F.col("intrinsic") + F.col("tv"))
-        .select(
-            symbol_of(key).alias("symbol"),
-            F.date_format(
-                F.date_add(F.lit(FIRST_EXPIRATION), F.lit(EXPIRATION_STEP) * (n - 1)), "yyyyMMdd"
-            ).alias("lastTradeDateOrContractMonth"),
-            "strike",
-            "right",
-            F.col("l_shipdate").alias("ts"),
-            F.struct(*TIE_BREAKERS).alias("sequence"),
-            F.when(quoted, _cents(F.col("value"), 98)).otherwise(-1.0).alias("bid"),
-            F.when(quoted, _cents(F.col("value"), 102)).otherwise(-1.0).alias("ask"),
-            F.when(quantity > 40, nan).otherwise(_cents(F.col("value"), 100)).alias("last"),
-            F.when(tax >= 0.07, unknown).otherwise(_cents(F.col("value"), 99)).alias("close"),
-            F.when(F.col("l_linestatus") == "O", float("inf")).otherwise(nan).alias("marketPrice"),
-            quantity.alias("volume"),
-            F.when(is_call, quantity * 10).otherwise(0.0).alias("callOpenInterest"),
-            F.when(is_call, F.lit(0.0)).otherwise(quantity * 10).alias("putOpenInterest"),
-            F.when(is_call, own_volume).otherwise(1.0).alias("callVolume"),
-            F.when(is_call, F.lit(1.0)).otherwise(own_volume).alias("putVolume"),
-            F.when(
-                tax < 0.08,
-                F.struct(
-                    F.when(is_call, delta).otherwise(delta - 1.0).alias("delta"),
-                    (F.lit(1.0) / (u + F.lit(10.0) * distance)).alias("gamma"),
-                    (-F.col("tv") / dte).alias("theta"),
-                    (F.lit(0.01) * F.col("tv")).alias("vega"),
-                    (F.lit(0.2) + F.col("l_discount")).alias("impliedVol"),
-                ),
-            ).alias("modelGreeks"),
-        )
+    nan = "double('NaN')"
+    quoted = "NOT (l_returnflag = 'R' AND l_discount >= 0.09D)"
+    own_volume = f"if(l_linenumber % 2 = 0, l_quantity, {nan})"
+    return lineitem.selectExpr(
+        "*",
+        f"{price_of('l_suppkey')} AS u",
+        f"int({FIRST_DTE} + {EXPIRATION_STEP} * (l_linenumber - 1)) AS dte",
+        f"{MIDDLE_STRIKE} + {STRIKE_STEP}D * (l_partkey % 13 - {STRIKES_EACH_SIDE}) AS strike",
+        "if(l_orderkey % 2 = 0, 'C', 'P') AS right",
+        "greatest(if(right = 'C', u - strike, strike - u), 0D) AS intrinsic",
+        "u * dte * 0.0008D / (1D + 10D * abs(strike - u) / u) * (1D + l_tax) AS tv",
+        "intrinsic + tv AS value",
+    ).selectExpr(
+        f"{symbol_of('l_suppkey')} AS symbol",
+        f"{_expiry_text('l_linenumber - 1')} AS lastTradeDateOrContractMonth",
+        "strike",
+        "right",
+        "l_shipdate AS ts",
+        f"struct({', '.join(TIE_BREAKERS)}) AS sequence",
+        f"if({quoted}, {_cents('value', 98)}, -1D) AS bid",
+        f"if({quoted}, {_cents('value', 102)}, -1D) AS ask",
+        f"if(l_quantity > 40, {nan}, {_cents('value', 100)}) AS last",
+        f"if(l_tax >= 0.07D, NULL, {_cents('value', 99)}) AS close",
+        f"if(l_linestatus = 'O', double('infinity'), {nan}) AS marketPrice",
+        "l_quantity AS volume",
+        "if(right = 'C', l_quantity * 10, 0D) AS callOpenInterest",
+        "if(right = 'C', 0D, l_quantity * 10) AS putOpenInterest",
+        f"if(right = 'C', {own_volume}, 1D) AS callVolume",
+        f"if(right = 'C', 1D, {own_volume}) AS putVolume",
+        """if(l_tax < 0.08D, struct(
+            0.5D + 0.5D * ((u - strike) / u) - if(right = 'C', 0D, 1D) AS delta,
+            1D / (u + 10D * abs(strike - u)) AS gamma,
+            -tv / dte AS theta,
+            0.01D * tv AS vega,
+            0.2D + l_discount AS impliedVol), NULL) AS modelGreeks""",
     )
 
 
-TICK_COLUMNS = TICK_SCHEMA.fieldNames()
-
-
 def underlying_polls(supplier: DataFrame) -> DataFrame:
     """Three polls per symbol: even keys have no price at first, and prices drift later."""
-    key = F.col("s_suppkey")
-    u, even = price_of(key), key % 2 == 0
-    nan, unknown = F.lit(float("nan")), F.lit(None).cast("double")
-
-    def poll(number: int, bid: Column, ask: Column, last: Column) -> Column:
-        return F.struct(
-            F.lit(number).alias("poll"),
-            bid.alias("bid"),
-            ask.alias("ask"),
-            last.alias("last"),
-            unknown.alias("close"),
-            nan.alias("marketPrice"),
-        )
+    nan = "double('NaN')"
 
-    none = F.lit(-1.0)
-    polls = F.array(
-        poll(1, F.when(even, none).otherwise(u - 0.25), F.when(even, none).otherwise(u + 0.25), nan),
-        poll(2, none, none, F.when(even, u).otherwise(u + 0.25)),
-        poll(3, u, u + 1.0, nan),
-    )
-    return supplier.select(symbol_of(key).alias("symbol"), F.explode(polls).alias("p")).select(
-        "symbol", "p.*"
+    def poll(number: int, bid: str, ask: str, last: str) -> str:
+        return f"""struct({number} AS poll, {bid} AS bid, {ask} AS ask, {last} AS last,
+            double(NULL) AS close, {nan} AS marketPrice)"""
+
+    polls = [
+        poll(1, "if(even, -1D, u - 0.25D)", "if(even, -1D, u + 0.25D)", nan),
+        poll(2, "-1D", "-1D", "if(even, u, u + 0.25D)"),
+        poll(3, "u", "u + 1D", nan),
+    ]
+    return (
+        supplier.selectExpr(
+            f"{symbol_of('s_suppkey')} AS symbol",
+            f"{price_of('s_suppkey')} AS u",
+            "s_suppkey % 2 = 0 AS even",
+        )
+        .selectExpr("symbol", f"explode(array({', '.join(polls)})) AS p")
+        .select("symbol", "p.*")
     )
 
 
@@ -147,32 +125,20 @@ def listings(supplier: DataFrame) -> DataFrame:
 
     Keys ending in 3 are not on the main venue.
     """
-    key = F.col("s_suppkey")
-    middle = _middle_strike(price_of(key))
-
-    def expirations(step: int) -> Column:
-        numbers = F.sequence(F.lit(0), F.lit(EXPIRATIONS - 1), F.lit(step))
-        return F.transform(
-            numbers,
-            lambda i: F.date_format(
-                F.date_add(F.lit(FIRST_EXPIRATION), F.lit(EXPIRATION_STEP) * i), "yyyyMMdd"
-            ),
-        )
 
-    def strikes(step: int) -> Column:
-        numbers = F.sequence(F.lit(-STRIKES_EACH_SIDE), F.lit(STRIKES_EACH_SIDE), F.lit(step))
-        return F.transform(numbers, lambda i: middle + F.lit(STRIKE_STEP) * i)
+    def venue(name: str, step: int) -> str:
+        expirations = f"sequence(0, {EXPIRATIONS - 1}, {step})"
+        strikes = f"sequence(-{STRIKES_EACH_SIDE}, {STRIKES_EACH_SIDE}, {step})"
+        return f"""struct('{name}' AS exchange,
+            transform({expirations}, i -> {_expiry_text('i')}) AS expirations,
+            transform({strikes}, i -> {MIDDLE_STRIKE} + {STRIKE_STEP}D * i) AS strikes)"""
 
-    def venue(name: str, step: int) -> Column:
-        return F.struct(
-            F.lit(name).alias("exchange"),
-            expirations(step).alias("expirations"),
-            strikes(step).alias("strikes"),
+    first = f"if(s_suppkey % 10 = 3, {venue(THIRD_VENUE, 2)}, {venue(MAIN_VENUE, 1)})"
+    return (
+        supplier.selectExpr("*", f"{price_of('s_suppkey')} AS u")
+        .selectExpr(
+            f"{symbol_of('s_suppkey')} AS symbol",
+            f"explode(array({first}, {venue(SECOND_VENUE, 2)})) AS v",
         )
-
-    off_main = key % 10 == 3
-    first = F.when(off_main, venue(THIRD_VENUE, 2)).otherwise(venue(MAIN_VENUE, 1))
-    return supplier.select(
-        symbol_of(key).alias("symbol"),
-        F.explode(F.array(first, venue(SECOND_VENUE, 2))).alias("v"),
-    ).select("symbol", "v.*")
+        .select("symbol", "v.*")
+    )

@@ -50,7 +50,7 @@ class LiveQuotes:
             ticks = earlier.unionByName(batch)
         merged = latest_quotes(ticks, self.newest_by)
         if self.as_of is not None:
-            merged = merged.filter(expiry_date(EXPIRY_FIELD) >= F.lit(self.as_of()))
+            merged = merged.filter(f"{expiry_date(EXPIRY_FIELD)} >= DATE '{self.as_of()}'")
         merged.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").parquet(
             self._slot(batch_id)
         )
