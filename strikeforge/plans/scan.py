@@ -38,18 +38,18 @@ class Strategies:
         self.chain = chain
 
     @cached_property
-    def _large_expirations(self) -> DataFrame | None:
+    def large_expirations(self) -> DataFrame | None:
         return hot_groups(self.chain, EXPIRATION_KEYS)
 
     @cached_property
     def _hot_verticals(self) -> DataFrame | None:
-        if self._large_expirations is None:
+        if self.large_expirations is None:
             return None
         return hot_groups(priced(self.chain), VERTICAL_KEYS)
 
     @cached_property
     def _hot_pain(self) -> DataFrame | None:
-        return None if self._large_expirations is None else hot_expirations(self.chain)
+        return None if self.large_expirations is None else hot_expirations(self.chain)
 
     @cached_property
     def _hot_calendars(self) -> DataFrame | None:
@@ -62,10 +62,10 @@ class Strategies:
         return iron_condors(self.spreads(ranked=False) if spreads is None else spreads)
 
     def strangles(self, ranked: bool = True) -> DataFrame:
-        return strangles(self.chain, hot=self._large_expirations, ranked=ranked)
+        return strangles(self.chain, hot=self.large_expirations, ranked=ranked)
 
     def iron_butterflies(self, ranked: bool = True) -> DataFrame:
-        return iron_butterflies(self.chain, hot=self._large_expirations, ranked=ranked)
+        return iron_butterflies(self.chain, hot=self.large_expirations, ranked=ranked)
 
     def calendars(self, ranked: bool = True) -> DataFrame:
         return calendars(self.chain, hot=self._hot_calendars, ranked=ranked)
@@ -109,6 +109,7 @@ def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
         "expected_move": lambda: store("expected_move", run.expected_move()),
         "max_pain": lambda: store("max_pain", run.max_pain()),
     }
+    run.large_expirations  # counted once, before the writers share it
     with ThreadPoolExecutor(max_workers=WRITERS) as pool:
         pending = {
             name: pool.submit(inheritable_thread_target(spark)(write))
