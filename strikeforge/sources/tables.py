@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame | Non
         return None
     try:
         return spark.read.parquet(path)
-    except PySparkException as problem:
-        log.warning("%s cannot be read from %s: %s", name, folder, problem.getCondition())
+    except (PySparkException, Py4JError) as problem:
+        log.warning("%s cannot be read from %s: %s", name, folder, str(problem).split("\n")[0])
         return None
 
 

@@ -1,0 +1,197 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pytest
+from chains import contract, rows_of
+from pyspark.sql import functions as F
+
+from strikeforge.functions.numbers import clean_double
+from strikeforge.functions.pricing import best_price
+from strikeforge.operators import ingest, universe
+from strikeforge.operators.snapshot import latest_per_key
+from strikeforge.schema import CHAIN_SCHEMA, LISTING_SCHEMA, TICK_SCHEMA
+from strikeforge.sources.tables import chain_from_rows
+
+NAN, INF = float("nan"), float("inf")
+AS_OF = date(2026, 4, 1)
+
+
+def test_clean_double_maps_only_nan_and_unparsable_to_null(spark):
+    df = spark.createDataFrame([("1.5",), ("NaN",), ("abc",), (None,), ("-1",), ("inf",)], "v string")
+    rows = df.selectExpr(f"{clean_double('v')} AS a", f"{clean_double('v', True)} AS b").collect()
+    assert [r.a for r in rows] == [1.5, None, None, None, -1.0, INF]
+    assert [r.b for r in rows] == [1.5, None, None, None, None, INF]
+
+
+@pytest.mark.parametrize("quote, expected", [
+    ((1.0, 2.0, 9.0, 9.0, 9.0), 1.5),
+    ((-1.0, 2.0, 3.0, 4.0, 5.0), 3.0),
+    ((0.0, 2.0, 3.0, 4.0, 5.0), 3.0),
+    ((NAN, 2.0, 3.0, 4.0, 5.0), 3.0),
+    ((None, None, -1.0, 4.0, 5.0), 4.0),
+    ((None, None, NAN, NAN, 5.0), 5.0),
+    ((None, None, None, 0.0, 5.0), 5.0),
+    ((None, None, None, None, INF), None),
+    ((None, None, None, None, NAN), None),
+    ((None, None, None, None, -1.0), None),
+    ((None, None, None, None, None), None),
+    ((None, None, INF, None, None), INF),
+])
+def test_best_price_cascade(spark, quote, expected):
+    df = spark.createDataFrame([quote], "bid double, ask double, last double, close double, m double")
+    assert df.selectExpr(best_price("bid", "ask", "last", "close", "m")).first()[0] == expected
+
+
+def tick(strike=100.0, right="C", ts=1, *, bid=1.0, ask=1.2, last=None, close=None, market=NAN,
+         volume=None, oi=(5.0, 7.0), own=(2.0, 3.0), greeks=(0.5, 0.1, -0.2, 0.3, 0.25),
+         symbol="AAA", expiry="20260515"):
+    return (symbol, expiry, strike, right, datetime(2026, 4, 1, 10, ts), bid, ask, last, close,
+            market, volume, oi[0], oi[1], own[0], own[1], greeks)
+
+
+def ticks(spark, *rows):
+    return spark.createDataFrame(list(rows), TICK_SCHEMA)
+
+
+def underlying(spark, **prices):
+    return spark.createDataFrame(list(prices.items()), "symbol string, underlying_price double")
+
+
+def test_chain_has_the_schema_and_one_row_per_contract(spark):
+    feed = ticks(
+        spark,
+        tick(ts=1, bid=1.0, ask=1.2),
+        tick(ts=9, bid=2.0, ask=2.2, last=NAN, close=2.0),
+        tick(ts=5, bid=3.0, ask=3.2),
+        tick(right="P", bid=-1.0, ask=-1.0, last=0.7, greeks=None, own=(None, NAN), volume=11.0),
+        tick(strike=105.0, bid=-1.0, ask=-1.0),
+        tick(symbol="GONE"),
+    )
+    chain = ingest.build_chain(feed, underlying(spark, AAA=101.0), AS_OF)
+    assert [(f.name, f.dataType) for f in chain.schema] == [
+        (f.name, f.dataType) for f in CHAIN_SCHEMA]
+    call, put = sorted(rows_of(chain), key=lambda r: r["right"])
+    assert call == {
+        "symbol": "AAA", "expiration": date(2026, 5, 15), "strike": 100.0, "right": "C",
+        "bid": 2.0, "ask": 2.2, "last": None, "close": 2.0, "mid": pytest.approx(2.1),
+        "delta": 0.5, "gamma": 0.1, "theta": -0.2, "vega": 0.3, "implied_vol": 0.25,
+        "open_interest": 5.0, "volume": 2.0, "underlying_price": 101.0, "dte": 44,
+    }
+    assert (put["mid"], put["bid"], put["delta"], put["open_interest"], put["volume"]) == (
+        0.7, -1.0, None, 7.0, 11.0)
+
+
+def test_open_interest_has_no_fallback(spark):
+    feed = ticks(spark, tick(oi=(NAN, 7.0), own=(NAN, 3.0), volume=NAN))
+    (row,) = rows_of(ingest.build_chain(feed, underlying(spark, AAA=1.0), AS_OF))
+    assert (row["open_interest"], row["volume"]) == (None, None)
+
+
+def test_unpriced_contracts_and_sentinels_on_request(spark):
+    feed = ticks(spark, tick(bid=-1.0, ask=-1.0))
+    spot = underlying(spark, AAA=100.0)
+    assert ingest.build_chain(feed, spot, AS_OF).isEmpty()
+    (row,) = rows_of(ingest.build_chain(feed, spot, AS_OF, keep_unpriced=True))
+    assert (row["mid"], row["bid"]) == (None, -1.0)
+    (row,) = rows_of(
+        ingest.build_chain(feed, spot, AS_OF, keep_unpriced=True, sentinel_to_null=True))
+    assert row["bid"] is None
+
+
+def test_universe_restricts_the_chain(spark):
+    feed = ticks(spark, tick(100.0), tick(105.0), tick(110.0))
+    wanted = spark.createDataFrame(
+        [("AAA", date(2026, 5, 15), 105.0, "C")],
+        "symbol string, expiration date, strike double, right string")
+    (row,) = rows_of(ingest.build_chain(feed, underlying(spark, AAA=1.0), AS_OF, universe=wanted))
+    assert row["strike"] == 105.0
+
+
+def test_latest_breaks_ties_by_content_not_by_row_order(spark):
+    rows = [("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("m", 0, "z")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "key string, ts int, v string").repartition(3)
+        found = latest_per_key(df, ["key"], ["ts"])
+        assert sorted(map(tuple, found.collect())) == [("k", 2, "c"), ("m", 0, "z")]
+
+
+def test_hot_contract_is_reduced_before_the_shuffle(spark):
+    feed = spark.range(40_000).selectExpr("if(id % 3 = 0, 'hot', string(id)) AS key", "id AS ts")
+    found = latest_per_key(feed, ["key"], ["ts"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
+    assert found.filter("key = 'hot'").first().ts == 39_999
+
+
+def test_duplicate_contracts_are_found(spark):
+    chain = chain_from_rows(spark, [contract(95, "P", 1.0), contract(95, "P", 1.1)])
+    assert ingest.duplicate_contracts(chain).first().copies == 2
+    with pytest.raises(ValueError, match="repeats contracts"):
+        ingest.require_unique_contracts(chain)
+    single = chain.limit(1)
+    assert ingest.require_unique_contracts(single) is single
+
+
+def test_sources_become_one_table(spark):
+    a = chain_from_rows(spark, [contract(95, "P", 1.0, symbol="A")])
+    b = chain_from_rows(spark, [contract(95, "P", 1.0, symbol="B")]).select(
+        *reversed(CHAIN_SCHEMA.fieldNames()))
+    both = ingest.union_sources(a, b)
+    assert both.columns == CHAIN_SCHEMA.fieldNames()
+    assert sorted(r.symbol for r in both.collect()) == ["A", "B"]
+
+
+# ---- universe
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("aapl, msft ,,TSLA ", ["AAPL", "MSFT", "TSLA"]), ("  ", ["SPY"]), (" , ", []),
+])
+def test_parse_symbols(text, expected):
+    assert universe.parse_symbols(text, ["spy"]) == expected
+
+
+def test_symbol_universe(spark):
+    df = spark.createDataFrame([("aapl, msft ,,",), (" AAPL",), (None,)], "s string")
+    assert sorted(r.symbol for r in universe.symbol_universe(df, "s").collect()) == ["AAPL", "MSFT"]
+
+
+def listing_table(spark):
+    return spark.createDataFrame([
+        ("A", "ZED", ["20260101"], [1.0]),
+        ("A", "MAIN", ["20260508", "20260515", "20260523", "20260524"], [79.9, 80.0, 100.0, 120.0, 120.1]),
+        ("B", "ZED", ["20260515"], [10.0]),
+        ("B", "ALT", ["20260515"], [20.0]),
+    ], LISTING_SCHEMA)
+
+
+def test_preferred_listing_or_first_by_name(spark):
+    chosen = {r.symbol: r.exchange for r in
+              universe.preferred_listing(listing_table(spark), "MAIN").collect()}
+    assert chosen == {"A": "MAIN", "B": "ALT"}
+
+
+def test_windows_include_their_ends(spark):
+    listing = universe.preferred_listing(listing_table(spark), "MAIN").filter("symbol = 'A'")
+    # 45 days after 2026-04-01 is 2026-05-16; plus and minus 7 gives 05-09 to 05-23.
+    days = [r.expiration for r in universe.dte_window(listing, AS_OF).collect()]
+    assert sorted(days) == [date(2026, 5, 15), date(2026, 5, 23)]
+    band = universe.strike_band(listing, underlying(spark, A=100.0)).collect()
+    assert sorted(r.strike for r in band) == [80.0, 100.0, 120.0]
+    contracts = universe.contract_universe(listing, underlying(spark, A=100.0), AS_OF)
+    assert contracts.count() == contracts.distinct().count() == 2 * 3 * 2
+    assert universe.contract_universe(listing, underlying(spark, X=1.0), AS_OF).isEmpty()
+    listed = contracts.filter("strike = 80 AND right = 'P'")
+    assert universe.listed_only(contracts, listed).count() == 2
+
+
+def test_underlying_price_is_the_first_usable_poll(spark):
+    polls = spark.createDataFrame([
+        ("A", 1, -1.0, -1.0, NAN, None, None), ("A", 2, None, None, 50.0, None, None),
+        ("A", 3, 60.0, 62.0, None, None, None), ("B", 1, None, None, None, None, INF),
+        ("C", 2, 1.0, 3.0, None, None, None), ("C", 1, None, None, None, 7.0, None),
+    ], "symbol string, poll int, bid double, ask double, last double, close double, "
+       "marketPrice double")
+    found = {r.symbol: r.underlying_price for r in universe.underlying_price(polls).collect()}
+    assert found == {"A": 50.0, "C": 7.0}
