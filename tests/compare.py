@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import redirect_stdout
+from io import StringIO
 from pathlib import Path
 
 import duckdb
@@ -38,3 +40,11 @@ def sql_rows(connection: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str]
     cursor = connection.execute(sql)
     columns = [d[0] for d in cursor.description]
     return sorted(columns), _sorted(columns, cursor.fetchall())
+
+
+def formatted_plan(df: DataFrame) -> str:
+    """The plan with its full, unabbreviated scan details."""
+    text = StringIO()
+    with redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import connect, spark_rows, sql_rows
+from compare import connect, formatted_plan, spark_rows, sql_rows
 
 import __spark_entry__ as entry
 
@@ -70,7 +70,8 @@ def test_at_the_money_quotes_come_from_one_hash_aggregate(spark, no_broadcast):
 
 
 def test_strategies_read_only_their_columns(spark):
-    plan = plan_of(spark, "spreads", ranked=False)
+    spreads = entry.Tables(spark, SF_DIR).strategies().spreads(ranked=False)
+    plan = formatted_plan(spreads)
     assert plan.count("ReadSchema") == 2
     for unread in ("bid", "ask", "last", "close", "volume", "open_interest", "implied_vol"):
         assert f"{unread}:double" not in plan

@@ -5,6 +5,7 @@ import math
 import pandas as pd
 import pytest
 from chains import OTM_ITM, contract, random_chain, rows_of
+from compare import formatted_plan
 
 from strikeforge.operators import quality, screens
 from strikeforge.operators.verticals import vertical_spreads
@@ -84,8 +85,8 @@ def test_boards_rank_each_strategy(spark):
 def test_screen_filters_reach_the_scan(spark, spreads, tmp_path):
     spreads.write.parquet(str(tmp_path / "s"))
     stored = spark.read.parquet(str(tmp_path / "s"))
-    plan = screens.credit_spreads(stored, {"symbol": ["TEST"]})._jdf.queryExecution().toString()
-    pushed = plan.split("PushedFilters: ")[1].split("]")[0]
+    screen = screens.credit_spreads(stored, {"symbol": ["TEST"]})
+    pushed = formatted_plan(screen).split("PushedFilters: ")[1].split("]")[0]
     assert "EqualTo(symbol,TEST)" in pushed and "GreaterThanOrEqual(spread_ratio,25.0)" in pushed
     assert "StringContains(strategy,Credit)" in pushed
 
