@@ -145,14 +145,32 @@ def chain_describe(t: Tables) -> DataFrame:
     return profile.withColumns({c: F.round(c, 6) for c in rounded})
 
 
-def live_chain(t: Tables) -> DataFrame:
-    """The tick log replayed as a file stream until it is drained."""
+def replay(t: Tables, on_snapshot: Callable[[DataFrame, int], None] | None = None) -> LiveQuotes:
+    """The tick log read as a file stream until it is drained."""
     schema = t.table("lineitem").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
-    live = LiveQuotes(t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY)
+    live = LiveQuotes(
+        t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY, on_snapshot=on_snapshot
+    )
     writer = live.writer(bridge.ticks(stream.parquet(t.sf_dir)))
     writer.trigger(availableNow=True).start().awaitTermination()
-    return ingest.to_quotes(live.current(), bridge.AS_OF)
+    return live
+
+
+def live_chain(t: Tables) -> DataFrame:
+    return ingest.to_quotes(replay(t).current(), bridge.AS_OF)
+
+
+def live_scan(t: Tables) -> DataFrame:
+    """A whole scan per trigger; the condors stored by the last one."""
+    out = f"{Stage(t.spark).path}/live-datasets"
+
+    def scan(latest: DataFrame, _: int) -> None:
+        quotes = ingest.to_quotes(latest, bridge.AS_OF)
+        run_scan(latest.sparkSession, ingest.add_underlying(quotes, t.underlying()), out)
+
+    replay(t, scan)
+    return load_dataset(t.spark, out, "iron_condors")
 
 
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -200,6 +218,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "null_profile": lambda t: quality.null_profile(t.datasets()),
     "dataset_sizes": lambda t: quality.dataset_sizes(t.datasets()),
     "live_chain": live_chain,
+    "live_scan": live_scan,
 }
 
 

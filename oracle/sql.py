@@ -56,8 +56,9 @@ chain AS (
     CASE WHEN l_tax < 0.08e0 THEN 0.2e0 + l_discount END AS implied_vol,
     l_quantity * 10e0 AS open_interest, l_quantity AS volume,
     u AS underlying_price, dte
-  FROM quote),
-valid AS (SELECT * FROM chain WHERE mid IS NOT NULL)"""
+  FROM quote)"""
+
+VALID = "valid AS (SELECT * FROM chain WHERE mid IS NOT NULL)"
 
 SPREADS = """
 pairs AS (
@@ -90,11 +91,11 @@ all_spreads AS (
     vega - lv AS net_vega
   FROM pnl),
 spreads AS (
-  SELECT * EXCLUDE place FROM (
+  SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol, expiration, "right",
       least(short_strike, long_strike), greatest(short_strike, long_strike)
-      ORDER BY credit DESC, short_strike) AS place
-    FROM all_spreads WHERE max_profit > 0 AND max_loss > 0) WHERE place = 1)"""
+      ORDER BY credit DESC, short_strike) AS mirror
+    FROM all_spreads WHERE max_profit > 0 AND max_loss > 0) WHERE mirror = 1)"""
 
 CONDORS = """
 best_side AS (
@@ -272,9 +273,10 @@ universe AS (
   WHERE e.expiration BETWEEN DATE '2026-04-01' + 15 AND DATE '2026-04-01' + 75
     AND k.strike BETWEEN k.u * (1 - 0.2e0) AND k.u * (1 + 0.2e0))"""
 
-CTES = "WITH " + ",".join(
-    [CHAIN, SPREADS, CONDORS, BUTTERFLIES, STRANGLES, CALENDARS, EXPECTED_MOVE, MAX_PAIN, VENUES]
+STRATEGIES = ",".join(
+    [VALID, SPREADS, CONDORS, BUTTERFLIES, STRANGLES, CALENDARS, EXPECTED_MOVE, MAX_PAIN]
 )
+CTES = f"WITH {CHAIN},{STRATEGIES},{VENUES}"
 
 
 def quoted(columns: list[str]) -> str:
@@ -403,6 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "vertical_spreads": dataset("spreads"),
         "dataset_roundtrip": dataset("spreads"),
         "iron_condors": dataset("iron_condors"),
+        "live_scan": dataset("iron_condors"),
         "iron_butterflies": dataset("iron_butterflies"),
         "strangles": dataset("strangles"),
         "calendars": dataset("calendars"),

@@ -75,17 +75,23 @@ def build_chain(
     """The option chain of all symbols at once.
 
     ``universe`` restricts it to the contracts of a scan; ``keep_unpriced`` keeps contracts
-    without any usable price, which a scan drops. The underlying table has one row per
-    symbol; the engine broadcasts it when its measured size allows and otherwise splits a
-    skewed symbol at run time.
+    without any usable price, which a scan drops.
     """
     quotes = to_quotes(latest_quotes(ticks, newest_by), as_of, sentinel_to_null)
     if universe is not None:
         quotes = quotes.join(universe.select(*CONTRACT_KEY), CONTRACT_KEY, "left_semi")
     if not keep_unpriced:
         quotes = quotes.filter("mid IS NOT NULL")
-    chain = quotes.join(underlying.select("symbol", "underlying_price"), "symbol")
-    return conform(chain)
+    return add_underlying(quotes, underlying)
+
+
+def add_underlying(quotes: DataFrame, underlying: DataFrame) -> DataFrame:
+    """Complete quotes to chain rows; symbols without an underlying price drop out.
+
+    The underlying table has one row per symbol. Spark broadcasts it when its measured size
+    allows and otherwise splits a skewed symbol at run time.
+    """
+    return conform(quotes.join(underlying.select("symbol", "underlying_price"), "symbol"))
 
 
 def conform(chain: DataFrame) -> DataFrame:

@@ -92,10 +92,15 @@ def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
     cluster waiting on its last tasks.
     """
     stage = Stage(spark)
-    if not stage.write("chain", chain):
-        return {}
-    run = Strategies(stage.read("chain"))
+    try:
+        if not stage.write("chain", chain):
+            return {}
+        return _store_all(spark, Strategies(stage.read("chain")), out)
+    finally:
+        stage.drop()
 
+
+def _store_all(spark: SparkSession, run: Strategies, out: str) -> dict[str, int]:
     def store(name: str, df: DataFrame, order: list[str] | None = None) -> int:
         return write_table(df, f"{out}/{name}", order)
 

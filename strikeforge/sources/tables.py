@@ -46,10 +46,15 @@ def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> int
     return seen.get["n"]
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Asks the path's own file system, whichever it is."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """The path and its own file system, whichever it is."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location, system = _file_system(spark, path)
+    return system.exists(location)
 
 
 def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
@@ -100,3 +105,8 @@ class Stage:
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """Remove the folder once nothing reads it any more."""
+        location, system = _file_system(self.spark, self.path)
+        system.delete(location, True)
