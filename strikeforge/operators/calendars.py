@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
 from strikeforge.functions.payoff import distance_pct, named, per_contract
-from strikeforge.operators.pairing import as_leg, pair_legs, priced
+from strikeforge.operators.pairing import Layout, as_leg, pair_legs, priced
 from strikeforge.schema import RESULT_COLUMNS
 
 CALENDAR_KEYS = ["symbol", "right", "strike"]
@@ -27,7 +27,7 @@ COLUMNS = {
 }
 
 
-def calendars(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool = True) -> DataFrame:
+def calendars(chain: DataFrame, *, layout: Layout | None = None, ranked: bool = True) -> DataFrame:
     """Expirations at least a week apart where the later one costs more.
 
     The theta differential is near minus far, so fast near decay is negative and sorts last.
@@ -38,7 +38,7 @@ def calendars(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool =
     far = as_leg(quoted, "far", CALENDAR_KEYS, leg_columns)
     pairs = (
         pair_legs(
-            near, far, CALENDAR_KEYS, hot, left_by=["near_expiration"], right_by=["far_expiration"]
+            near, far, CALENDAR_KEYS, layout, left_by=["near_expiration"], right_by=["far_expiration"]
         )
         .filter("near_expiration < far_expiration")
         .filter(f"far_dte >= near_dte + {MIN_GAP_DAYS}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
-from strikeforge.operators.pairing import TILE_LEGS
+from strikeforge.operators.pairing import LARGE_GROUP
 from strikeforge.schema import RESULT_COLUMNS
 
 EXPIRATION_KEYS = ["symbol", "expiration"]
@@ -23,12 +23,9 @@ def with_interest(chain: DataFrame) -> DataFrame:
     return chain.filter("open_interest > 0")
 
 
-def hot_expirations(chain: DataFrame, tile: int = TILE_LEGS) -> DataFrame | None:
-    """Expirations with more than ``tile`` contracts and the strike step to cut them by.
-
-    None when there are none. Runs one small job, combined before the shuffle.
-    """
-    hot = (
+def hot_expirations(chain: DataFrame, size: int = LARGE_GROUP) -> DataFrame:
+    """Expirations with more than ``size`` contracts and the strike step to cut them by."""
+    return (
         with_interest(chain)
         .groupBy(*EXPIRATION_KEYS)
         .agg(
@@ -36,10 +33,9 @@ def hot_expirations(chain: DataFrame, tile: int = TILE_LEGS) -> DataFrame | None
             F.expr("min(strike) AS low"),
             F.expr("max(strike) AS high"),
         )
-        .filter(f"contracts > {tile} AND high > low")
-        .selectExpr(*EXPIRATION_KEYS, "low", f"(high - low) / ceil(contracts / {tile}) AS step")
+        .filter(f"contracts > {size} AND high > low")
+        .selectExpr(*EXPIRATION_KEYS, "low", f"(high - low) / ceil(contracts / {size}) AS step")
     )
-    return None if hot.isEmpty() else hot
 
 
 def _interest_per_strike(chain: DataFrame) -> DataFrame:

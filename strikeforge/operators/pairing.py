@@ -1,42 +1,78 @@
-"""Pairing option legs, with large groups split into tiles.
-
-A strategy that pairs legs inside a group (one expiration of one symbol, say) produces a
-number of rows that grows with the square of the group. An ordinary group is a few hundred
-legs and one join task handles many of them. A group beyond ``TILE_LEGS`` is cut: its legs
-get a hashed tile number, and every left tile meets every right tile as a join key of its
-own. The result is the same, and no task ever holds a whole large group.
+"""Pairing option legs, laid out by the number of pairs rather than by the size of the legs.
+
+A strategy that pairs legs inside a group (one expiration of one symbol, say) produces rows
+by the square of the group, which Spark cannot see from the size of its input: it packs
+small-looking partitions into one task. So the groups are counted first, with a small job
+over the stored chain. The counts give the number of tasks the pairs need. A group beyond
+``TILE_LEGS`` is cut: its legs get a hashed tile number, and every left tile meets every
+right tile under a join key of its own. The result is the same, and no task ever holds a
+whole large group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.payoff import GREEKS
 
-TILE_LEGS = 4096
+TILE_LEGS = 2048
+LARGE_GROUP = 500_000  # rows of a group that one task still goes through easily
 LEFT_TILE, RIGHT_TILE = "_left_tile", "_right_tile"
 
 
+class Layout(NamedTuple):
+    """How to lay out the pairs of one grouping."""
+
+    hot: DataFrame | None = None  # groups to cut, with their number of tiles
+    tasks: int | None = None  # None leaves it to Spark
+    largest: int = 0  # legs of the largest group
+
+
 def priced(chain: DataFrame) -> DataFrame:
     return chain.filter("mid IS NOT NULL")
 
 
-def hot_groups(legs: DataFrame, on: Sequence[str], tile: int = TILE_LEGS) -> DataFrame | None:
-    """Groups with more than ``tile`` legs and how many tiles each needs, or None.
+def _sizes(legs: DataFrame, on: Sequence[str]) -> DataFrame:
+    return legs.groupBy(*on).agg(F.count(F.lit(1)).alias("legs"))
+
+
+def hot_groups(legs: DataFrame, on: Sequence[str], tile: int = TILE_LEGS) -> DataFrame:
+    """Groups with more than ``tile`` legs and how many tiles each needs."""
+    return (
+        _sizes(legs, on)
+        .filter(f"legs > {tile}")
+        .selectExpr(*on, f"int(ceil(legs / {tile})) AS tiles")
+    )
+
+
+def lay_out(
+    legs: DataFrame, groupings: Mapping[str, Sequence[str]], tile: int = TILE_LEGS
+) -> dict[str, Layout]:
+    """Count the groups of each grouping, combined before the shuffle, all in one job.
 
-    Runs one small job: counts are combined before the shuffle. Give it a stored chain.
+    One row per grouping comes back to the driver. Work below one tile per core is left to
+    Spark, which may broadcast.
     """
-    tiles = F.ceil(F.col("legs") / tile).cast("int")
-    hot = (
-        legs.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("legs"))
-        .filter(F.col("legs") > tile)
-        .select(*on, tiles.alias("tiles"))
+    cores = legs.sparkSession.sparkContext.defaultParallelism
+    counts = (
+        _sizes(legs, on).selectExpr(
+            f"'{name}' AS name", "sum(double(legs) * legs) AS pairs", "max(legs) AS largest"
+        )
+        for name, on in groupings.items()
     )
-    return None if hot.isEmpty() else hot
+    result = {}
+    for row in reduce(DataFrame.unionByName, counts).collect():
+        largest = row.largest or 0
+        tasks = ceil((row.pairs or 0) / tile**2)
+        hot = hot_groups(legs, groupings[row.name], tile) if largest > tile else None
+        result[row.name] = Layout(hot, tasks if tasks > cores else None, largest)
+    return result
 
 
 def _tiled(
@@ -48,15 +84,16 @@ def _tiled(
     other: str | None,
 ) -> DataFrame:
     """Number the legs' own tile by hash and repeat them for each tile of the other side."""
-    columns = legs.columns
+    columns = list(legs.columns)
     legs = legs.join(hot, list(on), "left")
-    tiles = F.coalesce("tiles", F.lit(1))
+    tiles = "coalesce(tiles, 1)"
     if own:
-        legs = legs.withColumn(own, F.pmod(F.xxhash64(*spread_by), tiles).cast("int"))
-        columns = [*columns, own]
+        tile = f"int(pmod(xxhash64({', '.join(spread_by)}), {tiles})) AS {own}"
+        legs = legs.selectExpr("*", tile)
+        columns.append(own)
     if other:
-        legs = legs.withColumn(other, F.explode(F.sequence(F.lit(0), tiles - 1)))
-        columns = [*columns, other]
+        legs = legs.selectExpr("*", f"explode(sequence(0, {tiles} - 1)) AS {other}")
+        columns.append(other)
     return legs.select(*columns)
 
 
@@ -64,26 +101,29 @@ def pair_legs(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    hot: DataFrame | None = None,
+    layout: Layout | None = None,
     left_by: Sequence[str] = (),
     right_by: Sequence[str] = (),
 ) -> DataFrame:
     """Inner equi-join of two leg tables that share only the ``on`` columns.
 
     Any further relation between the legs is a filter on the result, which the optimizer
-    moves into the join. ``hot`` comes from ``hot_groups``; ``left_by`` / ``right_by`` name
-    the columns that tell the legs of one group apart. A side without them is not split.
-    The hot table is joined without a hint: Spark measures it and broadcasts it or not.
+    moves into the join. ``left_by`` / ``right_by`` name the columns that tell the legs of
+    one group apart; a side without them is not cut. The table of hot groups is joined
+    without a hint: Spark measures it and broadcasts it or not.
     """
-    on = list(on)
-    if hot is None:
-        return left.join(right, on)
-    own_left = LEFT_TILE if left_by else None
-    own_right = RIGHT_TILE if right_by else None
-    left = _tiled(left, on, hot, left_by, own_left, own_right)
-    right = _tiled(right, on, hot, right_by, own_right, own_left)
-    tiles = [t for t in (own_left, own_right) if t]
-    return left.join(right, [*on, *tiles]).drop(*tiles)
+    keys, tiles = list(on), []
+    hot, tasks, _ = layout or Layout()
+    if hot is not None:
+        own_left = LEFT_TILE if left_by else None
+        own_right = RIGHT_TILE if right_by else None
+        left = _tiled(left, on, hot, left_by, own_left, own_right)
+        right = _tiled(right, on, hot, right_by, own_right, own_left)
+        tiles = [t for t in (own_left, own_right) if t]
+        keys += tiles
+    if tasks is not None:
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.join(right, keys).drop(*tiles)
 
 
 def as_leg(

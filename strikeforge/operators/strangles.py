@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
 from strikeforge.functions.payoff import distance_pct, named, net_greeks, per_contract
-from strikeforge.operators.pairing import LEG_COLUMNS, as_leg, pair_legs, priced
+from strikeforge.operators.pairing import LEG_COLUMNS, Layout, as_leg, pair_legs, priced
 from strikeforge.schema import RESULT_COLUMNS
 
 STRANGLE_KEYS = ["symbol", "expiration"]
@@ -26,7 +26,7 @@ COLUMNS = {
 }
 
 
-def strangles(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool = True) -> DataFrame:
+def strangles(chain: DataFrame, *, layout: Layout | None = None, ranked: bool = True) -> DataFrame:
     """A strike at the underlying belongs to neither side."""
     quoted = priced(chain)
     leg_columns = [*LEG_COLUMNS, "implied_vol", "underlying_price"]
@@ -39,7 +39,7 @@ def strangles(chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool =
         "call", STRANGLE_KEYS, leg_columns,
     )
     pairs = (
-        pair_legs(put, call, STRANGLE_KEYS, hot, left_by=["put_strike"], right_by=["call_strike"])
+        pair_legs(put, call, STRANGLE_KEYS, layout, left_by=["put_strike"], right_by=["call_strike"])
         .selectExpr(
             "*",
             "put_mid + call_mid AS premium",

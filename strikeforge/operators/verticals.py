@@ -15,7 +15,7 @@ from strikeforge.functions.payoff import (
     per_contract,
     yield_pct,
 )
-from strikeforge.operators.pairing import LEG_COLUMNS, as_leg, pair_legs, priced
+from strikeforge.operators.pairing import LEG_COLUMNS, Layout, as_leg, pair_legs, priced
 from strikeforge.schema import RESULT_COLUMNS
 
 VERTICAL_KEYS = ["symbol", "expiration", "right"]
@@ -56,7 +56,7 @@ COLUMNS = {
 def vertical_spreads(
     chain: DataFrame,
     *,
-    hot: DataFrame | None = None,
+    layout: Layout | None = None,
     unique_contracts: bool = True,
     ranked: bool = True,
 ) -> DataFrame:
@@ -76,7 +76,7 @@ def vertical_spreads(
     long = as_leg(quoted, "long", VERTICAL_KEYS, [*LEG_COLUMNS, "sellable"])
     pairs = (
         pair_legs(
-            short, long, VERTICAL_KEYS, hot, left_by=["short_strike"], right_by=["long_strike"]
+            short, long, VERTICAL_KEYS, layout, left_by=["short_strike"], right_by=["long_strike"]
         )
         .filter("short_strike <> long_strike")
         .selectExpr(

@@ -15,7 +15,7 @@ from strikeforge.operators.at_the_money import (
 )
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
 from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
-from strikeforge.operators.pairing import hot_groups, priced
+from strikeforge.operators.pairing import LARGE_GROUP, Layout, hot_groups, lay_out
 from strikeforge.operators.strangles import strangles
 from strikeforge.operators.verticals import VERTICAL_KEYS, iron_condors, vertical_spreads
 from strikeforge.schema import DATASETS
@@ -28,57 +28,54 @@ WRITERS = 3
 class Strategies:
     """The seven computations over one stored chain.
 
-    Looks for groups too large for one task with a counting job per grouping, and hands
-    them to the operators that pair or accumulate inside groups. Verticals, strangles,
-    butterflies and max pain group within an expiration: where no expiration is large,
-    one count answers for all of them.
+    One counting job tells how to lay out the pairs and whether any expiration is too large
+    for one task; it runs when the first computation asks.
     """
 
     def __init__(self, chain: DataFrame):
         self.chain = chain
 
     @cached_property
-    def large_expirations(self) -> DataFrame | None:
-        return hot_groups(self.chain, EXPIRATION_KEYS)
-
-    @cached_property
-    def _hot_verticals(self) -> DataFrame | None:
-        if self.large_expirations is None:
-            return None
-        return hot_groups(priced(self.chain), VERTICAL_KEYS)
-
-    @cached_property
-    def _hot_pain(self) -> DataFrame | None:
-        return None if self.large_expirations is None else hot_expirations(self.chain)
+    def layouts(self) -> dict[str, Layout]:
+        groupings = {
+            "verticals": VERTICAL_KEYS, "expirations": EXPIRATION_KEYS, "calendars": CALENDAR_KEYS,
+        }
+        return lay_out(self.chain, groupings)
 
-    @cached_property
-    def _hot_calendars(self) -> DataFrame | None:
-        return hot_groups(priced(self.chain), CALENDAR_KEYS)
+    @property
+    def _expirations_are_large(self) -> bool:
+        return self.layouts["expirations"].largest > LARGE_GROUP
 
     def spreads(self, ranked: bool = True) -> DataFrame:
-        return vertical_spreads(self.chain, hot=self._hot_verticals, ranked=ranked)
+        return vertical_spreads(self.chain, layout=self.layouts["verticals"], ranked=ranked)
 
     def iron_condors(self, spreads: DataFrame | None = None) -> DataFrame:
         return iron_condors(self.spreads(ranked=False) if spreads is None else spreads)
 
     def strangles(self, ranked: bool = True) -> DataFrame:
-        return strangles(self.chain, hot=self.large_expirations, ranked=ranked)
+        return strangles(self.chain, layout=self.layouts["expirations"], ranked=ranked)
 
     def iron_butterflies(self, ranked: bool = True) -> DataFrame:
-        return iron_butterflies(self.chain, hot=self.large_expirations, ranked=ranked)
+        hot = None
+        if self._expirations_are_large:
+            hot = hot_groups(self.chain, EXPIRATION_KEYS, LARGE_GROUP)
+        return iron_butterflies(self.chain, hot=hot, ranked=ranked)
 
     def calendars(self, ranked: bool = True) -> DataFrame:
-        return calendars(self.chain, hot=self._hot_calendars, ranked=ranked)
+        return calendars(self.chain, layout=self.layouts["calendars"], ranked=ranked)
 
     def expected_move(self) -> DataFrame:
         return expected_move(self.chain)
 
+    def _hot_pain(self) -> DataFrame | None:
+        return hot_expirations(self.chain) if self._expirations_are_large else None
+
     def max_pain(self) -> DataFrame:
-        return max_pain(self.chain, hot=self._hot_pain)
+        return max_pain(self.chain, hot=self._hot_pain())
 
     def max_pain_curve(self, include_all_candidates: bool = False) -> DataFrame:
         return max_pain_curve(
-            self.chain, include_all_candidates=include_all_candidates, hot=self._hot_pain
+            self.chain, include_all_candidates=include_all_candidates, hot=self._hot_pain()
         )
 
 
@@ -114,7 +111,7 @@ def _store_all(spark: SparkSession, run: Strategies, out: str) -> dict[str, int]
         "expected_move": lambda: store("expected_move", run.expected_move()),
         "max_pain": lambda: store("max_pain", run.max_pain()),
     }
-    run.large_expirations  # counted once, before the writers share it
+    run.layouts  # counted once, before the writers share it
     with ThreadPoolExecutor(max_workers=WRITERS) as pool:
         pending = {
             name: pool.submit(inheritable_thread_target(spark)(write))

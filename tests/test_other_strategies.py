@@ -11,7 +11,7 @@ from chains import (
 from strikeforge.operators.at_the_money import EXPIRATION_KEYS, expected_move, iron_butterflies
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
 from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
-from strikeforge.operators.pairing import hot_groups, priced
+from strikeforge.operators.pairing import hot_groups, lay_out
 from strikeforge.operators.strangles import strangles
 from strikeforge.schema import RESULT_COLUMNS
 from strikeforge.sources.tables import chain_from_rows
@@ -71,8 +71,9 @@ def test_strangles_against_brute_force(spark, seed):
     key = ("symbol", "expiration", "put_strike", "call_strike")
     plain = keyed(rows_of(strangles(df, ranked=False)), *key)
     assert {k: r["total_premium"] for k, r in plain.items()} == expected
-    hot = hot_groups(priced(df), EXPIRATION_KEYS, tile=4)
-    assert keyed(rows_of(strangles(df, hot=hot, ranked=False)), *key) == plain
+    layout = lay_out(df, {"e": EXPIRATION_KEYS}, tile=4)["e"]
+    assert layout.hot is not None and layout.tasks is not None
+    assert keyed(rows_of(strangles(df, layout=layout, ranked=False)), *key) == plain
 
 
 # ---- calendars
@@ -113,8 +114,9 @@ def test_calendars_against_brute_force(spark, seed):
     key = (*CALENDAR_KEYS, "near_expiration", "far_expiration")
     plain = keyed(rows_of(calendars(df, ranked=False)), "symbol", "right", "strike", *key[3:])
     assert {k: r["net_debit"] for k, r in plain.items()} == expected
-    hot = hot_groups(priced(df), CALENDAR_KEYS, tile=2)
-    tiled = rows_of(calendars(df, hot=hot, ranked=False))
+    layout = lay_out(df, {"c": CALENDAR_KEYS}, tile=2)["c"]
+    assert layout.hot is not None and layout.tasks is not None
+    tiled = rows_of(calendars(df, layout=layout, ranked=False))
     assert keyed(tiled, "symbol", "right", "strike", *key[3:]) == plain
 
 
@@ -262,8 +264,8 @@ def test_max_pain_against_brute_force(spark, seed):
     df = chain_from_rows(spark, chain)
     every = pains(chain)
     key = ("symbol", "expiration", "candidate_strike")
-    hot = hot_expirations(df, tile=6)
-    assert hot is not None
+    hot = hot_expirations(df, size=6)
+    assert not hot.isEmpty()
     for options in ({}, {"hot": hot}):
         whole = keyed(rows_of(max_pain_curve(df, include_all_candidates=True, **options)), *key)
         assert {k: (r["call_pain"], r["put_pain"]) for k, r in whole.items()} == {

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import pytest
 from chains import OTM, OTM_ITM, contract, keyed, random_chain, rows_of
+from pyspark.sql import functions as F
 
-from strikeforge.operators.pairing import hot_groups, priced
+from strikeforge.operators.pairing import lay_out, pair_legs
 from strikeforge.operators.verticals import VERTICAL_KEYS, iron_condors, vertical_spreads
 from strikeforge.schema import RESULT_COLUMNS
 from strikeforge.sources.tables import chain_from_rows
@@ -102,15 +103,28 @@ def test_matches_brute_force_and_the_ranked_form(spark, seed):
 def test_large_groups_are_tiled_with_the_same_result(spark):
     chain = chain_from_rows(spark, random_chain(4, symbols=2, expirations=2, strikes=30))
     plain = rows_of(vertical_spreads(chain, ranked=False))
-    hot = hot_groups(priced(chain), VERTICAL_KEYS, tile=5)
-    assert hot is not None and hot.agg({"tiles": "max"}).first()[0] > 2
-    tiled = rows_of(vertical_spreads(chain, hot=hot, ranked=False))
-    assert keyed(tiled, *PAIR) == keyed(plain, *PAIR)
+    layout = lay_out(chain, {"v": VERTICAL_KEYS}, tile=5)["v"]
+    assert layout.hot.agg({"tiles": "max"}).first()[0] > 2
+    tiled = vertical_spreads(chain, layout=layout, ranked=False)
+    assert keyed(rows_of(tiled), *PAIR) == keyed(plain, *PAIR)
 
 
-def test_no_hot_groups_in_an_ordinary_chain(spark):
+def test_an_ordinary_chain_is_left_to_spark(spark):
     chain = chain_from_rows(spark, random_chain(5))
-    assert hot_groups(chain, VERTICAL_KEYS) is None
+    layout = lay_out(chain, {"v": VERTICAL_KEYS})["v"]
+    assert layout.hot is None and layout.tasks is None and 0 < layout.largest < 20
+    assert lay_out(chain.limit(0), {"v": VERTICAL_KEYS})["v"] == (None, None, 0)
+
+
+def test_no_task_holds_a_large_group(spark):
+    legs = spark.range(3000).selectExpr("'hot' AS g", "id AS k")
+    layout = lay_out(legs, {"g": ["g"]}, tile=250)["g"]
+    assert (layout.largest, layout.tasks) == (3000, 144)
+    pairs = pair_legs(
+        legs.selectExpr("g", "k AS a"), legs.selectExpr("g", "k AS b"), ["g"], layout, ["a"], ["b"])
+    per_task = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per_task) == 3000**2
+    assert max(r["count"] for r in per_task) < 3000**2 / 10
 
 
 def test_repeated_contracts_need_the_ranked_form(spark):
