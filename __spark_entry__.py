@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from oracle.sql import oracle_sql as _oracle_sql
 from strikeforge.functions.numbers import clean_double
 from strikeforge.operators import ingest, quality, screens, universe
+from strikeforge.plans.landed import Wanted, landed_chain, wanted_contracts
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import CONTRACT_KEY, DATASETS
 from strikeforge.sources import bridge
 from strikeforge.sources.tables import Stage, load_dataset, load_datasets
 from strikeforge.streaming.live import LiveQuotes
 
+# A scan 45 days out, give or take 30.
+SCAN = Wanted(bridge.AS_OF, bridge.MAIN_VENUE, dte_range=30)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -42,15 +46,10 @@ class Tables:
         return universe.underlying_price(bridge.underlying_polls(self.table("supplier")))
 
     def listings(self) -> DataFrame:
-        return universe.preferred_listing(
-            bridge.listings(self.table("supplier")), bridge.MAIN_VENUE
-        )
+        return bridge.listings(self.table("supplier"))
 
-    def candidates(self) -> DataFrame:
-        """A scan's contracts: 45 days out, give or take 30."""
-        return universe.contract_universe(
-            self.listings(), self.underlying(), bridge.AS_OF, dte_range=30
-        )
+    def preferred(self) -> DataFrame:
+        return universe.preferred_listing(self.listings(), bridge.MAIN_VENUE)
 
     def chain(self, **options) -> DataFrame:
         return ingest.build_chain(
@@ -86,7 +85,7 @@ def symbol_universe(t: Tables) -> DataFrame:
 
 
 def preferred_listing(t: Tables) -> DataFrame:
-    return t.listings().select(
+    return t.preferred().select(
         "symbol",
         "exchange",
         F.size("expirations").alias("n_expirations"),
@@ -100,7 +99,12 @@ def preferred_listing(t: Tables) -> DataFrame:
 
 def listed_contracts(t: Tables) -> DataFrame:
     listed = ingest.to_quotes(t.latest(), bridge.AS_OF).select(*CONTRACT_KEY)
-    return universe.listed_only(t.candidates(), listed)
+    return wanted_contracts(t.listings(), t.underlying(), SCAN, listed)
+
+
+def scan_chain(t: Tables) -> DataFrame:
+    polls = bridge.underlying_polls(t.table("supplier"))
+    return landed_chain(t.ticks(), polls, t.listings(), SCAN, newest_by=bridge.NEWEST_BY)
 
 
 def clean_numbers(t: Tables) -> DataFrame:
@@ -177,9 +181,9 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain_snapshot": lambda t: ingest.to_quotes(t.latest(), bridge.AS_OF),
     "symbol_universe": symbol_universe,
     "preferred_listing": preferred_listing,
-    "dte_window": lambda t: universe.dte_window(t.listings(), bridge.AS_OF, 44, 14),
-    "strike_band": lambda t: universe.strike_band(t.listings(), t.underlying(), 0.1),
-    "contract_universe": lambda t: t.candidates(),
+    "dte_window": lambda t: universe.dte_window(t.preferred(), bridge.AS_OF, 44, 14),
+    "strike_band": lambda t: universe.strike_band(t.preferred(), t.underlying(), 0.1),
+    "contract_universe": lambda t: wanted_contracts(t.listings(), t.underlying(), SCAN),
     "listed_contracts": listed_contracts,
     "underlying_price": lambda t: t.underlying(),
     "clean_numbers": clean_numbers,
@@ -188,7 +192,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "expiry_dte": expiry_dte,
     "oi_volume_by_right": lambda t: quote_fields(t, *ingest.SIZE_COLUMNS),
     "chain": lambda t: t.chain(),
-    "scan_chain": lambda t: t.chain(universe=t.candidates()),
+    "scan_chain": scan_chain,
     "vertical_spreads": lambda t: t.strategies().spreads(),
     "iron_condors": lambda t: t.strategies().iron_condors(),
     "iron_butterflies": lambda t: t.strategies().iron_butterflies(),

@@ -44,6 +44,15 @@ TICK_SCHEMA = T.StructType(
     ]
 )
 
+# Polls of the underlying, numbered in the order they were taken.
+POLL_SCHEMA = T.StructType(
+    [
+        T.StructField("symbol", STRING, False),
+        T.StructField("poll", INT, False),
+        *(T.StructField(c, DOUBLE) for c in RAW_PRICES),
+    ]
+)
+
 # What each venue lists for a symbol.
 LISTING_SCHEMA = T.StructType(
     [

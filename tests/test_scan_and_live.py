@@ -6,9 +6,12 @@ import pytest
 from chains import random_chain, rows_of
 from test_ingest import tick, ticks
 
+from strikeforge.__main__ import main
 from strikeforge.operators.ingest import latest_quotes
 from strikeforge.plans.scan import Strategies, run_scan
-from strikeforge.schema import CHAIN_SCHEMA, DATASETS, RESULT_COLUMNS, TICK_SCHEMA
+from strikeforge.schema import (
+    CHAIN_SCHEMA, DATASETS, LISTING_SCHEMA, POLL_SCHEMA, RESULT_COLUMNS, TICK_SCHEMA,
+)
 from strikeforge.sources.tables import (
     Stage, chain_from_rows, load_dataset, load_datasets, read_table, shared_folder, write_table,
 )
@@ -68,6 +71,30 @@ def test_stage_lives_in_the_shared_folder(spark):
     assert stage.read("t").count() == 3
 
 
+def test_landed_tables_to_datasets(spark, tmp_path):
+    feed = ticks(
+        spark,
+        *(tick(k, r, symbol=s, bid=b) for s in ("AAA", "BBB") for r in "CP"
+          for k, b in ((95.0, 2.0), (100.0, 1.5), (105.0, 1.0), (150.0, 0.1))),
+        tick(expiry="20270115"),
+    )
+    polls = spark.createDataFrame(
+        [(s, 1, 99.5, 100.5, None, None, None) for s in ("AAA", "BBB", "CCC")], POLL_SCHEMA)
+    days, strikes = ["20260515", "20270115"], [95.0, 100.0, 105.0, 150.0]
+    listings = spark.createDataFrame(
+        [(s, "MAIN", days, strikes) for s in ("AAA", "BBB", "CCC")], LISTING_SCHEMA)
+    for name, df in (("ticks", feed), ("polls", polls), ("listings", listings)):
+        df.write.json(str(tmp_path / name))
+    rows = main([
+        *(a for n in ("ticks", "polls", "listings", "out") for a in (f"--{n}", str(tmp_path / n))),
+        "--format", "json", "--exchange", "MAIN", "--as-of", "2026-04-01", "--symbols", " aaa,ccc",
+    ])
+    chain = load_dataset(spark, str(tmp_path / "out"), "option_chain").collect()
+    assert sorted((r.symbol, r.strike, r.right, r.dte) for r in chain) == [
+        ("AAA", k, r, 44) for k in (95.0, 100.0, 105.0) for r in "CP"]
+    assert rows["option_chain"] == 6 and rows["expected_move"] == 1
+
+
 # ---- live
 
 
