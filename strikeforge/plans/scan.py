@@ -101,22 +101,23 @@ def _store_all(spark: SparkSession, run: Strategies, out: str) -> dict[str, int]
     def store(name: str, df: DataFrame, order: list[str] | None = None) -> int:
         return write_table(df, f"{out}/{name}", order)
 
-    writes = {
+    first = {
         "option_chain": lambda: store("option_chain", run.chain, FILE_ORDER),
+        "expected_move": lambda: store("expected_move", run.expected_move()),
+    }
+    after_counting = {
         "strangles": lambda: store("strangles", run.strangles(ranked=False), FILE_ORDER),
+        "calendars": lambda: store("calendars", run.calendars(ranked=False), CALENDAR_KEYS),
         "iron_butterflies": lambda: store(
             "iron_butterflies", run.iron_butterflies(ranked=False), FILE_ORDER
         ),
-        "calendars": lambda: store("calendars", run.calendars(ranked=False), CALENDAR_KEYS),
-        "expected_move": lambda: store("expected_move", run.expected_move()),
         "max_pain": lambda: store("max_pain", run.max_pain()),
     }
-    run.layouts  # counted once, before the writers share it
+    in_thread = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=WRITERS) as pool:
-        pending = {
-            name: pool.submit(inheritable_thread_target(spark)(write))
-            for name, write in writes.items()
-        }
+        pending = {name: pool.submit(in_thread(write)) for name, write in first.items()}
+        run.layouts  # counted once, before the other writers share it
+        pending |= {name: pool.submit(in_thread(write)) for name, write in after_counting.items()}
         rows = {"spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"])}
         stored_spreads = spark.read.parquet(f"{out}/spreads")
         rows["iron_condors"] = store("iron_condors", run.iron_condors(stored_spreads), FILE_ORDER)
