@@ -33,13 +33,19 @@ def preferred_listing(listings: DataFrame, exchange: str) -> DataFrame:
     return listings.groupBy("symbol").agg(best).select("symbol", "best.*")
 
 
+def window_ends(as_of: date, target_dte: int, dte_range: int) -> tuple[date, date]:
+    return (
+        as_of + timedelta(days=target_dte - dte_range),
+        as_of + timedelta(days=target_dte + dte_range),
+    )
+
+
 def _window(as_of: date, target_dte: int, dte_range: int) -> str:
-    first = as_of + timedelta(days=target_dte - dte_range)
-    last = as_of + timedelta(days=target_dte + dte_range)
+    first, last = window_ends(as_of, target_dte, dte_range)
     return f"BETWEEN DATE '{first}' AND DATE '{last}'"
 
 
-def _band(pct: float) -> str:
+def band(pct: float) -> str:
     low, high = f"{1 - pct!r}D", f"{1 + pct!r}D"
     return f"BETWEEN underlying_price * {low} AND underlying_price * {high}"
 
@@ -63,7 +69,7 @@ def strike_band(listings: DataFrame, underlying: DataFrame, pct: float = 0.20) -
     return (
         listings.selectExpr("symbol", "explode(strikes) AS strike")
         .join(underlying.select("symbol", "underlying_price"), "symbol")
-        .filter(f"strike {_band(pct)}")
+        .filter(f"strike {band(pct)}")
     )
 
 
@@ -82,7 +88,7 @@ def contract_universe(
     """
     dates = f"transform(expirations, e -> {expiry_date('e')})"
     near = f"filter({dates}, d -> d {_window(as_of, target_dte, dte_range)})"
-    around = f"filter(strikes, k -> k {_band(pct)})"
+    around = f"filter(strikes, k -> k {band(pct)})"
     return (
         listings.join(underlying.select("symbol", "underlying_price"), "symbol")
         .selectExpr("symbol", f"explode({near}) AS expiration", f"{around} AS strikes")
