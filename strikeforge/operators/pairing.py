@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strikeforge.functions.payoff import GREEKS
 
 TILE_LEGS = 2048
+MOST_TASKS = 100_000  # beyond it, a task works through several tiles
 LARGE_GROUP = 500_000  # rows of a group that one task still goes through easily
 LEFT_TILE, RIGHT_TILE = "_left_tile", "_right_tile"
 
@@ -69,7 +70,7 @@ def lay_out(
     result = {}
     for row in reduce(DataFrame.unionByName, counts).collect():
         largest = row.largest or 0
-        tasks = ceil((row.pairs or 0) / tile**2)
+        tasks = min(ceil((row.pairs or 0) / tile**2), MOST_TASKS)
         hot = hot_groups(legs, groupings[row.name], tile) if largest > tile else None
         result[row.name] = Layout(hot, tasks if tasks > cores else None, largest)
     return result

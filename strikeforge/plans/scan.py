@@ -14,6 +14,7 @@ from strikeforge.operators.at_the_money import (
     iron_butterflies,
 )
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
+from strikeforge.operators.ingest import require_unique_contracts
 from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
 from strikeforge.operators.pairing import LARGE_GROUP, Layout, hot_groups, lay_out
 from strikeforge.operators.strangles import strangles
@@ -79,20 +80,26 @@ class Strategies:
         )
 
 
-def run_scan(spark: SparkSession, chain: DataFrame, out: str) -> dict[str, int]:
+def run_scan(
+    spark: SparkSession, chain: DataFrame, out: str, *, check_unique: bool = False
+) -> dict[str, int]:
     """Write the eight datasets under ``out`` and return their row counts.
 
     The chain is evaluated once, into the shared folder. An empty chain stops the scan
     before anything is written to ``out``. Spreads are stored before the condors read them
     back. Pair tables are not sorted globally: readers rank what they filter. Datasets that
     do not depend on each other are written side by side, so a small one does not leave the
-    cluster waiting on its last tasks.
+    cluster waiting on its last tasks. ``check_unique`` fails on repeated contracts first; a
+    chain from ``build_chain`` has none.
     """
     stage = Stage(spark)
     try:
         if not stage.write("chain", chain):
             return {}
-        return _store_all(spark, Strategies(stage.read("chain")), out)
+        stored = stage.read("chain")
+        if check_unique:
+            require_unique_contracts(stored)
+        return _store_all(spark, Strategies(stored), out)
     finally:
         stage.drop()
 

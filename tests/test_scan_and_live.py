@@ -42,6 +42,14 @@ def test_empty_chain_writes_nothing(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_repeated_contracts_stop_a_checked_scan(spark, tmp_path):
+    rows = random_chain(31)
+    chain = chain_from_rows(spark, [*rows, rows[0]])
+    with pytest.raises(ValueError, match="repeats contracts"):
+        run_scan(spark, chain, str(tmp_path / "out"), check_unique=True)
+    assert not (tmp_path / "out").exists()
+
+
 def test_missing_and_unreadable_datasets_are_none(spark, tmp_path):
     assert load_dataset(spark, str(tmp_path), "nothing") is None
     (tmp_path / "broken").mkdir()
