@@ -13,6 +13,7 @@ from strikeforge.operators.snapshot import latest_per_key
 from strikeforge.schema import CHAIN_SCHEMA, CONTRACT_KEY, RAW_CONTRACT_KEY
 
 EXPIRY_FIELD = "lastTradeDateOrContractMonth"
+SYMBOL_SALTS = 16
 
 # Flat Greeks out of the nested record; all NULL when the record is missing.
 GREEK_COLUMNS = {
@@ -88,10 +89,14 @@ def build_chain(
 def add_underlying(quotes: DataFrame, underlying: DataFrame) -> DataFrame:
     """Complete quotes to chain rows; symbols without an underlying price drop out.
 
-    The underlying table has one row per symbol. Spark broadcasts it when its measured size
-    allows and otherwise splits a skewed symbol at run time.
+    The underlying table has one row per symbol, so repeating it per salt is cheap and spreads
+    a symbol with a third of all contracts over ``SYMBOL_SALTS`` join keys.
     """
-    return conform(quotes.join(underlying.select("symbol", "underlying_price"), "symbol"))
+    prices = underlying.selectExpr(
+        "symbol", "underlying_price", f"explode(sequence(0, {SYMBOL_SALTS - 1})) AS _salt"
+    )
+    salt = f"int(pmod(xxhash64(expiration, strike, right), {SYMBOL_SALTS})) AS _salt"
+    return conform(quotes.selectExpr("*", salt).join(prices, ["symbol", "_salt"]))
 
 
 def conform(chain: DataFrame) -> DataFrame:

@@ -99,6 +99,26 @@ def test_unpriced_contracts_and_sentinels_on_request(spark):
     assert row["bid"] is None
 
 
+def test_a_hot_symbol_is_spread_over_join_keys(spark):
+    quotes = spark.range(4000).selectExpr(
+        "'HOT' AS symbol", "DATE '2026-05-15' AS expiration", "double(id) AS strike",
+        "'C' AS right", "44 AS dte",
+        *(f"1D AS {c}" for c in """bid ask last close mid delta gamma theta vega implied_vol
+          open_interest volume""".split()))
+    chain = ingest.add_underlying(quotes, underlying(spark, HOT=10.0, COLD=5.0))
+    assert chain.count() == 4000 and chain.distinct().count() == 4000
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = ingest.add_underlying(quotes, underlying(spark, HOT=10.0)).groupBy(
+            F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 4000
+
+
 def test_universe_restricts_the_chain(spark):
     feed = ticks(spark, tick(100.0), tick(105.0), tick(110.0))
     wanted = spark.createDataFrame(
