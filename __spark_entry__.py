@@ -18,6 +18,15 @@ from strikeforge.sources import bridge
 from strikeforge.sources.tables import Stage, load_dataset, load_datasets
 from strikeforge.streaming.live import LiveQuotes
 
+try:
+    import corpus_pipeline
+    from strikeforge.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The training-data operators can be left out; anything else that is missing is a fault.
+    if missing.name not in ("corpus_pipeline", "strikeforge.llm"):
+        raise
+    llm = None
+
 # A scan 45 days out, give or take 30.
 SCAN = Wanted(bridge.AS_OF, bridge.MAIN_VENUE, dte_range=30)
 
@@ -240,7 +249,10 @@ def queries() -> dict[str, Query]:
     def registered(operator: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, sf_dir: operator(tables(spark, sf_dir))
 
-    return {name: registered(operator) for name, operator in OPERATORS.items()}
+    found = {name: registered(operator) for name, operator in OPERATORS.items()}
+    if llm is not None:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -249,4 +261,6 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle_sql()
+    """SQL for every operator over derived tables; of the training-data operators, for those
+    that SQL can express."""
+    return _oracle_sql() | (llm.ORACLE_SQL if llm is not None else {})
