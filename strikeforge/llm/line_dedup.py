@@ -83,7 +83,9 @@ def shared_lines(
     held = keys.groupBy("high", "low").agg(
         F.count_distinct("key").alias("n_docs"), F.max("key").alias("keeper")
     )
-    return keys, held.filter(F.col("n_docs") >= min_docs)
+    # Written, so that the join of both deals a line that very many hold to several tasks.
+    stage.write("held", held.filter(F.col("n_docs") >= min_docs))
+    return keys, stage.read("held")
 
 
 def dedup_lines(
