@@ -26,22 +26,28 @@ LEXICON = {
     "spanish": "idiota imbécil estúpido estúpida basura escoria inútil asqueroso",
 }
 #: Patterns of tone; each a voter.
-PATTERNS = {
-    "threat": r"(?i)\b(?:kill|hurt|destroy) (?:you|yourself|them)\b",
-    "command": r"(?i)\b(?:shut up|get lost|go away|drop dead)\b",
-    "you_are": r"(?i)\byou(?:'re| are) (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown|disgrace)",
-    "shouting": r"(?:\b[A-ZÀ-Þ]{4,}\b[^a-zà-ÿ]{0,3}){4,}",
-    "exclaiming": r"!{3,}",
-    "masked": r"\b\w{1,2}[*#$@]{2,}\w{0,3}\b",
+#: Phrases, one voter each; anywhere in the lower-cased text.
+PHRASES = {
+    "threat": ("kill you", "hurt you", "destroy you", "kill yourself", "kill them"),
+    "command": ("shut up", "get lost", "go away", "drop dead"),
+    "you_are": ("you idiot", "you moron", "you are a ", "you're a ", "you people"),
 }
+#: Marks of tone, one voter each: repeated exclamation, letters masked, mostly capitals.
+EXCLAIMING, MASKED = "!!!", re.compile(r"\b\w{1,2}[*#$@]{2,}\w{0,3}\b")
+MASKS = ("**", "##", "$$", "@@", "*#", "#*", "@#", "#@")
+SHOUTED_SHARE, SHOUTED_LETTERS = 0.6, 20
 #: Word parts that the label column speaks for; they fill this many voters by strength.
 MINED_PARTS, MINED_VOTERS = 4096, 6
 #: Least documents with a part, and least lift of the toxic share, for a part to be mined.
 MINED_DOCS, MINED_LIFT = 8, 4.0
 #: Labelled rows that the classifier is fitted on, at most, by the hash of their id.
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 FEATURE_BITS = 18
+#: Words whose weight a task remembers.
+REMEMBERED = 200_000
 THRESHOLD = 0.7
+#: Weight of a given label in the posterior that the classifier learns.
+TRUST = 0.9
 
 _WORD = re.compile(r"\w+")
 
@@ -55,16 +61,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return crc(doc_id) % 3 == 1
 
 
-def parts_of(text: str | None) -> tuple[Counter, int]:
-    """How often a text holds each word and each beginning of a word, and its words."""
-    words = Counter(_WORD.findall(text.lower())) if text else Counter()
-    parts: Counter = Counter()
-    for word, n in words.items():
-        parts[word] += n
-        for size in (4, 5):
-            if len(word) > size:
-                parts[word[:size] + "-"] += n
-    return parts, sum(words.values())
+_CAPITALS = bytes(range(65, 91))
+_SMALL = bytes(range(97, 123))
+
+
+def words_of(text: str | None) -> Counter:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def parts_of(word: str) -> list[str]:
+    """The word, and its beginnings, which stand for its inflections."""
+    return [word, *(word[:n] + "-" for n in (4, 5) if len(word) > n)]
+
+
+def shouted(text: str) -> bool:
+    """Mostly capitals among the letters of the Latin alphabet."""
+    data = text.encode()
+    high = len(data) - len(data.translate(None, _CAPITALS))
+    low = len(data) - len(data.translate(None, _SMALL))
+    return high >= SHOUTED_LETTERS and high >= SHOUTED_SHARE * (high + low)
 
 
 # -- voters
@@ -72,31 +87,38 @@ def parts_of(text: str | None) -> tuple[Counter, int]:
 
 @dataclass(frozen=True)
 class Voters:
-    """Each says whether a text holds what it looks for; the mined ones split parts by strength."""
+    """Each says whether a text holds what it looks for; mined parts are split by strength.
 
-    lexicon: tuple[frozenset, ...]
-    patterns: tuple[re.Pattern, ...]
-    mined: tuple[frozenset, ...]
+    ``parts`` has the voters of a word part as bits.
+    """
+
+    parts: dict[str, int]
+    count: int
 
     @classmethod
     def of(cls, mined: Sequence[str]) -> Voters:
-        split = [frozenset(p) for p in np.array_split(np.array(mined, object), MINED_VOTERS)]
-        return cls(
-            tuple(frozenset(w.split()) for w in LEXICON.values()),
-            tuple(re.compile(p) for p in PATTERNS.values()), tuple(split),
-        )
-
-    @property
-    def count(self) -> int:
-        return len(self.lexicon) + len(self.patterns) + len(self.mined)
-
-    def votes(self, text: str | None, parts: Counter) -> int:
-        """The votes as bits, the first voter lowest."""
-        keys = parts.keys()
-        said = [not own.isdisjoint(keys) for own in self.lexicon]
-        said += [bool(text and p.search(text)) for p in self.patterns]
-        said += [not own.isdisjoint(keys) for own in self.mined]
-        return sum(1 << k for k, v in enumerate(said) if v)
+        parts: dict[str, int] = {}
+        lists = [words.split() for words in LEXICON.values()]
+        lists += [list(p) for p in np.array_split(np.array(mined, object), MINED_VOTERS)]
+        for number, own in enumerate(lists):
+            for part in own:
+                parts[part] = parts.get(part, 0) | 1 << number
+        return cls(parts, len(lists) + len(PHRASES) + 3)
+
+    def votes(self, text: str | None, words: Iterable[str]) -> int:
+        """The votes as bits: lexicons, mined parts, phrases, tone."""
+        get, said = self.parts.get, 0
+        for word in words:
+            said |= get(word, 0) | get(word[:4] + "-", 0) | get(word[:5] + "-", 0)
+        if text:
+            low = text.lower()
+            tone = [any(p in low for p in own) for own in PHRASES.values()]
+            tone.append(EXCLAIMING in text)
+            tone.append(any(m in text for m in MASKS) and bool(MASKED.search(text)))
+            tone.append(shouted(text))
+            for number, voted in enumerate(tone, self.count - len(tone)):
+                said |= voted << number
+        return said
 
 
 def mined_parts(labelled: DataFrame) -> list[str]:
@@ -106,7 +128,7 @@ def mined_parts(labelled: DataFrame) -> list[str]:
         for batch in pieces(batches, 512):
             docs, toxic = Counter(), Counter()
             for text, label in zip(column(batch, "text"), column(batch, "toxic")):
-                own = parts_of(text)[0].keys()
+                own = {part for word in words_of(text) for part in parts_of(word)}
                 docs.update(own)
                 if label:
                     toxic.update(own)
@@ -141,13 +163,16 @@ class LabelModel:
     rates: np.ndarray  # voter, label: share of texts it votes for
     power: np.ndarray  # voter: how much of its word counts beside correlated voters
 
+    def odds(self) -> tuple[np.ndarray, float]:
+        """What each vote adds to the log odds, and the log odds without any vote."""
+        without = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0])) * self.power
+        with_vote = np.log(self.rates[:, 1] / self.rates[:, 0]) * self.power
+        return with_vote - without, float(np.log(self.prior / (1 - self.prior)) + without.sum())
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """The chance that the label is 1, by rows of votes."""
-        odds = np.log(self.prior / (1 - self.prior))
-        for_one = np.log(self.rates[:, 1] / self.rates[:, 0])
-        against = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
-        odds = odds + (np.where(votes, for_one, against) * self.power).sum(1)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        by_vote, none = self.odds()
+        return 1 / (1 + np.exp(-np.clip(np.asarray(votes) @ by_vote + none, -30, 30)))
 
 
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
@@ -170,7 +195,7 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
         model.rates = np.clip((votes.T @ weight + [0.05, 0.5]) / (mass + 1), 1e-4, 1 - 1e-4)
         model.prior = float(np.clip((mass[1] + 0.5) / (mass.sum() + 1), 0.001, 0.999))
         model.power = 1 / _shared(votes, weight, model.rates)
-        chance = model.posterior(votes > 0)
+        chance = model.posterior(votes)
         unknown = counts[:, 2]
         weight = np.stack(
             [counts[:, 0] + unknown * (1 - chance), counts[:, 1] + unknown * chance], 1
@@ -195,16 +220,27 @@ def _shared(votes: np.ndarray, weight: np.ndarray, rates: np.ndarray) -> np.ndar
 # -- classifier
 
 
-def features(text: str | None, voters: Voters) -> tuple[list[int], list[float]]:
-    """Hashed words and word beginnings by damped share, and every vote."""
-    parts, n_words = parts_of(text)
+def slots_of(word: str) -> tuple[int, int]:
+    """Hashed features of a word: itself and its beginning."""
     space = 1 << FEATURE_BITS
-    at = [zlib.crc32(p.encode()) % space for p in parts]
-    scale = 1 / np.sqrt(1 + n_words)
-    values = [min(n, 3) * scale for n in parts.values()]
-    votes = voters.votes(text, parts)
+    return zlib.crc32(word.encode()) % space, zlib.crc32((word[:4] + "-").encode()) % space
+
+
+def scale_of(words: Counter) -> float:
+    """Damps long texts: a word counts three times at most, by the root of the text's length."""
+    return 1 / np.sqrt(1 + words.total())
+
+
+def features(text: str | None, voters: Voters) -> tuple[list[int], list[float], int]:
+    """Hashed features of a text, their values, and its votes; every vote is a feature too."""
+    words, space = words_of(text), 1 << FEATURE_BITS
+    at, values, scale = [], [], scale_of(words)
+    for word, n in words.items():
+        at += slots_of(word)
+        values += [min(n, 3) * scale] * 2
+    votes = voters.votes(text, words)
     said = [k for k in range(voters.count) if votes >> k & 1]
-    return at + [space + k for k in said], values + [1.0] * len(said)
+    return at + [space + k for k in said], values + [1.0] * len(said), votes
 
 
 @dataclass
@@ -212,42 +248,55 @@ class Classifier:
     weights: np.ndarray
     bias: float
 
-    def score(self, at: list[int], values: list[float]) -> float:
-        odds = float(self.weights[at] @ np.array(values)) + self.bias if at else self.bias
-        return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-
 
 def fit_classifier(
-    rows: Sequence[tuple[list[int], list[float]]], chances: np.ndarray, size: int,
-    rounds: int = 120, ridge: float = 1e-4, rate: float = 0.3,
+    at: np.ndarray, values: np.ndarray, sizes: np.ndarray, chances: np.ndarray, start: Classifier,
+    rounds: int = 250, ridge: float = 1e-5, rate: float = 0.3,
 ) -> Classifier:
-    """Logistic regression on posterior labels, by full gradients with per-weight steps."""
-    flat = np.concatenate([np.array(a, "i8") for a, _ in rows]) if rows else np.zeros(0, "i8")
-    value = np.concatenate([np.array(v) for _, v in rows]) if rows else np.zeros(0)
-    owner = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows]) if rows else flat
-    used, place = np.unique(flat, return_inverse=True)
-    weights, squares, bias, bias_square = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
-    for _ in range(rounds if rows else 0):
-        odds = np.bincount(owner, value * weights[place], len(rows)) + bias
+    """Logistic regression on posterior labels, by full gradients with per-weight steps.
+
+    ``at`` and ``values`` hold the features of all rows one after another, ``sizes`` their number
+    per row. Starts from the label model's own odds (``start``). The odds are then scaled and moved to fit the targets best.
+    """
+    owner = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
+    used, place = np.unique(at, return_inverse=True)
+    place = place.astype("i4")
+    weights, squares = start.weights[used], np.full(len(used), 1e-8)
+    bias, bias_square = start.bias, 1e-8
+    for _ in range(rounds):
+        odds = np.bincount(owner, values * weights[place], len(sizes)) + bias
         error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - chances
-        slope = np.bincount(place, value * error[owner], len(used)) / len(rows) + ridge * weights
+        slope = np.bincount(place, values * error[owner], len(used)) / len(sizes) + ridge * weights
         squares += slope**2
         weights -= rate * slope / np.sqrt(squares)
-        level = error.mean()
-        bias_square += level**2
-        bias -= rate * level / np.sqrt(bias_square)
-    whole = np.zeros(size)
-    whole[used] = weights
-    return Classifier(whole, bias)
+        bias_square += error.mean() ** 2
+        bias -= rate * error.mean() / np.sqrt(bias_square)
+    odds = np.bincount(owner, values * weights[place], len(sizes)) + bias
+    slope, offset = _calibrated(odds, chances)
+    whole = start.weights * slope
+    whole[used] = weights * slope
+    return Classifier(whole, bias * slope + offset)
+
+
+def _calibrated(odds: np.ndarray, chances: np.ndarray, rounds: int = 25) -> tuple[float, float]:
+    """Slope and offset of the odds by Newton's method, held back slightly towards 1 and 0."""
+    inputs, fit, start = np.stack([odds, np.ones(len(odds))], 1), np.array([1.0, 0.0]), [1.0, 0.0]
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-np.clip(inputs @ fit, -30, 30)))
+        slope = inputs.T @ (chance - chances) + 0.1 * (fit - start)
+        bend = (inputs * (chance * (1 - chance))[:, None]).T @ inputs + 0.1 * np.eye(2)
+        fit = fit - np.clip(np.linalg.solve(bend, slope), -1, 1)
+    return float(max(fit[0], 0.1)), float(fit[1])
 
 
 # -- on Spark
 
 
-def _over_texts(one: Callable, names: Sequence[str], make: Sequence[pa.DataType]):
-    """Runs ``one(text)`` over the texts of a batch and passes its other columns on."""
+def _over_texts(begin: Callable, names: Sequence[str], make: Sequence[pa.DataType]):
+    """Runs what ``begin()`` gives over the texts of a task and passes other columns on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = begin()
         for batch in pieces(batches):
             rows = [one(text) for text in column(batch, "text")]
             made = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * len(make), make)]
@@ -264,8 +313,28 @@ class Detector:
     model: LabelModel
     classifier: Classifier
 
-    def score(self, text: str | None) -> float:
-        return self.classifier.score(*features(text, self.voters))
+    def scorer(self) -> Callable[[str | None], float]:
+        """Scores texts; remembers the weights of words it has met, a bounded number."""
+        weights, space, known = self.classifier.weights, 1 << FEATURE_BITS, {}
+        by_vote = weights[space:]
+
+        def score(text: str | None) -> float:
+            words, total = words_of(text), 0.0
+            for word, n in words.items():
+                weight = known.get(word)
+                if weight is None:
+                    a, b = slots_of(word)
+                    weight = float(weights[a] + weights[b])
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = weight
+                total += min(n, 3) * weight
+            votes = self.voters.votes(text, words)
+            said = sum(float(w) for k, w in enumerate(by_vote) if votes >> k & 1)
+            odds = total * scale_of(words) + said + self.classifier.bias
+            return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+
+        return score
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -279,57 +348,52 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     fitted on ``fit_rows`` labelled rows at most, by the hash of their id; its targets are the
     label model's posteriors, given votes and label.
     """
-    given = labels.filter(F.col(toxic).isNotNull()).select(
-        id_key("doc_id").alias("key"), (F.col(toxic) > 0).cast("int").alias("toxic"), held_out().alias("held")
-    ).filter("NOT held").groupBy("key").agg(F.max("toxic").alias("toxic"))
+    stage, n_slots = Stage(docs.sparkSession), 1 << FEATURE_BITS
+    given = labels.filter(F.col(toxic).isNotNull() & ~held_out()).select(
+        id_key("doc_id").alias("key"), (F.col(toxic) > 0).cast("int").alias("toxic")
+    ).groupBy("key").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(id_key(doc_id).alias("key"), F.col(text).alias("text"))
-    labelled = rows.join(given, "key")
+    may_teach = docs.filter(~held_out(doc_id)).select(
+        id_key(doc_id).alias("key"), F.col(text).alias("text")
+    )
+    # Copies teach once, else every word of a copied toxic text would look toxic.
+    taught = may_teach.join(given, "key").groupBy(F.xxhash64("text").alias("mark")).agg(
+        F.min("key").alias("key"), F.max("toxic").alias("toxic"), F.max("text").alias("text")
+    )
+    stage.write("labelled", taught.drop("mark"))
+    labelled = stage.read("labelled")
     voters = Voters.of(mined_parts(labelled))
 
     votes = rows.mapInArrow(
-        _over_texts(lambda t: (voters.votes(t, parts_of(t)[0]),), ["votes"], [pa.int64()]),
+        _over_texts(lambda: lambda t: (voters.votes(t, words_of(t)),), ["votes"], [pa.int64()]),
         "key long, votes long",
     )
-    stage = Stage(docs.sparkSession)
-    stage.write("votes", votes.join(given, "key", "left"))
-    counted = stage.read("votes").groupBy("votes").agg(
+    counted = votes.join(given, "key", "left").groupBy("votes").agg(
         F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1),
         F.count_if(F.col("toxic").isNull()),
     ).orderBy("votes").collect()
-    patterns = np.array([[r[0] >> k & 1 for k in range(voters.count)] for r in counted], "i1")
-    counts = np.array([list(r[1:]) for r in counted], float)
-    if not counted:
-        empty = Classifier(np.zeros((1 << FEATURE_BITS) + voters.count), -3.0)
-        return Detector(voters, LabelModel(0.5, np.full((voters.count, 2), 0.5), np.ones(voters.count)), empty)
-    model = fit_label_model(patterns, counts)
+    bits = np.arange(voters.count)
+    patterns = (np.array([r[0] for r in counted], "i8")[:, None] >> bits) & 1
+    model = fit_label_model(patterns, np.array([list(r[1:]) for r in counted], float).reshape(-1, 3))
 
     order = F.xxhash64(F.lit("fit"), F.col("key"))
-    chosen = labelled.join(
-        stage.read("votes").filter("toxic IS NOT NULL").select("key").distinct()
-        .orderBy(order, "key").limit(fit_rows), "key", "left_semi",
-    )
+    chosen = labelled.select("key").distinct().orderBy(order, "key").limit(fit_rows)
     kinds = [pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int64()]
-
-    def described(t: str | None) -> tuple:
-        at, values = features(t, voters)
-        return at, values, voters.votes(t, parts_of(t)[0])
-
-    sample = chosen.select("key", "toxic", "text").mapInArrow(
-        _over_texts(described, ["at", "value", "votes"], kinds),
+    sample = labelled.join(chosen, "key", "left_semi").mapInArrow(
+        _over_texts(lambda: lambda t: features(t, voters), ["at", "value", "votes"], kinds),
         "key long, toxic int, at array<int>, value array<float>, votes long",
-    ).toArrow().sort_by("key").to_pylist()
-    said = np.array([[r["votes"] >> k & 1 for k in range(voters.count)] for r in sample], bool)
-    label = np.array([r["toxic"] for r in sample], float)
+    ).toArrow().combine_chunks().sort_by("key")
+    by_vote, bias = model.odds()
+    start = Classifier(np.concatenate((np.zeros(n_slots), by_vote)), bias)
+    if not sample.num_rows:
+        return Detector(voters, model, start)
+    flat = [pa.chunked_array(sample[c]).combine_chunks() for c in ("at", "value")]
+    at, value = (x.flatten().to_numpy() for x in flat)
+    sizes = np.diff(flat[0].offsets.to_numpy())
+    chance = model.posterior((sample["votes"].to_numpy()[:, None] >> bits) & 1)
     # A label that was given is one more voter, right nearly always.
-    chance = model.posterior(said.reshape(-1, voters.count))
-    chance = 0.1 * chance + 0.9 * label
-    size = (1 << FEATURE_BITS) + voters.count
-    if len(sample):
-        classifier = fit_classifier([(r["at"], r["value"]) for r in sample], chance, size)
-    else:
-        classifier = Classifier(np.zeros(size), float(np.log(model.prior / (1 - model.prior))))
-        classifier.weights[1 << FEATURE_BITS :] = np.log(model.rates[:, 1] / model.rates[:, 0]) * model.power
-    return Detector(voters, model, classifier)
+    chance = (1 - TRUST) * chance + TRUST * sample["toxic"].to_numpy()
+    return Detector(voters, model, fit_classifier(at, value, sizes, chance, start))
 
 
 def score_toxicity(docs: DataFrame, detector: Detector, *, text: str = "text",
@@ -345,8 +409,13 @@ def score_toxicity(docs: DataFrame, detector: Detector, *, text: str = "text",
     own = F.struct(*(docs[c] for c in names), F.lit(0).alias("_"))
     packed = docs.select(own.alias("own"), docs[text].alias("text"))
     kind = packed.schema["own"].dataType.simpleString()
+
+    def scorer() -> Callable[[str | None], tuple]:
+        score = shared.value.scorer()
+        return lambda t: (score(t),)
+
     scored = packed.mapInArrow(
-        _over_texts(lambda t: (shared.value.score(t),), ["score"], [pa.float64()]),
+        _over_texts(scorer, ["score"], [pa.float64()]),
         f"own {kind}, score double",
     )
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
