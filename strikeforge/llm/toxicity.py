@@ -354,13 +354,15 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     ).groupBy("key").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(id_key(doc_id).alias("key"), F.col(text).alias("text"))
     may_teach = docs.filter(~held_out(doc_id)).select(
-        id_key(doc_id).alias("key"), F.col(text).alias("text")
+        id_key(doc_id).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")
     )
-    # Copies teach once, else every word of a copied toxic text would look toxic.
-    taught = may_teach.join(given, "key").groupBy(F.xxhash64("text").alias("mark")).agg(
-        F.min("key").alias("key"), F.max("toxic").alias("toxic"), F.max("text").alias("text")
+    # Copies teach once, else every word of a copied toxic text would look toxic. Texts are
+    # shuffled once, whatever the number of labels, and only for the join that keeps them.
+    once = may_teach.select("key", "mark").join(given, "key").groupBy("mark").agg(
+        F.min("key").alias("key"), F.max("toxic").alias("toxic")
     )
-    stage.write("labelled", taught.drop("mark"))
+    taught = may_teach.join(once.hint("merge"), ["key", "mark"])
+    stage.write("labelled", taught.select("key", "toxic", "text"))
     labelled = stage.read("labelled")
     voters = Voters.of(mined_parts(labelled))
 
