@@ -15,7 +15,7 @@ from strikeforge.plans.landed import Wanted, landed_chain, wanted_contracts
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import CONTRACT_KEY, DATASETS
 from strikeforge.sources import bridge
-from strikeforge.sources.tables import Stage, load_dataset, load_datasets
+from strikeforge.sources.tables import Stage, is_folder, load_dataset, load_datasets
 from strikeforge.streaming.live import LiveQuotes
 
 try:
@@ -82,6 +82,9 @@ class Tables:
     def dataset(self, name: str) -> DataFrame:
         return load_dataset(self.spark, self.folder(), name)
 
+    def limits(self) -> screens.Thresholds:
+        return screens.default_thresholds(self.dataset("option_chain"))
+
     def datasets(self) -> dict[str, DataFrame]:
         return load_datasets(self.spark, self.folder(), DATASETS)
 
@@ -89,7 +92,7 @@ class Tables:
 def symbol_universe(t: Tables) -> DataFrame:
     own, following = bridge.symbol_of("s_suppkey"), bridge.symbol_of("(s_suppkey + 1)")
     untidy = f"concat(' ', lower({own}), ' , ,', {following}, ',') AS symbols"
-    lists = t.table("supplier").filter("s_nationkey % 2 = 0").selectExpr(untidy)
+    lists = t.table("supplier").selectExpr(untidy)
     return universe.symbol_universe(lists, "symbols")
 
 
@@ -159,13 +162,15 @@ def chain_describe(t: Tables) -> DataFrame:
 
 
 def replay(t: Tables, on_snapshot: Callable[[DataFrame, int], None] | None = None) -> LiveQuotes:
-    """The tick log read as a file stream until it is drained."""
-    schema = t.table("lineitem").schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+    """The tick log, a file or a folder of part files, read as a stream until it is drained."""
+    schema, path = t.table("lineitem").schema, f"{t.sf_dir}/lineitem.parquet"
+    stream = t.spark.readStream.schema(schema)
+    if not is_folder(t.spark, path):
+        stream, path = stream.option("pathGlobFilter", "lineitem.parquet"), t.sf_dir
     live = LiveQuotes(
         t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY, on_snapshot=on_snapshot
     )
-    writer = live.writer(bridge.ticks(stream.parquet(t.sf_dir)))
+    writer = live.writer(bridge.ticks(stream.parquet(path)))
     writer.trigger(availableNow=True).start().awaitTermination()
     return live
 
@@ -213,12 +218,12 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "max_pain_curve_all": lambda t: t.strategies().max_pain_curve(True),
     "dataset_roundtrip": lambda t: t.dataset("spreads"),
     "filter_choices": filter_choices,
-    "screen_credit": lambda t: screens.credit_spreads(
-        t.dataset("spreads"), limits=screens.default_thresholds(t.dataset("option_chain"))
-    ),
+    "screen_credit": lambda t: screens.credit_spreads(t.dataset("spreads"), limits=t.limits()),
     "screen_debit": lambda t: screens.debit_spreads(t.dataset("spreads")),
-    "screen_condors": lambda t: screens.limited(t.dataset("iron_condors")),
-    "screen_butterflies": lambda t: screens.limited(t.dataset("iron_butterflies")),
+    "screen_condors": lambda t: screens.limited(t.dataset("iron_condors"), limits=t.limits()),
+    "screen_butterflies": lambda t: screens.limited(
+        t.dataset("iron_butterflies"), limits=t.limits()
+    ),
     "screen_strangles": lambda t: screens.strangle_list(t.dataset("strangles"), {"symbol": []}),
     "screen_calendars": lambda t: screens.calendar_list(t.dataset("calendars"), {"right": ["P"]}),
     "screen_expected_move": lambda t: screens.analytics_list(t.dataset("expected_move")),

@@ -367,7 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "chain_snapshot": snapshot,
         "live_chain": snapshot,
         "symbol_universe": f"""SELECT DISTINCT {SYMBOL.format(key="(s_suppkey + d)")} AS symbol
-            FROM supplier, (VALUES (0), (1)) t(d) WHERE s_nationkey % 2 = 0""",
+            FROM supplier, (VALUES (0), (1)) t(d)""",
         "preferred_listing": f"""{CTES} SELECT symbol, exchange,
             CAST((SELECT count(*) FROM range(0, 7) r(i) WHERE i % step = 0) AS INTEGER)
               AS n_expirations,

@@ -76,7 +76,6 @@ def dataset_sizes(datasets: Mapping[str, DataFrame]) -> DataFrame:
 
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
-EXACT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -84,27 +83,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def describe(df: DataFrame, exact_limit: int = EXACT_LIMIT) -> DataFrame:
+def describe(df: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of each numeric column.
 
-    Quartiles interpolate linearly. The built-in exact percentile keeps all distinct values
-    of a column in one task, so it serves only tables up to ``exact_limit`` rows; beyond
-    that ``_large_quartiles`` finds the same values without gathering a column anywhere.
+    Quartiles interpolate linearly and are found without gathering a column anywhere, the same
+    way at every size. A column without values has a count of zero and NULL elsewhere.
     """
     columns = numeric_columns(df)
-    if df.count() > exact_limit:
-        quartiles = _large_quartiles(df, columns)
-        return _moments(df, columns).join(quartiles, "column", "left").select(*DESCRIBED)
-    aggregates = F.array(
-        *(
-            F.struct(
-                *_moment_columns(c),
-                *(F.percentile(F.col(c).cast("double"), q).alias(n) for n, q in QUARTILES.items()),
-            )
-            for c in columns
-        )
-    )
-    return df.agg(aggregates.alias("all")).select(F.inline("all")).select(*DESCRIBED)
+    quartiles = _quartiles(df, columns)
+    return _moments(df, columns).join(quartiles, "column", "left").select(*DESCRIBED)
 
 
 DESCRIBED = ["column", "n", "mean", "std", "min", *QUARTILES, "max"]
@@ -127,7 +114,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(rows.alias("all")).select(F.inline("all"))
 
 
-def _large_quartiles(
+def _quartiles(
     df: DataFrame, columns: Sequence[str], accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:
     """Exact quartiles in three scans.
@@ -140,6 +127,9 @@ def _large_quartiles(
     value = {c: F.col(c).cast("double") for c in columns}
     counts = df.agg(*(F.count(value[c]).alias(c) for c in columns)).first().asDict()
     wanted = [(c, n, q) for c in columns if counts[c] for n, q in QUARTILES.items()]
+    if not wanted:
+        fields = ", ".join(f"{n} double" for n in QUARTILES)
+        return df.sparkSession.createDataFrame([], f"column string, {fields}")
 
     def bounds(c: str, q: float) -> list[float]:
         slack = 2.0 / accuracy + 2.0 / counts[c]

@@ -57,6 +57,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    location, system = _file_system(spark, path)
+    return system.getFileStatus(location).isDirectory()
+
+
 def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """A stored dataset by name, or None if it is missing or unreadable."""
     path = f"{folder}/{name}"

@@ -112,33 +112,40 @@ def profile(df) -> dict:
 
 
 @pytest.mark.parametrize("seed, rows", [(1, 1), (2, 2), (3, 5), (4, 600)])
-def test_describe_agrees_with_pandas_on_both_paths(spark, seed, rows):
+def test_describe_agrees_with_pandas(spark, seed, rows):
     data = pd.DataFrame(random_chain(seed, symbols=8)).head(rows)
     df = chain_from_rows(spark, data.astype(object).where(data.notna(), None).to_dict("records"))
-    small, large = profile(quality.describe(df)), profile(quality.describe(df, exact_limit=0))
-    assert set(small) == set(large) == set(quality.numeric_columns(df))
+    profiled = profile(quality.describe(df))
+    assert set(profiled) == set(quality.numeric_columns(df))
     for column in ("strike", "mid", "delta", "open_interest", "underlying_price", "dte"):
-        values = data[column].astype(float).dropna()
-        expected = values.describe() if len(values) else None
-        for found in (small[column], large[column]):
-            assert found["n"] == len(values)
-            if expected is None:
-                assert found["mean"] is None and found["p50"] is None
-                continue
-            assert [found[k] for k in ("mean", "min", "p25", "p50", "p75", "max")] == pytest.approx(
-                [expected[k] for k in ("mean", "min", "25%", "50%", "75%", "max")])
-            if len(values) > 1:
-                assert found["std"] == pytest.approx(expected["std"])
-
-
-def test_large_quartiles_keep_a_small_share_of_the_rows(spark):
+        values, found = data[column].astype(float).dropna(), profiled[column]
+        assert found["n"] == len(values)
+        if not len(values):
+            assert found["mean"] is None and found["p50"] is None
+            continue
+        expected = values.describe()
+        assert [found[k] for k in ("mean", "min", "p25", "p50", "p75", "max")] == pytest.approx(
+            [expected[k] for k in ("mean", "min", "25%", "50%", "75%", "max")])
+        if len(values) > 1:
+            assert found["std"] == pytest.approx(expected["std"])
+
+
+def test_quartiles_equal_the_exact_percentile(spark):
     df = spark.range(200_000).selectExpr(
         "double(pmod(xxhash64(id), 1000003)) AS wide", "double(id % 3) AS few",
         "if(id % 2 = 0, double(id), NULL) AS half")
-    small, large = profile(quality.describe(df)), profile(quality.describe(df, exact_limit=0))
-    for column in small:
-        for name in quality.QUARTILES:
-            assert large[column][name] == pytest.approx(small[column][name], rel=1e-12)
+    found = profile(quality.describe(df))
+    for column in df.columns:
+        exact = df.selectExpr(*(f"percentile({column}, {q}) AS {n}" for n, q in quality.QUARTILES.items()))
+        for name, value in exact.first().asDict().items():
+            assert found[column][name] == pytest.approx(value, rel=1e-12)
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_describe_without_any_value(spark, rows):
+    df = spark.range(rows).selectExpr("cast(NULL AS double) AS nothing")
+    row = quality.describe(df).first()
+    assert (row.column, row.n, row["mean"], row.p50, row["max"]) == ("nothing", 0, None, None, None)
 
 
 def test_null_profile_and_sizes(spark):
