@@ -24,13 +24,13 @@ VERTICAL_KEYS = ["symbol", "expiration", "right"]
 SELLABLE = """CASE WHEN right = 'P' THEN strike <= underlying_price
     ELSE strike >= underlying_price END"""
 
-# Named by right and strike order alone, whatever the sign of the premium.
-LABEL = """coalesce(
-    concat(
-        CASE right WHEN 'P' THEN 'Put ' WHEN 'C' THEN 'Call ' END,
-        CASE WHEN (right = 'P') = (short_strike > long_strike) THEN 'Credit' ELSE 'Debit' END,
-        ' Spread'),
-    'Unknown')"""
+# Named by right and strike order alone, whatever the sign of the premium. Fixed values.
+LABEL = """CASE
+    WHEN right = 'P' AND short_strike > long_strike THEN 'Put Credit Spread'
+    WHEN right = 'P' AND short_strike < long_strike THEN 'Put Debit Spread'
+    WHEN right = 'C' AND short_strike < long_strike THEN 'Call Credit Spread'
+    WHEN right = 'C' AND short_strike > long_strike THEN 'Call Debit Spread'
+    ELSE 'Unknown' END"""
 
 # A credit is earned around the strike sold, a debit around the strike bought.
 BREAKEVEN = """CASE WHEN premium >= 0 THEN short_strike ELSE long_strike END
