@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from oracle.sql import oracle_sql as _oracle_sql
 from strikeforge.functions.numbers import clean_double
 from strikeforge.operators import ingest, quality, screens, universe
+from strikeforge.operators.verticals import vertical_spreads
 from strikeforge.plans.landed import Wanted, landed_chain, wanted_contracts
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import CONTRACT_KEY, DATASETS
@@ -41,6 +42,7 @@ class Tables:
         self.stage = Stage(spark)
         self._strategies: Strategies | None = None
         self._datasets: str | None = None
+        self._written: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         return bridge.table(self.spark, self.sf_dir, name)
@@ -76,9 +78,14 @@ class Tables:
         """The stored results of one scan."""
         if self._datasets is None:
             self._datasets = f"{self.stage.path}/datasets"
-            run_scan(self.spark, self.strategies().chain, self._datasets)
+            self._written = run_scan(self.spark, self.strategies().chain, self._datasets)
         return self._datasets
 
+    def written(self) -> dict[str, int]:
+        """The row counts that the scan returned."""
+        self.folder()
+        return self._written
+
     def dataset(self, name: str) -> DataFrame:
         return load_dataset(self.spark, self.folder(), name)
 
@@ -161,14 +168,38 @@ def chain_describe(t: Tables) -> DataFrame:
     return profile.withColumns({c: F.round(c, 6) for c in rounded})
 
 
-def replay(t: Tables, on_snapshot: Callable[[DataFrame, int], None] | None = None) -> LiveQuotes:
+def spreads_of_repeats(t: Tables) -> DataFrame:
+    """Every contract twice, as when two sources deliver the same chain."""
+    chain = t.strategies().chain
+    return vertical_spreads(ingest.union_sources(chain, chain), ranked=False)
+
+
+def scan_counts(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(t.written().items()), "dataset string, n_rows long")
+
+
+def shown_rows(t: Tables) -> DataFrame:
+    shown = [
+        (name, screens.shown(show(t)))
+        for name, show in OPERATORS.items()
+        if name.startswith("screen_")
+    ]
+    return t.spark.createDataFrame(shown, "screen string, n_rows long")
+
+
+def replay(
+    t: Tables,
+    on_snapshot: Callable[[DataFrame, int], None] | None = None,
+    files_per_trigger: int = 256,
+) -> LiveQuotes:
     """The tick log, a file or a folder of part files, read as a stream until it is drained."""
     schema, path = t.table("lineitem").schema, f"{t.sf_dir}/lineitem.parquet"
-    stream = t.spark.readStream.schema(schema)
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if not is_folder(t.spark, path):
         stream, path = stream.option("pathGlobFilter", "lineitem.parquet"), t.sf_dir
     live = LiveQuotes(
-        t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY, on_snapshot=on_snapshot
+        t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY,
+        as_of=lambda: bridge.AS_OF, on_snapshot=on_snapshot,
     )
     writer = live.writer(bridge.ticks(stream.parquet(path)))
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -208,6 +239,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain": lambda t: t.chain(),
     "scan_chain": scan_chain,
     "vertical_spreads": lambda t: t.strategies().spreads(),
+    "vertical_spreads_repeated": spreads_of_repeats,
     "iron_condors": lambda t: t.strategies().iron_condors(),
     "iron_butterflies": lambda t: t.strategies().iron_butterflies(),
     "strangles": lambda t: t.strategies().strangles(),
@@ -229,6 +261,9 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "screen_expected_move": lambda t: screens.analytics_list(t.dataset("expected_move")),
     "screen_max_pain": lambda t: screens.analytics_list(t.dataset("max_pain")),
     "screen_chain": lambda t: screens.chain_list(t.dataset("option_chain")),
+    "shown_rows": shown_rows,
+    "scan_counts": scan_counts,
+    "chain_preview": lambda t: quality.preview(t.dataset("option_chain").orderBy(*CONTRACT_KEY)),
     "quote_quality": lambda t: quality.quote_quality(t.dataset("option_chain")),
     "chain_describe": chain_describe,
     "strategy_counts": lambda t: screens.strategy_counts(t.dataset("spreads")),

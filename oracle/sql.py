@@ -6,7 +6,48 @@ form the Spark code uses, so that agreement says something about both.
 
 from __future__ import annotations
 
-from strikeforge.schema import RESULT_COLUMNS
+# The result columns, written out here so that a wrong list in the engine is found (fixed values).
+RESULT_COLUMNS = {
+    "option_chain": """
+        symbol strike right expiration dte bid ask last close mid delta gamma theta vega
+        implied_vol open_interest volume underlying_price""".split(),
+    "spreads": """
+        symbol expiration right strategy underlying_price spread_ratio short_strike
+        pct_to_short_strike short_mid short_delta long_strike pct_to_long_strike long_mid
+        long_delta credit width max_profit max_loss credit_yield ROC breakeven
+        pct_to_breakeven dte net_delta net_gamma net_theta net_vega""".split(),
+    "iron_condors": """
+        symbol expiration put_short_strike put_long_strike call_short_strike call_long_strike
+        put_credit call_credit total_credit put_width call_width max_profit max_loss
+        spread_ratio credit_yield ROC lower_breakeven upper_breakeven underlying_price
+        pct_to_lower_breakeven pct_to_upper_breakeven dte net_delta net_gamma net_theta
+        net_vega""".split(),
+    "strangles": """
+        symbol expiration underlying_price put_strike call_strike put_mid call_mid
+        total_premium lower_breakeven upper_breakeven breakeven_width pct_to_put_strike
+        pct_to_call_strike pct_to_lower_breakeven pct_to_upper_breakeven ROC dte net_delta
+        net_gamma net_theta net_vega put_delta call_delta put_implied_vol
+        call_implied_vol""".split(),
+    "iron_butterflies": """
+        symbol expiration dte atm_strike put_wing_strike call_wing_strike wing_width
+        short_put_mid short_call_mid long_put_mid long_call_mid total_credit max_profit
+        max_loss spread_ratio credit_yield ROC lower_breakeven upper_breakeven
+        underlying_price pct_to_atm_strike pct_to_lower_breakeven pct_to_upper_breakeven
+        short_put_delta long_put_delta short_call_delta long_call_delta atm_put_iv
+        atm_call_iv""".split(),
+    "calendars": """
+        symbol right strike near_expiration far_expiration near_dte far_dte dte_gap near_mid
+        far_mid net_debit approx_max_profit approx_ROC theta_differential iv_differential
+        underlying_price pct_to_strike near_delta far_delta near_iv far_iv near_theta
+        far_theta""".split(),
+    "expected_move": """
+        symbol expiration dte underlying_price atm_call_strike atm_put_strike atm_call_mid
+        atm_put_mid expected_move expected_move_contract move_pct upper_bound lower_bound
+        avg_atm_iv""".split(),
+    "max_pain": """
+        symbol expiration dte underlying_price max_pain_strike call_pain put_pain total_pain
+        pct_from_underlying""".split(),
+}
 
 SYMBOL = """'SYM' || CASE WHEN {key} < 10000
     THEN lpad(CAST({key} AS VARCHAR), 4, '0') ELSE CAST({key} AS VARCHAR) END"""
@@ -360,10 +401,19 @@ QUALITY = ", ".join(
 )
 
 
+def with_shown_rows(sql: dict[str, str]) -> dict[str, str]:
+    counts = (
+        f"SELECT '{name}' AS screen, count(*) AS n_rows FROM ({own})"
+        for name, own in sql.items()
+        if name.startswith("screen_")
+    )
+    return sql | {"shown_rows": " UNION ALL ".join(counts)}
+
+
 def oracle_sql() -> dict[str, str]:
     quotes = quoted([c for c in RESULT_COLUMNS["option_chain"] if c != "underlying_price"])
     snapshot = f"{CTES} SELECT {quotes} FROM chain"
-    return {
+    return with_shown_rows({
         "chain_snapshot": snapshot,
         "live_chain": snapshot,
         "symbol_universe": f"""SELECT DISTINCT {SYMBOL.format(key="(s_suppkey + d)")} AS symbol
@@ -404,6 +454,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "vertical_spreads": dataset("spreads"),
         "dataset_roundtrip": dataset("spreads"),
+        "vertical_spreads_repeated": dataset("spreads"),
         "iron_condors": dataset("iron_condors"),
         "live_scan": dataset("iron_condors"),
         "iron_butterflies": dataset("iron_butterflies"),
@@ -444,4 +495,6 @@ def oracle_sql() -> dict[str, str]:
         "top10_by_strategy": f"{CTES} {TOP}",
         "null_profile": f"{CTES} SELECT * FROM ({NULLS}) WHERE null_count > 0",
         "dataset_sizes": f"{CTES} {SIZES}",
-    }
+        "scan_counts": f"{CTES} SELECT dataset, n_rows FROM ({SIZES})",
+        "chain_preview": dataset("option_chain", f"ORDER BY {KEY} LIMIT 10"),
+    })

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
 from strikeforge.functions.payoff import distance_pct, named, per_contract, yield_pct
-from strikeforge.operators.pairing import Layout, as_leg, pair_legs, priced
+from strikeforge.operators.pairing import as_leg, pair_legs, priced
 from strikeforge.schema import RESULT_COLUMNS
 
 EXPIRATION_KEYS = ["symbol", "expiration"]
@@ -109,9 +109,7 @@ FLY_COLUMNS = {
 }
 
 
-def iron_butterflies(
-    chain: DataFrame, *, hot: DataFrame | None = None, ranked: bool = True
-) -> DataFrame:
+def iron_butterflies(chain: DataFrame, *, ranked: bool = True) -> DataFrame:
     """Short straddle at the money with long wings equally far out on both sides.
 
     Every contract knows its own distance from the at-the-money strike, so matching wings
@@ -121,7 +119,7 @@ def iron_butterflies(
     straddles = short_straddles(chain)
     wings = as_leg(priced(chain), "wing", EXPIRATION_KEYS, ["right", "strike", "mid", "delta"])
     wings = (
-        pair_legs(straddles, wings, EXPIRATION_KEYS, Layout(hot), right_by=["wing_strike"])
+        pair_legs(straddles, wings, EXPIRATION_KEYS)
         .selectExpr("*", "abs(wing_strike - atm_strike) AS wing_width")
         .filter(
             """(wing_right = 'P' AND wing_strike < atm_strike)

@@ -1,8 +1,9 @@
 """Max pain: the strike at which option holders lose the most value at expiry.
 
-The pain of settling at K is linear in the open interest below and above K, so running
-totals of interest and interest x strike along the strikes give every candidate's pain in
-one ordered pass; nothing pairs candidates with contracts.
+Going up the strikes, the pain of the calls grows at each step by the call interest passed so
+far times the step; going down, that of the puts likewise. So running totals along the strikes
+give every candidate's pain in one ordered pass each way. Nothing pairs candidates with
+contracts, and as every term is positive no digits cancel.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.numbers import percent
-from strikeforge.operators.pairing import LARGE_GROUP
 from strikeforge.schema import RESULT_COLUMNS
 
 EXPIRATION_KEYS = ["symbol", "expiration"]
-SUMS = ["call_oi", "call_value", "put_oi", "put_value"]
 
 
 def with_interest(chain: DataFrame) -> DataFrame:
@@ -23,26 +22,10 @@ def with_interest(chain: DataFrame) -> DataFrame:
     return chain.filter("open_interest > 0")
 
 
-def hot_expirations(chain: DataFrame, size: int = LARGE_GROUP) -> DataFrame:
-    """Expirations with more than ``size`` contracts and the strike step to cut them by."""
-    return (
-        with_interest(chain)
-        .groupBy(*EXPIRATION_KEYS)
-        .agg(
-            F.expr("count(*) AS contracts"),
-            F.expr("min(strike) AS low"),
-            F.expr("max(strike) AS high"),
-        )
-        .filter(f"contracts > {size} AND high > low")
-        .selectExpr(*EXPIRATION_KEYS, "low", f"(high - low) / ceil(contracts / {size}) AS step")
-    )
-
-
 def _interest_per_strike(chain: DataFrame) -> DataFrame:
     sums = [
-        f"sum(if(right = '{right}', {amount}, 0D)) AS {role}_{name}"
+        f"sum(if(right = '{right}', open_interest, 0D)) AS {role}_oi"
         for role, right in (("call", "C"), ("put", "P"))
-        for name, amount in (("oi", "open_interest"), ("value", "open_interest * strike"))
     ]
     return (
         with_interest(chain)
@@ -55,84 +38,45 @@ def _interest_per_strike(chain: DataFrame) -> DataFrame:
     )
 
 
-def _below(total: str, keys: str, order: str) -> str:
-    return f"""coalesce(sum({total}) OVER (PARTITION BY {keys} ORDER BY {order}
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)"""
-
-
-def _above(total: str, keys: str, order: str) -> str:
-    """All minus up-to-here: a frame that reaches to the end of its group would be summed
-    anew for every row."""
-    frame = f"PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    return f"""sum({total}) OVER ({frame} UNBOUNDED FOLLOWING)
-        - sum({total}) OVER ({frame} CURRENT ROW)"""
-
-
-def _running_totals(df: DataFrame, keys: list[str], order: str, suffix: str = "") -> DataFrame:
-    """Call totals before and put totals after each row, in one ordered pass."""
-    by = ", ".join(keys)
-    return df.selectExpr(
+def _along(strikes: DataFrame, role: str, direction: str) -> DataFrame:
+    """Add the interest of ``role`` passed before each strike, and its pain there."""
+    window = f"PARTITION BY {', '.join(EXPIRATION_KEYS)} ORDER BY strike {direction}"
+    so_far = f"{window} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    passed, step = f"{role}_oi_passed", f"{role}_step"
+    return strikes.selectExpr(
         "*",
-        *(f"{_below(c, by, order)} AS {c}_below{suffix}" for c in ("call_oi", "call_value")),
-        *(f"{_above(c, by, order)} AS {c}_above{suffix}" for c in ("put_oi", "put_value")),
-    )
-
+        f"coalesce(sum({role}_oi) OVER ({so_far} 1 PRECEDING), 0D) AS {passed}",
+        f"coalesce(abs(strike - lag(strike) OVER ({window})), 0D) AS {step}",
+    ).selectExpr("*", f"sum({passed} * {step}) OVER ({so_far} CURRENT ROW) AS {role}_pain")
 
-def _banded_totals(strikes: DataFrame, hot: DataFrame) -> DataFrame:
-    """The same totals with each hot expiration cut into strike bands.
 
-    Running totals inside a band, plus the totals of the bands before and after it. A band
-    covers ``step`` of the strike axis, so it holds at most step / price-grid strikes.
-    """
-    band_keys = [*EXPIRATION_KEYS, "band"]
-    strikes = strikes.join(hot, EXPIRATION_KEYS, "left").selectExpr(
-        *strikes.columns, "coalesce(floor((strike - low) / step), 0) AS band"
-    )
-    bands = strikes.groupBy(*band_keys).agg(*(F.sum(c).alias(c) for c in SUMS))
-    bands = _running_totals(bands, EXPIRATION_KEYS, "band", "_bands").drop(*SUMS)
-    inside = _running_totals(strikes, band_keys, "strike", "_inside")
-    kept = [*EXPIRATION_KEYS, "strike", "underlying_price", "dte"]
-    totals = ("call_oi_below", "call_value_below", "put_oi_above", "put_value_above")
-    return inside.join(bands, band_keys).selectExpr(
-        *kept, *(f"{c}_inside + {c}_bands AS {c}" for c in totals)
-    )
-
-
-def max_pain_curve(
-    chain: DataFrame, *, include_all_candidates: bool = False, hot: DataFrame | None = None
-) -> DataFrame:
+def max_pain_curve(chain: DataFrame, *, include_all_candidates: bool = False) -> DataFrame:
     """Pain of settling at each candidate strike.
 
     A candidate needs open call interest strictly below it, so the lowest strike and
-    expirations without calls have no row; ``include_all_candidates`` adds them.
+    expirations without calls have no row; ``include_all_candidates`` adds them. Contracts are
+    summed per strike before the shuffle by expiration, so what is ordered there is one row per
+    listed strike, however many contracts stand behind it; both passes share that shuffle.
     """
-    strikes = _interest_per_strike(chain)
-    if hot is None:
-        totals = _running_totals(strikes, EXPIRATION_KEYS, "strike")
-    else:
-        totals = _banded_totals(strikes, hot)
+    pains = _along(_along(_interest_per_strike(chain), "call", "ASC"), "put", "DESC")
     if not include_all_candidates:
-        totals = totals.filter("call_oi_below > 0")
-    return totals.selectExpr(
+        pains = pains.filter("call_oi_passed > 0")
+    return pains.selectExpr(
         *EXPIRATION_KEYS,
         "dte",
         "underlying_price",
         "strike AS candidate_strike",
-        "strike * call_oi_below - call_value_below AS call_pain",
-        "put_value_above - strike * put_oi_above AS put_pain",
+        "call_pain",
+        "put_pain",
         "call_pain + put_pain AS total_pain",
     )
 
 
 def max_pain(
-    chain: DataFrame,
-    *,
-    include_all_candidates: bool = False,
-    hot: DataFrame | None = None,
-    ranked: bool = True,
+    chain: DataFrame, *, include_all_candidates: bool = False, ranked: bool = True
 ) -> DataFrame:
     """The candidate with the least total pain per expiration; equal pain: the lower strike."""
-    curve = max_pain_curve(chain, include_all_candidates=include_all_candidates, hot=hot)
+    curve = max_pain_curve(chain, include_all_candidates=include_all_candidates)
     best = """min(struct(total_pain, candidate_strike AS max_pain_strike, call_pain, put_pain,
         underlying_price, dte)) AS best"""
     change = percent("(max_pain_strike - underlying_price)", "underlying_price")

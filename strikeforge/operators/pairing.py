@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.functions.payoff import GREEKS
+from strikeforge.sources.tables import Stage
 
 TILE_LEGS = 2048
-MOST_TASKS = 100_000  # beyond it, a task works through several tiles
-LARGE_GROUP = 500_000  # rows of a group that one task still goes through easily
 LEFT_TILE, RIGHT_TILE = "_left_tile", "_right_tile"
 
 
@@ -58,9 +57,10 @@ def lay_out(
     """Count the groups of each grouping, combined before the shuffle, all in one job.
 
     One row per grouping comes back to the driver. Work below one tile per core is left to
-    Spark, which may broadcast.
+    Spark, which may broadcast. Hot groups are stored in the shared folder, so that neither side
+    of a join counts them again and Spark knows how many bytes they are.
     """
-    cores = legs.sparkSession.sparkContext.defaultParallelism
+    cores, stage = legs.sparkSession.sparkContext.defaultParallelism, Stage(legs.sparkSession)
     counts = (
         _sizes(legs, on).selectExpr(
             f"'{name}' AS name", "sum(double(legs) * legs) AS pairs", "max(legs) AS largest"
@@ -70,8 +70,11 @@ def lay_out(
     result = {}
     for row in reduce(DataFrame.unionByName, counts).collect():
         largest = row.largest or 0
-        tasks = min(ceil((row.pairs or 0) / tile**2), MOST_TASKS)
-        hot = hot_groups(legs, groupings[row.name], tile) if largest > tile else None
+        tasks = ceil((row.pairs or 0) / tile**2)
+        hot = None
+        if largest > tile:
+            stage.write(row.name, hot_groups(legs, groupings[row.name], tile))
+            hot = stage.read(row.name)
         result[row.name] = Layout(hot, tasks if tasks > cores else None, largest)
     return result
 
@@ -110,8 +113,9 @@ def pair_legs(
 
     Any further relation between the legs is a filter on the result, which the optimizer
     moves into the join. ``left_by`` / ``right_by`` name the columns that tell the legs of
-    one group apart; a side without them is not cut. The table of hot groups is joined
-    without a hint: Spark measures it and broadcasts it or not.
+    one group apart; a side without them is not cut. The stored table of hot groups is
+    joined without a hint: Spark sees the size of its files and broadcasts it below its
+    threshold, so that the legs are cut before their first shuffle.
     """
     keys, tiles = list(on), []
     hot, tasks, _ = layout or Layout()

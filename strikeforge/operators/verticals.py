@@ -57,17 +57,17 @@ def vertical_spreads(
     chain: DataFrame,
     *,
     layout: Layout | None = None,
-    unique_contracts: bool = True,
+    unique_contracts: bool = False,
     ranked: bool = True,
 ) -> DataFrame:
     """Every two-strike spread of one expiration and right whose short leg is not in the money.
 
     When both legs could be sold, the pair turns up in both roles; only the one with the
-    higher credit counts. With a unique contract key that needs no second shuffle: the two
-    premiums are exact negations and both are valid or neither is, so the mirror to drop is
-    the row with the negative premium whose long leg could be sold too.
-    ``unique_contracts=False`` ranks the rows of a strike pair instead. ``ranked`` adds the
-    final order by spread ratio.
+    higher credit counts. By default the rows of a strike pair are ranked, which holds for
+    chains with repeated contracts too. ``unique_contracts=True`` says that the chain has one
+    row per contract; then that needs no second shuffle: the two premiums are exact negations
+    and both are valid or neither is, so the mirror to drop is the row with the negative
+    premium whose long leg could be sold too. ``ranked`` adds the final order by spread ratio.
     """
     quoted = priced(chain).selectExpr("*", f"{SELLABLE} AS sellable")
     short = as_leg(

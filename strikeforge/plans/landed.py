@@ -7,11 +7,9 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strikeforge.operators.ingest import EXPIRY_FIELD, build_chain
 from strikeforge.operators.universe import (
-    band,
     contract_universe,
     listed_only,
     preferred_listing,
@@ -19,8 +17,6 @@ from strikeforge.operators.universe import (
     window_ends,
 )
 
-BROADCAST_SYMBOLS = 100_000  # rows of symbol and price, a few megabytes
-
 
 @dataclass(frozen=True)
 class Wanted:
@@ -44,20 +40,6 @@ def in_window(ticks: DataFrame, wanted: Wanted) -> DataFrame:
     return ticks.filter(f"{EXPIRY_FIELD} BETWEEN '{first:%Y%m%d}' AND '{last:%Y%m%d}'")
 
 
-def in_band(
-    ticks: DataFrame, underlying: DataFrame, pct: float, most: int = BROADCAST_SYMBOLS
-) -> DataFrame:
-    """Drop ticks of far strikes before anything is sorted or shuffled.
-
-    Only where the prices, counted first, are few enough to broadcast. With more symbols the
-    ticks stay whole here and the universe join sorts them out after the reduction.
-    """
-    if underlying.count() > most:
-        return ticks
-    priced = ticks.join(F.broadcast(underlying), "symbol")
-    return priced.filter(f"strike {band(pct)}").select(*ticks.columns)
-
-
 def wanted_contracts(
     listings: DataFrame, underlying: DataFrame, wanted: Wanted, listed: DataFrame | None = None
 ) -> DataFrame:
@@ -84,13 +66,13 @@ def landed_chain(
 ) -> DataFrame:
     """The chain of one scan.
 
-    The symbol and expiration filters reach the table scans. What the universe would drop
-    anyway is dropped before the ticks are reduced, as far as that needs no shuffle.
+    The symbol and expiration filters reach the table scans. Far strikes go with the universe
+    join, after the ticks are reduced to one per contract.
     """
     ticks, polls, listings = (of_symbols(t, wanted.symbols) for t in (ticks, polls, listings))
     underlying = underlying_price(polls)
     return build_chain(
-        in_band(in_window(ticks, wanted), underlying, wanted.strike_pct),
+        in_window(ticks, wanted),
         underlying,
         wanted.as_of,
         newest_by=newest_by,

@@ -15,8 +15,8 @@ from strikeforge.operators.at_the_money import (
 )
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
 from strikeforge.operators.ingest import require_unique_contracts
-from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
-from strikeforge.operators.pairing import LARGE_GROUP, Layout, hot_groups, lay_out
+from strikeforge.operators.max_pain import max_pain, max_pain_curve
+from strikeforge.operators.pairing import Layout, lay_out
 from strikeforge.operators.strangles import strangles
 from strikeforge.operators.verticals import VERTICAL_KEYS, iron_condors, vertical_spreads
 from strikeforge.schema import DATASETS
@@ -29,12 +29,14 @@ WRITERS = 3
 class Strategies:
     """The seven computations over one stored chain.
 
-    One counting job tells how to lay out the pairs and whether any expiration is too large
-    for one task; it runs when the first computation asks.
+    One counting job tells how to lay out the pairs; it runs when the first computation asks.
+    Chains from ``build_chain`` have one row per contract; for any other, ask
+    ``require_unique_contracts`` or pass ``unique_contracts=False``.
     """
 
-    def __init__(self, chain: DataFrame):
+    def __init__(self, chain: DataFrame, *, unique_contracts: bool = True):
         self.chain = chain
+        self.unique_contracts = unique_contracts
 
     @cached_property
     def layouts(self) -> dict[str, Layout]:
@@ -43,12 +45,13 @@ class Strategies:
         }
         return lay_out(self.chain, groupings)
 
-    @property
-    def _expirations_are_large(self) -> bool:
-        return self.layouts["expirations"].largest > LARGE_GROUP
-
     def spreads(self, ranked: bool = True) -> DataFrame:
-        return vertical_spreads(self.chain, layout=self.layouts["verticals"], ranked=ranked)
+        return vertical_spreads(
+            self.chain,
+            layout=self.layouts["verticals"],
+            unique_contracts=self.unique_contracts,
+            ranked=ranked,
+        )
 
     def iron_condors(self, spreads: DataFrame | None = None) -> DataFrame:
         return iron_condors(self.spreads(ranked=False) if spreads is None else spreads)
@@ -57,10 +60,7 @@ class Strategies:
         return strangles(self.chain, layout=self.layouts["expirations"], ranked=ranked)
 
     def iron_butterflies(self, ranked: bool = True) -> DataFrame:
-        hot = None
-        if self._expirations_are_large:
-            hot = hot_groups(self.chain, EXPIRATION_KEYS, LARGE_GROUP)
-        return iron_butterflies(self.chain, hot=hot, ranked=ranked)
+        return iron_butterflies(self.chain, ranked=ranked)
 
     def calendars(self, ranked: bool = True) -> DataFrame:
         return calendars(self.chain, layout=self.layouts["calendars"], ranked=ranked)
@@ -68,16 +68,11 @@ class Strategies:
     def expected_move(self) -> DataFrame:
         return expected_move(self.chain)
 
-    def _hot_pain(self) -> DataFrame | None:
-        return hot_expirations(self.chain) if self._expirations_are_large else None
-
     def max_pain(self) -> DataFrame:
-        return max_pain(self.chain, hot=self._hot_pain())
+        return max_pain(self.chain)
 
     def max_pain_curve(self, include_all_candidates: bool = False) -> DataFrame:
-        return max_pain_curve(
-            self.chain, include_all_candidates=include_all_candidates, hot=self._hot_pain()
-        )
+        return max_pain_curve(self.chain, include_all_candidates=include_all_candidates)
 
 
 def run_scan(

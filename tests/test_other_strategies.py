@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from collections import defaultdict
 from datetime import timedelta
 
@@ -10,8 +12,8 @@ from chains import (
 
 from strikeforge.operators.at_the_money import EXPIRATION_KEYS, expected_move, iron_butterflies
 from strikeforge.operators.calendars import CALENDAR_KEYS, calendars
-from strikeforge.operators.max_pain import hot_expirations, max_pain, max_pain_curve
-from strikeforge.operators.pairing import hot_groups, lay_out
+from strikeforge.operators.max_pain import max_pain, max_pain_curve
+from strikeforge.operators.pairing import lay_out
 from strikeforge.operators.strangles import strangles
 from strikeforge.schema import RESULT_COLUMNS
 from strikeforge.sources.tables import chain_from_rows
@@ -179,8 +181,6 @@ def test_butterflies_against_brute_force(spark, seed):
     key = ("symbol", "expiration", "wing_width")
     plain = keyed(rows_of(iron_butterflies(df, ranked=False)), *key)
     assert {k: (r["total_credit"], r["max_loss"]) for k, r in plain.items()} == expected
-    hot = hot_groups(df, EXPIRATION_KEYS, tile=4)
-    assert keyed(rows_of(iron_butterflies(df, hot=hot, ranked=False)), *key) == plain
 
 
 # ---- expected move
@@ -264,18 +264,36 @@ def test_max_pain_against_brute_force(spark, seed):
     df = chain_from_rows(spark, chain)
     every = pains(chain)
     key = ("symbol", "expiration", "candidate_strike")
-    hot = hot_expirations(df, size=6)
-    assert not hot.isEmpty()
-    for options in ({}, {"hot": hot}):
-        whole = keyed(rows_of(max_pain_curve(df, include_all_candidates=True, **options)), *key)
-        assert {k: (r["call_pain"], r["put_pain"]) for k, r in whole.items()} == {
-            k: v[1:] for k, v in every.items()}
-        usual = keyed(rows_of(max_pain_curve(df, **options)), *key)
-        assert set(usual) == {k for k, v in every.items() if v[0]}
-        least = {}
-        for (s, e, k), (_, c, p) in sorted((k, v) for k, v in every.items() if v[0]):
-            if (s, e) not in least or c + p < least[s, e][1]:
-                least[s, e] = (k, c + p)
-        found = rows_of(max_pain(df, **options))
-        assert {(r["symbol"], r["expiration"]): (r["max_pain_strike"], r["total_pain"])
-                for r in found} == least
+    whole = keyed(rows_of(max_pain_curve(df, include_all_candidates=True)), *key)
+    assert {k: (r["call_pain"], r["put_pain"]) for k, r in whole.items()} == {
+        k: v[1:] for k, v in every.items()}
+    usual = keyed(rows_of(max_pain_curve(df)), *key)
+    assert set(usual) == {k for k, v in every.items() if v[0]}
+    least = {}
+    for (s, e, k), (_, c, p) in sorted((k, v) for k, v in every.items() if v[0]):
+        if (s, e) not in least or c + p < least[s, e][1]:
+            least[s, e] = (k, c + p)
+    found = rows_of(max_pain(df))
+    assert {(r["symbol"], r["expiration"]): (r["max_pain_strike"], r["total_pain"])
+            for r in found} == least
+
+
+def test_pain_off_the_grid_keeps_its_digits(spark):
+    """Odd strikes, one of them far out, and interest of very different sizes."""
+    rng = random.Random(3)
+    strikes = sorted({round(rng.uniform(90, 110), 7) for _ in range(300)} | {1e7})
+    chain = [{**contract(k, r, 1.0), "open_interest": rng.choice([0.1, 3.7, 1e6 / 3])}
+             for k in strikes for r in "CP"]
+    every = {}
+    for k in strikes:
+        every[k] = tuple(
+            math.fsum(max(sign * (k - c["strike"]), 0.0) * c["open_interest"]
+                      for c in chain if c["right"] == right)
+            for right, sign in (("C", 1), ("P", -1)))
+    df = chain_from_rows(spark, chain)
+    for layout in (df.coalesce(1), df.repartition(7)):
+        rows = rows_of(max_pain_curve(layout, include_all_candidates=True))
+        found = {r["candidate_strike"]: (r["call_pain"], r["put_pain"]) for r in rows}
+        assert found.keys() == every.keys()
+        for k, pair in found.items():
+            assert pair == pytest.approx(every[k], rel=1e-13, abs=0)

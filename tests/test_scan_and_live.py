@@ -9,7 +9,7 @@ from test_ingest import tick, ticks
 
 from strikeforge.__main__ import main
 from strikeforge.operators.ingest import latest_quotes
-from strikeforge.plans.landed import Wanted, in_band, in_window
+from strikeforge.plans.landed import Wanted, in_window
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import (
     CHAIN_SCHEMA, DATASETS, LISTING_SCHEMA, POLL_SCHEMA, RESULT_COLUMNS, TICK_SCHEMA,
@@ -111,14 +111,11 @@ def test_ticks_are_filtered_early_with_the_same_result(spark, tmp_path):
                  for t in (1, 2) for e in ("20260508", "20260509", "20260523", "20260524")))
     feed.write.parquet(str(tmp_path / "ticks"))
     feed = spark.read.schema(TICK_SCHEMA).parquet(str(tmp_path / "ticks"))
-    prices = spark.createDataFrame([("AAA", 100.0)], "symbol string, underlying_price double")
-    wanted = Wanted(date(2026, 4, 1), "MAIN")
-    near = in_band(in_window(feed, wanted), prices, wanted.strike_pct)
-    assert near.columns == feed.columns and near.count() == 3 * 2 * 2
+    near = in_window(feed, Wanted(date(2026, 4, 1), "MAIN"))
+    assert near.columns == feed.columns and near.count() == 4 * 2 * 2
     plan = formatted_plan(near)
     assert "GreaterThanOrEqual(lastTradeDateOrContractMonth,20260509)" in plan
     assert "Exchange hashpartitioning" not in plan
-    assert in_band(feed, prices, wanted.strike_pct, most=0) is feed
 
 
 # ---- live

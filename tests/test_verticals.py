@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 from chains import OTM, OTM_ITM, contract, keyed, random_chain, rows_of
+from compare import formatted_plan
 from pyspark.sql import functions as F
 
 from strikeforge.operators.pairing import lay_out, pair_legs
@@ -94,10 +95,12 @@ def as_pairs(rows) -> dict:
 def test_matches_brute_force_and_the_ranked_form(spark, seed):
     chain = random_chain(seed)
     df = chain_from_rows(spark, chain)
-    rows = rows_of(vertical_spreads(df, ranked=False))
+    rows = rows_of(vertical_spreads(df, unique_contracts=True, ranked=False))
     assert as_pairs(rows) == brute_force(chain)
-    ranked = rows_of(vertical_spreads(df, unique_contracts=False, ranked=False))
+    ranked = rows_of(vertical_spreads(df, ranked=False))
     assert keyed(ranked, *PAIR) == keyed(rows, *PAIR)
+    twice = rows_of(vertical_spreads(df.union(df), ranked=False))
+    assert len(twice) == len(rows) and keyed(twice, *PAIR) == keyed(rows, *PAIR)
 
 
 def test_large_groups_are_tiled_with_the_same_result(spark):
@@ -105,7 +108,10 @@ def test_large_groups_are_tiled_with_the_same_result(spark):
     plain = rows_of(vertical_spreads(chain, ranked=False))
     layout = lay_out(chain, {"v": VERTICAL_KEYS}, tile=5)["v"]
     assert layout.hot.agg({"tiles": "max"}).first()[0] > 2
-    tiled = vertical_spreads(chain, layout=layout, ranked=False)
+    tiled = vertical_spreads(chain, layout=layout, unique_contracts=True, ranked=False)
+    # The hot groups are stored: each side broadcasts them and is shuffled once, already cut.
+    plan = formatted_plan(tiled)
+    assert plan.count("Arguments: hashpartitioning") == 2 and "HashAggregate" not in plan
     assert keyed(rows_of(tiled), *PAIR) == keyed(plain, *PAIR)
 
 
@@ -127,9 +133,9 @@ def test_no_task_holds_a_large_group(spark):
     assert max(r["count"] for r in per_task) < 3000**2 / 10
 
 
-def test_repeated_contracts_need_the_ranked_form(spark):
+def test_repeated_contracts_count_once(spark):
     chain = chain_from_rows(spark, [*OTM, OTM[0]])
-    rows = rows_of(vertical_spreads(chain, unique_contracts=False))
+    rows = rows_of(vertical_spreads(chain))
     assert len(as_pairs(rows)) == len(rows) == 6
 
 
