@@ -197,7 +197,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"index_bytes": 300, "gram_bytes": 900}])
+@pytest.mark.parametrize("limits", [
+    {}, {"index_bytes": 300, "gram_bytes": 900}, {"hot_rows": 1},
+    {"hot_rows": 3, "index_bytes": 300, "gram_bytes": 900},
+])
 def test_repeats_equal_brute_force(spark, limits):
     rng = random.Random(11)
     shared = ["".join(rng.choices("abé \n", k=n)) for n in (40, 70, 150, 400)]
