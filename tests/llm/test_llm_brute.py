@@ -148,6 +148,44 @@ def test_bit_probabilities_sum_to_one(spark):
     assert model.log10(pa.array(["ab"]))[0] == pytest.approx(-24 * math.log10(2), rel=1e-6)
 
 
+def test_no_two_contexts_share_counts(spark):
+    rng = random.Random(3)
+    words = list({"head" * (i % 2) + "".join(rng.choices("abcdefgh", k=rng.randrange(3, 12)))
+                  for i in range(20_000)})
+    weights = np.array([rng.randrange(1, 4) for _ in words], float)
+    tokens = spark.createDataFrame(list(zip(words, weights.astype(int).tolist())),
+                                   "token string, n_train long")
+    model = lm_score.train(tokens)
+    import pyarrow as pa
+    expected, events = [defaultdict(lambda: [0, 0]) for _ in range(lm_score.N_INPUTS)], []
+    for word, n in zip(words, weights):
+        spelled = f"{word} ".encode()
+        for i, octet in enumerate(spelled):
+            contexts = [spelled[max(0, i - k):i] + b"|" * (i < k) for k in lm_score.ORDERS]
+            for place in range(8):
+                node, bit = (octet | 256) >> (8 - place), octet >> (7 - place) & 1
+                events.append([(c, node) for c in [*contexts, spelled[:i]]])
+                for into, at in zip(expected, events[-1]):
+                    into[at][0] += n * bit
+                    into[at][1] += n
+    chunks = list(model.chunks(pa.array(words), weights))
+    for k in range(lm_score.N_INPUTS):
+        ones, seen = (np.concatenate([c[3][k][i].ravel() for c in chunks]) for i in (0, 1))
+        assert np.array_equal(np.stack([ones, seen], 1), np.array([expected[k][e[k]] for e in events]))
+    # Dealt out over many tasks, every token costs what it costs when all are in one.
+    price = dict(zip(words, model.log10(pa.array(words), weights)))
+    lm_score_tasks = lm_score.TASK_TOKENS
+    try:
+        lm_score.TASK_TOKENS = 500
+        parts = lm_score.dealt(tokens)
+        assert parts.rdd.getNumPartitions() > 30
+        shared = spark.sparkContext.broadcast(model)
+        rows = parts.mapInArrow(lm_score._price(shared), "token string, n_train long, price double")
+        assert {r.token: r.price for r in rows.collect()} == pytest.approx(price, rel=1e-12)
+    finally:
+        lm_score.TASK_TOKENS = lm_score_tasks
+
+
 def test_reordered_passages_are_found(spark):
     words = [f"w{i}" for i in range(40)]
     item = " ".join(words)
