@@ -1,4 +1,4 @@
-"""Credentials in texts, told from examples by how many owners hold them."""
+"""Credentials in texts, told from examples by how many owners and texts hold them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from strikeforge.sources.tables import Stage
 
 #: Running totals over the matches of a text are taken in steps of this many.
 STEP = 256
+#: What three of four values do not exceed is usual. So many times the usual texts is wide use where
+#: owners are more than usual too, and inside any number of owners.
+USUAL, WIDE_TEXTS, HEAVY_TEXTS = 0.75, 3, 30
 
 
 @dataclass(frozen=True)
@@ -103,14 +106,19 @@ def scan_secrets(
 ) -> DataFrame:
     """Every input row (without its text) with ``spans``, by start and then kind.
 
-    A span has ``kind, start, stop, base, owners, repositories, live``. Values are compared across
-    the corpus by 128-bit hashes: one that ``max_owners`` owners or fewer hold is live, one that
-    is copied more widely is an example. Base spans always stay; candidates of other kinds
-    stay if they are live and no base span overlaps them.
+    A span has ``kind, start, stop, base, owners, repositories, texts, live``. Values are compared
+    across the corpus by 128-bit hashes and counted by distinct owner, repository and text (by its
+    hash, so copies of one text count once). The lesser of repositories and texts is a value's
+    uses. It is an example if more owners hold it than usual (``max_owners`` at least) in more
+    than ``WIDE_TEXTS`` times the usual uses; if its uses are more than ``HEAVY_TEXTS`` times the usual ones,
+    all inside one owner or not; or if every owner of the corpus holds it, and these are more than
+    ``max_owners``. Otherwise it is live. Usual is what ``USUAL`` of all distinct values do not
+    exceed. Base spans always stay; candidates of other kinds stay if they are live and no base
+    span overlaps them.
 
-    Hashes are counted by distinct owner and repository, combined before each shuffle, so
-    an example in a third of all documents is one row per task and owner. Spans
-    without texts are written to the shared folder and joined from there.
+    Counts are combined before each shuffle, so an example in a third of all documents is one row
+    per task and owner. Spans without texts, and the counts, are written to the shared folder and
+    joined from there.
 
     A NULL or empty text has no spans. A NULL owner or repository counts as one of its own. Repeated
     rows are all returned; they are the same repository. All other columns are passed on, but
@@ -123,27 +131,43 @@ def scan_secrets(
     found = docs.select(
         row.alias("row"), F.monotonically_increasing_id().alias("no"),
         nobody(owner).alias("owner"), nobody(repository).alias("repository"),
+        F.xxhash64(body).alias("text_hash"),
         candidate_spans(body, kinds).alias("found"),
     )
     stage = Stage(docs.sparkSession)
     stage.write("spans", found)  # the numbers are fixed from here on
     found = stage.read("spans")
-    each = found.filter("size(found) > 0").select("no", "owner", "repository", F.inline("found"))
-    owners = each.groupBy("high", "low").agg(
-        F.count_distinct("owner").cast("int").alias("owners"),
-        F.count_distinct("repository").cast("long").alias("repositories"),
+    each = found.filter("size(found) > 0").select(
+        "no", "owner", "repository", "text_hash", F.inline("found")
+    )
+    stage.write("values", each.groupBy("high", "low").agg(
+        F.count_distinct("owner").alias("owners"),
+        F.count_distinct("repository").alias("repositories"),
+        F.count_distinct("text_hash").alias("texts"),
+    ))
+    values, uses = stage.read("values"), F.least("repositories", "texts")
+    usual = lambda c: F.coalesce(F.percentile(c, USUAL), F.lit(1.0))
+    usual_owners, usual_uses = values.agg(usual(F.col("owners")), usual(uses)).first()
+    all_owners = found.agg(F.count_distinct("owner")).first()[0]
+    owners = F.col("owners")
+    example = (
+        (owners > max(max_owners, usual_owners)) & (uses > WIDE_TEXTS * usual_uses)
+        | (uses > HEAVY_TEXTS * usual_uses)
+        | (owners > max_owners) & (owners == all_owners)
     )
     names, based = (F.array(*map(F.lit, x)) for x in zip(*((k.name, k.base) for k in kinds)))
-    judged = each.join(owners, ["high", "low"]).withColumns({
-        "base": F.element_at(based, F.col("kind") + 1), "live": F.col("owners") <= max_owners,
+    judged = each.drop("owner", "repository", "text_hash").join(values, ["high", "low"]).withColumns({
+        "base": F.element_at(based, F.col("kind") + 1), "live": ~example,
+        "owners": owners.cast("int"),
     })
     stays = judged.filter("base OR live").groupBy("no").agg(F.array_sort(F.collect_list(F.struct(
-        "start", F.col("kind").alias("number"), "stop", "base", "owners", "repositories", "live",
+        "start", F.col("kind").alias("number"), "stop", "base", "owners", "repositories", "texts",
+        "live",
     ))).alias("spans"))
     spans = F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(
         F.element_at(names, s.number + 1).alias("kind"), s.start.alias("start"),
         s.stop.alias("stop"), s.base.alias("base"), s.owners.alias("owners"),
-        s.repositories.alias("repositories"), s.live.alias("live"),
+        s.repositories.alias("repositories"), s.texts.alias("texts"), s.live.alias("live"),
     ))
     joined = found.join(stays, "no", "left")
     return joined.select(*(F.col(f"row.`{c}`") for c in own), spans.alias("spans"))

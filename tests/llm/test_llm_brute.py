@@ -117,6 +117,23 @@ def test_widely_copied_candidates_are_examples(spark):
     assert found == {1: f"provider:2:{end},opaque:2:{end}", 2: "", 3: ""}
 
 
+def test_examples_are_told_by_owners_and_texts(spark):
+    token = lambda i: f"ghp_{i:04d}" + "A1b2" * 7
+    own = [(i, f"own {i} {token(i)}", f"s{i % 9}") for i in range(40)]
+    exact = [(100 + i, f"copied {token(100)}", f"s{i}") for i in range(2)]
+    near = [(110 + i, f"copied {i} nearly {token(110)}", f"s{i}") for i in range(2)]
+    spread = [(200 + i, f"text {i} says {token(200)}", f"s{i % 8}") for i in range(12)]
+    inside = [(1000 + i, f"text {i} has {token(300)}", "s3") for i in range(1000)]
+    one_text = [(3000 + i, f"one text {token(400)}", "s4") for i in range(1000)]
+    rows = own + exact + near + spread + inside + one_text
+    found = {r.doc_id: [(s.kind, s.live) for s in r.spans]
+             for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    for i, _, _ in own + exact + near + one_text:
+        assert found[i] == [("provider", True), ("opaque", True)], i
+    for i, _, _ in spread + inside:
+        assert found[i] == [], i
+
+
 def test_language_model_base_equals_brute_force(spark, texts):
     tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + ["\n"]
               for d, t in texts.items()}
