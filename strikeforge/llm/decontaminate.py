@@ -22,12 +22,15 @@ MIN_COVERAGE = 0.6
 BLOCK_CHARS = 8_000_000
 FOUND = "key long, item_id long, coverage double, n_tokens int, n_matched int, tiles array<array<int>>"
 
-_TOKEN = re.compile(r"\w+")
+#: Scripts written without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han and its extensions.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff" \
+    "\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
+    """Lower-cased runs of letters, digits and underscores; single characters of unspaced scripts."""
     return _TOKEN.findall(text.lower()) if text else []
 
 
@@ -125,7 +128,10 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
 
 @dataclass
 class Block:
-    """Items of bounded size, with their seeds: windows of ``min_match`` tokens."""
+    """Items of bounded size, with their seeds: windows of ``min_match`` tokens.
+
+    ``short`` has, by number of tokens, the items that are shorter: sorted hashes and items.
+    """
 
     ids: list[int]
     items: list[np.ndarray]
@@ -133,6 +139,7 @@ class Block:
     seeds: np.ndarray
     owners: np.ndarray
     starts: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], min_match: int) -> Block:
@@ -140,7 +147,7 @@ class Block:
         ids, items = [], []
         for item_id, text in rows:
             item = np.array([words.setdefault(t, len(words)) for t in tokens(text)], "i8")
-            if len(item) >= min_match:
+            if len(item):
                 ids.append(item_id)
                 items.append(item)
         seeds = [seed_hashes(x, min_match) for x in items]
@@ -148,7 +155,14 @@ class Block:
         owners = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
         starts = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else flat.astype("i8")
         order = np.argsort(flat, kind="stable")
-        return cls(ids, items, words, flat[order], owners[order], starts[order])
+        short = {}
+        for width in range(1, min_match):
+            own = np.array([n for n, x in enumerate(items) if len(x) == width], "i8")
+            if len(own):
+                hashes = np.concatenate([seed_hashes(items[n], width) for n in own])
+                by_hash = np.argsort(hashes, kind="stable")
+                short[width] = hashes[by_hash], own[by_hash]
+        return cls(ids, items, words, flat[order], owners[order], starts[order], short)
 
 
 def seed_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -165,9 +179,27 @@ def find_items(text: str | None, block: Block, min_match: int, min_coverage: flo
 
     Tokens no item has, and windows with one, are left out before seeds are looked up. An
     item goes on to the tiling only if the tokens its seeds cover could reach the threshold.
+    Items of fewer than ``min_match`` tokens are found where all their tokens stand in a row.
     """
     get = block.words.get
     ids = np.array([get(t, -1) for t in tokens(text)], "i8")
+    return _find_short(ids, block) + _find_long(ids, block, min_match, min_coverage)
+
+
+def _find_short(ids: np.ndarray, block: Block) -> list[tuple]:
+    found = []
+    for width, (hashes, numbers) in block.short.items():
+        values, places = np.unique(seed_hashes(ids, width), return_index=True)
+        low, high = (np.searchsorted(hashes, values, side) for side in ("left", "right"))
+        for k in np.flatnonzero(high > low).tolist():
+            window = ids[places[k] : places[k] + width]
+            for number in numbers[low[k] : high[k]].tolist():
+                if (block.items[number] == window).all():
+                    found.append((number, width, [[0, int(places[k]), width]]))
+    return found
+
+
+def _find_long(ids: np.ndarray, block: Block, min_match: int, min_coverage: float) -> list[tuple]:
     if len(ids) < min_match or not len(block.seeds):
         return []
     values = seed_hashes(ids, min_match)
@@ -252,13 +284,14 @@ def find_contamination(
     ``doc_id, item_id, coverage`` (share of the item's tokens in passages), ``n_tokens,
     n_matched, tiles`` (item start, document start, length, in tokens; the longest first).
 
-    Tokens are lower-cased words. Windows of ``min_match`` tokens that both share are the seeds;
+    Tokens are lower-cased words, or characters (see below). Windows of ``min_match`` tokens that both share are the seeds;
     greedy string tiling then marks non-overlapping passages, so a passage may be cut and its
     parts reordered, but no part counts twice. The benchmark is the query set: it is held
     against all documents in blocks of ``block_chars`` characters, each a broadcast of that
     size, and no document is shuffled.
 
-    Items with fewer than ``min_match`` tokens, NULL and empty texts match nothing. Repeated
+    Every character of a script without spaces is a token. Items with fewer than ``min_match``
+    tokens match where they stand as a whole. NULL texts and texts without tokens match nothing. Repeated
     benchmark rows count once; of rows with one ``item_id`` the best covered is returned, also for
     repeated ``doc_id``. Rows without ``doc_id`` are returned as one document without id.
     Empty tables give an empty result; other columns are not read.

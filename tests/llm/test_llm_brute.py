@@ -219,6 +219,21 @@ def test_reordered_passages_are_found(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [3, 9]
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    bench = spark.createDataFrame(
+        [(1, "Treaty of Utrecht"), (2, "東京は日本の首都であり最大の都市です"), (3, "utrecht"), (4, "..."),
+         (5, "日本 の"), (6, "treaty utrecht")], "item_id long, text string")
+    docs = documents(spark, [
+        (1, "signed as the treaty, of Utrecht!"), (2, "treaty of many, utrecht"),
+        (3, "実は東京は日本の首都であり最大の都市ですと言う"), (4, "日本と中国の"), (5, ""), (6, None)])
+    found = {(r.doc_id, r.item_id): (r.coverage, r.n_tokens, r.n_matched, r.tiles)
+             for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found == {
+        (1, 1): (1.0, 3, 3, [[0, 3, 3]]), (1, 3): (1.0, 1, 1, [[0, 5, 1]]),
+        (2, 3): (1.0, 1, 1, [[0, 3, 1]]), (3, 2): (1.0, 18, 18, [[0, 2, 18]]),
+        (3, 5): (1.0, 3, 3, [[0, 5, 3]])}
+
+
 def test_tiling_equals_plain_greedy_tiling():
     rng = random.Random(5)
     for _ in range(40):
