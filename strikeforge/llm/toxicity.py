@@ -37,7 +37,7 @@ EXCLAIMING, MASKED = "!!!", re.compile(r"\b\w{1,2}[*#$@]{2,}\w{0,3}\b")
 MASKS = ("**", "##", "$$", "@@", "*#", "#*", "@#", "#@")
 SHOUTED_SHARE, SHOUTED_LETTERS = 0.6, 20
 #: Word parts that the label column speaks for; they fill this many voters by strength.
-MINED_PARTS, MINED_VOTERS = 4096, 6
+MINED_VOTERS = 6
 #: Least documents with a part, and least lift of the toxic share, for a part to be mined.
 MINED_DOCS, MINED_LIFT = 8, 4.0
 #: Labelled rows that the classifier is fitted on, at most, by the hash of their id.
@@ -149,7 +149,7 @@ def mined_parts(labelled: DataFrame) -> list[str]:
     # Strength: the share among holders, held back for rare parts, then how many it reaches.
     strength = (F.col("n_toxic") - 0.5) / (F.col("n") + 1)
     order = [F.desc(F.floor(strength * 50)), F.desc("n_toxic"), "part"]
-    return [r["part"] for r in kept.orderBy(*order).limit(MINED_PARTS).collect()]
+    return [r["part"] for r in kept.orderBy(*order).collect()]
 
 
 # -- label model
@@ -342,8 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """Voters, label model and classifier from all texts and the labels that may be used.
 
     Labels count only where ``held_out`` is false, once per id (the largest, if they differ). Voters
-    are fixed lexicons and patterns, and lexicons of the word parts that the labels single out, at
-    most ``MINED_PARTS``. Every text votes; what reaches the driver is the count of each pattern of
+    are fixed lexicons and patterns, and lexicons of all word parts that the labels single out. Every text votes; what reaches the driver is the count of each pattern of
     votes, of which there are at most 2 to the number of voters. The linear classifier is
     fitted on ``fit_rows`` labelled rows at most, by the hash of their id; its targets are the
     label model's posteriors, given votes and label.

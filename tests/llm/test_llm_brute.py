@@ -372,6 +372,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id = 9001").count() == 2
 
 
+def test_all_word_parts_that_labels_speak_for_are_mined(spark):
+    rude = " ".join(np.base_repr(i, 36).lower() for i in range(36**3, 36**3 + 5000))
+    rows = [(rude, 1)] * 8 + [("calm words only", 0)] * 92
+    mined = toxicity.mined_parts(spark.createDataFrame(rows, "text string, toxic int"))
+    assert sorted(mined) == sorted(rude.split())
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs, labels = labelled(spark)
     assert toxicity.digest_toxicity(docs, labels.limit(0)).count() == 904
