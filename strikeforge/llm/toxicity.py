@@ -25,17 +25,20 @@ LEXICON = {
     "french": "idiot imbécile connard connasse salaud ordure minable débile",
     "spanish": "idiota imbécil estúpido estúpida basura escoria inútil asqueroso",
 }
-#: Patterns of tone; each a voter.
-#: Phrases, one voter each; anywhere in the lower-cased text.
+#: Phrases in the lower-cased text, one voter each, with words of which every hit holds one.
 PHRASES = {
-    "threat": ("kill you", "hurt you", "destroy you", "kill yourself", "kill them"),
-    "command": ("shut up", "get lost", "go away", "drop dead"),
-    "you_are": ("you idiot", "you moron", "you are a ", "you're a ", "you people"),
+    "threat": (("kill", "hurt", "destroy"), r"\b(?:kill|hurt|destroy) (?:you|yourself|them)\b"),
+    "command": (("shut", "lost", "away", "dead"), r"\b(?:shut up|get lost|go away|drop dead)\b"),
+    "you_are": (("you",), r"\byou(?:['’]re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown|disgrace)"
+                r"|\byou people\b"),
 }
-#: Marks of tone, one voter each: repeated exclamation, letters masked, mostly capitals.
-EXCLAIMING, MASKED = "!!!", re.compile(r"\b\w{1,2}[*#$@]{2,}\w{0,3}\b")
-MASKS = ("**", "##", "$$", "@@", "*#", "#*", "@#", "#@")
-SHOUTED_SHARE, SHOUTED_LETTERS = 0.6, 20
+_PHRASES = tuple((words, re.compile(pattern)) for words, pattern in PHRASES.values())
+#: Marks of tone, one voter each: repeated exclamation, letters masked, capitals.
+EXCLAIMING, MARKS, MASKED = "!!!", "*#$@", re.compile(r"\b\w{1,2}[*#$@]{2,}\w{0,3}\b")
+SHOUTING = re.compile(r"(?:\b[A-ZÀ-Þ]{4,}\b[^a-zà-ÿ]{0,3}){4,}")
+#: What every hit of the two holds; far faster to look for.
+TWO_MARKS, FOUR_CAPITALS = re.compile("[*#$@]{2}"), re.compile("[A-ZÀ-Þ]{4}")
+SHOUTED_SHARE, SHOUTED_LETTERS, SHOUTING_LETTERS = 0.6, 20, 16
 #: Word parts that the label column speaks for; they fill this many voters by strength.
 MINED_VOTERS = 6
 #: Least documents with a part, and least lift of the toxic share, for a part to be mined.
@@ -75,9 +78,14 @@ def parts_of(word: str) -> list[str]:
 
 
 def shouted(text: str) -> bool:
-    """Mostly capitals among the letters of the Latin alphabet."""
+    """Four long words in capitals in a row, or mostly capitals among the letters of the Latin alphabet."""
     data = text.encode()
     high = len(data) - len(data.translate(None, _CAPITALS))
+    # Capitals with accents begin with the byte C3.
+    if high + data.count(b"\xc3") < SHOUTING_LETTERS:
+        return False
+    if FOUR_CAPITALS.search(text) and SHOUTING.search(text):
+        return True
     low = len(data) - len(data.translate(None, _SMALL))
     return high >= SHOUTED_LETTERS and high >= SHOUTED_SHARE * (high + low)
 
@@ -105,16 +113,18 @@ class Voters:
                 parts[part] = parts.get(part, 0) | 1 << number
         return cls(parts, len(lists) + len(PHRASES) + 3)
 
-    def votes(self, text: str | None, words: Iterable[str]) -> int:
+    def votes(self, text: str | None, words: Counter) -> int:
         """The votes as bits: lexicons, mined parts, phrases, tone."""
         get, said = self.parts.get, 0
         for word in words:
             said |= get(word, 0) | get(word[:4] + "-", 0) | get(word[:5] + "-", 0)
         if text:
             low = text.lower()
-            tone = [any(p in low for p in own) for own in PHRASES.values()]
+            tone = [any(w in words for w in own) and bool(p.search(low)) for own, p in _PHRASES]
             tone.append(EXCLAIMING in text)
-            tone.append(any(m in text for m in MASKS) and bool(MASKED.search(text)))
+            tone.append(bool(
+                any(m in text for m in MARKS) and TWO_MARKS.search(text) and MASKED.search(text)
+            ))
             tone.append(shouted(text))
             for number, voted in enumerate(tone, self.count - len(tone)):
                 said |= voted << number

@@ -379,6 +379,26 @@ def test_all_word_parts_that_labels_speak_for_are_mined(spark):
     assert sorted(mined) == sorted(rude.split())
 
 
+def test_tone_and_phrases_vote_in_full():
+    voters = toxicity.Voters.of([])
+    calm = "the report was read by all members of the council in the morning " * 40
+
+    def said(text):
+        votes = voters.votes(text, toxicity.words_of(text))
+        names = [*toxicity.PHRASES, "exclaiming", "masked", "shouted"]
+        return {n for k, n in enumerate(names, voters.count - len(names)) if votes >> k & 1}
+
+    for text in ("f*$k that", "oh sh$#t", "a #@ b f@$k"):
+        assert said(text) == {"masked"}, text
+    for text in ("You are an idiot", "you're an idiot", "You are a big loser", "you idiot"):
+        assert said(text) == {"you_are"}, text
+    assert said("we will hurt them") == {"threat"} and said("now SHUT up") == {"command"}
+    assert said(calm + "THIS MUST STOP RIGHT HERE " + calm) == {"shouted"}
+    assert said(calm + "ÀÉÈÊ ÇÉÀÈ ÙÛÀÂ ÉÈÀÇ " + calm) == {"shouted"}
+    for text in ("you are a doctor", "we skill you here", "a b@c d", calm, "GO AHEAD", ""):
+        assert said(text) == set(), text
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs, labels = labelled(spark)
     assert toxicity.digest_toxicity(docs, labels.limit(0)).count() == 904
