@@ -147,10 +147,72 @@ SELECT s.doc_id, (length(s.digits) // 2)::BIGINT AS n_bytes,
 FROM spelled s JOIN kept k ON k.doc_id = s.doc_id
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_SEARCH = f"""
+WITH spelled AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERM}') AS terms FROM documents
+  WHERE text IS NOT NULL
+), counted AS (
+  SELECT doc_id, terms, len(terms)::BIGINT AS n FROM spelled WHERE len(terms) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM counted
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS term
+  FROM benchmark
+), held AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, unnest(terms) AS term FROM counted)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM held, corpus GROUP BY term, n_docs
+), gained AS (
+  SELECT doc_id, term,
+    weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS gain
+  FROM held JOIN weighed USING (term) JOIN counted USING (doc_id), corpus
+), scored AS (
+  SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gained USING (term)
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_PASSAGES = r"""
+WITH spelled AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(len(words))) AS place FROM spelled
+), windows AS (
+  SELECT doc_id, place, CASE WHEN place + 50 <= len(words)
+    THEN md5(array_to_string(words[place + 1 : place + 50], ' ')) END AS passage
+  FROM places
+), firsts AS (
+  SELECT passage, min(doc_id) AS first FROM windows WHERE passage IS NOT NULL GROUP BY passage
+), marked AS (
+  SELECT w.doc_id, place, coalesce(max(CASE WHEN first < w.doc_id THEN place END)
+    OVER (PARTITION BY w.doc_id ORDER BY place) > place - 50, false) AS gone
+  FROM windows w LEFT JOIN firsts USING (passage)
+), kept AS (
+  SELECT m.doc_id, count(*) FILTER (gone)::BIGINT AS n_removed,
+    string_agg(words[place + 1], ' ' ORDER BY place) FILTER (NOT gone) AS kept
+  FROM marked m JOIN spelled s ON s.doc_id = m.doc_id GROUP BY m.doc_id
+)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM spelled s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": _MIX,
     "op3_line_dedup": _LINES,
     "op4_url_filter": _URLS,
     "op5_top_k": _TOP_K,
     "op9_remove_repeats": _REPEATS,
+    "op11_lexical_search": _SEARCH,
+    "op12_remove_passages": _PASSAGES,
 }

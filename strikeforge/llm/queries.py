@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strikeforge.llm import (
-    decontaminate, line_dedup, lm_score, mixing, repeats, secret_scan, simhash, topk, toxicity,
-    url_filter,
+    decontaminate, lexical_search, line_dedup, lm_score, mixing, passages, repeats, secret_scan,
+    simhash, token_alignment, topk, toxicity, url_filter,
 )
 from strikeforge.llm.oracle import ORACLE_SQL
 from strikeforge.sources.bridge import table
@@ -18,6 +18,9 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Folder of public vocabulary files, there on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
 #: Weights 5, 2 and 1 over all of training: steady, rising from half to one and a half, falling to none.
 SCHEDULES = (
     ((0.0, 5.0), (1.0, 5.0)),
@@ -93,10 +96,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op12_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest_passages(table(spark, sf_dir, "documents"))
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest_alignment(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json",
+        f"{TOKENIZERS}/piece_bpe_32k.model",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_decontaminate, op3_line_dedup, op4_url_filter, op5_top_k, op6_simhash,
-        op7_secret_scan, op8_lm_score, op9_remove_repeats, op10_toxicity,
+        op7_secret_scan, op8_lm_score, op9_remove_repeats, op10_toxicity, op11_lexical_search,
+        op12_remove_passages, op13_align_tokens,
     )
 }
