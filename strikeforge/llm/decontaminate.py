@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeforge.llm.shared import column, id_key, id_of, pieces
+from strikeforge.llm.shared import column, fresh, id_key, id_of, pieces
 
 #: Tokens of the shortest passage that counts, and of a seed.
 MIN_MATCH = 5
@@ -317,5 +317,6 @@ def find_contamination(
 def without_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; rows of one ``doc_id`` go together."""
     found = find_contamination(docs, benchmark, **options)
-    gone = found.select(id_key().alias("key")).distinct()
-    return docs.join(gone, id_key() == F.col("key"), "left_anti")
+    own = fresh("key", docs)
+    gone = found.select(id_key().alias(own)).distinct()
+    return docs.join(gone, id_key() == F.col(own), "left_anti")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeforge.llm.shared import column, id_key, pieces, text_bytes
+from strikeforge.llm.shared import column, fresh, id_key, pieces, text_bytes
 from strikeforge.sources.tables import Stage
 
 KEYS = "key long, high long, low long"
@@ -111,7 +111,7 @@ def dedup_lines(
         .agg(F.collect_set(F.struct("high", "low")).alias("drop"))
     )
     names = [c for c in docs.columns if c not in MADE]
-    own = F.struct(*(docs[c] for c in names if c != text), F.lit(0).alias("_"))
+    own = F.struct(*(docs[c] for c in names if c != text), F.lit(0).alias(fresh("_", docs)))
     packed = docs.select(
         own.alias("own"), id_key(doc_id).alias("key"), docs[text].cast("binary").alias("data")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeforge.llm.shared import WORD
+from strikeforge.llm.shared import WORD, fresh
 
 #: ``(time, weight)`` knots from time 0 to 1; the weight is linear between them.
 Schedule = Sequence[tuple[float, float]]
@@ -121,63 +121,70 @@ def mix_sources(
     """
     added = ("source_size", "target", "taken", "takes", "position")
     kept = [c for c in sized.columns if c not in added]
+    inner = fresh("_", sized)
+    s, of, number, order, at, before, first, pieces = (
+        f"{inner}{n}" for n in ("s", "of", "n", "order", "bucket", "before", "first", "segments")
+    )
+    col = F.col
     targets = source_targets(
         sized, schedules, source=source, by_source=by_source, max_repeats=max_repeats
     )
-    targets = targets.select("source", F.struct("*").alias("_s"))
-    rows = sized.select(*kept).withColumn("_size", F.coalesce(F.col("size").cast("long"), F.lit(0)))
-    rows = rows.join(
-        targets.withColumnRenamed("source", "_source"), F.col(source).eqNullSafe(F.col("_source"))
-    ).drop("_source")
-    buckets = F.ceil(F.col("_s.n_docs") / BUCKET_DOCS).cast("long")
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id), F.col("_size")).cast("binary"))
-    high = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_order", order).withColumn(
-        "_bucket", F.shiftright(high * buckets, 32)  # buckets are ranges of the order
+    targets = targets.select(col("source").alias(of), F.struct("*").alias(s))
+    rows = sized.select(*kept).withColumn(number, F.coalesce(col("size").cast("long"), F.lit(0)))
+    rows = rows.join(targets, col(source).eqNullSafe(col(of))).drop(of)
+    buckets = F.ceil(col(f"{s}.n_docs") / BUCKET_DOCS).cast("long")
+    shuffled = F.md5(F.concat_ws(":", F.lit(seed), col(doc_id), col(number)).cast("binary"))
+    high = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn(order, shuffled).withColumn(
+        at, F.shiftright(high * buckets, 32)  # buckets are ranges of the order
     )
-    sums = rows.groupBy(F.col("_s.source").alias("_of"), "_bucket").agg(
-        F.sum("_size").alias("_in_bucket")
+    sums = rows.groupBy(col(f"{s}.source").alias(of), col(at).alias("bucket")).agg(
+        F.sum(number).alias("held")
     )
-    along = Window.partitionBy("_of").orderBy("_bucket")
+    along = Window.partitionBy(of).orderBy("bucket")
     along = along.rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = fresh(f"{inner}b", sized)
     sums = sums.select(
-        "_of", F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_in_bucket").over(along), F.lit(0)).alias("_before"),
+        of, col("bucket").alias(in_bucket),
+        F.coalesce(F.sum("held").over(along), F.lit(0)).alias(before),
     )
     rows = rows.join(
-        sums, F.col("_s.source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_b"))
+        sums, col(f"{s}.source").eqNullSafe(col(of)) & (col(at) == col(in_bucket))
     )
-    inside = Window.partitionBy("_of", "_b").orderBy("_order", doc_id, "_size")
+    inside = Window.partitionBy(of, in_bucket).orderBy(order, doc_id, number)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     rows = rows.withColumns({
-        "_first": first, "source_size": F.col("_s.source_size"), "target": F.col("_s.target"),
+        first: col(before) + F.coalesce(F.sum(number).over(inside), F.lit(0)),
+        "source_size": col(f"{s}.source_size"), "target": col(f"{s}.target"),
     })
-    wanted = F.floor(F.col("target") + 0.5)
-    segments = F.element_at(F.array(*map(_segments, schedules)), F.col("_s.kind") + 1)
-    whole = F.element_at(F.array(*(F.lit(float(integral(s))) for s in schedules)), F.col("_s.kind") + 1)
+    wanted = F.floor(col("target") + 0.5)
+    segments = F.element_at(F.array(*map(_segments, schedules)), col(f"{s}.kind") + 1)
+    whole = F.element_at(F.array(*(F.lit(float(integral(x))) for x in schedules)), col(f"{s}.kind") + 1)
 
     def take(repeat: Column) -> Column:
-        start = F.col("_first") + repeat * F.col("source_size")
-        words = F.greatest(F.least(wanted - start, F.col("_size")), F.lit(0))
-        due = F.try_divide(start * whole, F.col("target"))
+        start = col(first) + repeat * col("source_size")
+        words = F.greatest(F.least(wanted - start, col(number)), F.lit(0))
+        due = F.try_divide(start * whole, col("target"))
         return F.struct(
-            _time_of(due, F.col("_segments")).alias("position"), words.cast("long").alias("words")
+            _time_of(due, col(pieces)).alias("position"), words.cast("long").alias("words")
         )
 
     repeats = F.array(*(F.lit(k).cast("long") for k in range(max_repeats)))
-    rows = rows.withColumn("_segments", segments)
+    rows = rows.withColumn(pieces, segments)
     rows = rows.withColumn("takes", F.filter(F.transform(repeats, take), lambda t: t.words > 0))
     rows = rows.withColumns({
         "taken": F.aggregate("takes", F.lit(0).cast("long"), lambda n, t: n + t.words),
         "position": F.get("takes", F.lit(0)).position,
     })
-    ordered = rows.select(*kept, *added, "_order")
-    return ordered.orderBy(F.col("position").asc_nulls_last(), "_order", doc_id).drop("_order")
+    ordered = rows.select(*kept, *added, order)
+    return ordered.orderBy(col("position").asc_nulls_last(), order, doc_id).drop(order)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per take, a repeated document once per repeat, sorted by training position."""
-    kept = [c for c in mixed.columns if c not in ("takes", "position")]
+    """One row per take, a repeated document once per repeat, sorted by training position.
+
+    A column ``words`` of the input is replaced by the words of the take.
+    """
+    kept = [c for c in mixed.columns if c not in ("takes", "position", "words")]
     takes = mixed.select(*kept, F.inline("takes"))
     return takes.orderBy("position", *(["doc_id"] if "doc_id" in kept else []))

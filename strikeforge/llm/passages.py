@@ -24,8 +24,9 @@ WINDOW = 50
 GRAM = 8
 #: Words of reference text in one automaton.
 SHARD_WORDS = 1 << 16
-#: A gram with more different passages than this is split: its windows become passages.
-CROWDED = 1 << 10
+#: A gram with more different passages than this is split: its windows become passages. So many
+#: are a fourth of a shard.
+CROWDED = 1 << 8
 #: Words of a text searched for anchors at once.
 CHUNK = 1 << 16
 
@@ -342,6 +343,8 @@ def spans_of(starts: Sequence[int], window: int) -> list[list[int]]:
 
 
 def _kept(words: list[bytes], spans: list[list[int]]) -> bytes:
+    if not spans:
+        return b" ".join(words)
     edges = [0, *(e for s in spans for e in s), len(words)]
     return b" ".join(w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b])
 

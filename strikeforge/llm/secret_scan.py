@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeforge.llm.shared import fresh
 from strikeforge.sources.tables import Stage
 
-#: Running totals over the matches of a text are taken in steps of this many.
-STEP = 256
 #: What three of four values do not exceed is usual. So many times the usual texts is wide use where
 #: owners are more than usual too, and inside any number of owners.
 USUAL, WIDE_TEXTS, HEAVY_TEXTS = 0.75, 3, 30
@@ -44,60 +43,62 @@ KINDS = (
 )
 
 
-def _offsets(lengths: Column) -> Column:
-    """Sums of all lengths before each one: whole steps first, then inside a step."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    last_step = F.floor((F.size(lengths) - 1) / STEP).cast("int")
-    steps = F.transform(
-        F.sequence(F.lit(0), last_step), lambda k: total(F.slice(lengths, k * STEP + 1, F.lit(STEP)))
-    )
-    before = F.aggregate(
-        steps, F.array(F.lit(0)), lambda a, b: F.array_append(a, F.element_at(a, -1) + b)
-    )
-    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / STEP).cast("int")) + total(
-        F.slice(lengths, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP)
-    ))
-
+def _matches(text: Column, kind: Kind, number: int) -> Column:
+    """All matches of a kind in their order: how far each lies behind the one before, its length,
+    and its value's length and hashes.
 
-def _spans(text: Column, kind: Kind, number: int) -> Column:
-    """Start and end (code points, end exclusive) and value of all matches of a kind.
-
-    The texts between matches come from splitting at the pattern; the running total of the
-    lengths of both gives the positions.
+    The texts between matches come from splitting at the pattern. Each regular expression runs
+    once over a text; what follows looks at one match at a time.
     """
     pattern = F.lit(kind.pattern)
-    whole = F.regexp_extract_all(text, pattern, 0)
-    values = F.regexp_extract_all(text, pattern, kind.value_group)
-    gaps = F.split(text, kind.pattern, -1)
-    lengths = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m)
-    )
     rows = F.arrays_zip(
-        _offsets(lengths).alias("before"), lengths.alias("span"), whole.alias("whole"),
-        values.alias("value"),
+        F.split(text, kind.pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, pattern, 0).alias("whole"),
+        F.regexp_extract_all(text, pattern, kind.value_group).alias("value"),
     )
-    spans = F.transform(rows, lambda r: F.struct(
-        (r.before + r.span - F.length(r.whole)).alias("start"),
-        F.lit(number).alias("kind"),
-        (r.before + r.span).alias("stop"),
+    made = F.transform(rows, lambda r, nth: F.struct(
+        F.lit(number).alias("kind"), nth.alias("nth"),
+        (F.length(r.gap) + F.length(r.whole)).alias("step"), F.length(r.whole).alias("span"),
         F.length(r.value).alias("chars"),
         F.xxhash64(r.value).alias("high"), F.xxhash64(F.lit("value"), r.value).alias("low"),
     ))
-    spans = F.filter(spans, lambda s: s.chars >= kind.min_chars)
-    empty = F.array().cast("array<struct<start:int,kind:int,stop:int,chars:int,high:bigint,low:bigint>>")
-    return F.when(text.rlike(kind.pattern), spans).otherwise(empty)
-
-
-def candidate_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """All matches, by start and then kind; others only where no base span lies."""
-    base = F.concat(*(_spans(text, k, i) for i, k in enumerate(kinds) if k.base))
-    rest = [_spans(text, k, i) for i, k in enumerate(kinds) if not k.base]
-    if not rest:
-        return F.array_sort(base)
-    free = F.filter(F.concat(*rest), lambda s: ~F.exists(
-        base, lambda b: (s.start < b.stop) & (b.start < s.stop)
-    ))
-    return F.array_sort(F.concat(base, free))
+    empty = F.array().cast(
+        "array<struct<kind:int,nth:int,step:int,span:int,chars:int,high:bigint,low:bigint>>"
+    )
+    return F.when(text.rlike(kind.pattern), made).otherwise(empty)
+
+
+def _constant(values, kind: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), kind + 1)
+
+
+def _spans(matches: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """Start and stop (code points, end exclusive) of every match, and which of them are base;
+    others only where no base span lies.
+
+    Positions are running totals over the matches of a text and kind. A base span that overlaps
+    starts before, and then the furthest stop so far is beyond the start, or after, and then the
+    next start is before the stop: two ordered passes over the spans of a text, however many.
+    """
+    along = Window.partitionBy("no", "kind").orderBy("nth")
+    along = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum("step").over(along).cast("int")
+    spans = matches.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("span"))
+    spans = spans.filter(F.col("chars") >= _constant([k.min_chars for k in kinds], F.col("kind")))
+    spans = spans.withColumn("base", _constant([k.base for k in kinds], F.col("kind")))
+    if all(k.base for k in kinds):
+        return spans
+    rising = Window.partitionBy("no").orderBy("start", "kind")
+    falling = Window.partitionBy("no").orderBy(F.desc("start"), F.desc("kind"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_base = lambda c: F.when(F.col("base"), F.col(c))
+    spans = spans.withColumns({
+        "reach": F.max(of_base("stop")).over(upto(rising)),
+        "next": F.min(of_base("start")).over(upto(falling)),
+    })
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) \
+        & F.coalesce(F.col("next") >= F.col("stop"), F.lit(True))
+    return spans.filter(F.col("base") | free)
 
 
 def scan_secrets(
@@ -118,7 +119,7 @@ def scan_secrets(
 
     Counts are combined before each shuffle, so an example in a third of all documents is one row
     per task and owner. Spans without texts, and the counts, are written to the shared folder and
-    joined from there.
+    joined from there. The work is proportional to texts and matches, also where one text has very many.
 
     A NULL or empty text has no spans. A NULL owner or repository counts as one of its own. Repeated
     rows are all returned; they are the same repository. All other columns are passed on, but
@@ -127,19 +128,24 @@ def scan_secrets(
     own = [c for c in docs.columns if c not in (text, "spans")]
     body = F.coalesce(docs[text], F.lit(""))
     nobody = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit(""))
-    row = F.struct(*(docs[c] for c in own), F.lit(0).alias("_"))
+    row = F.struct(*(docs[c] for c in own), F.lit(0).alias(fresh("_", docs)))
     found = docs.select(
         row.alias("row"), F.monotonically_increasing_id().alias("no"),
         nobody(owner).alias("owner"), nobody(repository).alias("repository"),
         F.xxhash64(body).alias("text_hash"),
-        candidate_spans(body, kinds).alias("found"),
+        F.concat(*(_matches(body, k, i) for i, k in enumerate(kinds))).alias("found"),
     )
     stage = Stage(docs.sparkSession)
-    stage.write("spans", found)  # the numbers are fixed from here on
-    found = stage.read("spans")
-    each = found.filter("size(found) > 0").select(
+    stage.write("found", found)  # the numbers are fixed from here on
+    found = stage.read("found")
+    matches = found.filter("size(found) > 0").select(
         "no", "owner", "repository", "text_hash", F.inline("found")
     )
+    # What lies behind the last match of a text has no match of its own.
+    stage.write("spans", _spans(matches.filter("span IS NOT NULL"), kinds).select(
+        "no", "owner", "repository", "text_hash", "kind", "start", "stop", "base", "high", "low"
+    ))
+    each = stage.read("spans")
     stage.write("values", each.groupBy("high", "low").agg(
         F.count_distinct("owner").alias("owners"),
         F.count_distinct("repository").alias("repositories"),
@@ -155,10 +161,9 @@ def scan_secrets(
         | (uses > HEAVY_TEXTS * usual_uses)
         | (owners > max_owners) & (owners == all_owners)
     )
-    names, based = (F.array(*map(F.lit, x)) for x in zip(*((k.name, k.base) for k in kinds)))
+    names = F.array(*(F.lit(k.name) for k in kinds))
     judged = each.drop("owner", "repository", "text_hash").join(values, ["high", "low"]).withColumns({
-        "base": F.element_at(based, F.col("kind") + 1), "live": ~example,
-        "owners": owners.cast("int"),
+        "live": ~example, "owners": owners.cast("int"),
     })
     stays = judged.filter("base OR live").groupBy("no").agg(F.array_sort(F.collect_list(F.struct(
         "start", F.col("kind").alias("number"), "stop", "base", "owners", "repositories", "texts",

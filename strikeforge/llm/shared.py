@@ -26,6 +26,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, or one like it that no column of the tables has or starts with."""
+    taken = [c.lower() for t in tables for c in t.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def id_key(doc_id: str = "doc_id") -> Column:
     """doc_id as a join key that is never NULL."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeforge.llm.components import connected_components
-from strikeforge.llm.shared import column, id_key, id_of, pieces, text_bytes
+from strikeforge.llm.shared import column, fresh, id_key, id_of, pieces, text_bytes
 from strikeforge.sources.tables import Stage
 
 BITS = 64
@@ -342,5 +342,6 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     is the least of its group (for rows without: if one of them has no near duplicate with an id).
     """
     stays = near_duplicates(docs).filter(F.col("component").eqNullSafe(id_of("key")))
-    stays = stays.select("key").distinct()
-    return docs.join(stays, id_key() == F.col("key"), "left_semi")
+    own = fresh("key", docs)
+    stays = stays.select(F.col("key").alias(own)).distinct()
+    return docs.join(stays, id_key() == F.col(own), "left_semi")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeforge.llm.shared import column, id_key, pieces
+from strikeforge.llm.shared import column, fresh, id_key, pieces
 from strikeforge.sources.tables import Stage
 
 #: Abusive words by theme, one voter each; whole words, lower case.
@@ -417,7 +417,7 @@ def score_toxicity(docs: DataFrame, detector: Detector, *, text: str = "text",
     """
     shared = docs.sparkSession.sparkContext.broadcast(detector)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    own = F.struct(*(docs[c] for c in names), F.lit(0).alias("_"))
+    own = F.struct(*(docs[c] for c in names), F.lit(0).alias(fresh("_", docs)))
     packed = docs.select(own.alias("own"), docs[text].alias("text"))
     kind = packed.schema["own"].dataType.simpleString()
 

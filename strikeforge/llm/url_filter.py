@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strikeforge.llm.shared import lower_ascii
+from strikeforge.llm.shared import fresh, lower_ascii
 
 #: Literal tokens of urls and rules are maximal runs of these.
 TOKEN = "[a-z0-9]+"
@@ -169,7 +169,8 @@ def filter_urls(
     Columns of ``pages`` with these names are replaced; repeated rows are all returned.
     """
     made = ("host", "path", "rule", "verdict")
-    judged = judge_urls(pages, rules, url=url, default=default).withColumnRenamed("url", "_url")
+    key = fresh("_url", pages)
+    judged = judge_urls(pages, rules, url=url, default=default).withColumnRenamed("url", key)
     own = pages.drop(*made)
-    joined = own.join(judged, F.col(url).eqNullSafe(F.col("_url")), "left")
+    joined = own.join(judged, F.col(url).eqNullSafe(F.col(key)), "left")
     return joined.select(*own.columns, *made)
