@@ -41,8 +41,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PRINTED = (*range(33, 127), *range(161, 173), *range(174, 256))
 SPACE_MARK = "▁"
 
+#: Words whose alignment a task remembers, twice, and their longest in characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 17, 64
 #: White space too long for the fast encoder.
 _LONG_GAP = re.compile(r"\s{1000}")
+#: A space beside white space, and the places where a text can be cut into words.
+_WIDE_GAP, _SINGLE_SPACE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
 #: Never part of a piece, so what follows it is encoded as if it stood there alone.
 _APART = "\n"
 
@@ -103,10 +107,10 @@ class ByteVocabulary:
     def _neighbours(self) -> set[bytes]:
         return {e[i : i + 2] for e in self.entries for i in range(len(e) - 1)}
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> list[int]:
         if _LONG_GAP.search(text):
-            return np.array(self._plain.encode(text, add_special_tokens=False).ids, "i8")
-        return np.array(self._fast.encode_ordinary(text), "i8")
+            return self._plain.encode(text, add_special_tokens=False).ids
+        return self._fast.encode_ordinary(text)
 
     def is_cut(self, text: str, at: int) -> bool:
         """Whether both sides of ``at`` may be encoded by themselves: before a single space
@@ -149,10 +153,10 @@ class PieceVocabulary:
             raise ValueError("a vocabulary with line feeds in its pieces cannot be cut")
         return {t[i : i + 2] for t in texts for i in range(len(t) - 1)}
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), "i8")
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
-    def encode_inside(self, text: str) -> np.ndarray:
+    def encode_inside(self, text: str) -> list[int]:
         """A text that does not start a document, so that no space is put in front."""
         return self.encode(_APART + text)[2:]
 
@@ -160,8 +164,8 @@ class PieceVocabulary:
         """Whether no piece has the characters before and at ``at`` side by side."""
         return text[at - 1 : at + 1] not in self._neighbours
 
-    def spells(self, ids: np.ndarray, text: str) -> bool:
-        return b"".join(map(self.octets.__getitem__, ids.tolist())) == text.encode()
+    def spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.octets.__getitem__, ids)) == text.encode()
 
 
 @lru_cache(maxsize=4)
@@ -173,10 +177,32 @@ def vocabularies(a_path: str, b_path: str) -> tuple[ByteVocabulary, PieceVocabul
 # -- fragments
 
 
-@lru_cache(maxsize=2)
-def _spelled_ids(size: int) -> list[bytes]:
-    """Every id followed by each of the three separators."""
-    return [b"%d%s" % (n, s) for n in range(size) for s in (b",", b"|", b";")]
+@lru_cache(maxsize=1)
+def _spellings(bits: int) -> list[bytes]:
+    return [b"%d%s" % (n, s) for n in range(1 << bits) for s in (b",", b"|", b";")]
+
+
+def _spelled_ids(most: int) -> list[bytes]:
+    """Every id up to ``most`` at least, followed by each of the three separators."""
+    return _spellings(max(16, most.bit_length()))
+
+
+def laid_out(
+    a: Tokens, b: Tokens, a_ends: np.ndarray, b_ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closed groups as three times the id plus the separator that follows, all in order; the
+    pairs of linked ids; and the byte at which each link ends.
+
+    Between two bytes at which any token ends exactly one token of A overlaps one of B.
+    """
+    a_last, b_last = np.flatnonzero(a_ends) + 1, np.flatnonzero(b_ends) + 1
+    a_group, b_group = (np.cumsum(e) - e for e in (a_ends, b_ends))
+    codes = np.empty(len(a.ids) + len(b.ids), "i8")
+    codes[np.arange(len(a.ids)) + np.append(0, b_last)[a_group]] = 3 * a.ids + a_ends
+    codes[np.arange(len(b.ids)) + a_last[b_group]] = 3 * b.ids + 2 * b_ends
+    edges = np.unique(np.concatenate((a.ends, b.ends)))
+    links = pair_of(a.ids[np.searchsorted(a.ends, edges)], b.ids[np.searchsorted(b.ends, edges)])
+    return codes, links, edges
 
 
 @dataclass
@@ -192,23 +218,13 @@ class Groups:
 
     @classmethod
     def of(cls, a: Tokens, b: Tokens, a_ends: np.ndarray, b_ends: np.ndarray) -> Groups:
-        """Tokens that end together at last; ``a_ends`` and ``b_ends`` say which close a group.
-
-        Between two bytes at which any token ends exactly one token of A overlaps one of B.
-        """
+        """Tokens that end together at last; ``a_ends`` and ``b_ends`` say which close a group."""
         if not len(a.ids):
             return cls()
-        a_last, b_last = np.flatnonzero(a_ends) + 1, np.flatnonzero(b_ends) + 1
-        a_group, b_group = (np.cumsum(e) - e for e in (a_ends, b_ends))
-        out = np.empty(len(a.ids) + len(b.ids), "i8")
-        out[np.arange(len(a.ids)) + np.append(0, b_last)[a_group]] = 3 * a.ids + a_ends
-        out[np.arange(len(b.ids)) + a_last[b_group]] = 3 * b.ids + 2 * b_ends
-        spelled = _spelled_ids(1 << int(max(a.ids.max(), b.ids.max(), 65535)).bit_length())
-        spelling = b"".join(map(spelled.__getitem__, out.tolist()))
-        edges = np.unique(np.concatenate((a.ends, b.ends)))
-        links = pair_of(a.ids[np.searchsorted(a.ends, edges)], b.ids[np.searchsorted(b.ends, edges)])
+        codes, links, _ = laid_out(a, b, a_ends, b_ends)
+        spelling = b"".join(map(_spelled_ids(int(codes.max()) // 3).__getitem__, codes.tolist()))
         pairs, times = np.unique(links, return_counts=True)
-        return cls(len(a.ids), len(b.ids), len(a_last), spelling, pairs, times)
+        return cls(len(a.ids), len(b.ids), int(a_ends.sum()), spelling, pairs, times)
 
     def __add__(self, other: Groups) -> Groups:
         pairs, place = np.unique(np.concatenate((self.pairs, other.pairs)), return_inverse=True)
@@ -224,6 +240,11 @@ def pair_of(a, b):
     return (a << 32) | b
 
 
+def common_ends(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of either side end where one of the other does."""
+    return tuple(np.isin(x.ends, y.ends, assume_unique=True) for x, y in ((a, b), (b, a)))
+
+
 @dataclass
 class Fragment:
     """Open prefix, closed groups, open suffix. Without a common end all is prefix."""
@@ -235,7 +256,7 @@ class Fragment:
 
     @classmethod
     def of(cls, a: Tokens, b: Tokens) -> Fragment:
-        a_ends, b_ends = (np.isin(x.ends, y.ends, assume_unique=True) for x, y in ((a, b), (b, a)))
+        a_ends, b_ends = common_ends(a, b)
         at_a, at_b = np.flatnonzero(a_ends) + 1, np.flatnonzero(b_ends) + 1
         if not len(at_a):
             return cls((a, b))
@@ -331,24 +352,92 @@ def _load(row: dict) -> Fragment:
     return Fragment((a, b), closed, (c, d), row["is_cut"])
 
 
+class WordAligner:
+    """Aligns texts word by word, and remembers the alignments of words, a bounded number.
+
+    Both vocabularies end a token before a single space between words, and merge nothing
+    across it. So every such word is a fragment without open ends, and a text the sum of its words.
+    """
+
+    def __init__(self, a_side: ByteVocabulary, b_side: PieceVocabulary):
+        self.a_side, self.b_side = a_side, b_side
+        #: By word: tokens of A and B, groups, spelling, links; None if B does not spell it.
+        self.known: dict[str, tuple | None] = {}
+        #: What was known before the last clearing; words that come again are taken over.
+        self.earlier: dict[str, tuple | None] = {}
+
+    def align(self, texts: Iterable[str | None]) -> list[Groups]:
+        split = [words_of(text) if text else [] for text in texts]
+        distinct = set().union(*split)
+        if len(self.known) > REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        again = [w for w in new if w in self.earlier]
+        known.update(zip(again, map(self.earlier.get, again)))
+        missing = [w for w in new if w not in known]
+        known.update(zip(missing, self._aligned(missing)))
+        out = [self._sum(list(map(known.__getitem__, words))) for words in split]
+        for word in missing:
+            if len(word) > REMEMBERED_CHARS:
+                del known[word]
+        return out
+
+    @staticmethod
+    def _sum(words: list[tuple | None]) -> Groups:
+        if not words or None in words:
+            return Groups()
+        n_a, n_b, n_groups, spelling, links = zip(*words)
+        pairs, times = np.unique(np.frombuffer(b"".join(links), "i8"), return_counts=True)
+        return Groups(sum(n_a), sum(n_b), sum(n_groups), b"".join(spelling), pairs, times)
+
+    def _aligned(self, words: list[str]) -> list[tuple | None]:
+        """All words at once, one after the other as if they were one text."""
+        b_ids = self.b_side.model.encode(words, num_threads=1)
+        good = [self.b_side.spells(b, " " + w) for w, b in zip(words, b_ids)]
+        a_ids = [self.a_side.encode(" " + w) for w, g in zip(words, good) if g]
+        b_ids = [b for b, g in zip(b_ids, good) if g]
+        if not a_ids:
+            return [None] * len(words)
+        a_sizes, b_sizes = (np.array([len(x) for x in ids]) for ids in (a_ids, b_ids))
+        sides = []
+        for ids, side in ((a_ids, self.a_side), (b_ids, self.b_side)):
+            flat = np.fromiter((n for own in ids for n in own), "i8")
+            sides.append(Tokens(flat, np.cumsum(side.sizes[flat])))
+        a, b = sides
+        a_ends, b_ends = common_ends(a, b)
+        codes, links, edges = laid_out(a, b, a_ends, b_ends)
+        spelled = list(map(_spelled_ids(int(codes.max()) // 3).__getitem__, codes.tolist()))
+        a_last = np.cumsum(a_sizes) - 1
+        code_stops = np.cumsum(a_sizes + b_sizes).tolist()
+        n_groups = np.diff(np.cumsum(a_ends)[a_last], prepend=0).tolist()
+        link_stops = (8 * (np.searchsorted(edges, a.ends[a_last]) + 1)).tolist()
+        octets, code, link, made = links.tobytes(), 0, 0, []
+        for n_a, n_b, n, stop, end in zip(
+            a_sizes.tolist(), b_sizes.tolist(), n_groups, code_stops, link_stops
+        ):
+            made.append((n_a, n_b, n, b"".join(spelled[code:stop]), octets[link:end]))
+            code, link = stop, end
+        whole = iter(made)
+        return [next(whole) if g else None for g in good]
+
+
+def words_of(text: str) -> list[str]:
+    """A text cut before each single space between words; that space is not part of either."""
+    if text[0] == " " or text[-1] == " " or _WIDE_GAP.search(text):
+        return _SINGLE_SPACE.split(text)
+    return text.split(" ")
+
+
 def _align_short(a_path: str, b_path: str):
     """Texts of one range: tokens, groups and links at once."""
     schema = _schema("key long, " + _SUMS + ", spelling binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_side, b_side = vocabularies(a_path, b_path)
+        aligner = WordAligner(*vocabularies(a_path, b_path))
         for batch in pieces(batches):
-            out = []
-            for key, text in zip(column(batch, "key"), column(batch, "text")):
-                groups = Groups()
-                if text:
-                    spaced = " " + text
-                    b = b_side.encode(text)
-                    if b_side.spells(b, spaced):
-                        a = a_side.encode(spaced)
-                        ends = np.cumsum(a_side.sizes[a]), np.cumsum(b_side.sizes[b])
-                        groups = Fragment.of(Tokens(a, ends[0]), Tokens(b, ends[1])).whole()
-                out.append({"key": key, **_packed(groups)})
+            found = aligner.align(column(batch, "text"))
+            out = [{"key": k, **_packed(g)} for k, g in zip(column(batch, "key"), found)]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
@@ -398,11 +487,13 @@ def _align_ranges(a_path: str, b_path: str):
                 place, a_text, b_text = row["place"], row["a_text"], row["b_text"]
                 b = b_side.encode_inside(b_text) if place else b_side.encode(b_text[1:])
                 broken = not b_side.spells(b, b_text)
-                a = a_side.encode(a_text)
-                fragment = Fragment.of(
-                    Tokens(a, row["a_at"] + np.cumsum(a_side.sizes[a])),
-                    Tokens(b, row["b_at"] + np.cumsum(b_side.sizes[b])),
-                ) if not broken else Fragment((NO_TOKENS, NO_TOKENS))
+                fragment = Fragment((NO_TOKENS, NO_TOKENS))
+                if not broken:
+                    a, b = (np.array(x, "i8") for x in (a_side.encode(a_text), b))
+                    fragment = Fragment.of(
+                        Tokens(a, row["a_at"] + np.cumsum(a_side.sizes[a])),
+                        Tokens(b, row["b_at"] + np.cumsum(b_side.sizes[b])),
+                    )
                 head = {"doc": row["doc"], "key": row["key"], "place": place, "broken": broken}
                 out.append(head | _dump(fragment))
             yield pa.RecordBatch.from_pylist(out, schema)
