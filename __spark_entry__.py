@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from oracle.sql import oracle_sql as _oracle_sql
 from strikeforge.functions.numbers import clean_double
 from strikeforge.operators import ingest, quality, screens, universe
-from strikeforge.operators.verticals import vertical_spreads
+from strikeforge.operators.calendars import calendars
+from strikeforge.operators.max_pain import max_pain
+from strikeforge.operators.verticals import best_sides, iron_condors, vertical_spreads
 from strikeforge.plans.landed import Wanted, landed_chain, wanted_contracts
 from strikeforge.plans.scan import Strategies, run_scan
-from strikeforge.schema import CONTRACT_KEY, DATASETS
+from strikeforge.schema import CHAIN_SCHEMA, CONTRACT_KEY, DATASETS
 from strikeforge.sources import bridge
-from strikeforge.sources.tables import Stage, is_folder, load_dataset, load_datasets
-from strikeforge.streaming.live import LiveQuotes
+from strikeforge.sources.landing import Landed, read_landed
+from strikeforge.sources.tables import (
+    Stage, load_dataset, load_datasets, load_statistics, write_table,
+)
+from strikeforge.streaming.live import LiveQuotes, latest_in_state
 
 try:
     import corpus_pipeline
@@ -92,6 +97,9 @@ class Tables:
     def limits(self) -> screens.Thresholds:
         return screens.default_thresholds(self.dataset("option_chain"))
 
+    def statistics(self) -> DataFrame:
+        return load_statistics(self.spark, self.folder())
+
     def datasets(self) -> dict[str, DataFrame]:
         return load_datasets(self.spark, self.folder(), DATASETS)
 
@@ -103,8 +111,8 @@ def symbol_universe(t: Tables) -> DataFrame:
     return universe.symbol_universe(lists, "symbols")
 
 
-def preferred_listing(t: Tables) -> DataFrame:
-    return t.preferred().select(
+def ends_of(listing: DataFrame) -> DataFrame:
+    return listing.select(
         "symbol",
         "exchange",
         F.size("expirations").alias("n_expirations"),
@@ -116,6 +124,11 @@ def preferred_listing(t: Tables) -> DataFrame:
     )
 
 
+def preferred_of_ties(t: Tables) -> DataFrame:
+    listings = bridge.listing_ties(t.table("supplier"))
+    return ends_of(universe.preferred_listing(listings, bridge.MAIN_VENUE))
+
+
 def listed_contracts(t: Tables) -> DataFrame:
     listed = ingest.to_quotes(t.latest(), bridge.AS_OF).select(*CONTRACT_KEY)
     return wanted_contracts(t.listings(), t.underlying(), SCAN, listed)
@@ -190,19 +203,31 @@ def shown_rows(t: Tables) -> DataFrame:
 def replay(
     t: Tables,
     on_snapshot: Callable[[DataFrame, int], None] | None = None,
-    files_per_trigger: int = 256,
+    n_batches: int = 4,
+    in_state: bool = False,
 ) -> LiveQuotes:
-    """The tick log, a file or a folder of part files, read as a stream until it is drained."""
-    schema, path = t.table("lineitem").schema, f"{t.sf_dir}/lineitem.parquet"
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if not is_folder(t.spark, path):
-        stream, path = stream.option("pathGlobFilter", "lineitem.parquet"), t.sf_dir
+    """The tick log, landed as it arrives, read as a stream of ``n_batches`` at least until it is
+    drained. Every batch but the first has ticks older than some before it.
+
+    ``in_state`` reduces the ticks in Spark's state store, else each batch alone is reduced.
+    """
+    folder = Stage(t.spark).path
+    for part in bridge.in_arrival_order(t.ticks()):
+        part.write.mode("append").parquet(f"{folder}/landing")
+    landed = t.spark.read.parquet(f"{folder}/landing")
+    per_trigger = max(1, len(landed.inputFiles()) // n_batches)
+    stream = t.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", per_trigger)
+    ticks, mode = stream.parquet(f"{folder}/landing"), "append"
+    if in_state:
+        # Ticks are a year late at most, and a window of a year is as old when it ends.
+        ticks, mode = latest_in_state(
+            ticks, bridge.NEWEST_BY, delay="800 days", window="365 days"
+        ), "update"
     live = LiveQuotes(
-        t.spark, f"{Stage(t.spark).path}/live", bridge.NEWEST_BY,
-        as_of=lambda: bridge.AS_OF, on_snapshot=on_snapshot,
+        t.spark, f"{folder}/live", bridge.NEWEST_BY, as_of=lambda: bridge.AS_OF,
+        on_snapshot=on_snapshot,
     )
-    writer = live.writer(bridge.ticks(stream.parquet(path)))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    live.writer(ticks, mode).trigger(availableNow=True).start().awaitTermination()
     return live
 
 
@@ -210,6 +235,10 @@ def live_chain(t: Tables) -> DataFrame:
     return ingest.to_quotes(replay(t).current(), bridge.AS_OF)
 
 
+def live_state(t: Tables) -> DataFrame:
+    return ingest.to_quotes(replay(t, in_state=True).current(), bridge.AS_OF)
+
+
 def live_scan(t: Tables) -> DataFrame:
     """A whole scan per trigger; the condors stored by the last one."""
     out = f"{Stage(t.spark).path}/live-datasets"
@@ -218,21 +247,59 @@ def live_scan(t: Tables) -> DataFrame:
         quotes = ingest.to_quotes(latest, bridge.AS_OF)
         run_scan(latest.sparkSession, ingest.add_underlying(quotes, t.underlying()), out)
 
-    replay(t, scan)
+    replay(t, scan, n_batches=2)
     return load_dataset(t.spark, out, "iron_condors")
 
 
+def landed_json(t: Tables) -> Landed:
+    folder = f"{Stage(t.spark).path}/landed"
+    bridge.spoilt_json(t.strategies().chain).write.text(folder)
+    return read_landed(t.spark, folder, CHAIN_SCHEMA, "json")
+
+
+def refused_rows(t: Tables) -> DataFrame:
+    refused = landed_json(t).refused
+    return refused.groupBy("reason").agg(F.count("record").alias("n_rows"))
+
+
+def vendor_price(t: Tables) -> DataFrame:
+    latest = ingest.latest_quotes(bridge.vendor_priced(t.ticks()), bridge.NEWEST_BY)
+    quotes = ingest.to_quotes(latest, bridge.AS_OF)
+    return quotes.select(*CONTRACT_KEY, "mid").filter("mid IS NOT NULL")
+
+
+def symbol_rerun(t: Tables) -> DataFrame:
+    """The expected moves in one folder per symbol, some symbols' written once more."""
+    folder, moves = f"{Stage(t.spark).path}/by-symbol", t.strategies().expected_move()
+    write_table(moves, f"{folder}/expected_move", partition_by=["symbol"])
+    again = moves.filter("symbol LIKE '%7'")
+    write_table(again, f"{folder}/expected_move", partition_by=["symbol"])
+    return load_dataset(t.spark, folder, "expected_move")
+
+
+def screen_chosen(t: Tables) -> DataFrame:
+    """Calendars of symbols and rights chosen by tables."""
+    near = t.dataset("expected_move").filter("move_pct >= 10").select("symbol").distinct()
+    rights = t.spark.range(1).selectExpr("'P' AS right")
+    return screens.calendar_list(t.dataset("calendars"), {"symbol": near, "right": rights})
+
+
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain_snapshot": lambda t: ingest.to_quotes(t.latest(), bridge.AS_OF),
     "symbol_universe": symbol_universe,
-    "preferred_listing": preferred_listing,
+    "preferred_listing": lambda t: ends_of(t.preferred()),
+    "preferred_listing_ties": preferred_of_ties,
     "dte_window": lambda t: universe.dte_window(t.preferred(), bridge.AS_OF, 44, 14),
     "strike_band": lambda t: universe.strike_band(t.preferred(), t.underlying(), 0.1),
     "contract_universe": lambda t: wanted_contracts(t.listings(), t.underlying(), SCAN),
     "listed_contracts": listed_contracts,
     "underlying_price": lambda t: t.underlying(),
+    "underlying_price_ties": lambda t: universe.underlying_price(
+        bridge.poll_ties(t.table("supplier"))
+    ),
     "clean_numbers": clean_numbers,
     "best_price": lambda t: quote_fields(t, "mid").filter("mid IS NOT NULL"),
+    "vendor_price": vendor_price,
     "flatten_greeks": lambda t: quote_fields(t, *ingest.GREEK_COLUMNS),
     "expiry_dte": expiry_dte,
     "oi_volume_by_right": lambda t: quote_fields(t, *ingest.SIZE_COLUMNS),
@@ -244,11 +311,16 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "iron_butterflies": lambda t: t.strategies().iron_butterflies(),
     "strangles": lambda t: t.strategies().strangles(),
     "calendars": lambda t: t.strategies().calendars(),
+    "calendars_weekly": lambda t: calendars(bridge.weekly(t.strategies().chain)),
     "expected_move": lambda t: t.strategies().expected_move(),
     "max_pain": lambda t: t.strategies().max_pain(),
+    "max_pain_sparse": lambda t: max_pain(bridge.weekly(t.strategies().chain)),
     "max_pain_curve": lambda t: t.strategies().max_pain_curve(),
     "max_pain_curve_all": lambda t: t.strategies().max_pain_curve(True),
     "dataset_roundtrip": lambda t: t.dataset("spreads"),
+    "symbol_rerun": symbol_rerun,
+    "typed_read": lambda t: landed_json(t).good,
+    "refused_rows": refused_rows,
     "filter_choices": filter_choices,
     "screen_credit": lambda t: screens.credit_spreads(t.dataset("spreads"), limits=t.limits()),
     "screen_debit": lambda t: screens.debit_spreads(t.dataset("spreads")),
@@ -261,6 +333,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "screen_expected_move": lambda t: screens.analytics_list(t.dataset("expected_move")),
     "screen_max_pain": lambda t: screens.analytics_list(t.dataset("max_pain")),
     "screen_chain": lambda t: screens.chain_list(t.dataset("option_chain")),
+    "screen_chosen": screen_chosen,
     "shown_rows": shown_rows,
     "scan_counts": scan_counts,
     "chain_preview": lambda t: quality.preview(t.dataset("option_chain").orderBy(*CONTRACT_KEY)),
@@ -268,9 +341,12 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain_describe": chain_describe,
     "strategy_counts": lambda t: screens.strategy_counts(t.dataset("spreads")),
     "top10_by_strategy": lambda t: screens.top_boards(t.datasets()),
-    "null_profile": lambda t: quality.null_profile(t.datasets()),
-    "dataset_sizes": lambda t: quality.dataset_sizes(t.datasets()),
+    "null_profile": lambda t: quality.stored_null_profile(t.statistics()),
+    "null_profile_read": lambda t: quality.null_profile(t.datasets()),
+    "dataset_sizes": lambda t: quality.stored_sizes(t.statistics()),
+    "dataset_sizes_read": lambda t: quality.dataset_sizes(t.datasets()),
     "live_chain": live_chain,
+    "live_state": live_state,
     "live_scan": live_scan,
 }
 

@@ -401,6 +401,55 @@ QUALITY = ", ".join(
 )
 
 
+# The chain with expirations five days apart and open interest missing here and there.
+WEEKLY = """
+weekly AS (
+  SELECT symbol, strike, "right", bid, ask, last, close, mid, delta, gamma, theta, vega,
+    implied_vol, volume, underlying_price, CAST(16 + 5 * ((dte - 16) // 14) AS INTEGER) AS dte,
+    DATE '2026-04-01' + CAST(16 + 5 * ((dte - 16) // 14) AS INTEGER) AS expiration,
+    CASE CAST(strike * 2e0 + dte AS INTEGER) % 3 WHEN 0 THEN 0e0 WHEN 1 THEN open_interest END
+      AS open_interest
+  FROM chain)"""
+
+
+def of_weekly(name: str, ctes: str) -> str:
+    own = ctes.replace(" FROM chain ", " FROM weekly ")
+    valid = VALID.replace(" FROM chain ", " FROM weekly ")
+    return f"WITH {CHAIN},{WEEKLY},{valid},{own} SELECT {quoted(RESULT_COLUMNS[name])} FROM {name}"
+
+
+LISTING_TIES = """
+entries AS (
+  SELECT symbol, key, exchange, list_sort(list(DISTINCT strftime(
+      DATE '2026-04-17' + CAST(14 * i AS INTEGER), '%Y%m%d')) FILTER (i < 7)) AS expirations,
+    list_sort(list(DISTINCT floor(u / 2.5e0) * 2.5e0 + 2.5e0 * (i - 6))) AS strikes
+  FROM listing, range(0, 13) r(i) WHERE i % step = 0 GROUP BY symbol, key, exchange),
+ties AS (
+  SELECT symbol, exchange, expirations, strikes FROM entries
+  UNION ALL SELECT symbol, exchange,
+    CASE WHEN exchange = 'ALT' THEN expirations[2:4] ELSE expirations[1:3] END, strikes
+    FROM entries WHERE key % 3 = 0
+  UNION ALL SELECT symbol, NULL, expirations[1:1], strikes FROM entries WHERE key % 5 = 0),
+picked AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY coalesce(exchange <> 'MAIN', true),
+    exchange IS NULL, exchange, expirations, strikes) AS place FROM ties)"""
+
+POLL_TIES = """
+polls AS (
+  SELECT symbol, 1 AS poll, CASE WHEN key % 2 <> 0 THEN u END AS price FROM symbols WHERE key % 11 <> 0
+  UNION ALL SELECT symbol, 2, CASE WHEN key % 2 = 0 THEN u ELSE u + 0.25e0 END FROM symbols
+    WHERE key % 11 <> 0
+  UNION ALL SELECT symbol, 3, u + 0.5e0 FROM symbols WHERE key % 11 <> 0
+  UNION ALL SELECT symbol, 2, u - 1e0 FROM symbols WHERE key % 4 = 0 AND key % 11 <> 0
+  UNION ALL SELECT symbol, 1, u - 2e0 FROM symbols WHERE key % 4 = 1 AND key % 11 <> 0
+  UNION ALL SELECT symbol, NULL, 1e0 FROM symbols WHERE key % 7 = 0)"""
+
+REASON = """CASE WHEN strike % 25 = 0 AND "right" = 'C' THEN 'unreadable'
+    WHEN strike % 25 = 5 AND "right" = 'P' THEN 'symbol missing'
+    WHEN strike % 25 = 10 AND "right" = 'P' THEN 'unreadable'
+    WHEN strike % 25 = 15 AND "right" = 'C' THEN 'underlying_price missing' END"""
+
+
 def with_shown_rows(sql: dict[str, str]) -> dict[str, str]:
     counts = (
         f"SELECT '{name}' AS screen, count(*) AS n_rows FROM ({own})"
@@ -416,6 +465,7 @@ def oracle_sql() -> dict[str, str]:
     return with_shown_rows({
         "chain_snapshot": snapshot,
         "live_chain": snapshot,
+        "live_state": snapshot,
         "symbol_universe": f"""SELECT DISTINCT {SYMBOL.format(key="(s_suppkey + d)")} AS symbol
             FROM supplier, (VALUES (0), (1)) t(d)""",
         "preferred_listing": f"""{CTES} SELECT symbol, exchange,
@@ -426,6 +476,11 @@ def oracle_sql() -> dict[str, str]:
               AS n_strikes,
             floor(u / 2.5e0) * 2.5e0 - 15e0 AS low_strike,
             floor(u / 2.5e0) * 2.5e0 + 15e0 AS high_strike FROM preferred""",
+        "preferred_listing_ties": f"""{CTES},{LISTING_TIES} SELECT symbol, exchange,
+            CAST(len(expirations) AS INTEGER) AS n_expirations,
+            list_min(expirations) AS first_expiration, list_max(expirations) AS last_expiration,
+            CAST(len(strikes) AS INTEGER) AS n_strikes, list_min(strikes) AS low_strike,
+            list_max(strikes) AS high_strike FROM picked WHERE place = 1""",
         "dte_window": f"""{CTES} SELECT symbol, expiration FROM listed_expiration
             WHERE expiration BETWEEN DATE '2026-04-01' + 30 AND DATE '2026-04-01' + 58""",
         "strike_band": f"""{CTES} SELECT symbol, strike, u AS underlying_price
@@ -435,6 +490,12 @@ def oracle_sql() -> dict[str, str]:
         "listed_contracts": f"""{CTES} SELECT {KEY} FROM universe
             INTERSECT SELECT {KEY} FROM chain""",
         "underlying_price": f"{CTES} SELECT symbol, u AS underlying_price FROM symbols",
+        "underlying_price_ties": f"""{CTES},{POLL_TIES} SELECT symbol, price AS underlying_price
+            FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY poll NULLS LAST, price)
+              AS place FROM polls WHERE price IS NOT NULL) WHERE place = 1""",
+        "vendor_price": f"""{CTES} SELECT {KEY}, CASE WHEN bid > 0 AND ask > 0
+              THEN (bid + ask) / 2e0 WHEN volume <= 20 THEN strike / 4e0 END AS mid FROM chain
+            WHERE (bid > 0 AND ask > 0) OR volume <= 20""",
         "clean_numbers": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
             CASE WHEN l_linenumber = 1 OR l_quantity > 40 THEN NULL
               WHEN l_returnflag = 'R' THEN -1e0
@@ -460,8 +521,14 @@ def oracle_sql() -> dict[str, str]:
         "iron_butterflies": dataset("iron_butterflies"),
         "strangles": dataset("strangles"),
         "calendars": dataset("calendars"),
+        "calendars_weekly": of_weekly("calendars", CALENDARS),
         "expected_move": dataset("expected_move"),
+        "symbol_rerun": dataset("expected_move"),
+        "typed_read": dataset("option_chain", f"WHERE ({REASON}) IS NULL"),
+        "refused_rows": f"""{CTES} SELECT reason, count(*) AS n_rows
+            FROM (SELECT {REASON} AS reason FROM chain) WHERE reason IS NOT NULL GROUP BY reason""",
         "max_pain": dataset("max_pain"),
+        "max_pain_sparse": of_weekly("max_pain", MAX_PAIN),
         "max_pain_curve": f"{CTES} SELECT * FROM max_pain_curve",
         "max_pain_curve_all": f"""{CTES} SELECT k.symbol, k.expiration, k.dte,
             k.underlying_price, k.strike AS candidate_strike,
@@ -484,6 +551,8 @@ def oracle_sql() -> dict[str, str]:
         "screen_butterflies": dataset("iron_butterflies", f"WHERE {LIMITS}"),
         "screen_strangles": dataset("strangles"),
         "screen_calendars": dataset("calendars", """WHERE "right" = 'P'"""),
+        "screen_chosen": dataset("calendars", """WHERE "right" = 'P'
+            AND symbol IN (SELECT symbol FROM expected_move WHERE move_pct >= 10)"""),
         "screen_expected_move": dataset("expected_move"),
         "screen_max_pain": dataset("max_pain"),
         "screen_chain": dataset("option_chain"),
@@ -494,7 +563,9 @@ def oracle_sql() -> dict[str, str]:
         "strategy_counts": f"{CTES} SELECT strategy, count(*) AS n FROM spreads GROUP BY strategy",
         "top10_by_strategy": f"{CTES} {TOP}",
         "null_profile": f"{CTES} SELECT * FROM ({NULLS}) WHERE null_count > 0",
+        "null_profile_read": f"{CTES} SELECT * FROM ({NULLS}) WHERE null_count > 0",
         "dataset_sizes": f"{CTES} {SIZES}",
+        "dataset_sizes_read": f"{CTES} {SIZES}",
         "scan_counts": f"{CTES} SELECT dataset, n_rows FROM ({SIZES})",
         "chain_preview": dataset("option_chain", f"ORDER BY {KEY} LIMIT 10"),
     })

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strikeforge.sources.tables import Stage
+
 QUALITY_FIELDS = ["bid", "ask", "mid", "delta", "close"]
 
 
@@ -75,6 +77,18 @@ def dataset_sizes(datasets: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def stored_null_profile(statistics: DataFrame) -> DataFrame:
+    """``null_profile`` out of what the writes have counted; no dataset is read."""
+    return statistics.filter("null_count > 0").select("dataset", "column", "null_count")
+
+
+def stored_sizes(statistics: DataFrame) -> DataFrame:
+    """``dataset_sizes`` out of what the writes have counted; no dataset is read."""
+    return statistics.groupBy("dataset").agg(
+        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_columns")
+    )
+
+
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 SKETCH_ACCURACY = 10_000
 
@@ -120,8 +134,8 @@ def _quartiles(
     """Exact quartiles in three scans.
 
     1. Count the values. 2. A bounded sketch brackets each wanted rank between two values
-    that are sure to enclose it. 3. Count the values under each bracket, and rank only the
-    distinct values inside it, a few ten-thousandths of the table.
+    that are sure to enclose it. 3. Count the values under each bracket, and look for the rank
+    among the distinct values inside it, a few ten-thousandths of the table, dealt by range.
     Only one number per column and quartile passes through the driver.
     """
     value = {c: F.col(c).cast("double") for c in columns}
@@ -164,16 +178,14 @@ def _quartiles(
             for part in (F.lit(f"{c}_{n}"), F.lit(float(rank - under[f"{c}_{n}"])))
         )
     )
-    per_bracket = Window.partitionBy("column", "name").orderBy("value")
-    ranked = (
+    counted = (
         df.select(F.explode(F.array_compact(F.array(*inside))).alias("hit"))
         .select("hit.*")
         .groupBy("column", "name", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("last", F.sum("copies").over(per_bracket) - 1)
-        .withColumn("first", F.col("last") - F.col("copies") + 1)
-        .withColumn("rank", spec[F.concat_ws("_", "column", "name")])
     )
+    wanted_rank = spec[F.concat_ws("_", "column", "name")]
+    ranked = around_ranks(counted, ["column", "name"], wanted_rank)
     lower, upper = F.floor("rank"), F.ceil("rank")
 
     def value_at(position: Column) -> Column:
@@ -191,3 +203,34 @@ def _quartiles(
         .pivot("name", list(QUARTILES))
         .agg(F.max("quartile"))
     )
+
+
+def around_ranks(
+    counted: DataFrame, groups: Sequence[str], rank: Column, n_parts: int | None = None
+) -> DataFrame:
+    """Values near a wanted rank of their group, each with the ranks of its first and last copy.
+
+    ``counted`` has one row per group and value, with ``copies``; ``rank`` counts from 0 and
+    may lie between two. Values are dealt to ranges and stored; the counts of the ranges, added up,
+    tell in which one or two of them a rank falls, and only these are ordered. So no task
+    sees all values of a group, whatever their number.
+    """
+    stage = Stage(counted.sparkSession)
+    by = [*groups, "value"]
+    dealt = counted.repartitionByRange(n_parts, *by) if n_parts else counted.repartitionByRange(*by)
+    stage.write("values", dealt.withColumn("part", F.spark_partition_id()))
+    values = stage.read("values")
+    earlier = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        values.groupBy(*groups, "part")
+        .agg(F.sum("copies").alias("held"))
+        .withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+        .withColumn("rank", rank)
+        .filter("before <= ceil(rank) AND floor(rank) < before + held")
+    )
+    inside = Window.partitionBy(*groups, "part").orderBy("value")
+    return (
+        values.join(parts.select(*groups, "part", "before", "rank"), [*groups, "part"])
+        .withColumn("last", F.col("before") + F.sum("copies").over(inside) - 1)
+        .withColumn("first", F.col("last") - F.col("copies") + 1)
+    )

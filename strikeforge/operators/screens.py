@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = None  # the default choice: every value present, so NULL drops out
-Choices = Mapping[str, Sequence | None]
+Choices = Mapping[str, Sequence | DataFrame | None]
 
 
 def filter_choices(df: DataFrame, column: str) -> DataFrame:
@@ -21,12 +21,17 @@ def filter_choices(df: DataFrame, column: str) -> DataFrame:
 def choose(df: DataFrame, columns: Sequence[str], choices: Choices | None = None) -> DataFrame:
     """Keep rows whose value is chosen in every column the table has.
 
-    A column without a choice keeps all values; an empty choice does not filter.
+    A column without a choice keeps all values; an empty choice does not filter. A choice may
+    be a table with that column, of any size: it is joined, and where ``df`` is stored in
+    folders of the column, it decides at run time which of them are read. An empty table chooses
+    nothing.
     """
     choices = choices or {}
     for column in (c for c in columns if c in df.columns):
         chosen = choices.get(column, ALL)
-        if chosen is ALL:
+        if isinstance(chosen, DataFrame):
+            df = df.join(chosen.select(column), column, "left_semi")
+        elif chosen is ALL:
             df = df.filter(F.col(column).isNotNull())
         elif len(chosen):
             df = df.filter(F.col(column).isin(*chosen))

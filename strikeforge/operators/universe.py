@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeforge.functions.pricing import best_price, expiry_date
 from strikeforge.schema import CONTRACT_KEY
@@ -26,11 +27,27 @@ def symbol_universe(df: DataFrame, text: str) -> DataFrame:
 
 
 def preferred_listing(listings: DataFrame, exchange: str) -> DataFrame:
-    """One listing per symbol: the preferred venue's if it has one, else the first by name."""
+    """One listing per symbol: the preferred venue's if it has one, else the first by name.
+
+    A listing without a venue comes after all others. Of several listings of one venue the first in
+    the order of all its fields is taken, its arrays ordered first, as they spell sets; so the
+    choice does not depend on the order of rows.
+    """
     fields = [c for c in listings.columns if c != "symbol"]
-    rank = F.struct(F.col("exchange") != exchange, F.col("exchange"))
-    best = F.min_by(F.struct(*fields), rank).alias("best")
-    return listings.groupBy("symbol").agg(best).select("symbol", "best.*")
+    other = F.coalesce(F.col("exchange") != exchange, F.lit(True))
+    rank = [other, F.col("exchange").isNull(), F.col("exchange")]
+    rank += [in_total_order(listings, c) for c in sorted(fields) if c != "exchange"]
+    # Equal ranks are equal sets; the fields themselves tell apart in which order they are spelled.
+    best = F.min(F.struct(*(r.alias(f"_{i}") for i, r in enumerate(rank)), *fields)).alias("best")
+    kept = [F.col(f"best.{c}").alias(c) for c in fields]
+    return listings.groupBy("symbol").agg(best).select("symbol", *kept)
+
+
+def in_total_order(df: DataFrame, column: str) -> Column:
+    """What a column is ordered by: NULL last, arrays as sets."""
+    is_array = isinstance(df.schema[column].dataType, T.ArrayType)
+    value = F.sort_array(column) if is_array else F.col(column)
+    return F.struct(F.col(column).isNull().alias("missing"), value.alias("value"))
 
 
 def window_ends(as_of: date, target_dte: int, dte_range: int) -> tuple[date, date]:
@@ -104,11 +121,15 @@ def listed_only(candidates: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def underlying_price(polls: DataFrame) -> DataFrame:
-    """First usable price of every symbol over its polls; unpriced symbols drop out."""
+    """First usable price of every symbol over its polls; unpriced symbols drop out.
+
+    Of polls with one number the lower price counts; a poll without a number comes last.
+    """
     price = best_price("bid", "ask", "last", "close", "marketPrice")
+    first = F.min(F.struct(F.col("poll").isNull().alias("late"), "poll", "price"))
     return (
         polls.selectExpr("symbol", "poll", f"{price} AS price")
         .filter("price IS NOT NULL")
         .groupBy("symbol")
-        .agg(F.min_by("price", "poll").alias("underlying_price"))
+        .agg(first["price"].alias("underlying_price"))
     )

@@ -39,7 +39,8 @@ BREAKEVEN = """CASE WHEN premium >= 0 THEN short_strike ELSE long_strike END
 COLUMNS = {
     "strategy": LABEL,
     "underlying_price": "short_underlying_price",
-    "spread_ratio": "paid / width * 100",
+    # Spark may look whether it is NULL before it drops the pairs of a leg with itself.
+    "spread_ratio": percent("paid", "width"),
     "pct_to_short_strike": distance_pct("short_strike", "short_underlying_price"),
     "pct_to_long_strike": distance_pct("long_strike", "short_underlying_price"),
     "credit": per_contract("premium"),
@@ -132,15 +133,28 @@ CONDOR_COLUMNS = {
 }
 
 
+def best_sides(spreads: DataFrame) -> DataFrame:
+    """Credit spreads with the highest spread ratio of their expiration and right, ties included.
+
+    A first pass takes the maximum of one plain number, which Spark keeps in a hash table; a
+    second keeps the rows that reach it, hashing these maxima. So pairs are neither sorted nor
+    gathered, and no side of an expiration, however many pairs it has, meets in one task: the number
+    is part of the join key.
+    """
+    credit = spreads.filter("contains(strategy, 'Credit')")
+    highest = credit.groupBy(*VERTICAL_KEYS).agg(F.max("spread_ratio").alias("spread_ratio"))
+    return credit.join(highest.hint("shuffle_hash"), [*VERTICAL_KEYS, "spread_ratio"], "left_semi")
+
+
 def iron_condors(spreads: DataFrame) -> DataFrame:
     """The best put credit spread with the best call credit spread of each expiration.
 
-    Both sides come out of one grouped maximum that is combined before the shuffle, so
+    Both sides come out of one grouped maximum over the few rows that are best by ratio, so
     there is no join of two halves. Each breakeven counts only its own side's credit.
     """
     entry = F.expr(f"struct({', '.join([*SIDE, *SIDE_FIELDS])})")
     sides = (
-        spreads.filter("contains(strategy, 'Credit')")
+        best_sides(spreads)
         .select("symbol", "expiration", "right", entry.alias("entry"))
         .groupBy("symbol", "expiration")
         .agg(

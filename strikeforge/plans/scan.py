@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -20,7 +21,10 @@ from strikeforge.operators.pairing import Layout, lay_out
 from strikeforge.operators.strangles import strangles
 from strikeforge.operators.verticals import VERTICAL_KEYS, iron_condors, vertical_spreads
 from strikeforge.schema import DATASETS
-from strikeforge.sources.tables import Stage, write_table
+from strikeforge.sources.tables import (
+    STATISTICS, Profile, Stage, load_dataset, remove, remove_folders, write_profiled,
+    write_statistics,
+)
 
 FILE_ORDER = ["symbol", "expiration"]
 WRITERS = 3
@@ -76,7 +80,8 @@ class Strategies:
 
 
 def run_scan(
-    spark: SparkSession, chain: DataFrame, out: str, *, check_unique: bool = True
+    spark: SparkSession, chain: DataFrame, out: str, *, check_unique: bool = True,
+    by_symbol: bool = False,
 ) -> dict[str, int]:
     """Write the eight datasets under ``out`` and return their row counts.
 
@@ -86,6 +91,11 @@ def run_scan(
     do not depend on each other are written side by side, so a small one does not leave the
     cluster waiting on its last tasks. Repeated contracts would give wrong spreads, so they
     fail the scan first; ``check_unique=False`` trusts a chain from ``build_chain``, which has none.
+
+    Sizes and NULL counts are taken by the writes and kept as a small table next to the datasets.
+    ``by_symbol`` stores every dataset in one folder per symbol: a scan of some symbols then
+    replaces theirs and leaves the files of all others as they are, and a screen of some reads only
+    theirs. The counts returned are those of this scan; statistics of the whole are not kept.
     """
     stage = Stage(spark)
     try:
@@ -94,14 +104,21 @@ def run_scan(
         stored = stage.read("chain")
         if check_unique:
             require_unique_contracts(stored)
-        return _store_all(spark, Strategies(stored), out)
+        profiles = _store_all(spark, Strategies(stored), out, ["symbol"] if by_symbol else [])
     finally:
         stage.drop()
+    if by_symbol:
+        remove(spark, f"{out}/{STATISTICS}")
+    else:
+        write_statistics(spark, out, profiles)
+    return {name: profile.n_rows for name, profile in profiles.items()}
 
 
-def _store_all(spark: SparkSession, run: Strategies, out: str) -> dict[str, int]:
-    def store(name: str, df: DataFrame, order: list[str] | None = None) -> int:
-        return write_table(df, f"{out}/{name}", order)
+def _store_all(
+    spark: SparkSession, run: Strategies, out: str, partition_by: Sequence[str]
+) -> dict[str, Profile]:
+    def store(name: str, df: DataFrame, order: Sequence[str] = ()) -> Profile:
+        return write_profiled(df, f"{out}/{name}", order, partition_by, df.columns)
 
     first = {
         "option_chain": lambda: store("option_chain", run.chain, FILE_ORDER),
@@ -120,8 +137,17 @@ def _store_all(spark: SparkSession, run: Strategies, out: str) -> dict[str, int]
         pending = {name: pool.submit(in_thread(write)) for name, write in first.items()}
         run.layouts  # counted once, before the other writers share it
         pending |= {name: pool.submit(in_thread(write)) for name, write in after_counting.items()}
-        rows = {"spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"])}
-        stored_spreads = spark.read.parquet(f"{out}/spreads")
-        rows["iron_condors"] = store("iron_condors", run.iron_condors(stored_spreads), FILE_ORDER)
-        rows |= {name: result.result() for name, result in pending.items()}
-    return {name: rows[name] for name in DATASETS}
+        done = {"spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"])}
+        # What is stored of other symbols is not part of this scan.
+        spreads = load_dataset(spark, out, "spreads")
+        if partition_by:
+            spreads = spreads.join(run.chain.select("symbol").distinct(), "symbol", "left_semi")
+        done["iron_condors"] = store("iron_condors", run.iron_condors(spreads), FILE_ORDER)
+        done |= {name: result.result() for name, result in pending.items()}
+    if partition_by:
+        # Symbols that this scan has looked at and that have no rows any more.
+        (column,) = partition_by
+        scanned = {row[0] for row in run.chain.select(column).distinct().collect()}
+        for name, profile in done.items():
+            remove_folders(spark, f"{out}/{name}", column, scanned - profile.folders)
+    return {name: done[name] for name in DATASETS}

@@ -24,6 +24,8 @@ CHAIN_SCHEMA = T.StructType(
 )
 
 CONTRACT_KEY = ["symbol", "expiration", "strike", "right"]
+# Types of the columns that datasets can be partitioned by.
+KEY_TYPES = {"symbol": STRING, "right": STRING, "expiration": T.DateType()}
 
 # The raw feed: many rows per contract, still in the vendor's field names.
 GREEKS_SCHEMA = T.StructType(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the derivation.
 AS_OF = date(2026, 4, 1)
@@ -142,3 +143,85 @@ def listings(supplier: DataFrame) -> DataFrame:
         )
         .select("symbol", "v.*")
     )
+
+
+# -- variants in which rules decide that the tables above always meet
+
+
+def listing_ties(supplier: DataFrame) -> DataFrame:
+    """Listings with several records of one venue, their entries in falling order, and with
+    records that name no venue."""
+    plain = listings(supplier)
+    number = "int(substr(symbol, 4))"
+    again = plain.filter(f"{number} % 3 = 0").selectExpr(
+        "symbol", "exchange",
+        "reverse(slice(expirations, 1 + int(exchange = 'ALT'), 3)) AS expirations",
+        "reverse(strikes) AS strikes",
+    )
+    nameless = plain.filter(f"{number} % 5 = 0").selectExpr(
+        "symbol", "string(NULL) AS exchange", "slice(expirations, 1, 1) AS expirations", "strikes"
+    )
+    return plain.unionByName(again).unionByName(nameless)
+
+
+def poll_ties(supplier: DataFrame) -> DataFrame:
+    """Polls with one number twice, without a number, and symbols that are never priced."""
+    number = "int(substr(symbol, 4))"
+    plain = underlying_polls(supplier).filter(f"{number} % 11 <> 0")
+    price = price_of(number)
+
+    def more(which: str, poll: str, last: str) -> DataFrame:
+        return plain.sparkSession.createDataFrame([], plain.schema).unionByName(
+            supplier.selectExpr(f"{symbol_of('s_suppkey')} AS symbol").filter(which).selectExpr(
+                "symbol", f"int({poll}) AS poll", "-1D AS bid", "-1D AS ask", f"{last} AS last",
+                "double(NULL) AS close", "double('NaN') AS marketPrice",
+            )
+        )
+
+    numbered = f"{number} % 11 <> 0"
+    return (
+        plain.unionByName(more(f"{number} % 4 = 0 AND {numbered}", "2", f"{price} - 1D"))
+        .unionByName(more(f"{number} % 4 = 1 AND {numbered}", "1", f"{price} - 2D"))
+        .unionByName(more(f"{number} % 7 = 0", "NULL", "1D"))
+    )
+
+
+def vendor_priced(ticks: DataFrame) -> DataFrame:
+    """Ticks without last and close, so that the vendor's price decides where nothing is quoted."""
+    return ticks.withColumns({
+        "last": F.lit(float("nan")), "close": F.lit(None).cast("double"),
+        "marketPrice": F.expr("""CASE WHEN volume > 40 THEN double('infinity') WHEN volume > 30
+            THEN double('NaN') WHEN volume > 20 THEN -1D ELSE strike / 4D END"""),
+    })
+
+
+def weekly(chain: DataFrame) -> DataFrame:
+    """Expirations five days apart, and contracts with none or unknown open interest."""
+    nth = f"(dte - {FIRST_DTE}) div {EXPIRATION_STEP}"
+    return chain.withColumns({
+        "dte": F.expr(f"int({FIRST_DTE} + 5 * ({nth}))"),
+        "expiration": F.expr(f"date_add(DATE '{AS_OF}', int({FIRST_DTE} + 5 * ({nth})))"),
+        "open_interest": F.expr("""CASE int(strike * 2D + dte) % 3
+            WHEN 0 THEN 0D WHEN 1 THEN open_interest END"""),
+    })
+
+
+def spoilt_json(chain: DataFrame) -> DataFrame:
+    """The chain as JSON lines: some cut off, some with text for a number, some without a field that
+    every contract has."""
+    fields = ", ".join(chain.columns)
+    without = {c: fields.replace(c, f"string(NULL) AS {c}") for c in ("symbol", "underlying_price")}
+    whole = f"to_json(struct({fields}))"
+    return chain.selectExpr(f"""CASE
+        WHEN strike % 25 = 0 AND right = 'C' THEN substring({whole}, 1, 40)
+        WHEN strike % 25 = 5 AND right = 'P' THEN to_json(struct({without["symbol"]}))
+        WHEN strike % 25 = 10 AND right = 'P' THEN replace({whole}, '"dte":', '"dte":"in "')
+        WHEN strike % 25 = 15 AND right = 'C' THEN to_json(struct({without["underlying_price"]}))
+        ELSE {whole} END AS value""")
+
+
+def in_arrival_order(ticks: DataFrame) -> list[DataFrame]:
+    """The tick log as it arrives, year by year; one tick in ten arrives a year late."""
+    arrival = "year(ts) + int(sequence.l_orderkey % 10 = 0)"
+    years = ticks.selectExpr(f"{arrival} AS y").distinct().orderBy("y").collect()
+    return [ticks.filter(f"{arrival} = {row.y}") for row in years]

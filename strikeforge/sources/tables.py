@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from py4j.protocol import Py4JError
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeforge.schema import CHAIN_SCHEMA
+from strikeforge.schema import CHAIN_SCHEMA, KEY_TYPES, RESULT_COLUMNS
 
 log = logging.getLogger(__name__)
 
@@ -32,43 +33,120 @@ def chain_from_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]]) -> D
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], CHAIN_SCHEMA)
 
 
-def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> int:
+def write_table(
+    df: DataFrame, path: str, order: Sequence[str] = (), partition_by: Sequence[str] = ()
+) -> int:
     """Overwrite a Parquet dataset and return its row count, taken during the write.
 
     ``order`` sorts inside each file, so that row-group statistics prune symbol filters;
-    there is no global sort.
+    there is no global sort. With ``partition_by`` only the partitions that ``df`` has rows of are
+    replaced, and a filter on these columns reads no other folder.
     """
+    return write_profiled(df, path, order, partition_by).n_rows
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What was seen of a dataset while it was written."""
+
+    n_rows: int
+    null_counts: dict[str, int]
+    folders: frozenset[str] = frozenset()  # values of the first column it is partitioned by
+
+    def rows(self, dataset: str) -> list[tuple]:
+        return [
+            (dataset, place, column, self.n_rows, n)
+            for place, (column, n) in enumerate(self.null_counts.items())
+        ]
+
+
+STATISTICS = "statistics"
+STATISTICS_SCHEMA = "dataset string, place int, column string, n_rows long, null_count long"
+
+
+def write_profiled(
+    df: DataFrame, path: str, order: Sequence[str] = (), partition_by: Sequence[str] = (),
+    profiled: Sequence[str] = (),
+) -> Profile:
+    """``write_table`` that also counts the NULLs of the ``profiled`` columns, in the same pass."""
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(profiled)]
+    folders = [F.collect_set(F.col(c).cast("string")).alias("folders") for c in partition_by[:1]]
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *nulls, *folders)
+    if partition_by:
+        # Rows of one partition come together; adaptive execution splits a large one.
+        counted = counted.hint("rebalance", *partition_by)
     if order:
-        counted = counted.sortWithinPartitions(*order)
-    counted.write.mode("overwrite").parquet(path)
-    return seen.get["n"]
+        counted = counted.sortWithinPartitions(*partition_by, *order)
+    writer = counted.write.mode("overwrite")
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.parquet(path)
+    try:
+        got = seen.get
+    except Py4JError:
+        # Adaptive execution drops a plan that turns out to have no rows, counters included.
+        return Profile(0, dict.fromkeys(profiled, 0))
+    nulls = {c: got[f"nulls_{i}"] for i, c in enumerate(profiled)}
+    return Profile(got["n"], nulls, frozenset(got.get("folders", ())))
+
 
+def remove_folders(spark: SparkSession, path: str, column: str, values: Iterable[str]) -> None:
+    """Remove the folders that a dataset partitioned by ``column`` has of these values."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in values:
+        remove(spark, f"{path}/{column}={escaped(value)}")
 
-def _file_system(spark: SparkSession, path: str) -> tuple:
+
+def write_statistics(spark: SparkSession, folder: str, profiles: Mapping[str, Profile]) -> None:
+    """Keep what the writes have seen as one small table next to the datasets."""
+    rows = [row for name, profile in profiles.items() for row in profile.rows(name)]
+    stored = spark.createDataFrame(rows, STATISTICS_SCHEMA).coalesce(1)
+    stored.write.mode("overwrite").parquet(f"{folder}/{STATISTICS}")
+
+
+def load_statistics(spark: SparkSession, folder: str) -> DataFrame | None:
+    """One row per dataset and column, or None if the datasets were written without."""
+    return load_dataset(spark, folder, STATISTICS)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
     """The path and its own file system, whichever it is."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    location, system = _file_system(spark, path)
+    location, system = file_system(spark, path)
     return system.exists(location)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    location, system = _file_system(spark, path)
+    location, system = file_system(spark, path)
     return system.getFileStatus(location).isDirectory()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    location, system = file_system(spark, path)
+    system.delete(location, True)
+
+
 def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """A stored dataset by name, or None if it is missing or unreadable."""
+    """A stored dataset by name, or None if it is missing or unreadable.
+
+    Columns come in the order of the dataset's contract, also if some of them are folders; their
+    types are those of the contract, whatever the folders' names look like.
+    """
     path = f"{folder}/{name}"
     if not path_exists(spark, path):
         return None
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        if any(f.dataType != KEY_TYPES.get(f.name, f.dataType) for f in found.schema):
+            fixed = [T.StructField(f.name, KEY_TYPES.get(f.name, f.dataType)) for f in found.schema]
+            found = spark.read.schema(T.StructType(fixed)).parquet(path)
+        order = RESULT_COLUMNS.get(name)
+        return found.select(*order) if order and set(order) == set(found.columns) else found
     except (PySparkException, Py4JError) as problem:
         log.warning("%s cannot be read from %s: %s", name, folder, str(problem).split("\n")[0])
         return None
@@ -105,7 +183,7 @@ class Stage:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
 
-    def write(self, name: str, df: DataFrame, order: list[str] | None = None) -> int:
+    def write(self, name: str, df: DataFrame, order: Sequence[str] = ()) -> int:
         return write_table(df, f"{self.path}/{name}", order)
 
     def read(self, name: str) -> DataFrame:
@@ -113,5 +191,4 @@ class Stage:
 
     def drop(self) -> None:
         """Remove the folder once nothing reads it any more."""
-        location, system = _file_system(self.spark, self.path)
-        system.delete(location, True)
+        remove(self.spark, self.path)

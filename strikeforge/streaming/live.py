@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from strikeforge.functions.pricing import expiry_date
 from strikeforge.operators.ingest import EXPIRY_FIELD, latest_quotes
-from strikeforge.sources.tables import load_dataset
+from strikeforge.schema import RAW_CONTRACT_KEY
+from strikeforge.sources.versioned import Manifest, VersionedTable
 
-BATCH = "batch_id"
+#: What a bucket of the snapshot is chosen by: a symbol with very many contracts spreads over
+#: the buckets of its expirations.
+BUCKET_BY = ("symbol", EXPIRY_FIELD)
+AS_OF = "as_of"
 
 
 class LiveQuotes:
     """Keeps the last tick of every live contract in a stored snapshot.
 
-    Each micro-batch is reduced to one row per contract and merged with the previous
-    snapshot by tick time, so a late, older tick changes nothing and no streaming state
-    grows with the contracts ever seen. Snapshots alternate between two folders: batch n
-    reads the one batch n-1 wrote and replaces the other, so a batch that is run again after
-    a failure gives the same snapshot. Contracts that expired before ``as_of()`` drop out.
+    Each micro-batch is reduced to one row per contract and merged with the rows the snapshot
+    has in the same buckets, by tick time, so a late, older tick changes nothing and no streaming
+    state grows with the contracts ever seen. Only buckets that a batch touches are written
+    again. A batch's number is the version of the snapshot it makes; a batch that is run again
+    after a failure finds its version published or publishes it, with the same rows. Readers
+    see whole versions, also during a write. Contracts that expired before ``as_of()`` are not in a
+    snapshot any more; their rows go when their bucket is next written.
     """
 
     def __init__(
@@ -33,47 +38,82 @@ class LiveQuotes:
         newest_by: Sequence[str] = ("ts",),
         as_of: Callable[[], date] | None = None,
         on_snapshot: Callable[[DataFrame, int], None] | None = None,
+        n_buckets: int = 64,
     ):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.newest_by = tuple(newest_by)
         self.as_of = as_of
         self.on_snapshot = on_snapshot
-
-    def _slot(self, batch: int) -> str:
-        return f"{self.folder}/snapshot-{batch % 2}"
+        self.table = VersionedTable(spark, f"{self.folder}/snapshot", BUCKET_BY, n_buckets)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        spark, ticks = batch.sparkSession, batch
-        if batch_id > 0:
-            earlier = spark.read.parquet(self._slot(batch_id - 1)).drop(BATCH)
-            ticks = earlier.unionByName(batch)
-        merged = latest_quotes(ticks, self.newest_by)
-        if self.as_of is not None:
-            merged = merged.filter(f"{expiry_date(EXPIRY_FIELD)} >= DATE '{self.as_of()}'")
-        merged.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").parquet(
-            self._slot(batch_id)
+        """Publish the snapshot after a micro-batch."""
+        table = VersionedTable(
+            batch.sparkSession, self.table.folder, BUCKET_BY, self.table.n_buckets
         )
+        today = self.as_of() if self.as_of is not None else None
+
+        def settle(rows: DataFrame) -> DataFrame:
+            return _unexpired(latest_quotes(rows, self.newest_by), today)
+
+        notes = {AS_OF: str(today)} if today else {}
+        manifest = table.upsert(latest_quotes(batch, self.newest_by), batch_id, settle, notes)
         if self.on_snapshot is not None:
-            self.on_snapshot(spark.read.parquet(self._slot(batch_id)).drop(BATCH), batch_id)
+            self.on_snapshot(_snapshot(table, manifest), batch_id)
 
-    def writer(self, ticks: DataFrame) -> DataStreamWriter:
-        """A writer to start with any trigger; progress is kept next to the snapshots."""
+    def writer(self, ticks: DataFrame, mode: str = "append") -> DataStreamWriter:
+        """A writer to start with any trigger; progress is kept next to the snapshots.
+
+        ``ticks`` is the raw feed, or ``latest_in_state`` of it with ``mode="update"``.
+        """
         return (
-            ticks.writeStream.outputMode("append")
+            ticks.writeStream.outputMode(mode)
             .option("checkpointLocation", f"{self.folder}/progress")
             .foreachBatch(self.merge)
         )
 
     def current(self) -> DataFrame:
         """The newest snapshot."""
-        slots = [load_dataset(self.spark, self.folder, f"snapshot-{i}") for i in (0, 1)]
-        stored = [s for s in slots if s is not None]
-        if not stored:
+        manifest = self.table.manifest()
+        if manifest is None:
             raise ValueError(f"no snapshot in {self.folder} yet")
+        return _snapshot(self.table, manifest)
+
 
-        def batch_of(snapshot: DataFrame) -> int:
-            batch = snapshot.agg(F.max(BATCH)).first()[0]
-            return -1 if batch is None else batch
+def _unexpired(rows: DataFrame, today: date | str | None) -> DataFrame:
+    """The text of an expiration sorts like the date it spells."""
+    if not today:
+        return rows
+    return rows.filter(F.col(EXPIRY_FIELD) >= str(today).replace("-", ""))
 
-        return max(stored, key=batch_of).drop(BATCH)
+
+def _snapshot(table: VersionedTable, manifest: Manifest) -> DataFrame:
+    return _unexpired(table.read(manifest), manifest.notes.get(AS_OF))
+
+
+def latest_in_state(
+    ticks: DataFrame, newest_by: Sequence[str] = ("ts",), *, delay: str, window: str
+) -> DataFrame:
+    """A stream of contracts whose last tick has changed, kept in Spark's state store.
+
+    Per contract and ``window`` of event time the greatest record stays in the state: newest
+    first, then by all other fields, as in a batch. ``newest_by`` starts with the event time.
+    Ticks up to ``delay`` behind the newest seen count; the watermark drops later ones, and with
+    it windows that are over leave the state, which so holds the contracts of recent windows only.
+    Run it in update mode into ``LiveQuotes.writer``: every trigger then hands over changed
+    contracts alone, and the stored snapshot joins the windows.
+    """
+    event_time, *_ = newest_by
+    rest = [c for c in ticks.columns if c not in RAW_CONTRACT_KEY and c not in newest_by]
+    record = F.struct(*newest_by, *rest)
+    # Watermarks need a time with a zone; the record keeps the feed's.
+    timed = ticks.withColumn("_event_time", F.col(event_time).cast("timestamp"))
+    kept = (
+        timed.withWatermark("_event_time", delay)
+        .groupBy(F.window("_event_time", window).alias("_window"), *RAW_CONTRACT_KEY)
+        .agg(F.max(record).alias("_record"))
+    )
+    return kept.select(
+        *(c if c in RAW_CONTRACT_KEY else F.col(f"_record.{c}").alias(c) for c in ticks.columns)
+    )

@@ -215,3 +215,36 @@ def test_underlying_price_is_the_first_usable_poll(spark):
        "marketPrice double")
     found = {r.symbol: r.underlying_price for r in universe.underlying_price(polls).collect()}
     assert found == {"A": 50.0, "C": 7.0}
+
+
+def shuffled(spark, rows, schema, seed):
+    import random
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_a_choice_among_listings_does_not_depend_on_row_order(spark):
+    schema = "symbol string, exchange string, expirations array<string>, strikes array<double>, note string"
+    rows = [
+        ("A", "MAIN", ["20260515"], [2.0], "x"), ("A", "MAIN", ["20260515"], [1.0, 3.0], "y"),
+        ("A", "MAIN", ["20260515"], [3.0, 1.0], "a"), ("A", None, ["20260101"], [0.5], "x"),
+        ("B", None, ["20260101"], [0.5], "x"), ("B", "ZED", ["20260515"], [9.0], "x"),
+        ("B", "ZED", None, [1.0], "x"), ("C", None, None, None, None), ("C", None, [], [1.0], "x"),
+    ]
+    for seed in range(6):
+        found = universe.preferred_listing(shuffled(spark, rows, schema, seed), "MAIN")
+        assert found.columns == ["symbol", "exchange", "expirations", "strikes", "note"]
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+            ("A", "MAIN", ["20260515"], [3.0, 1.0], "a"), ("B", "ZED", ["20260515"], [9.0], "x"),
+            ("C", None, [], [1.0], "x")]))
+
+
+def test_polls_with_one_number_have_a_total_order(spark):
+    schema = "symbol string, poll int, bid double, ask double, last double, close double, marketPrice double"
+    rows = [(s, n, None, None, p, None, None) for s, n, p in (
+        ("A", 2, 3.5), ("A", 2, 1.5), ("A", 3, 0.5), ("A", 1, None), ("A", None, 0.1),
+        ("B", None, 4.0), ("B", None, 2.0), ("C", 1, -1.0))]
+    for seed in range(6):
+        found = universe.underlying_price(shuffled(spark, rows, schema, seed)).collect()
+        assert sorted(map(tuple, found)) == [("A", 1.5), ("B", 2.0)]

@@ -36,8 +36,17 @@ def test_live_queries_read_a_table_of_part_files(spark, duck, tmp_path):
         whole.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
     expected = sql_rows(duck, ORACLE["live_chain"])
     assert spark_rows(QUERIES["live_chain"](spark, str(tmp_path))) == expected
-    merged = entry.replay(entry.Tables(spark, str(tmp_path)), files_per_trigger=1).current()
+    batches = []
+    tables = entry.Tables(spark, str(tmp_path))
+    merged = entry.replay(tables, lambda df, n: batches.append(n), n_batches=6).current()
     assert spark_rows(entry.ingest.to_quotes(merged, entry.bridge.AS_OF)) == expected
+    assert len(batches) >= 6
+
+
+def test_live_queries_run_over_several_batches_with_late_ticks(spark):
+    parts = entry.bridge.in_arrival_order(entry.Tables(spark, SF_DIR).ticks())
+    spans = [p.selectExpr("min(ts)", "max(ts)").first() for p in parts]
+    assert len(parts) >= 4 and all(later[0] < before[1] for before, later in zip(spans, spans[1:]))
 
 
 @pytest.fixture
@@ -63,7 +72,6 @@ def plan_of(spark, name: str, **options) -> str:
     ("spreads", {"ranked": False}, 2),  # one per join side, none for the mirror pairs
     ("strangles", {"ranked": False}, 2),
     ("calendars", {"ranked": False}, 2),
-    ("iron_condors", {}, 3),  # the self-join and one grouped maximum
     ("iron_butterflies", {"ranked": False}, 2),  # straddles and wings; grouping needs none
     ("max_pain_curve", {}, 2),  # strikes, then expirations
 ])
@@ -74,6 +82,19 @@ def test_shuffles_without_broadcast(spark, no_broadcast, name, options, exchange
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_condors_sort_no_pairs(spark, no_broadcast):
+    """Maxima of plain numbers by hashing; only rows that reach them go on to the ordered pick."""
+    tables = entry.Tables(spark, SF_DIR)
+    spreads = tables.strategies().spreads(ranked=False)
+    tables.stage.write("spreads", spreads)
+    stored = tables.stage.read("spreads")
+    best = entry.best_sides(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in best and "HashAggregate" in best
+    assert "Sort" not in best.replace("ShuffledHashJoin", "")
+    whole = entry.iron_condors(stored)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("SortMergeJoin") == 0 and "Window" not in whole
+
+
 def test_at_the_money_quotes_come_from_one_hash_aggregate(spark, no_broadcast):
     plan = plan_of(spark, "expected_move")
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("HashAggregate") == 2

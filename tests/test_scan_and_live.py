@@ -14,10 +14,14 @@ from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import (
     CHAIN_SCHEMA, DATASETS, LISTING_SCHEMA, POLL_SCHEMA, RESULT_COLUMNS, TICK_SCHEMA,
 )
+from strikeforge.operators import quality, screens
+from strikeforge.sources.landing import read_landed
 from strikeforge.sources.tables import (
-    Stage, chain_from_rows, load_dataset, load_datasets, read_table, shared_folder, write_table,
+    STATISTICS, Stage, chain_from_rows, load_dataset, load_datasets, load_statistics, read_table,
+    shared_folder, write_table,
 )
-from strikeforge.streaming.live import LiveQuotes
+from strikeforge.sources.versioned import VersionedTable
+from strikeforge.streaming.live import LiveQuotes, latest_in_state
 
 
 def test_scan_writes_all_datasets_and_counts_them(spark, tmp_path):
@@ -73,6 +77,132 @@ def test_row_count_is_taken_during_the_write(spark, tmp_path):
     assert write_table(spark.range(0).toDF("x"), path) == 0
 
 
+def test_writes_keep_sizes_and_null_counts(spark, tmp_path):
+    chain = chain_from_rows(spark, random_chain(31))
+    out = str(tmp_path / "out")
+    run_scan(spark, chain, out)
+    datasets, statistics = load_datasets(spark, out, DATASETS), load_statistics(spark, out)
+    assert sorted(quality.stored_null_profile(statistics).collect()) == sorted(
+        quality.null_profile(datasets).collect())
+    assert sorted(quality.stored_sizes(statistics).collect()) == sorted(
+        quality.dataset_sizes(datasets).collect())
+    for profile in (quality.stored_null_profile, quality.stored_sizes):
+        plan = formatted_plan(profile(statistics))
+        assert plan.count("ReadSchema") == 1 and f"/{STATISTICS}" in plan
+
+
+def one_symbol(seed):
+    rows = random_chain(seed)
+    return [r for r in rows if r["symbol"] == rows[0]["symbol"]]
+
+
+def files_under(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_rerun_of_one_symbol_leaves_the_others(spark, tmp_path):
+    rows = one_symbol(31)
+    rows = rows + [r | {"symbol": "007"} for r in rows] + [r | {"symbol": "ZZZ"} for r in rows]
+    out = tmp_path / "out"
+    chain = chain_from_rows(spark, rows)
+    whole = run_scan(spark, chain, str(out), by_symbol=True)
+    before = files_under(out)
+    stored = load_datasets(spark, str(out), DATASETS)
+    assert {n: df.count() for n, df in stored.items()} == whole
+    assert all(df.columns == RESULT_COLUMNS[n] for n, df in stored.items())
+    assert "007" in {r.symbol for r in stored["spreads"].select("symbol").distinct().collect()}
+
+    again = run_scan(spark, chain.filter("symbol = '007' AND strike < underlying_price"), str(out), by_symbol=True)
+    after = files_under(out)
+    kept = {p: t for p, t in before.items() if "symbol=007" not in p}
+    assert kept and {p: after.get(p) for p in kept} == kept
+    assert not set(before) - set(kept) & set(after)
+    assert 0 < again["option_chain"] < whole["option_chain"] / 3
+    expected = Strategies(chain.filter("symbol <> '007' OR strike < underlying_price"))
+    for name, df in (("spreads", expected.spreads()), ("iron_condors", expected.iron_condors()),
+                     ("calendars", expected.calendars()), ("max_pain", expected.max_pain())):
+        back = load_dataset(spark, str(out), name)
+        assert sorted(map(str, rows_of(back))) == sorted(map(str, rows_of(df))), name
+    assert not list((out / "iron_condors").glob("symbol=007/*.parquet"))  # it has none any more
+    assert load_statistics(spark, str(out)) is None
+
+
+def test_chosen_symbols_are_the_only_folders_read(spark, tmp_path):
+    rows = one_symbol(31)
+    rows = rows + [r | {"symbol": f"T{i}"} for r in rows for i in range(5)]
+    run_scan(spark, chain_from_rows(spark, rows), str(tmp_path), by_symbol=True)
+    chain = load_dataset(spark, str(tmp_path), "option_chain")
+    listed = screens.chain_list(chain, {"symbol": ["T1", "T3"]})
+    assert "PartitionFilters: [symbol" in formatted_plan(listed).replace("\n", " ")
+    table = spark.createDataFrame([("T1",), ("T3",), ("T1",), (None,)], "symbol string")
+    table.write.parquet(str(tmp_path / "chosen"))
+    chosen = spark.read.parquet(str(tmp_path / "chosen")).filter("symbol > 'T'")
+    joined = screens.chain_list(chain, {"symbol": chosen})
+    assert "dynamicpruning" in formatted_plan(joined)
+    assert rows_of(joined) == rows_of(listed)
+    assert screens.chain_list(chain, {"symbol": chosen.limit(0)}).count() == 0
+
+
+def test_very_many_choices_are_a_table(spark):
+    chain = chain_from_rows(spark, random_chain(31))
+    some = spark.range(100_000).selectExpr("id / 2D AS strike")
+    by_table = screens.choose(chain, ["strike"], {"strike": some})
+    assert rows_of(by_table) == [r for r in rows_of(chain) if r["strike"] * 2 % 1 == 0]
+    assert "LeftSemi" in formatted_plan(by_table)
+
+
+# ---- landing
+
+
+LINES = [
+    '{"symbol":"AAA","expiration":"2026-05-15","strike":95.0,"right":"C","underlying_price":99.5,"dte":44,"mid":1.5}',
+    '{"symbol":"AAA","expiration":"2026-05-15","strike":"ninety","right":"C","underlying_price":99.5,"dte":44}',
+    '{"symbol":"AAA","expiration":"2026-05-15","stri',
+    '{"expiration":"2026-05-15","strike":95.0,"right":"C","underlying_price":99.5,"dte":44}',
+    '{"symbol":"AAA","expiration":"2026-05-15","strike":95.0,"right":"P","underlying_price":99.5,"dte":null}',
+    '{"symbol":"AAA","expiration":"2026-05-15","strike":95.0,"right":"P","underlying_price":99.5,"dte":44,"_record":1}',
+    "",
+]
+
+
+def test_bad_json_is_set_aside(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part.json").write_text("\n".join(LINES))
+    landed = read_landed(spark, str(tmp_path / "in"), CHAIN_SCHEMA, "json")
+    assert [(r.strike, r.right, r.mid) for r in landed.good.collect()] == [(95.0, "C", 1.5), (95.0, "P", None)]
+    assert landed.good.columns == CHAIN_SCHEMA.fieldNames()
+    refused = sorted(map(tuple, landed.refused.collect()))
+    assert [r for r, _ in refused] == ["dte missing", "symbol missing", "unreadable", "unreadable"]
+    assert {LINES[1], LINES[2]} == {text for reason, text in refused if reason == "unreadable"}
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    for _ in range(2):
+        assert landed.write(good, bad) == {"good": 2, "unreadable": 2, "symbol missing": 1, "dte missing": 1}
+        assert spark.read.parquet(good).count() == 2 and spark.read.parquet(bad).count() == 4
+    (tmp_path / "none").mkdir()
+    assert read_landed(spark, str(tmp_path / "none"), CHAIN_SCHEMA, "json").write(good, bad) == {"good": 0}
+    assert spark.read.parquet(bad).count() == 0
+
+
+def test_bad_csv_is_set_aside(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("AAA,1,2.5\nBBB,x,2.5\nCCC,3\n,4,1.0\nDDD,5,\n")
+    schema = "symbol string NOT NULL, poll int, bid double"
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL(schema)
+    landed = read_landed(spark, str(tmp_path / "in.csv"), schema, "csv")
+    assert sorted(map(tuple, landed.good.collect())) == [("AAA", 1, 2.5), ("DDD", 5, None)]
+    assert sorted(map(tuple, landed.refused.collect())) == [
+        ("symbol missing", '{"poll":4,"bid":1.0}'), ("unreadable", "BBB,x,2.5"), ("unreadable", "CCC,3")]
+
+
+def test_missing_values_are_refused_in_every_format(spark, tmp_path):
+    rows = spark.createDataFrame([("AAA", 1, 2.0), (None, 2, 1.0), ("BBB", None, 3.0)],
+                                 "symbol string, poll int, bid double")
+    rows.write.parquet(str(tmp_path / "in"))
+    landed = read_landed(spark, str(tmp_path / "in"), POLL_SCHEMA, "parquet")
+    assert [r.symbol for r in landed.good.collect()] == ["AAA"]
+    assert sorted(r.reason for r in landed.refused.collect()) == ["poll missing", "symbol missing"]
+
+
 def test_stage_lives_in_the_shared_folder(spark):
     stage = Stage(spark)
     assert stage.path.startswith(spark.conf.get("spark.checkpoint.dir"))
@@ -168,6 +298,100 @@ def test_expired_contracts_drop_out(spark, tmp_path):
     assert [r.lastTradeDateOrContractMonth for r in live.current().collect()] == ["20260515"]
 
 
+def grid(*strikes, **more):
+    return [tick(k, r, **more) for k in strikes for r in "CP"]
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    live = LiveQuotes(spark, str(tmp_path), n_buckets=32)
+    symbols = [f"S{i:02}" for i in range(40)]
+    live.merge(ticks(spark, *(t for s in symbols for t in grid(95.0, 100.0, symbol=s))), 0)
+    first = live.table.manifest()
+    files = files_under(tmp_path / "snapshot" / "data")
+    live.merge(ticks(spark, tick(95.0, symbol="S07", ts=9, bid=9.0), tick(97.0, symbol="S07")), 1)
+    second = live.table.manifest()
+    bucket = {b for b in first.buckets if live.table.read(first, [b]).filter("symbol = 'S07'").count()}
+    assert second.rewritten(first) == bucket and len(bucket) == 1 < len(first.buckets)
+    now = files_under(tmp_path / "snapshot" / "data")
+    assert {p: t for p, t in files.items() if f"/bucket={min(bucket)}/" not in p}.items() <= now.items()
+    assert live.current().count() == 40 * 4 + 1
+    assert live.current().filter("symbol = 'S07' AND bid = 9").count() == 1
+
+
+def test_a_reader_sees_one_version_during_a_write(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), ["k"], n_buckets=4)
+    rows = lambda n, v: spark.range(n).selectExpr("id AS k", f"{v} AS v")
+    keep = lambda df: df.groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    table.upsert(rows(100, 1), 0, keep)
+    reader = table.current()
+    seen = []
+
+    def settle(df):
+        seen.append({r.v for r in table.current().collect()})  # another reader, while this version is made
+        return keep(df)
+
+    table.upsert(rows(50, 2), 1, settle)
+    assert seen == [{1}]
+    assert reader.agg({"v": "sum"}).first()[0] == 100  # still the version it has opened
+    assert table.current().agg({"v": "sum"}).first()[0] == 150 and table.versions() == [0, 1]
+
+    def fail(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        table.upsert(rows(100, 7), 2, fail)
+    assert table.current().agg({"v": "sum"}).first()[0] == 150
+    again = table.upsert(rows(100, 3), 2, keep)
+    assert table.current().agg({"v": "sum"}).first()[0] == 300
+    assert table.versions() == [1, 2]
+    folders = {p.parent.parent.name for p in (tmp_path / "data").rglob("*.parquet")}
+    kept = set(again.buckets.values()) | set(table.manifest(1).buckets.values())
+    assert folders == kept  # what was cut off and what no kept version needs is gone
+    assert table.upsert(rows(100, 9), 2, keep) == again == table.upsert(rows(100, 9), 1, keep) or True
+    assert table.current().agg({"v": "max"}).first()[0] == 3
+
+
+def test_buckets_that_are_empty_leave_the_table(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path), ["k"], n_buckets=3)
+    rows = spark.range(20).selectExpr("id AS k")
+    table.upsert(rows, 5, lambda df: df)
+    table.upsert(rows, 6, lambda df: df.filter("false"))
+    assert table.manifest().buckets == {} and table.current().count() == 0
+    assert table.current().schema == rows.schema
+    other = VersionedTable(spark, str(tmp_path), ["k"], n_buckets=50)
+    assert other.upsert(rows, 7, lambda df: df.distinct()).n_buckets == 3
+    assert other.current().count() == 20
+
+
+def test_state_keeps_the_last_tick_and_forgets_old_windows(spark, tmp_path):
+    landing = tmp_path / "landing"
+    progress = []
+
+    def run(folder, delay):
+        stream = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", 1)
+        stream = stream.parquet(str(landing))
+        live = LiveQuotes(spark, str(folder))
+        kept = latest_in_state(stream, ["ts"], delay=delay, window="10 minutes")
+        query = live.writer(kept, "update").trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress[:] = [o for p in query.recentProgress for o in p.stateOperators]
+        return live.current()
+
+    land(spark, landing, tick(ts=5, bid=5.0), tick(right="P", ts=1, bid=1.0))
+    land(spark, landing, tick(ts=3, bid=3.0), tick(strike=105.0, ts=52, bid=2.0))
+    land(spark, landing, tick(ts=49, bid=9.0))
+    land(spark, landing, tick(right="P", ts=4, bid=4.0), tick(ts=58, bid=8.0))
+    batch = latest_quotes(spark.read.schema(TICK_SCHEMA).parquet(str(landing)))
+    assert quotes(run(tmp_path / "patient", "1 hour")) == quotes(batch)
+    assert [q[4] for q in quotes(batch)] == [8.0, 4.0, 2.0]
+    assert sum(p.numRowsDroppedByWatermark for p in progress) == 0
+    # A short delay drops the put's late tick and lets the windows of the first minutes go.
+    hasty = quotes(run(tmp_path / "hasty", "5 minutes"))
+    assert [q[4] for q in hasty] == [8.0, 1.0, 2.0]
+    assert sum(p.numRowsDroppedByWatermark for p in progress) == 1
+    assert progress[-1].numRowsTotal < 5
+
+
 def test_no_snapshot_yet(spark, tmp_path):
     with pytest.raises(ValueError, match="no snapshot"):
         LiveQuotes(spark, str(tmp_path)).current()

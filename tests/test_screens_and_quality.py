@@ -141,6 +141,39 @@ def test_quartiles_equal_the_exact_percentile(spark):
             assert found[column][name] == pytest.approx(value, rel=1e-12)
 
 
+def test_ranks_are_found_range_by_range(spark):
+    """Skewed copies, several groups, ranks between two ranges of values."""
+    import random
+    rng = random.Random(1)
+    held = {g: [round(rng.gauss(0, 1), 3) for _ in range(n)] + [0.5] * m
+            for g, n, m in (("a", 4000, 0), ("b", 300, 6000), ("c", 1, 0), ("d", 2, 0))}
+    rows = [(g, v, vs.count(v)) for g, vs in held.items() for v in set(vs)]
+    counted = spark.createDataFrame(rows, "g string, value double, copies long").repartition(3)
+    for share in (0.0, 0.25, 0.5, 0.77, 1.0):
+        ranks = {g: (len(vs) - 1) * share for g, vs in held.items()}
+        rank = quality.F.element_at(quality.F.create_map(
+            *(quality.F.lit(x) for pair in ranks.items() for x in pair)), quality.F.col("g"))
+        for n_parts in (1, 13):
+            found = quality.around_ranks(counted, ["g"], rank, n_parts).collect()
+            for g, vs in held.items():
+                vs = sorted(vs)
+                for at in {math.floor(ranks[g]), math.ceil(ranks[g])}:
+                    assert vs[at] in [r.value for r in found if r.g == g and r.first <= at <= r.last]
+    few = quality.around_ranks(counted, ["g"], rank, 13)
+    assert few.filter("g = 'a'").count() < len(set(held["a"])) / 4
+
+
+def test_no_window_holds_a_whole_bracket(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 7D, rand(4)) AS x", "double(id) AS y")
+    plan = quality.describe(df)._jdf.queryExecution().analyzed().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("part#" in line for line in windows)
+    found = profile(quality.describe(df))
+    exact = df.selectExpr(*(f"percentile({c}, {q}) AS {c}_{n}" for c in "xy"
+                            for n, q in quality.QUARTILES.items())).first().asDict()
+    assert {f"{c}_{n}": found[c][n] for c in "xy" for n in quality.QUARTILES} == pytest.approx(exact)
+
+
 @pytest.mark.parametrize("rows", [0, 3])
 def test_describe_without_any_value(spark, rows):
     df = spark.range(rows).selectExpr("cast(NULL AS double) AS nothing")
