@@ -25,8 +25,8 @@ GRAM = 8
 #: Words of reference text in one automaton.
 SHARD_WORDS = 1 << 16
 #: A gram with more different passages than this is split: its windows become passages. So many
-#: are a fourth of a shard.
-CROWDED = 1 << 8
+#: are about half a shard.
+CROWDED = 1 << 9
 #: Words of a text searched for anchors at once.
 CHUNK = 1 << 16
 
@@ -260,6 +260,8 @@ def _judged_apart(cut: DataFrame, stage: Stage, window: int, shard_words: int) -
 
     A window that one passage alone holds stood first where that passage did.
     """
+    stage.write("crowded", cut)
+    cut = stage.read("crowded")
     stage.write("windows", cut.mapInArrow(
         _each_window(window),
         "gram long, high long, low long, first long, at int, w_high long, w_low long",
@@ -278,10 +280,15 @@ def _judged_apart(cut: DataFrame, stage: Stage, window: int, shard_words: int) -
     stage.write("firsts", _judged(passages, window, shard_words).select(
         F.col("high").alias("w_high"), F.col("low").alias("w_low"), F.col("firsts")[0].alias("found")
     ))
-    own = windows.join(stage.read("firsts"), ["w_high", "w_low"], "left")
-    first = F.struct("at", F.coalesce("found", "first").alias("first"))
-    firsts = F.transform(F.array_sort(F.collect_list(first)), lambda w: w["first"])
-    return own.groupBy(*PASSAGE).agg(firsts.alias("firsts"))
+    shared = windows.join(stage.read("firsts"), ["w_high", "w_low"]).groupBy(*PASSAGE).agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("shared")
+    )
+    firsts = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda at: F.coalesce(F.element_at("shared", at), F.col("first")),
+    )
+    whole = cut.select(*PASSAGE, "first", "n").join(shared, list(PASSAGE), "left")
+    return whole.select(*PASSAGE, firsts.alias("firsts"))
 
 
 def text_mark(data: Column) -> Column:
