@@ -38,7 +38,7 @@ def _segments(schedule: Schedule) -> Column:
 
 def _time_of(demand: Column, segments: Column) -> Column:
     """The time by which a schedule has asked for ``demand``: its integral, inverted."""
-    piece = F.element_at(F.filter(segments, lambda s: s.d <= demand), -1)
+    piece = F.try_element_at(F.filter(segments, lambda s: s.d <= demand), F.lit(-1))
     rest = demand - piece.d
     root = F.sqrt(F.greatest(piece.w * piece.w + 2 * piece.m * rest, F.lit(0.0)))
     into = F.coalesce(F.try_divide(2 * rest, piece.w + root), F.lit(0.0))
