@@ -27,8 +27,11 @@ def _interest_per_strike(chain: DataFrame) -> DataFrame:
         f"sum(if(right = '{right}', open_interest, 0D)) AS {role}_oi"
         for role, right in (("call", "C"), ("put", "P"))
     ]
+    used = ["strike", "right", "open_interest", "underlying_price", "dte"]
     return (
         with_interest(chain)
+        .select(*EXPIRATION_KEYS, *used)
+        .repartition(*EXPIRATION_KEYS)  # serves the sums per strike and both passes
         .groupBy(*EXPIRATION_KEYS, "strike")
         .agg(
             F.max("underlying_price").alias("underlying_price"),
@@ -54,9 +57,10 @@ def max_pain_curve(chain: DataFrame, *, include_all_candidates: bool = False) ->
     """Pain of settling at each candidate strike.
 
     A candidate needs open call interest strictly below it, so the lowest strike and
-    expirations without calls have no row; ``include_all_candidates`` adds them. Contracts are
-    summed per strike before the shuffle by expiration, so what is ordered there is one row per
-    listed strike, however many contracts stand behind it; both passes share that shuffle.
+    expirations without calls have no row; ``include_all_candidates`` adds them. There is one
+    shuffle, of six narrow columns by expiration. Contracts are summed per strike behind it, so what
+    the passes order is one row per listed strike; a chain has two contracts per strike, so
+    summing before the shuffle, which takes one more, would save little.
     """
     pains = _along(_along(_interest_per_strike(chain), "call", "ASC"), "put", "DESC")
     if not include_all_candidates:
@@ -87,4 +91,8 @@ def max_pain(
         .selectExpr("*", f"{change} AS pct_from_underlying")
         .select(*RESULT_COLUMNS["max_pain"])
     )
-    return result.orderBy(*EXPIRATION_KEYS) if ranked else result
+    if not ranked:
+        return result
+    # One row per expiration is dealt once more: a sort by ranges looks at its input twice, and the
+    # passes behind it would run twice.
+    return result.repartition(*EXPIRATION_KEYS).orderBy(*EXPIRATION_KEYS)

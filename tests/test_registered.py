@@ -72,8 +72,9 @@ def plan_of(spark, name: str, **options) -> str:
     ("spreads", {"ranked": False}, 2),  # one per join side, none for the mirror pairs
     ("strangles", {"ranked": False}, 2),
     ("calendars", {"ranked": False}, 2),
+    ("iron_condors", {}, 3),  # the self-join and one grouped maximum
     ("iron_butterflies", {"ranked": False}, 2),  # straddles and wings; grouping needs none
-    ("max_pain_curve", {}, 2),  # strikes, then expirations
+    ("max_pain_curve", {}, 1),  # expirations; the sums per strike and both passes share it
 ])
 def test_shuffles_without_broadcast(spark, no_broadcast, name, options, exchanges):
     plan = plan_of(spark, name, **options)
@@ -82,19 +83,6 @@ def test_shuffles_without_broadcast(spark, no_broadcast, name, options, exchange
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_condors_sort_no_pairs(spark, no_broadcast):
-    """Maxima of plain numbers by hashing; only rows that reach them go on to the ordered pick."""
-    tables = entry.Tables(spark, SF_DIR)
-    spreads = tables.strategies().spreads(ranked=False)
-    tables.stage.write("spreads", spreads)
-    stored = tables.stage.read("spreads")
-    best = entry.best_sides(stored)._jdf.queryExecution().executedPlan().toString()
-    assert "ShuffledHashJoin" in best and "HashAggregate" in best
-    assert "Sort" not in best.replace("ShuffledHashJoin", "")
-    whole = entry.iron_condors(stored)._jdf.queryExecution().executedPlan().toString()
-    assert whole.count("SortMergeJoin") == 0 and "Window" not in whole
-
-
 def test_at_the_money_quotes_come_from_one_hash_aggregate(spark, no_broadcast):
     plan = plan_of(spark, "expected_move")
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("HashAggregate") == 2
