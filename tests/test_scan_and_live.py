@@ -234,6 +234,22 @@ def test_landed_tables_to_datasets(spark, tmp_path):
         ("AAA", k, r, 44) for k in (95.0, 100.0, 105.0) for r in "CP"]
     assert rows["option_chain"] == 6 and rows["expected_move"] == 1
 
+    # Bad rows are set aside, and a second scan of other symbols leaves the first one's folders.
+    (tmp_path / "ticks" / "bad.json").write_text('{"symbol":"BBB","strike":\n{"strike":1.0,"right":"C"}\n')
+    out, refused = str(tmp_path / "folders"), str(tmp_path / "refused")
+    for symbol in ("aaa", "bbb"):
+        rows = main([
+            *(a for n in ("ticks", "polls", "listings") for a in (f"--{n}", str(tmp_path / n))),
+            "--out", out, "--refused", refused, "--by-symbol", "--format", "json",
+            "--exchange", "MAIN", "--as-of", "2026-04-01", "--symbols", symbol,
+        ])
+        assert rows["option_chain"] == 6
+    stored = load_dataset(spark, out, "option_chain")
+    assert {(r.symbol, r["count"]) for r in stored.groupBy("symbol").count().collect()} == {("AAA", 6), ("BBB", 6)}
+    reasons = sorted(r.reason for r in spark.read.parquet(f"{refused}/ticks").collect())
+    assert reasons == ["symbol missing", "unreadable"]
+    assert spark.read.parquet(f"{refused}/polls").count() == 0
+
 
 def test_ticks_are_filtered_early_with_the_same_result(spark, tmp_path):
     feed = ticks(
