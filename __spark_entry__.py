@@ -14,6 +14,7 @@ from strikeforge.operators import ingest, quality, screens, universe
 from strikeforge.operators.calendars import calendars
 from strikeforge.operators.max_pain import max_pain
 from strikeforge.operators.verticals import vertical_spreads
+from strikeforge.plans.boards import top_boards_of_chain
 from strikeforge.plans.landed import Wanted, landed_chain, wanted_contracts
 from strikeforge.plans.scan import Strategies, run_scan
 from strikeforge.schema import CHAIN_SCHEMA, CONTRACT_KEY, DATASETS
@@ -341,6 +342,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "chain_describe": chain_describe,
     "strategy_counts": lambda t: screens.strategy_counts(t.dataset("spreads")),
     "top10_by_strategy": lambda t: screens.top_boards(t.datasets()),
+    "top10_of_chain": lambda t: top_boards_of_chain(t.strategies().chain),
     "null_profile": lambda t: quality.stored_null_profile(t.statistics()),
     "null_profile_read": lambda t: quality.null_profile(t.datasets()),
     "dataset_sizes": lambda t: quality.stored_sizes(t.statistics()),

@@ -562,6 +562,7 @@ def oracle_sql() -> dict[str, str]:
         "chain_describe": f"{CTES} {DESCRIBE}",
         "strategy_counts": f"{CTES} SELECT strategy, count(*) AS n FROM spreads GROUP BY strategy",
         "top10_by_strategy": f"{CTES} {TOP}",
+        "top10_of_chain": f"{CTES} {TOP}",
         "null_profile": f"{CTES} SELECT * FROM ({NULLS}) WHERE null_count > 0",
         "null_profile_read": f"{CTES} SELECT * FROM ({NULLS}) WHERE null_count > 0",
         "dataset_sizes": f"{CTES} {SIZES}",

@@ -161,10 +161,15 @@ def top_rows(df: DataFrame, board: Board, size: int = 10) -> DataFrame:
 
 def top_boards(datasets: Mapping[str, DataFrame], size: int = 10) -> DataFrame:
     """All boards in one table with a common shape."""
+    return boards_of({name: datasets[board.dataset] for name, board in BOARDS.items()}, size)
+
+
+def boards_of(rows: Mapping[str, DataFrame], size: int = 10) -> DataFrame:
+    """The same from each board's own rows."""
     missing = F.lit(None)
 
     def shaped(name: str, board: Board) -> DataFrame:
-        df = datasets[board.dataset]
+        df = rows[name]
         has_right = "right" in df.columns
         top = top_rows(df, board, size)
         # At most ``size`` rows are left, so one unpartitioned window is safe here.

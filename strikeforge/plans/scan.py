@@ -28,6 +28,9 @@ from strikeforge.sources.tables import (
 
 FILE_ORDER = ["symbol", "expiration"]
 WRITERS = 3
+GROUPINGS = {
+    "verticals": VERTICAL_KEYS, "expirations": EXPIRATION_KEYS, "calendars": CALENDAR_KEYS,
+}
 
 
 class Strategies:
@@ -35,19 +38,21 @@ class Strategies:
 
     One counting job tells how to lay out the pairs; it runs when the first computation asks.
     Chains from ``build_chain`` have one row per contract; for any other, ask
-    ``require_unique_contracts`` or pass ``unique_contracts=False``.
+    ``require_unique_contracts`` or pass ``unique_contracts=False``. ``groupings`` limits the
+    counting to those the wanted computations pair by.
     """
 
-    def __init__(self, chain: DataFrame, *, unique_contracts: bool = True):
+    def __init__(
+        self, chain: DataFrame, *, unique_contracts: bool = True,
+        groupings: Sequence[str] = tuple(GROUPINGS),
+    ):
         self.chain = chain
         self.unique_contracts = unique_contracts
+        self.groupings = groupings
 
     @cached_property
     def layouts(self) -> dict[str, Layout]:
-        groupings = {
-            "verticals": VERTICAL_KEYS, "expirations": EXPIRATION_KEYS, "calendars": CALENDAR_KEYS,
-        }
-        return lay_out(self.chain, groupings)
+        return lay_out(self.chain, {name: GROUPINGS[name] for name in self.groupings})
 
     def spreads(self, ranked: bool = True) -> DataFrame:
         return vertical_spreads(
