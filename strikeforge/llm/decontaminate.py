@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeforge.llm.shared import column, fresh, id_key, id_of, pieces
+from strikeforge.sources.tables import Stage
 
 #: Tokens of the shortest passage that counts, and of a seed.
 MIN_MATCH = 5
@@ -20,6 +21,8 @@ MIN_MATCH = 5
 MIN_COVERAGE = 0.6
 #: Characters of benchmark text that are compared with all documents at once.
 BLOCK_CHARS = 8_000_000
+#: Share of all documents that may hold a short item before it says nothing.
+SHORT_SHARE = 0.001
 FOUND = "key long, item_id long, coverage double, n_tokens int, n_matched int, tiles array<array<int>>"
 
 #: Scripts written without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han and its extensions.
@@ -314,9 +317,26 @@ def find_contamination(
     return found.select(id_of("key").alias("doc_id"), id_of("item_id").alias("item_id"), *made)
 
 
-def without_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item; rows of one ``doc_id`` go together."""
-    found = find_contamination(docs, benchmark, **options)
+def without_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH,
+    max_share: float = SHORT_SHARE, **options,
+) -> DataFrame:
+    """The documents that hold no benchmark item; rows of one ``doc_id`` go together.
+
+    An item of fewer than ``min_match`` tokens is a short answer that any text may hold. It counts
+    only where it is rare: in one document, or in ``max_share`` of all at most.
+    ``find_contamination`` reports every hit.
+    """
+    stage = Stage(docs.sparkSession)
+    found = find_contamination(docs, benchmark, min_match=min_match, **options)
+    stage.write("found", found.select(id_key().alias("key"), "item_id", "n_tokens"))
+    found = stage.read("found")
+    short = found.filter(F.col("n_tokens") < min_match)
+    held = short.groupBy("item_id").agg(F.count_distinct("key").alias("held"))
+    allowed = max(1.0, docs.count() * max_share)
+    common = held.filter(F.col("held") > allowed).select(F.col("item_id").alias("common"))
+    told = short.join(common, F.col("item_id").eqNullSafe(F.col("common")), "left_anti")
+    told = told.union(found.filter(F.col("n_tokens") >= min_match))
     own = fresh("key", docs)
-    gone = found.select(id_key().alias(own)).distinct()
-    return docs.join(gone, id_key() == F.col(own), "left_anti")
+    gone = told.select(F.col("key").alias(own)).distinct()
+    return docs.join(gone, id_key(options.get("doc_id", "doc_id")) == F.col(own), "left_anti")
