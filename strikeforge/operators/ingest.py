@@ -80,7 +80,9 @@ def build_chain(
     """
     quotes = to_quotes(latest_quotes(ticks, newest_by), as_of, sentinel_to_null)
     if universe is not None:
-        quotes = quotes.join(universe.select(*CONTRACT_KEY), CONTRACT_KEY, "left_semi")
+        # Exploded from small files, a universe looks small to Spark however many contracts it has.
+        wanted = universe.select(*CONTRACT_KEY).hint("merge")
+        quotes = quotes.join(wanted, CONTRACT_KEY, "left_semi")
     if not keep_unpriced:
         quotes = quotes.filter("mid IS NOT NULL")
     return add_underlying(quotes, underlying)
