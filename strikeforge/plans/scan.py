@@ -86,12 +86,12 @@ class Strategies:
 
 def run_scan(
     spark: SparkSession, chain: DataFrame, out: str, *, check_unique: bool = True,
-    by_symbol: bool = False,
+    by_symbol: bool = False, stored: bool = False,
 ) -> dict[str, int]:
     """Write the eight datasets under ``out`` and return their row counts.
 
-    The chain is evaluated once, into the shared folder. An empty chain stops the scan
-    before anything is written to ``out``. Spreads are stored before the condors read them
+    The chain is evaluated once, into the shared folder; ``stored`` says that it is read from
+    files already. An empty chain stops the scan before anything is written to ``out``. Spreads are stored before the condors read them
     back. Pair tables are not sorted globally: readers rank what they filter. Datasets that
     do not depend on each other are written side by side, so a small one does not leave the
     cluster waiting on its last tasks. Repeated contracts would give wrong spreads, so they
@@ -104,12 +104,16 @@ def run_scan(
     """
     stage = Stage(spark)
     try:
-        if not stage.write("chain", chain):
-            return {}
-        stored = stage.read("chain")
+        if stored:
+            if chain.isEmpty():
+                return {}
+        else:
+            if not stage.write("chain", chain):
+                return {}
+            chain = stage.read("chain")
         if check_unique:
-            require_unique_contracts(stored)
-        profiles = _store_all(spark, Strategies(stored), out, ["symbol"] if by_symbol else [])
+            require_unique_contracts(chain)
+        profiles = _store_all(spark, Strategies(chain), out, ["symbol"] if by_symbol else [])
     finally:
         stage.drop()
     if by_symbol:
