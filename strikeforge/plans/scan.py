@@ -134,8 +134,12 @@ def _store_all(
         "expected_move": lambda: store("expected_move", run.expected_move()),
     }
     after_counting = {
-        "strangles": lambda: store("strangles", run.strangles(ranked=False), FILE_ORDER),
-        "calendars": lambda: store("calendars", run.calendars(ranked=False), CALENDAR_KEYS),
+        "strangles": lambda: store(
+            "strangles", run.strangles(ranked=False), [*FILE_ORDER, "put_strike"]
+        ),
+        "calendars": lambda: store(
+            "calendars", run.calendars(ranked=False), [*CALENDAR_KEYS, "near_expiration"]
+        ),
         "iron_butterflies": lambda: store(
             "iron_butterflies", run.iron_butterflies(ranked=False), FILE_ORDER
         ),
@@ -146,7 +150,9 @@ def _store_all(
         pending = {name: pool.submit(in_thread(write)) for name, write in first.items()}
         run.layouts  # counted once, before the other writers share it
         pending |= {name: pool.submit(in_thread(write)) for name, write in after_counting.items()}
-        done = {"spreads": store("spreads", run.spreads(ranked=False), [*FILE_ORDER, "right"])}
+        # Rows of one short leg side by side take less room.
+        spread_order = [*FILE_ORDER, "right", "short_strike"]
+        done = {"spreads": store("spreads", run.spreads(ranked=False), spread_order)}
         # What is stored of other symbols is not part of this scan.
         spreads = load_dataset(spark, out, "spreads")
         if partition_by:
