@@ -63,6 +63,7 @@ def landed_chain(
     *,
     listed: DataFrame | None = None,
     newest_by: Sequence[str] = ("ts",),
+    deal: bool = True,
 ) -> DataFrame:
     """The chain of one scan.
 
@@ -76,5 +77,6 @@ def landed_chain(
         underlying,
         wanted.as_of,
         newest_by=newest_by,
+        deal=deal,
         universe=wanted_contracts(listings, underlying, wanted, listed),
     )

@@ -13,7 +13,7 @@ from strikeforge.operators import ingest
 from strikeforge.operators.calendars import calendars
 from strikeforge.operators.pairing import Layout, lay_out
 from strikeforge.plans import scan
-from strikeforge.schema import CONTRACT_KEY
+from strikeforge.schema import CONTRACT_KEY, RAW_CONTRACT_KEY
 from strikeforge.sources import bridge
 from strikeforge.sources.tables import chain_from_rows
 
@@ -43,6 +43,16 @@ def test_ticks_are_dealt_before_they_are_sorted(tables):
     assert latest.exceptAll(plain).isEmpty() and plain.exceptAll(latest).isEmpty()
 
 
+def test_any_ticks_are_dealt_by_the_reduction(spark, tables, tmp_path):
+    plain = bridge.ticks(tables.table("lineitem"))
+    assert "REBALANCE" not in plan_of(plain)
+    plain.write.parquet(str(tmp_path / "landed"))
+    latest = ingest.latest_quotes(spark.read.parquet(str(tmp_path / "landed")), bridge.NEWEST_BY)
+    plan = plan_of(latest)
+    assert plan.rindex("Sort [") < plan.rindex("Exchange hashpartitioning(symbol") and "REBALANCE" in plan
+    assert latest.count() == plain.select(*RAW_CONTRACT_KEY).distinct().count() > 0
+
+
 def test_a_universe_is_not_broadcast(spark, tables):
     wanted = spark.createDataFrame(
         [("SYM0001", date(2026, 4, 17), 85.0, "C")], "symbol string, expiration date, strike double, right string"
