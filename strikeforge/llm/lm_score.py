@@ -16,14 +16,18 @@ from strikeforge.sources.tables import Stage
 
 #: Stands for the end of a text; no word holds it.
 END = "\n"
+#: Before the beginning of a text's first token; before tokens whose beginnings are priced apart.
+FIRST, REST = "\t", "\r"
+#: Bytes of the word before that a token's contexts reach; a space follows them.
+TAIL = 3
 #: Tokens priced inside the tasks that read the texts, and their longest in bytes.
 COMMON_TOKENS = 300_000
 COMMON_BYTES = 64
 #: Distinct tokens of a task that trains or prices, about.
 TASK_TOKENS = 50_000
-#: Contexts: so many bytes before within the token, and all of them.
-ORDERS = (1, 2, 4)
-#: Up to so many bytes, the whole beginning is what the longest order sees.
+#: Contexts: so many bytes before, also over the token's start, and the token's whole beginning.
+ORDERS = (1, 2, TAIL + 1)
+#: Up to so many bytes, the counts of beginnings are gathered with those of fixed order.
 HEAD = ORDERS[-1]
 N_INPUTS = len(ORDERS) + 1
 PRIOR = 0.4
@@ -47,6 +51,65 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rows.filter(full).to_numpy(), flat.filter(full)
 
 
+def _cut(tokens: pa.Array, where) -> pa.Array:
+    """A run of whole characters of each token: ``where`` gives its ends from the bytes and the token's."""
+    offsets = np.frombuffer(tokens.buffers()[1], "i8")[tokens.offset : tokens.offset + len(tokens) + 1]
+    octets = np.frombuffer(tokens.buffers()[2] or b"", "u1")
+    first, end = where(np.append(octets & 0xC0 == 0x80, False), offsets[:-1], offsets[1:])
+    sizes = end - first
+    into = np.append(0, np.cumsum(sizes)).astype("i8")
+    at = np.repeat(first - into[:-1], sizes) + np.arange(into[-1])
+    buffers = [None, pa.py_buffer(into), pa.py_buffer(octets[at])]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
+
+
+def _last(inside, first, end):
+    """``TAIL`` bytes at most, from the first character that is whole."""
+    start = np.maximum(end - TAIL, first)
+    for _ in range(TAIL):
+        start = start + (inside[start] & (start < end))
+    return start, end
+
+
+def _beginning(inside, first, end):
+    """``HEAD`` bytes and what is left of the last one's character."""
+    stop = np.minimum(first + HEAD, end)
+    for _ in range(3):
+        stop = stop + (inside[stop] & (stop < end))
+    return first, stop
+
+
+def placed_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """All tokens of a batch of texts, ends too: row number, heads and rests, size in bytes.
+
+    A head is the beginning of a token after the last bytes of the word before and a space, or after
+    ``FIRST``; a rest is the whole token after ``REST``. Only a token's first ``HEAD`` bytes have a context
+    that reaches over its start: a head stands for these, a rest for those that follow.
+    """
+    rows, words = words_of(texts)
+    n = len(texts)
+    last = np.cumsum(np.bincount(rows, minlength=n) + 1) - 1
+    order = np.empty(len(rows) + n, "i8")
+    order[np.arange(len(rows)) + rows] = np.arange(len(rows))
+    order[last] = len(rows) + np.arange(n)
+    tokens = pa.concat_arrays([words, pa.array([END] * n, words.type)]).take(pa.array(order))
+    tokens = tokens.cast(pa.large_string())
+    rows = np.repeat(np.arange(n), np.diff(last, prepend=-1))
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    mark = lambda text: pa.scalar(text, pa.large_string())
+    join = pc.binary_join_element_wise
+    before = join(_cut(tokens, _last), mark(""), mark(" ")).take(
+        pa.array(np.arange(-1, len(rows) - 1), mask=first))
+    heads = join(before.fill_null(mark(FIRST)), _cut(tokens, _beginning), mark(""))
+    rests = join(mark(REST), tokens, mark(""))
+    return rows, heads.cast(words.type), rests.cast(words.type), pc.binary_length(tokens).to_numpy()
+
+
+def is_rest(token: str = "token") -> Column:
+    return F.col(token).startswith(REST)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text (none for NULL) divides by ten."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
@@ -59,13 +122,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 2048):
         held = batch.column(0).to_numpy(zero_copy_only=False)
-        rows, tokens = words_of(batch.column(1))
+        rows, heads, rests, _ = placed_tokens(batch.column(1))
+        tokens, rows = pa.concat_arrays([heads, rests]), np.tile(rows, 2)
         for side in (False, True):
             own = tokens.filter(pa.array(held[rows] == side))
             counted = pc.value_counts(own)
-            names, n = counted.field(0), counted.field(1)
-            names = pa.concat_arrays([names, pa.array([END], names.type)])
-            n = np.append(n.to_numpy(), (held == side).sum())
+            names, n = counted.field(0), counted.field(1).to_numpy()
             train = n if not side else np.zeros_like(n)
             yield pa.RecordBatch.from_arrays(
                 [names, pa.array(train), pa.array(n)], ["token", "n_train", "n_all"]
@@ -73,9 +135,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """``token, n_train, n_all`` of ``rows(held, text)``; every text ends with one ``END``."""
+    """``token, n_train, n_all`` of ``rows(held, text)``: heads and rests of ``placed_tokens``."""
     counted = rows.select("held", "text").mapInArrow(_count, "token string, n_train long, n_all long")
-    counted = counted.filter("n_all > 0")
     return counted.groupBy("token").agg(
         F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")
     )
@@ -122,9 +183,24 @@ class Edges:
         return ones[at], seen[at], row
 
 
+def _keys(octets: np.ndarray, place: np.ndarray, number: int, order: int) -> np.ndarray:
+    """The bytes before each byte, ``order`` at most and from place 0 on, and the byte."""
+    value = np.where(octets == ord(FIRST), 0, octets.astype("u8") + np.uint64(1))
+    context = np.zeros(len(octets), "u8")
+    for back in range(1, order + 1):
+        before = np.where(place[back:] >= back, value[:-back], 0)
+        context *= np.uint64(263)  # also the first bytes of the batch, which have none so far back
+        context[back:] += before.astype("u8")
+    context |= np.uint64(number << 40)  # four bytes stay below 2 to the 33: no two share a key
+    return context << np.uint64(8) | octets
+
+
 @dataclass
 class Spelling:
-    """Bytes of many tokens: their token, place in it, and key (context and byte) per predictor."""
+    """Bytes of many tokens: their token, place in it, and key (context and byte) per predictor.
+
+    What precedes a head is seen by the contexts of fixed order, but is not spelled itself.
+    """
 
     octets: np.ndarray
     token: np.ndarray
@@ -133,24 +209,26 @@ class Spelling:
 
     @classmethod
     def of(cls, tokens: pa.Array) -> Spelling:
-        spelled = pc.binary_join_element_wise(tokens, "", " ")
-        spelled = spelled.cast(pa.large_binary())
+        parts = (c.cast(pa.large_binary()) for c in (tokens, pa.scalar(""), pa.scalar(" ")))
+        spelled = pc.binary_join_element_wise(*parts)
         offsets = np.frombuffer(spelled.buffers()[1], "i8")
         offsets = offsets[spelled.offset : spelled.offset + len(spelled) + 1]
         octets = np.frombuffer(spelled.buffers()[2], "u1")[offsets[0] : offsets[-1]]
         sizes = np.diff(offsets)
         token = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(octets)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        keys = [_keys(octets, place, number, order) for number, order in enumerate(ORDERS)]
+        # A head with a word before it holds two spaces, one at its end; the first is no part of it.
+        spaces = np.flatnonzero(octets == ord(" "))
+        _, first, n = np.unique(token[spaces], return_index=True, return_counts=True)
+        lead = octets[offsets[:-1] - offsets[0]]
+        rest, marked = lead == ord(REST), (lead == ord(REST)) | (lead == ord(FIRST))
+        head = (n > 1) | (lead == ord(FIRST))
+        place = place - np.repeat(np.where(marked, 1, np.where(n > 1, place[spaces[first]] + 1, 0)), sizes)
+        own = place >= 0
+        octets, token, place, keys = octets[own], token[own], place[own], [k[own] for k in keys]
+        keys.append(_keys(octets, place, len(ORDERS), HEAD))
         value = octets.astype("u8") + np.uint64(1)
-        keys = []
-        for number, order in enumerate(ORDERS):
-            context = np.zeros(len(octets), "u8")
-            for back in range(1, order + 1):
-                before = np.where(place[back:] >= back, value[:-back], 0)
-                context *= np.uint64(263)  # also the first bytes of the batch, which have none so far back
-                context[back:] += before.astype("u8")
-            context |= np.uint64(number << 40)  # four bytes stay below 2 to the 33: no two share a key
-            keys.append(context << np.uint64(8) | octets)
         powers = np.full(int(sizes.max(initial=1)), 0x9E3779B97F4A7C15, "u8")
         powers[0] = 1
         sums = np.concatenate((np.zeros(1, "u8"), np.cumsum(
@@ -158,7 +236,8 @@ class Spelling:
         whole = (sums[:-1] - sums[np.arange(len(octets)) - place]) * np.uint64(0xD6E8FEB86659FD93)
         whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         keys.append(whole >> np.uint64(8) << np.uint64(8) | octets)
-        return cls(octets, token, place, keys)
+        own = np.where(place < HEAD, ~rest[token], ~head[token])
+        return cls(octets[own], token[own], place[own], [k[own] for k in keys])
 
 
 @dataclass
@@ -185,11 +264,13 @@ class Model:
         ones and of all bits in training. ``tokens`` holds all that share a beginning over ``HEAD``."""
         spelling = Spelling.of(tokens)
         long = spelling.place >= HEAD
-        paths = [self.edges.paths(keys) for keys in spelling.keys[:-1]]
+        paths = [self.edges.paths(keys) for keys in spelling.keys[:-2]]
         beyond = spelling.keys[-1][long]
+        short = self.edges.paths(spelling.keys[-2][~long])
         own = Edges.of(beyond, n_train[spelling.token[long]]).paths(beyond)
-        own_row = np.zeros(len(long), "i8")
-        own_row[long] = own[2]
+        row = np.empty(len(long), "i8")
+        row[~long], row[long] = short[2], own[2] + len(short[0])
+        paths.append((*(np.concatenate(c) for c in zip(short[:2], own[:2])), row))
         places = np.arange(7, -1, -1, dtype="u8")
         for start in range(0, len(spelling.octets), CHUNK):
             here = slice(start, start + CHUNK)
@@ -197,10 +278,7 @@ class Model:
             bits = (octets >> places) & np.uint64(1)
             nodes = (octets | np.uint64(256)) >> (places + np.uint64(1))
             counts = [(ones[row[here]], seen[row[here]]) for ones, seen, row in paths]
-            whole = tuple(c.copy() for c in counts[-1])
-            for into, of in zip(whole, own):
-                into[long[here]] = of[own_row[here][long[here]]]
-            yield spelling.token[here], bits.astype("f8"), nodes.astype("i8"), [*counts, whole]
+            yield spelling.token[here], bits.astype("f8"), nodes.astype("i8"), counts
 
     def odds(self, bits, counts, less) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of a one by each predictor, and the gate, as if the bit was seen ``less`` often."""
@@ -239,7 +317,9 @@ def _edge_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 32768):
         weight = batch.column(1).to_numpy().astype("f8")
         spelling = Spelling.of(batch.column(0))
-        edges = Edges.of(np.concatenate(spelling.keys[:-1]), np.tile(weight[spelling.token], len(ORDERS)))
+        short = spelling.place < HEAD
+        keys, n = [*spelling.keys[:-2], spelling.keys[-2][short]], weight[spelling.token]
+        edges = Edges.of(np.concatenate(keys), np.concatenate((np.tile(n, len(ORDERS)), n[short])))
         yield pa.RecordBatch.from_arrays(
             [pa.array(edges.keys.astype("i8")), pa.array(edges.n.astype("i8"))], ["edge", "n"]
         )
@@ -288,11 +368,13 @@ def _train(shared):
 
 
 def dealt(tokens: DataFrame) -> DataFrame:
-    """Distinct tokens by their first ``HEAD`` bytes, in a fixed order inside each task.
+    """Distinct tokens by their first ``HEAD`` bytes, heads anyhow, in a fixed order inside each task.
 
     Tokens that share a longer beginning meet in one task, whose number grows with the tokens.
     """
-    head = F.substring(F.col("token").cast("binary"), 1, HEAD)
+    word = F.when(is_rest(), F.substring("token", 2, 2**31 - 1)).otherwise(F.col("token"))
+    is_head = F.col("token").startswith(FIRST) | F.contains("token", F.lit(" "))
+    head = F.when(is_head, F.col("token").cast("binary")).otherwise(F.substring(word.cast("binary"), 1, HEAD))
     tasks = max(1, -(-tokens.count() // TASK_TOKENS))
     return tokens.repartition(tasks, head).sortWithinPartitions(F.xxhash64("token"), "token")
 
@@ -367,18 +449,18 @@ def _sum_common(shared):
         names, known, base, price = shared.value
         for batch in pieces(batches, 2048):
             n = batch.num_rows
-            rows, tokens = words_of(batch.column(batch.schema.get_field_index("text")))
+            rows, heads, rests, size = placed_tokens(batch.column(batch.schema.get_field_index("text")))
+            n_tokens, n_bytes = np.bincount(rows, minlength=n), np.bincount(rows, size + 1, n)
+            tokens, rows = pa.concat_arrays([heads, rests]), np.tile(rows, 2)
             place = pc.index_in(tokens, value_set=names)
             common = place.is_valid().to_numpy(zero_copy_only=False)
             at, own = place.drop_null().to_numpy(), rows[common]
-            size = pc.binary_length(tokens).to_numpy() + 1
             rest = rows[~common]
             first = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "mark")]
             # The text's own row carries a token that no other row and no word has.
             head = pa.array([f"{END}{i}:{m}" for i, m in zip(*(c.to_pylist() for c in first))])
             sums = (
-                np.ones(n, "i8"), np.bincount(rows, minlength=n) + 1,
-                np.bincount(rows, size, n).astype("i8") + 2,
+                np.ones(n, "i8"), n_tokens, n_bytes.astype("i8"),
                 np.bincount(own, known[at], n).astype("i8"),
                 np.bincount(own, base[at], n).astype("f8"),
                 np.bincount(own, price[at], n).astype("f8"),
@@ -403,7 +485,10 @@ def score_texts(
     ``score`` is the log10 probability under the mixture, which spells every token byte by byte
     with a space after it. Both learn from the documents that are not held out, all of them.
 
-    A token costs the same wherever it stands, so distinct tokens are priced once, in a table.
+    Contexts reach back over a token's start into the word before (``TAIL`` bytes of it, what a context
+    of ``TAIL`` + 1 bytes sees). Only a token's first ``HEAD`` bytes have such contexts: they cost the same
+    wherever the same bytes precede them, what follows costs the same everywhere. So distinct heads
+    and rests are priced once, in a table.
     The ``common_tokens`` most frequent ones (of at most 64 bytes, so of bounded size) are
     broadcast and summed while texts are read; all others are joined by token, combined per text.
 
@@ -420,37 +505,41 @@ def score_texts(
     stage.write("counts", token_counts(rows))
     counts = stage.read("counts")
     model = spark.sparkContext.broadcast(train(counts))
-    n_train, n_types = counts.agg(
+    n_train, n_types = counts.filter(is_rest()).agg(
         F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)
     ).first()
     smoothed = (F.col("n_train") + 0.1) / (n_train + 0.1 * (n_types + 1))
     priced = dealt(counts).mapInArrow(_price(model), "token string, n_train long, n_all long, price double")
-    stage.write("prices", priced.withColumn("base", F.log10(smoothed)))
+    # Every token has one rest, which counts for it.
+    stage.write("prices", priced.select(
+        "token", "n_all", "price", (is_rest() & (F.col("n_train") > 0)).cast("long").alias("hit"),
+        F.when(is_rest(), F.log10(smoothed)).otherwise(0.0).alias("base"),
+    ))
     prices = stage.read("prices")
-    common = _common(prices, common_tokens).select("token", "n_train", "base", "price").toArrow()
-    known = (common["n_train"].to_numpy() > 0).astype("f8")
+    common = pa.concat_tables(
+        _common(prices.filter(own), common_tokens).select("token", "hit", "base", "price").toArrow()
+        for own in (is_rest(), ~is_rest())
+    )
+    known = common["hit"].to_numpy().astype("f8")
     names = common["token"].combine_chunks().cast(pa.string())
     table = (names, known, common["base"].to_numpy(), common["price"].to_numpy())
     marked = rows.select("key", F.xxhash64("text").alias("mark"), "text")
     kind = ", ".join(f"{name} {type_}" for name, type_ in SUMS.items())
     parts = marked.mapInArrow(_sum_common(spark.sparkContext.broadcast(table)), kind)
-    ends = prices.filter(F.col("token") == END).select("n_train", "base", "price").first()
-    rest = prices.select("token", (F.col("n_train") > 0).cast("long").alias("hit"),
-                         F.col("base").alias("b"), F.col("price").alias("p"))
+    rest = prices.select("token", "hit", F.col("base").alias("b"), F.col("price").alias("p"))
     joined = parts.join(rest, "token", "left")
     add = lambda own, more: F.sum(F.col(own) + F.coalesce(more, F.lit(0))).alias(own)
     sums = joined.groupBy("key", "mark").agg(
         F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_bytes").alias("n_bytes"), add("n_known", "hit"), add("base", "b"), add("price", "p"),
     )
-    end_known, end_base, end_price = (int(ends[0] > 0), ends[1], ends[2]) if ends else (0, 0.0, 0.0)
     one = lambda c: F.col(c) / F.col("copies")
     whole = lambda c: F.expr(f"{c} div copies")
-    score = one("price") + end_price
+    score = one("price")
     return sums.select(
         id_of("key").alias("doc_id"), "copies", whole("n_tokens").alias("n_tokens"),
-        (whole("n_known") + end_known).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (one("base") + end_base).alias("base_score"), score.alias("score"),
+        whole("n_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        one("base").alias("base_score"), score.alias("score"),
         (-score * float(np.log2(10)) / whole("n_bytes")).alias("bits_per_byte"),
     ).withColumn("held_out", held_out()).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",

@@ -203,6 +203,41 @@ def test_no_two_contexts_share_counts(spark):
         lm_score.TASK_TOKENS = lm_score_tasks
 
 
+def test_scores_depend_on_the_words_before(spark):
+    import pyarrow as pa
+    texts = ["", "ab", "Ab \u00e9\u00e9 x \U0001f600 y", " zz  ab abc\u00e9e"]
+    rows, heads, rests, sizes = lm_score.placed_tokens(pa.array(texts))
+    assert list(zip(rows.tolist(), heads.to_pylist())) == [
+        (0, "\t\n"), (1, "\tab"), (1, "ab \n"), (2, "\tab"), (2, "ab \u00e9\u00e9"), (2, "\u00e9 x"),
+        (2, "x \U0001f600"), (2, " y"), (2, "y \n"), (3, "\tzz"), (3, "zz ab"), (3, "ab abc\u00e9"),
+        (3, "\u00e9e \n")]
+    assert [r.removeprefix("\r") for r in rests.to_pylist()] == [
+        "\n", "ab", "\n", "ab", "\u00e9\u00e9", "x", "\U0001f600", "y", "\n", "zz", "ab", "abc\u00e9e", "\n"]
+    assert sizes.tolist() == [1, 2, 1, 2, 4, 1, 4, 1, 1, 2, 2, 6, 1]
+    # The model sees the bytes before a head; a head and a rest spell the token together, once.
+    units = [b"\tab", b"zab ab", b" ab", b"x abcd"]
+    spelling = lm_score.Spelling.of(pa.array([u.decode() for u in units] + ["\rabcdef", "\rab"]))
+    assert spelling.octets.tobytes() == b"ab ab ab abcdef "[:13] + b"ef "
+    assert spelling.place.tolist() == [0, 1, 2] * 3 + [0, 1, 2, 3, 4, 5, 6]
+    for k, back in zip(spelling.keys, lm_score.ORDERS):
+        for place in range(2):
+            seen = [(u[:u.rindex(b"a") + place].replace(b"\t", b"")[-back:], place) for u in units]
+            own = [k[np.flatnonzero((spelling.token == i) & (spelling.place == place))[0]] for i in range(4)]
+            assert len({*own}) == len({*seen})
+    # Words that follow each other in training cost less in this order than in any other.
+    pairs = [("red", "kite"), ("old", "boat"), ("tin", "drum"), ("wet", "leaf")]
+    rng = random.Random(5)
+    docs = [(i, " ".join(w for _ in range(30) for w in rng.choice(pairs))) for i in range(400)]
+    docs += [(1000 + i, t) for i, t in enumerate(["red kite old boat tin drum", "kite red boat old drum tin"])]
+    scored = {r.doc_id: r for r in lm_score.score_texts(documents(spark, [(i, t, "s") for i, t in docs])).collect()}
+    ordered, shuffled = scored[1000], scored[1001]
+    assert ordered.base_score == pytest.approx(shuffled.base_score) and ordered.n_known == shuffled.n_known
+    assert ordered.score > shuffled.score + 3
+    for common in (0, 3):
+        again = lm_score.score_texts(documents(spark, [(i, t, "s") for i, t in docs]), common_tokens=common)
+        assert {r.doc_id: r.score for r in again.collect()} == pytest.approx({i: r.score for i, r in scored.items()})
+
+
 def test_reordered_passages_are_found(spark):
     words = [f"w{i}" for i in range(40)]
     item = " ".join(words)
