@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +124,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 2048):
         held = batch.column(0).to_numpy(zero_copy_only=False)
         rows, heads, rests, _ = placed_tokens(batch.column(1))
-        tokens, rows = pa.concat_arrays([heads, rests]), np.tile(rows, 2)
-        for side in (False, True):
-            own = tokens.filter(pa.array(held[rows] == side))
-            counted = pc.value_counts(own)
+        for tokens, side in product((heads, rests), (False, True)):
+            counted = pc.value_counts(tokens.filter(pa.array(held[rows] == side)))
             names, n = counted.field(0), counted.field(1).to_numpy()
             train = n if not side else np.zeros_like(n)
             yield pa.RecordBatch.from_arrays(
@@ -259,9 +258,13 @@ class Model:
         start = np.full((N_GATES, N_INPUTS), 0.4)
         return cls(Edges(np.zeros(0, "u8"), np.zeros(0)), start, refine)
 
-    def chunks(self, tokens: pa.Array, n_train: np.ndarray) -> Iterator[tuple]:
+    def chunks(self, tokens: pa.Array, n_train: np.ndarray, less: float | None = None) -> Iterator[tuple]:
         """Per chunk of bytes: token numbers, bits, their nodes, and per predictor the counts of
-        ones and of all bits in training. ``tokens`` holds all that share a beginning over ``HEAD``."""
+        ones and of all bits in training. ``tokens`` holds all that share a beginning over ``HEAD``.
+
+        With ``less``, the log odds and gates of ``odds`` instead of the counts, computed once per distinct
+        context and byte.
+        """
         spelling = Spelling.of(tokens)
         long = spelling.place >= HEAD
         paths = [self.edges.paths(keys) for keys in spelling.keys[:-2]]
@@ -272,24 +275,31 @@ class Model:
         row[~long], row[long] = short[2], own[2] + len(short[0])
         paths.append((*(np.concatenate(c) for c in zip(short[:2], own[:2])), row))
         places = np.arange(7, -1, -1, dtype="u8")
+        if less is not None:
+            for number, (ones, seen, row) in enumerate(paths):
+                octets = np.zeros(len(ones), "u8")
+                octets[row] = spelling.octets
+                inputs, gate = self.odds((octets[:, None] >> places) & np.uint64(1), ones, seen, less)
+                paths[number] = (inputs, gate, row)
         for start in range(0, len(spelling.octets), CHUNK):
             here = slice(start, start + CHUNK)
             octets = spelling.octets[here].astype("u8")[:, None]
             bits = (octets >> places) & np.uint64(1)
             nodes = (octets | np.uint64(256)) >> (places + np.uint64(1))
-            counts = [(ones[row[here]], seen[row[here]]) for ones, seen, row in paths]
-            yield spelling.token[here], bits.astype("f8"), nodes.astype("i8"), counts
-
-    def odds(self, bits, counts, less) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of a one by each predictor, and the gate, as if the bit was seen ``less`` often."""
-        inputs = []
-        for ones, seen in counts:
-            if less:
-                ones = np.maximum(ones - less * bits, 0)
-                seen = np.maximum(seen - less, ones)
-            inputs.append(np.log((ones + PRIOR) / (seen - ones + PRIOR)))
+            if less is None:
+                found = [(ones[row[here]], seen[row[here]]) for ones, seen, row in paths]
+            else:
+                _, gate, row = paths[-1]
+                found = np.stack([inputs[row[here]] for inputs, _, row in paths], -1), gate[row[here]]
+            yield spelling.token[here], bits.astype("f8"), nodes.astype("i8"), found
+
+    def odds(self, bits, ones, seen, less) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of a one by a predictor, and the gate it is, as if the bit was seen ``less`` often."""
+        if less:
+            ones = np.maximum(ones - less * bits, 0)
+            seen = np.maximum(seen - less, ones)
         gate = np.digitize(seen, CONFIDENCE) * 8 + np.arange(8)
-        return np.stack(inputs, -1), gate
+        return np.log((ones + PRIOR) / (seen - ones + PRIOR)), gate
 
     def mix(self, inputs, gate) -> np.ndarray:
         return np.clip((inputs * self.weights[gate]).sum(-1), -8, 8)
@@ -304,8 +314,7 @@ class Model:
         """The log10 probability of each token."""
         out = np.zeros(len(tokens))
         n_train = np.zeros(len(tokens)) if n_train is None else n_train
-        for token, bits, nodes, counts in self.chunks(tokens, n_train):
-            inputs, gate = self.odds(bits, counts, 0)
+        for token, bits, nodes, (inputs, gate) in self.chunks(tokens, n_train, 0.0):
             one = self.refined(self.mix(inputs, gate), nodes)
             price = np.log10(np.where(bits > 0, one, 1 - one)).sum(1)
             out += np.bincount(token, price, len(out))
@@ -343,9 +352,8 @@ def _train(shared):
         if rows is None:
             return
         weight = rows["n_train"].to_numpy().astype("f8")
-        for token, bits, nodes, counts in model.chunks(rows["token"].combine_chunks(), weight):
+        for token, bits, nodes, (inputs, gate) in model.chunks(rows["token"].combine_chunks(), weight, 1.0):
             each = np.repeat(weight[token], 8).reshape(-1, 8)
-            inputs, gate = model.odds(bits, counts, 1.0)
             mixed = model.mix(inputs, gate)
             at = np.rint((mixed + 8) * (REFINE_STEPS - 1) / 16).astype("i8")
             cell = (nodes * REFINE_STEPS + at).ravel()
