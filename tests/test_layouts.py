@@ -49,7 +49,7 @@ def test_any_ticks_are_dealt_by_the_reduction(spark, tables, tmp_path):
     plain.write.parquet(str(tmp_path / "landed"))
     latest = ingest.latest_quotes(spark.read.parquet(str(tmp_path / "landed")), bridge.NEWEST_BY)
     plan = plan_of(latest)
-    assert plan.rindex("Sort [") < plan.rindex("Exchange hashpartitioning(symbol") and "REBALANCE" in plan
+    assert plan.rindex("Sort [") < plan.rindex("Exchange hashpartitioning(_cell") and "REBALANCE" in plan
     assert latest.count() == plain.select(*RAW_CONTRACT_KEY).distinct().count() > 0
 
 
