@@ -5,6 +5,8 @@ from datetime import date, datetime
 import pytest
 from chains import random_chain, rows_of
 from compare import formatted_plan
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from test_ingest import tick, ticks
 
 from strikeforge.__main__ import main
@@ -21,7 +23,9 @@ from strikeforge.sources.tables import (
     shared_folder, write_table,
 )
 from strikeforge.sources.versioned import VersionedTable
-from strikeforge.streaming.live import LiveQuotes, latest_in_state
+from strikeforge.streaming.live import (
+    STATE_PARTITION_BYTES, LiveQuotes, latest_in_state, state_sized_for,
+)
 
 
 def test_scan_writes_all_datasets_and_counts_them(spark, tmp_path):
@@ -412,3 +416,37 @@ def test_state_keeps_the_last_tick_and_forgets_old_windows(spark, tmp_path):
 def test_no_snapshot_yet(spark, tmp_path):
     with pytest.raises(ValueError, match="no snapshot"):
         LiveQuotes(spark, str(tmp_path)).current()
+
+
+def test_state_is_on_disk_in_partitions_sized_by_the_ticks(spark, tmp_path):
+    landing, folder = tmp_path / "landing", tmp_path / "live"
+    land(spark, landing, tick(ts=5, bid=5.0), tick(right="P", ts=1, bid=1.0))
+    land(spark, landing, tick(ts=3, bid=3.0), tick(strike=105.0, ts=2, bid=2.0))
+    stream = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(landing))
+    live = LiveQuotes(spark, str(folder))
+    kept = latest_in_state(stream, ["ts"], delay="1 hour", window="10 minutes")
+    session = dict(spark.conf.getAll)
+    with state_sized_for(spark, 5 * STATE_PARTITION_BYTES + 1) as partitions:
+        query = live.writer(kept, "update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert partitions == 6 and dict(spark.conf.getAll) == session
+    assert quotes(live.current()) == quotes(latest_quotes(spark.read.schema(TICK_SCHEMA).parquet(str(landing))))
+    operators = [o for p in query.recentProgress for o in p.stateOperators]
+    assert {o.numShufflePartitions for o in operators} == {6}
+    assert all(any(m.startswith("rocksdb") for m in o.customMetrics) for o in operators)
+    with state_sized_for(spark, 1) as partitions:  # never fewer than the session shuffles to
+        assert partitions == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_registered_state_is_on_disk(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+    found = []
+    awaited = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q: (
+        awaited(q), found.extend(o for p in q.recentProgress for o in p.stateOperators)))
+    feed = ticks(spark, tick(ts=5, bid=5.0), tick(right="P", ts=1, bid=1.0))
+    feed = feed.withColumn("sequence", F.struct(F.lit(1).alias("l_orderkey")))
+    tables = e.Tables(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "ticks", lambda dealt: feed)
+    assert e.replay(tables, in_state=True).current().count() == 2
+    assert found and all(any(m.startswith("rocksdb") for m in o.customMetrics) for o in found)
