@@ -23,6 +23,7 @@ from strikeforge.sources.tables import (
     shared_folder, write_table,
 )
 from strikeforge.sources.versioned import VersionedTable
+from strikeforge.streaming import live as live_module
 from strikeforge.streaming.live import (
     STATE_PARTITION_BYTES, LiveQuotes, latest_in_state, state_sized_for,
 )
@@ -450,3 +451,28 @@ def test_the_registered_state_is_on_disk(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "ticks", lambda dealt: feed)
     assert e.replay(tables, in_state=True).current().count() == 2
     assert found and all(any(m.startswith("rocksdb") for m in o.customMetrics) for o in found)
+
+
+def test_a_merge_shuffles_stored_rows_once(spark, tmp_path, monkeypatch):
+    plans, unexpired = [], live_module._unexpired
+
+    def seen(rows, today):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return unexpired(rows, today)
+
+    live = LiveQuotes(spark, str(tmp_path), n_buckets=3)
+    stored, written = live_module.VersionedTable._store, []
+    monkeypatch.setattr(live_module, "_unexpired", seen)
+    monkeypatch.setattr(live_module.VersionedTable, "_store", lambda table, rows, *more: (
+        written.append(rows), stored(table, rows, *more)))
+    symbols = [f"S{i}" for i in range(9)]
+    old = [t for s in symbols for t in grid(95.0, 100.0, symbol=s, ts=2)]
+    new = [t for s in symbols[:5] for t in grid(95.0, 105.0, symbol=s, ts=3, bid=9.0)]
+    late = [t for s in symbols for t in grid(100.0, symbol=s, ts=1, bid=7.0)]
+    live.merge(ticks(spark, *old), 0)
+    live.merge(ticks(spark, *new, *late), 1)
+    assert all(p.count("Exchange hashpartitioning(") == 1 for p in plans)
+    assert all("Exchange hashpartitioning(bucket" in p for p in plans) and len(plans) == 2
+    assert "bucket" in written[1].columns and "bucket" in written[3].columns  # not dealt again
+    assert quotes(live.current()) == quotes(latest_quotes(ticks(spark, *old, *new, *late)))
+    assert "bucket" not in live.current().columns
