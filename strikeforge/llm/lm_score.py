@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -80,31 +79,58 @@ def _beginning(inside, first, end):
     return first, stop
 
 
-def placed_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
-    """All tokens of a batch of texts, ends too: row number, heads and rests, size in bytes.
+def _distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values and the place of each value among them."""
+    coded = pc.dictionary_encode(values)
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+@dataclass
+class Placed:
+    """All tokens of a batch of texts, ends too: row number, size in bytes, place among ``heads`` and ``rests``.
 
     A head is the beginning of a token after the last bytes of the word before and a space, or after
     ``FIRST``; a rest is the whole token after ``REST``. Only a token's first ``HEAD`` bytes have a context
     that reaches over its start: a head stands for these, a rest for those that follow.
+    The distinct ones are cut and joined once per batch.
     """
-    rows, words = words_of(texts)
-    n = len(texts)
-    last = np.cumsum(np.bincount(rows, minlength=n) + 1) - 1
-    order = np.empty(len(rows) + n, "i8")
-    order[np.arange(len(rows)) + rows] = np.arange(len(rows))
-    order[last] = len(rows) + np.arange(n)
-    tokens = pa.concat_arrays([words, pa.array([END] * n, words.type)]).take(pa.array(order))
-    tokens = tokens.cast(pa.large_string())
-    rows = np.repeat(np.arange(n), np.diff(last, prepend=-1))
-    first = np.ones(len(rows), bool)
-    first[1:] = rows[1:] != rows[:-1]
-    mark = lambda text: pa.scalar(text, pa.large_string())
-    join = pc.binary_join_element_wise
-    before = join(_cut(tokens, _last), mark(""), mark(" ")).take(
-        pa.array(np.arange(-1, len(rows) - 1), mask=first))
-    heads = join(before.fill_null(mark(FIRST)), _cut(tokens, _beginning), mark(""))
-    rests = join(mark(REST), tokens, mark(""))
-    return rows, heads.cast(words.type), rests.cast(words.type), pc.binary_length(tokens).to_numpy()
+
+    rows: np.ndarray
+    sizes: np.ndarray
+    heads: pa.Array
+    head: np.ndarray
+    rests: pa.Array
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Placed:
+        rows, words = words_of(texts)
+        n = len(texts)
+        names, word = _distinct(words)
+        names = pa.concat_arrays([names, pa.array([END], names.type)]).cast(pa.large_string())
+        rest = np.full(len(rows) + n, len(names) - 1, "i4")
+        rest[np.arange(len(rows)) + rows] = word
+        n_tokens = np.bincount(rows, minlength=n) + 1
+        mark = lambda text: pa.scalar(text, pa.large_string())
+        join = pc.binary_join_element_wise
+        tails, tail = _distinct(_cut(names, _last))
+        tails = pa.concat_arrays([join(tails, mark(""), mark(" ")), pa.array([FIRST], pa.large_string())])
+        starts, start = _distinct(_cut(names, _beginning))
+        before = np.append(0, tail[rest[:-1]]).astype("i8")
+        before[np.cumsum(n_tokens) - n_tokens] = len(tails) - 1
+        pairs, head = _distinct(pa.array(before * len(starts) + start[rest]))
+        pairs = pairs.to_numpy()
+        heads = join(tails.take(pa.array(pairs // len(starts))), starts.take(pa.array(pairs % len(starts))), mark(""))
+        rests = join(mark(REST), names, mark(""))
+        sizes = pc.binary_length(names).to_numpy()[rest]
+        return cls(np.repeat(np.arange(n), n_tokens), sizes, heads.cast(words.type), head, rests.cast(words.type), rest)
+
+
+def placed_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """All tokens of a batch of texts, ends too: row number, heads and rests, size in bytes."""
+    placed = Placed.of(texts)
+    own = (names.take(pa.array(at)) for names, at in ((placed.heads, placed.head), (placed.rests, placed.rest)))
+    return placed.rows, *own, placed.sizes
 
 
 def is_rest(token: str = "token") -> Column:
@@ -121,15 +147,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 2048):
+    for batch in pieces(batches, 4096):
         held = batch.column(0).to_numpy(zero_copy_only=False)
-        rows, heads, rests, _ = placed_tokens(batch.column(1))
-        for tokens, side in product((heads, rests), (False, True)):
-            counted = pc.value_counts(tokens.filter(pa.array(held[rows] == side)))
-            names, n = counted.field(0), counted.field(1).to_numpy()
-            train = n if not side else np.zeros_like(n)
+        placed = Placed.of(batch.column(1))
+        taught = ~held[placed.rows]
+        for names, at in ((placed.heads, placed.head), (placed.rests, placed.rest)):
+            n_train, n_all = (np.bincount(own, minlength=len(names)) for own in (at[taught], at))
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array(train), pa.array(n)], ["token", "n_train", "n_all"]
+                [names, pa.array(n_train), pa.array(n_all)], ["token", "n_train", "n_all"]
             )
 
 
@@ -144,6 +169,13 @@ def token_counts(rows: DataFrame) -> DataFrame:
 # -- the model: every bit of a token, spelled with a space at its end
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(first)
+
+
 @dataclass
 class Edges:
     """Training counts by context and next byte, sorted: a key is 56 bits of context and the byte."""
@@ -163,17 +195,19 @@ class Edges:
         give the counts of every node. Only the contexts asked for are unfolded.
         """
         wanted, row = np.unique(keys, return_inverse=True)
-        context = np.unique(wanted >> np.uint64(8)) << np.uint64(8)
+        context = wanted >> np.uint64(8) << np.uint64(8)
+        context = context[_starts(context)]
         first = np.searchsorted(self.keys, context)
         sizes = np.searchsorted(self.keys, context | np.uint64(255), "right") - first
         own = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        names = np.union1d(wanted, self.keys[own])
+        names = np.sort(np.concatenate((wanted, self.keys[own])))
+        names = names[_starts(names)]
         n = np.zeros(len(names))
         n[np.searchsorted(names, self.keys[own])] = self.n[own]
         ones, seen = np.zeros((2, len(names), 8))
         for bit in range(8 if len(names) else 0):
             node = names >> np.uint64(8 - bit)
-            runs = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            runs = _starts(node)
             of_run = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(names))))
             is_one = (names >> np.uint64(7 - bit)) & np.uint64(1)
             seen[:, bit] = np.add.reduceat(n, runs)[of_run]
@@ -239,6 +273,45 @@ class Spelling:
         return cls(octets[own], token[own], place[own], [k[own] for k in keys])
 
 
+def slices(n: int) -> Iterator[slice]:
+    return (slice(start, start + CHUNK) for start in range(0, n, CHUNK))
+
+
+def cell_of(mixed: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Cell of the refinement: node and step of the mixture."""
+    return nodes * REFINE_STEPS + np.rint((mixed + 8) * (REFINE_STEPS - 1) / 16).astype("i8")
+
+
+@dataclass
+class Cases:
+    """Bytes of many tokens: their token and case. All bytes with equal contexts and value are one case,
+    predicted once. Per predictor, ``Edges.paths`` of the cases."""
+
+    token: np.ndarray
+    row: np.ndarray
+    octets: np.ndarray
+    paths: list[tuple]
+
+    def bits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of some cases and their nodes."""
+        octets, places = self.octets[own].astype("i8")[:, None], np.arange(7, -1, -1)
+        return (octets >> places & 1).astype("f8"), (octets | 256) >> (places + 1)
+
+    def odds(self, less: float) -> Callable:
+        """What gives the log odds of a one by each predictor and the gates of some cases, as if each bit was
+        seen ``less`` often. Both are computed once per distinct context and byte."""
+        found, places = [], np.arange(7, -1, -1)
+        for ones, seen, row in self.paths:
+            if less:
+                octets = np.zeros(len(ones), "i8")
+                octets[row] = self.octets
+                ones = np.maximum(ones - less * (octets[:, None] >> places & 1), 0)
+                seen = np.maximum(seen - less, ones)
+            found.append((np.log((ones + PRIOR) / (seen - ones + PRIOR)), row))
+        gate = np.digitize(seen, CONFIDENCE) * 8 + np.arange(8)  # the longest context is the last
+        return lambda own: ([inputs[row[own]] for inputs, row in found], gate[row[own]])
+
+
 @dataclass
 class Model:
     """What prices tokens: counts of the contexts of fixed order, gated weights, refinement.
@@ -258,67 +331,52 @@ class Model:
         start = np.full((N_GATES, N_INPUTS), 0.4)
         return cls(Edges(np.zeros(0, "u8"), np.zeros(0)), start, refine)
 
-    def chunks(self, tokens: pa.Array, n_train: np.ndarray, less: float | None = None) -> Iterator[tuple]:
-        """Per chunk of bytes: token numbers, bits, their nodes, and per predictor the counts of
-        ones and of all bits in training. ``tokens`` holds all that share a beginning over ``HEAD``.
-
-        With ``less``, the log odds and gates of ``odds`` instead of the counts, computed once per distinct
-        context and byte.
-        """
+    def cases(self, tokens: pa.Array, n_train: np.ndarray) -> Cases:
+        """``tokens`` holds all that share a beginning over ``HEAD``."""
         spelling = Spelling.of(tokens)
         long = spelling.place >= HEAD
-        paths = [self.edges.paths(keys) for keys in spelling.keys[:-2]]
-        beyond = spelling.keys[-1][long]
-        short = self.edges.paths(spelling.keys[-2][~long])
-        own = Edges.of(beyond, n_train[spelling.token[long]]).paths(beyond)
-        row = np.empty(len(long), "i8")
-        row[~long], row[long] = short[2], own[2] + len(short[0])
-        paths.append((*(np.concatenate(c) for c in zip(short[:2], own[:2])), row))
-        places = np.arange(7, -1, -1, dtype="u8")
-        if less is not None:
-            for number, (ones, seen, row) in enumerate(paths):
-                octets = np.zeros(len(ones), "u8")
-                octets[row] = spelling.octets
-                inputs, gate = self.odds((octets[:, None] >> places) & np.uint64(1), ones, seen, less)
-                paths[number] = (inputs, gate, row)
-        for start in range(0, len(spelling.octets), CHUNK):
-            here = slice(start, start + CHUNK)
-            octets = spelling.octets[here].astype("u8")[:, None]
-            bits = (octets >> places) & np.uint64(1)
-            nodes = (octets | np.uint64(256)) >> (places + np.uint64(1))
-            if less is None:
-                found = [(ones[row[here]], seen[row[here]]) for ones, seen, row in paths]
-            else:
-                _, gate, row = paths[-1]
-                found = np.stack([inputs[row[here]] for inputs, _, row in paths], -1), gate[row[here]]
-            yield spelling.token[here], bits.astype("f8"), nodes.astype("i8"), found
-
-    def odds(self, bits, ones, seen, less) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of a one by a predictor, and the gate it is, as if the bit was seen ``less`` often."""
-        if less:
-            ones = np.maximum(ones - less * bits, 0)
-            seen = np.maximum(seen - less, ones)
-        gate = np.digitize(seen, CONFIDENCE) * 8 + np.arange(8)
-        return np.log((ones + PRIOR) / (seen - ones + PRIOR)), gate
-
-    def mix(self, inputs, gate) -> np.ndarray:
-        return np.clip((inputs * self.weights[gate]).sum(-1), -8, 8)
+        # The longest context of fixed order holds the shorter ones and, up to ``HEAD``, the beginning.
+        near = spelling.keys[len(ORDERS) - 1][~long] | spelling.place[~long].astype("u8") << np.uint64(52)
+        short, beyond = np.unique(near, return_inverse=True), np.unique(spelling.keys[-1][long], return_inverse=True)
+        row, one = np.empty(len(long), "i8"), np.empty(len(short[0]) + len(beyond[0]), "i8")
+        row[~long], row[long] = short[1], beyond[1] + len(short[0])
+        one[row] = np.arange(len(row))
+        paths = [self.edges.paths(keys[one]) for keys in spelling.keys[:-2]]
+        n = np.bincount(beyond[1], n_train[spelling.token[long]], len(beyond[0]))
+        begun, whole = one[: len(short[0])], Edges(beyond[0], n).paths(beyond[0])
+        begun = self.edges.paths(spelling.keys[-2][begun])
+        longest = (np.concatenate(c) for c in zip(begun[:2], whole[:2]))
+        paths.append((*longest, np.append(begun[2], whole[2] + len(begun[0]))))
+        return Cases(spelling.token, row, spelling.octets[one], paths)
+
+    def chunks(self, tokens: pa.Array, n_train: np.ndarray) -> Iterator[tuple]:
+        """Per chunk of bytes: token numbers, bits, their nodes, and per predictor the counts of
+        ones and of all bits in training. ``tokens`` holds all that share a beginning over ``HEAD``."""
+        cases = self.cases(tokens, n_train)
+        for here in slices(len(cases.row)):
+            own = cases.row[here]
+            found = [(ones[row[own]], seen[row[own]]) for ones, seen, row in cases.paths]
+            yield cases.token[here], *cases.bits(own), found
+
+    def mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        mixed = sum(own * weights[gate] for own, weights in zip(inputs, self.weights.T.copy()))
+        return np.clip(mixed, -8, 8, out=mixed)
 
     def refined(self, mixed, nodes) -> np.ndarray:
         """Half the mixture, half what came of such mixtures at such a node."""
-        at = np.rint((mixed + 8) * (REFINE_STEPS - 1) / 16).astype("i8")
-        one = (1 / (1 + np.exp(-mixed)) + self.refine[nodes, at]) / 2
-        return np.clip(one, LEAST, 1 - LEAST)
+        one = (1 / (1 + np.exp(-mixed)) + self.refine.ravel()[cell_of(mixed, nodes)]) / 2
+        return np.clip(one, LEAST, 1 - LEAST, out=one)
 
     def log10(self, tokens: pa.Array, n_train: np.ndarray | None = None) -> np.ndarray:
         """The log10 probability of each token."""
-        out = np.zeros(len(tokens))
-        n_train = np.zeros(len(tokens)) if n_train is None else n_train
-        for token, bits, nodes, (inputs, gate) in self.chunks(tokens, n_train, 0.0):
-            one = self.refined(self.mix(inputs, gate), nodes)
-            price = np.log10(np.where(bits > 0, one, 1 - one)).sum(1)
-            out += np.bincount(token, price, len(out))
-        return out
+        cases = self.cases(tokens, np.zeros(len(tokens)) if n_train is None else n_train)
+        odds, price = cases.odds(0.0), np.zeros(len(cases.octets))
+        for here in slices(len(price)):
+            own = np.arange(len(price))[here]
+            bits, nodes = cases.bits(own)
+            one = self.refined(self.mix(*odds(own)), nodes)
+            price[here] = np.log10(np.where(bits > 0, one, 1 - one).prod(1))  # at least LEAST ** 8
+        return np.bincount(cases.token, price[cases.row], len(tokens))
 
 
 def _edge_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,19 +410,25 @@ def _train(shared):
         if rows is None:
             return
         weight = rows["n_train"].to_numpy().astype("f8")
-        for token, bits, nodes, (inputs, gate) in model.chunks(rows["token"].combine_chunks(), weight, 1.0):
-            each = np.repeat(weight[token], 8).reshape(-1, 8)
+        cases = model.cases(rows["token"].combine_chunks(), weight)
+        odds = cases.odds(1.0)
+        for here in slices(len(cases.row)):
+            mass = np.bincount(cases.row[here], weight[cases.token[here]])
+            own = np.flatnonzero(mass)
+            bits, nodes = cases.bits(own)
+            inputs, gate = odds(own)
+            each = np.repeat(mass[own], 8).reshape(-1, 8)
             mixed = model.mix(inputs, gate)
-            at = np.rint((mixed + 8) * (REFINE_STEPS - 1) / 16).astype("i8")
-            cell = (nodes * REFINE_STEPS + at).ravel()
+            cell = cell_of(mixed, nodes).ravel()
             for k, value in enumerate((each * bits, each)):
                 refine[k] += np.bincount(cell, value.ravel(), refine[k].size).reshape(256, -1)
             error = (bits - 1 / (1 + np.exp(-mixed))) * each
-            mass = np.bincount(gate.ravel(), each.ravel(), N_GATES)
+            gate = gate.ravel()
+            mass = np.bincount(gate, each.ravel(), N_GATES)
             step += 1
             rate = RATE / np.sqrt(1 + step / 32)
             for k in range(N_INPUTS):
-                slope = np.bincount(gate.ravel(), (error * inputs[..., k]).ravel(), N_GATES)
+                slope = np.bincount(gate, (error * inputs[k]).ravel(), N_GATES)
                 model.weights[:, k] += rate * slope / np.maximum(mass, 1e-9)
             total += each.sum()
         yield pa.RecordBatch.from_arrays(
@@ -454,26 +518,29 @@ def _sum_common(shared):
     """Sums over the common tokens of each text; a row for each of its other tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known, base, price = shared.value
+        names, *values = shared.value
+        known, base, price = (np.append(v, 0.0) for v in values)  # the last one is that of all other tokens
         for batch in pieces(batches, 2048):
             n = batch.num_rows
-            rows, heads, rests, size = placed_tokens(batch.column(batch.schema.get_field_index("text")))
-            n_tokens, n_bytes = np.bincount(rows, minlength=n), np.bincount(rows, size + 1, n)
-            tokens, rows = pa.concat_arrays([heads, rests]), np.tile(rows, 2)
-            place = pc.index_in(tokens, value_set=names)
-            common = place.is_valid().to_numpy(zero_copy_only=False)
-            at, own = place.drop_null().to_numpy(), rows[common]
-            rest = rows[~common]
+            placed = Placed.of(batch.column(batch.schema.get_field_index("text")))
+            rows = placed.rows
+            tokens = pa.concat_arrays([placed.heads, placed.rests])
+            place = pc.index_in(tokens, value_set=names).fill_null(len(names)).to_numpy()
+            of_head, of_rest = np.split(place, [len(placed.heads)])
+            add = lambda values, at, own: np.bincount(rows, values[at][own], n)
+            other = place == len(names)  # joined later, one row per occurrence
+            more, rest = (np.flatnonzero(c) for c in (other[:len(of_head)][placed.head], other[len(of_head):][placed.rest]))
+            token = np.concatenate((placed.head[more], placed.rest[rest] + len(of_head)))
+            rest = rows[np.concatenate((more, rest))]
             first = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "mark")]
             # The text's own row carries a token that no other row and no word has.
             head = pa.array([f"{END}{i}:{m}" for i, m in zip(*(c.to_pylist() for c in first))])
             sums = (
-                np.ones(n, "i8"), n_tokens, n_bytes.astype("i8"),
-                np.bincount(own, known[at], n).astype("i8"),
-                np.bincount(own, base[at], n).astype("f8"),
-                np.bincount(own, price[at], n).astype("f8"),
+                np.ones(n, "i8"), np.bincount(rows, minlength=n), np.bincount(rows, placed.sizes + 1, n).astype("i8"),
+                add(known, of_rest, placed.rest).astype("i8"), add(base, of_rest, placed.rest),
+                add(price, of_head, placed.head) + add(price, of_rest, placed.rest),
             )
-            other = tokens.filter(pa.array(~common))
+            other = tokens.take(pa.array(token))
             columns = [pa.concat_arrays([c, c.take(pa.array(rest))]) for c in first]
             columns.append(pa.concat_arrays([head, other.cast(head.type)]))
             columns += [pa.array(np.concatenate((s, np.zeros(len(rest), s.dtype)))) for s in sums]

@@ -238,6 +238,48 @@ def test_scores_depend_on_the_words_before(spark):
         assert {r.doc_id: r.score for r in again.collect()} == pytest.approx({i: r.score for i, r in scored.items()})
 
 
+def test_equal_contexts_are_predicted_once(monkeypatch):
+    import pyarrow as pa
+    heads = [f"{t} {h}" for t in ("zab", "yab", "ab", "xb") for h in ("kite", "kit", "drum", "dr")]
+    rests = ["\r" + head + end for head in ("kite", "drum") for end in ("", "s", "sman", "smen", "like")]
+    tokens, spelled = heads + rests, set()
+    for token in tokens:
+        tail, _, own = token.rpartition(" ") if token[0] != "\r" else ("", "", token[1:])
+        for i, octet in list(enumerate(own + " "))[slice(0, 4) if tail else slice(4, None)]:
+            spelled.add(((tail + " " + own[:i])[-4:] if tail else "", own[:i], octet))
+    predicted, mix = [], lm_score.Model.mix
+    monkeypatch.setattr(lm_score.Model, "mix", lambda self, inputs, gate: predicted.append(gate.shape) or mix(self, inputs, gate))
+    model = lm_score.Model.untrained()
+    together = model.log10(pa.array(tokens))
+    assert sum(n for n, _ in predicted) == len(spelled) < sum(len(t) for t in tokens) / 2
+    assert together == pytest.approx([model.log10(pa.array([t]))[0] for t in tokens])
+    # One step per chunk of bytes, in which equal ones count by their tokens.
+    predicted.clear()
+    n_train = np.arange(1, len(tokens) + 1)
+    shared = type("Shared", (), {"value": model})
+    run, = lm_score._train(shared)([pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n_train)], ["token", "n_train"])])
+    assert predicted == [(len(spelled), 8)]
+    per_token = np.bincount(lm_score.Spelling.of(pa.array(tokens)).token, minlength=len(tokens))
+    assert run["bits"][0].as_py() == 8 * (per_token * n_train).sum()
+
+
+def test_tokens_of_a_batch_are_counted_in_one_row_each():
+    import pyarrow as pa
+    rng = random.Random(7)
+    words = ["kite", "Kites", "d\u00e9j\u00e0", "\U0001f600\U0001f601", "x", "abcdef"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(9))) for _ in range(300)] + ["", " \t "]
+    held = [rng.random() < 0.3 for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(held), pa.array(texts)], ["held", "text"])
+    rows = [r for b in lm_score._count([batch]) for r in b.to_pylist()]
+    expected = defaultdict(lambda: [0, 0])
+    row, heads, rests, _ = lm_score.placed_tokens(pa.array(texts))
+    for names in (heads, rests):
+        for i, name in zip(row, names.to_pylist()):
+            expected[name][0] += not held[i]
+            expected[name][1] += 1
+    assert sorted((r["token"], r["n_train"], r["n_all"]) for r in rows) == sorted((t, *n) for t, n in expected.items())
+
+
 def test_reordered_passages_are_found(spark):
     words = [f"w{i}" for i in range(40)]
     item = " ".join(words)
