@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import time
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from chains import random_chain, rows_of
@@ -25,7 +27,7 @@ from strikeforge.sources.tables import (
 from strikeforge.sources.versioned import VersionedTable
 from strikeforge.streaming import live as live_module
 from strikeforge.streaming.live import (
-    STATE_PARTITION_BYTES, LiveQuotes, latest_in_state, state_sized_for,
+    BUCKET_BYTES, STATE_PARTITION_BYTES, LiveQuotes, buckets_for, latest_in_state, state_sized_for,
 )
 
 
@@ -476,3 +478,77 @@ def test_a_merge_shuffles_stored_rows_once(spark, tmp_path, monkeypatch):
     assert "bucket" in written[1].columns and "bucket" in written[3].columns  # not dealt again
     assert quotes(live.current()) == quotes(latest_quotes(ticks(spark, *old, *new, *late)))
     assert "bucket" not in live.current().columns
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_new_rows_are_dealt_once(spark, tmp_path, monkeypatch):
+    dealt, deal = [], VersionedTable._deal
+    monkeypatch.setattr(VersionedTable, "_deal", lambda table, rows, n: (
+        dealt.append(rows), deal(table, rows, n))[1])
+    live = LiveQuotes(spark, str(tmp_path), n_buckets=3)
+    live.merge(ticks(spark, *grid(95.0, 100.0, ts=2)), 0)
+    live.merge(ticks(spark, *grid(100.0, ts=1), *grid(105.0, symbol="BBB"), tick(ts=3, bid=9.0)), 1)
+    live.merge(ticks(spark), 2)
+    assert len(dealt) == 3
+    assert live.current().count() == 6 and live.current().filter("bid = 9").count() == 1
+    assert not list((tmp_path / "snapshot" / "data").glob("*-new-*"))
+
+
+def test_what_the_state_hands_over_is_stored_without_a_shuffle(spark, tmp_path, monkeypatch):
+    landing, stored, plans = tmp_path / "landing", VersionedTable._store, []
+    monkeypatch.setattr(VersionedTable, "_store", lambda table, rows, *more: (
+        plans.append(rows._jdf.queryExecution().executedPlan().toString()), stored(table, rows, *more)))
+    # One contract in two windows of a batch, one of them older than what is stored.
+    land(spark, landing, tick(ts=15, bid=5.0), tick(right="P", ts=31, bid=1.0))
+    land(spark, landing, tick(ts=58, bid=8.0), tick(ts=3, bid=3.0), tick(right="P", ts=2, bid=2.0),
+         tick(right="P", ts=14, bid=4.0))
+    stream = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(landing))
+    live = LiveQuotes(spark, str(tmp_path / "live"))
+    kept = latest_in_state(stream, ["ts"], delay="1 hour", window="10 minutes")
+    live.writer(kept, "update").trigger(availableNow=True).start().awaitTermination()
+    assert quotes(live.current()) == quotes(latest_quotes(spark.read.schema(TICK_SCHEMA).parquet(str(landing))))
+    assert [q[4] for q in quotes(live.current())] == [8.0, 1.0]
+    assert len(plans) >= 4 and not any("Exchange" in p for p in plans[::2])
+
+
+def test_the_registered_state_leaves_no_shuffles_and_no_landed_copy(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+    feed = ticks(spark, *(tick(k, ts=5, bid=k) for k in (95.0, 100.0)))
+    years = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("year")
+    feed = feed.select("*", years).withColumn("ts", F.expr("ts + make_interval(year)")).drop("year")
+    feed = feed.withColumn("sequence", F.struct(F.lit(1).alias("l_orderkey"))).repartition(1)
+    tables = e.Tables(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "ticks", lambda dealt: feed)
+    before, between, measured = set(), [], e.folder_bytes
+    monkeypatch.setattr(e, "folder_bytes", lambda *landing: (  # what landing the ticks has shuffled
+        before.update(shuffle_files(spark)), measured(*landing))[1])
+    stages = set(Path(shared_folder(spark)).glob("stage-*"))
+    live = e.replay(
+        tables, lambda df, n: (df.count(), between.append(shuffle_files(spark) - before)), in_state=True)
+    for _ in range(100):  # removed in the background
+        left = [f for f in shuffle_files(spark) - before if Path(f).exists()]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert len(between) >= 4 and any(between)  # there were shuffles
+    assert not left
+    (folder,) = set(Path(shared_folder(spark)).glob("stage-*")) - stages
+    assert len(list((folder / "landing").glob("*.parquet"))) < 6
+    assert {(r.strike, r.ts.year) for r in live.current().collect()} == {(95.0, 2031), (100.0, 2031)}
+
+
+def test_buckets_grow_with_the_landed_ticks(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+    assert buckets_for(1) == 64 and buckets_for(100 * BUCKET_BYTES + 1) == 101
+    monkeypatch.setattr(e, "folder_bytes", lambda *_: 70 * BUCKET_BYTES)
+    feed = ticks(spark, *(tick(symbol=f"S{i}", bid=float(i)) for i in range(40)))
+    feed = feed.withColumn("sequence", F.struct(F.lit(1).alias("l_orderkey")))
+    tables = e.Tables(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "ticks", lambda dealt: feed)
+    live = e.replay(tables, in_state=True)
+    assert live.table.manifest().n_buckets == 70
+    assert sorted(r.bid for r in live.current().collect()) == [float(i) for i in range(40)]
